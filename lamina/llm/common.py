@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123))
+#: Rows of an Arrow batch: whole texts can be long, and a task holds one batch in the JVM and one in Python.
+BATCH_ROWS = 1000
 #: A-Z to a-z, every other byte as it is.
 LOWER_TABLE = bytes.maketrans(_UPPER, _LOWER)
 #: As LOWER_TABLE, and every ASCII byte that is no letter or digit becomes a space.
@@ -58,6 +60,14 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def modest_batches(df: DataFrame) -> DataFrame:
+    """Hold Arrow batches of whole texts to BATCH_ROWS rows where the session has Spark's default of 10,000."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """mapInArrow with a function from a batch to columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -70,7 +80,7 @@ def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str
             made = rows(batch)
             yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in out], schema=out)
 
-    return df.mapInArrow(run, schema)
+    return modest_batches(df).mapInArrow(run, schema)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import alnum_words, arrow_map, as_bytes
+from .common import alnum_words, arrow_map, as_bytes, modest_batches
 
 WINDOW = 10
 DEPTH = 16
@@ -44,7 +44,8 @@ class Block:
         windows = [(i, at, ws[at : at + WINDOW]) for i, ws in self.items for at in range(max(1, len(ws) - WINDOW + 1))]
         self.lead = min([3, *(len(w) for _, _, w in windows)])
         self.width = len(words) + 1
-        self.first = np.unique([self.lead_key(w[: self.lead]) for _, _, w in windows]) if windows else np.empty(0, np.int64)
+        self.leads = np.array([self.lead_key(w[: self.lead]) for _, _, w in windows], np.int64)
+        self.first = np.unique(self.leads)
         self.owner = np.array([i for i, _, _ in windows], np.int64)
         self.offset = np.array([at for _, at, _ in windows], np.int64)
         self.length = np.array([len(w) for _, _, w in windows], np.int64)
@@ -67,8 +68,8 @@ def _sortable(rows: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(rows.astype(">u4")).view(f"S{4 * rows.shape[1]}").ravel()
 
 
-def suffix_array(ids: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in the order of their suffixes' first DEPTH words, and those words."""
+def suffix_array(ids: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions in the order of their suffixes' first DEPTH words, those words, and the first-word keys that occur."""
     n = len(ids)
     key, ok = np.zeros(n, np.int64), np.ones(n, bool)
     pad = np.concatenate([ids, np.zeros(DEPTH, ids.dtype)])
@@ -81,17 +82,18 @@ def suffix_array(ids: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray]
     at = at[(spot < len(block.first)) & (block.first[np.minimum(spot, len(block.first) - 1)] == key[at])]
     rows = _sortable(pad[at[:, None] + np.arange(DEPTH)[None, :]])
     order = np.argsort(rows, kind="stable")
-    return at[order], rows[order]
+    return at[order], rows[order], np.unique(key[at])
 
 
 def occurrences(ids: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray]:
     """(window, position) for each occurrence of each of the block's windows in ids."""
     if not len(block.first) or not len(ids):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    at, rows = suffix_array(ids, block)
-    lo, hi = np.searchsorted(rows, block.low, "left"), np.searchsorted(rows, block.high, "right")
+    at, rows, present = suffix_array(ids, block)
+    tried = np.flatnonzero(np.isin(block.leads, present))
+    lo, hi = np.searchsorted(rows, block.low[tried], "left"), np.searchsorted(rows, block.high[tried], "right")
     count = np.maximum(hi - lo, 0)
-    which = np.repeat(np.arange(len(lo)), count)
+    which = np.repeat(tried, count)
     within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     return which, at[np.repeat(lo, count) + within]
 
@@ -209,7 +211,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 found = search_shard(as_bytes(batch.column("text")), sent.value)
                 yield batch.filter(pa.array([not h for h in found["hits"]], pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = modest_batches(out).mapInArrow(run, docs.schema)
     return out
 
 

@@ -15,7 +15,7 @@ import re
 import numpy as np
 
 _RUN = re.compile(r"\s \s")
-_MEMO = 800_000
+_MEMO = 300_000
 
 
 @functools.cache

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, modest_batches
 
 BUCKETS = 8192
 DIM = 16
@@ -187,7 +187,7 @@ def keep_identified(docs: DataFrame) -> DataFrame:
                 keep.append(bool(p.max() >= threshold))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return modest_batches(docs).mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

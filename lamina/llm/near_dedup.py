@@ -10,10 +10,10 @@ within DISTANCE shares a key. A pair at Jaccard 0.85 differs at 9 of 60 position
 
 Documents with equal sets collapse into their smallest doc_id before any pair is made. Buckets are
 never expanded into all their pairs: each member is paired with its bucket's smallest one; the best
-pair of each member is confirmed and joined into components; buckets that still hold several
-components are then searched in blocks of members whose signatures are compared inside a task, and
-only pairs within DISTANCE from different components leave it, to be confirmed in turn. A pair left
-out either lies within one component already or is beyond DISTANCE, so no link is lost.
+pair of each member is confirmed and joined into components, then its other such pairs that would
+join two. Buckets that still hold several components are searched in blocks of members, held against
+each other on their full sets inside a task, which gives only the links that join components. A pair
+left out lies within one component already, or is beyond DISTANCE, so no link is lost.
 
 Defined cases: a null, empty or all-space text has n_shingles 0 and is linked with nothing; with one
 to four words the whole sequence is the single shingle; a row with a null doc_id is linked with
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, as_bytes, mix64, shared_dir, space_words, stored
+from .common import arrow_map, as_bytes, mix64, modest_batches, shared_dir, space_words, stored
 
 SHINGLE = 5
 CHUNKS = 12
@@ -39,9 +39,9 @@ POSITIONS = CHUNKS * WIDTH
 DISTANCE = 2 * CHUNKS - 1
 #: 100 * intersection >= PERCENT * union
 PERCENT = 85
-#: Members of a bucket that one task compares with as many others at a time.
-BLOCK = 2048
-_MEMO = 400_000
+#: Shingles of a bucket's members that one task holds against as many others at a time.
+BLOCK = 1_000_000
+_MEMO = 60_000
 
 
 class _WordHash(dict):
@@ -131,9 +131,10 @@ def _emit_keys(reps: DataFrame) -> DataFrame:
                 ids = batch.column("rep").to_numpy()
                 sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, POSITIONS)
                 keys = _keys(sigs).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids, keys.shape[1]))], names=["key", "rep"])
+                each = lambda x, n=keys.shape[1]: pa.array(np.repeat(x, n))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), each(ids), each(batch.column("size").to_numpy())], names=["key", "rep", "size"])
 
-    return reps.mapInArrow(run, "key long, rep long")
+    return modest_batches(reps).mapInArrow(run, "key long, rep long, size long")
 
 
 def _within(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -174,7 +175,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     out.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in out], pa.int64()), pa.array([b[i] for i in out], pa.int64())], names=["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return modest_batches(both).mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -197,55 +198,79 @@ def _relabel(members: DataFrame, comp: DataFrame) -> DataFrame:
     return members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
 
 
-def _mixed_buckets(members: DataFrame, comp: DataFrame, sigs: DataFrame) -> DataFrame:
-    """(a, b, d) within DISTANCE, from different components, of the buckets that hold several.
+def _ends(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """pairs with the components p of a and q of b."""
+    side = lambda x, y: comp.select(F.col("node").alias(x), F.col("comp").alias(y))
+    both = pairs.join(side("a", "p"), "a", "left").join(side("b", "q"), "b", "left")
+    return both.withColumns({"p": F.coalesce("p", "a"), "q": F.coalesce("q", "b")})
+
+
+def _links_within(ids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join different components, between members of left and of right, on full sets.
+
+    One member at a time is held against all others by counting its shingles in theirs; members that a link
+    has put into one component are not held against each other again, so at most one link a member comes out."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    stop = np.cumsum(sizes)
+    start = stop - sizes
+    mark = np.zeros(int(flat.max()) + 1, bool)
+    comps, out = comps.copy(), []
+    lo, hi = (int(start[right[0]]), int(stop[right[-1]])) if len(right) else (0, 0)
+    edge = start[right] - lo
+    for r in left.tolist():
+        if not (comps[right] != comps[r]).any():
+            continue
+        mine = flat[start[r] : stop[r]]
+        mark[mine] = True
+        both = np.add.reduceat(mark[flat[lo:hi]], edge, dtype=np.int64)
+        mark[mine] = False
+        for k in right[(100 * both >= PERCENT * (sizes[r] + sizes[right] - both)) & (comps[right] != comps[r])].tolist():
+            if comps[k] != comps[r]:
+                comps[comps == comps[k]] = comps[r]
+                out.append((min(int(ids[k]), int(ids[r])), max(int(ids[k]), int(ids[r]))))
+    return out
+
 
-    A bucket of n members is cut into blocks by a hash; each pair of blocks is one group."""
+def _mixed_buckets(members: DataFrame, comp: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): confirmed links that join the components that meet in one bucket.
+
+    A bucket is cut by a hash into blocks of about BLOCK shingles, whatever its size; each pair of its blocks is
+    one group, and what comes out of a group is at most one row a member."""
     labelled = _relabel(members, comp)
-    spans = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    left = labelled.join(spans.select("key", "n"), "key")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    cut = left.withColumn("blocks", blocks).withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    spans = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    left = labelled.join(spans.select("key"), "key")
+    cut = left.withColumn("blocks", F.ceil(F.col("weight") / BLOCK).cast("int")).withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "rep", "comp")
-    dealt = dealt.join(sigs.select("rep", "sig"), "rep")
-
-    def run(group):
-        t = group.to_pandas() if hasattr(group, "to_pandas") else group
-        i, j = int(t["i"].iloc[0]), int(t["j"].iloc[0])
-        ids, comps = t["rep"].to_numpy(), t["comp"].to_numpy()
-        sig = np.frombuffer(b"".join(t["sig"]), np.uint16).reshape(-1, POSITIONS)
-        inner = t["blk"].to_numpy()
-        left_rows, right_rows = np.flatnonzero(inner == i), np.flatnonzero(inner == j)
-        a, b, dist = [], [], []
-        for r in left_rows:
-            cand = right_rows[comps[right_rows] != comps[r]]
-            if i == j:
-                cand = cand[cand > r]
-            if len(cand):
-                d = (sig[cand] != sig[r]).sum(axis=1)
-                ok = d <= DISTANCE
-                if ok.any():
-                    got = cand[ok]
-                    a.append(np.minimum(ids[got], ids[r]))
-                    b.append(np.maximum(ids[got], ids[r]))
-                    dist.append(d[ok].astype(np.int32))
-        cat = lambda x, kind: pa.array(np.concatenate(x) if x else np.empty(0, kind))
-        return pa.table({"a": cat(a, np.int64), "b": cat(b, np.int64), "d": cat(dist, np.int32)})
-
-    return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long, d int").distinct()
+    dealt = dealt.join(texts, "rep")
+
+    def run(group: pa.Table) -> pa.Table:
+        blk, i, j = group["blk"].to_numpy(), group["i"][0].as_py(), group["j"][0].as_py()
+        order = np.argsort(blk, kind="stable")
+        raw = group["text"].cast(pa.binary())
+        sets = [shingles(raw[int(k)].as_py()) for k in order]
+        blk = blk[order]
+        got = _links_within(group["rep"].to_numpy()[order], group["comp"].to_numpy()[order], sets, np.flatnonzero(blk == i), np.flatnonzero(blk == j))
+        return pa.table({"a": pa.array([x for x, _ in got], pa.int64()), "b": pa.array([y for _, y in got], pa.int64())})
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of (doc_id, text)."""
     table = stored(sketches(docs), "sketches")
     usable = table.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    groups = stored(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig")), "groups")
+    groups = stored(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig"), F.max("n_shingles").alias("size")), "groups")
     # A repeated doc_id with different texts may represent several sets: its rows are one document.
     sigs = groups.select("rep", "sig")
-    keys = _emit_keys(sigs)
-    shared = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot")
-    members = stored(keys.join(shared, "key").select("key", "rep", "pivot"), "members")
+    keys = _emit_keys(groups.select("rep", "sig", "size"))
+    shared = keys.groupBy("key").agg(
+        F.min("rep").alias("pivot"), F.max("rep").alias("top"), F.count("*").alias("n"), F.sum("size").alias("weight"),
+        F.bit_xor(F.xxhash64("rep")).alias("mark")).where("n > 1")
+    # Near copies meet in many keys with the same members: one key of each member set is enough.
+    shared = shared.groupBy("pivot", "top", "n", "weight", "mark").agg(F.min("key").alias("key"))
+    members = stored(keys.join(shared.select("key", "pivot", "n", "weight"), "key").select("key", "rep", "pivot", "n", "weight"), "members")
     star = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     close = stored(_within(star, sigs), "close")
     # One pass moves the texts of documents that share a key; all confirmations read this smaller table.
@@ -253,22 +278,15 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     texts = stored(texts.join(members.select("rep").distinct(), "rep", "left_semi"), "texts")
     best = close.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
     edges = stored(_confirmed(best, texts), "edges")
-    ids = members.select("key", "rep")
-    tried = best
-    for one_each in (True, False):
-        comp = components(edges)
-        left = stored(_mixed_buckets(ids, comp, sigs).join(tried, ["a", "b"], "left_anti"), "left")
-        if left.isEmpty():
-            break
-        if one_each:  # first the closest pair of any two components: most joins need no more
-            side = lambda x: comp.select(F.col("node").alias(x), F.col("comp").alias(f"comp_{x}"))
-            named = left.join(side("a"), "a", "left").join(side("b"), "b", "left")
-            named = named.withColumns({"p": F.coalesce("comp_a", "a"), "q": F.coalesce("comp_b", "b")})
-            left = named.groupBy(F.least("p", "q"), F.greatest("p", "q")).agg(F.min(F.struct("d", "a", "b")).alias("m")).select("m.a", "m.b")
-            left = stored(left, "closest")
-        tried = stored(tried.union(left.select("a", "b")), "tried")
-        edges = stored(edges.union(_confirmed(left, texts)), "edges")
     comp = components(edges)
+    rest = stored(_ends(close.join(best, ["a", "b"], "left_anti"), comp).where("p <> q").select("a", "b"), "rest")
+    if not rest.isEmpty():
+        edges = stored(edges.union(_confirmed(rest, texts)), "edges")
+        comp = components(edges)
+    # Buckets of two have had their pair; in larger ones others than the smallest member may be linked.
+    more = stored(_mixed_buckets(members.where("n > 2").select("key", "rep", "weight"), comp, texts), "more")
+    if not more.isEmpty():
+        comp = components(edges.union(more))
     linked = _relabel(groups.select("set_key", "rep"), comp).select("set_key", "comp")
     got = table.join(linked, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))

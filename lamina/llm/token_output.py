@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, shared_dir
+from .common import mix64, modest_batches, shared_dir
 from .encoding import encoder, token_bytes, vocabulary_path
 
 END = 2
@@ -128,7 +128,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, end: int = END, sh
         if keys:
             yield pa.RecordBatch.from_pylist([_shard(part, number, inner, wide, keys, pieces)], schema=out)
 
-    dealt.mapInArrow(run, _SHARDS).write.option("compression", "zstd").parquet(path)
+    modest_batches(dealt).mapInArrow(run, _SHARDS).write.option("compression", "zstd").parquet(path)
 
 
 def _bases(shards: DataFrame) -> DataFrame:
@@ -167,7 +167,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                     [pa.array(row["docs"], pa.int64()), pa.array(row["base"] + where), pa.array(counts), pa.array(crc, pa.int64())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return spots.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return modest_batches(spots).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
@@ -188,7 +188,7 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return shards.join(routed, ["part", "shard"]).mapInArrow(run, "doc_id long, ids array<int>")
+    return modest_batches(shards.join(routed, ["part", "shard"])).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def token_output(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:

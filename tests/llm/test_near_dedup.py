@@ -58,7 +58,7 @@ def test_a_blocked_bucket_gives_the_same(spark, monkeypatch):
     rng = random.Random(4)
     base = words(rng, 60).split()
     rows = [(i, " ".join([*base[: 60 - i % 30], *[f"t{i}"] * (i % 30)]), "en", "s", 1) for i in range(40)]
-    monkeypatch.setattr(nd, "BLOCK", 4)
+    monkeypatch.setattr(nd, "BLOCK", 200)
     df = spark.createDataFrame(rows, DOC_SCHEMA)
     assert result(df) == brute(rows)
 
