@@ -30,7 +30,7 @@ from .common import arrow_map, modest_batches
 BUCKETS = 8192
 DIM = 16
 GRAMS = (2, 3, 4)
-PER_LANG = 500
+PER_LANG = 400
 EPOCHS = 40
 REJECT_RATE = 0.001
 SEED = 7
@@ -65,16 +65,16 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
-    """Bucket logits (BUCKETS x k) of the embedding model after SGD on rows x (mean features)."""
+def fit(x: np.ndarray, y: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
+    """Bucket logits (BUCKETS x k) of the embedding model after SGD on the given rows of x (mean features)."""
     rng = np.random.default_rng(SEED)
     emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     out = rng.normal(0, 0.1, (DIM, k)).astype(np.float32)
-    weight = (len(y) / (k * np.maximum(np.bincount(y, minlength=k), 1))).astype(np.float32)
+    weight = (len(rows) / (k * np.maximum(np.bincount(y[rows], minlength=k), 1))).astype(np.float32)
     for epoch in range(EPOCHS):
         rate = 20.0 * (1 - epoch / EPOCHS)
-        order = rng.permutation(len(y))
-        for lo in range(0, len(y), 64):
+        order = rows[rng.permutation(len(rows))]
+        for lo in range(0, len(order), 64):
             pick = order[lo : lo + 64]
             part, lab = x[pick], y[pick]
             hid = part @ emb
@@ -123,7 +123,8 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> dict:
     for i, (ix, v) in enumerate(zip(got["idx"], got["val"], strict=True)):
         x[i, np.asarray(ix, np.int64)] = v
     held = np.arange(len(y)) % 10 == 9
-    logits = fit(x[~held], y[~held], len(langs))
+    del got
+    logits = fit(x, y, np.flatnonzero(~held), len(langs))
     temperature, threshold = 1.0, 0.0
     if held.any():
         z = x[held] @ logits

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, mixing, near_dedup, token_output
+from . import decontaminate, flac, language_id, license_scan, mixing, near_dedup, pii, secret_scan, token_counts, token_output
 
 QUERIES = {
+    "op1_secret_scan": secret_scan.query,
     "op2_token_output": token_output.query,
     "op3_near_dedup": near_dedup.query,
     "op4_mixing": mixing.query,
+    "op5_license_scan": license_scan.query,
     "op6_language_id": language_id.query,
+    "op7_pii": pii.query,
     "op8_decontaminate": decontaminate.query,
+    "op9_flac": flac.query,
+    "op10_token_counts": token_counts.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
