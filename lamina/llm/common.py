@@ -9,11 +9,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123))
 #: Rows of an Arrow batch: whole texts can be long, and a task holds one batch in the JVM and one in Python.
 BATCH_ROWS = 1000
+#: Rows of a narrow table (tens of bytes a row) that may be broadcast.
+BROADCAST_ROWS = 1_000_000
 #: A-Z to a-z, every other byte as it is.
 LOWER_TABLE = bytes.maketrans(_UPPER, _LOWER)
 #: As LOWER_TABLE, and every ASCII byte that is no letter or digit becomes a space.
@@ -55,6 +58,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A stored table of a few numbers a row, marked for broadcast where its counted rows are within the bound;
+    beyond it Spark shuffles both sides."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column, without decoding them."""
     return column.cast(pa.binary()).to_pylist()

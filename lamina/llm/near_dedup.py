@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, as_bytes, mix64, modest_batches, shared_dir, space_words, stored
+from .common import arrow_map, as_bytes, broadcast_if_small, mix64, modest_batches, space_words, stored
 
 SHINGLE = 5
 CHUNKS = 12
@@ -269,13 +269,14 @@ def near_dedup(docs: DataFrame) -> DataFrame:
         F.min("rep").alias("pivot"), F.max("rep").alias("top"), F.count("*").alias("n"), F.sum("size").alias("weight"),
         F.bit_xor(F.xxhash64("rep")).alias("mark")).where("n > 1")
     # Near copies meet in many keys with the same members: one key of each member set is enough.
-    shared = shared.groupBy("pivot", "top", "n", "weight", "mark").agg(F.min("key").alias("key"))
-    members = stored(keys.join(shared.select("key", "pivot", "n", "weight"), "key").select("key", "rep", "pivot", "n", "weight"), "members")
+    shared = stored(shared.groupBy("pivot", "top", "n", "weight", "mark").agg(F.min("key").alias("key")).select("key", "pivot", "n", "weight"), "shared")
+    members = stored(keys.join(broadcast_if_small(shared), "key").select("key", "rep", "pivot", "n", "weight"), "members")
     star = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     close = stored(_within(star, sigs), "close")
     # One pass moves the texts of documents that share a key; all confirmations read this smaller table.
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").where("text IS NOT NULL")
-    texts = stored(texts.join(members.select("rep").distinct(), "rep", "left_semi"), "texts")
+    wanted = stored(members.select("rep").distinct(), "wanted")
+    texts = stored(texts.join(broadcast_if_small(wanted), "rep", "left_semi"), "texts")
     best = close.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
     edges = stored(_confirmed(best, texts), "edges")
     comp = components(edges)
@@ -295,8 +296,8 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """Rows of docs, with all their columns, that are their component's smallest document."""
-    gone = near_dedup(docs).where("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = stored(near_dedup(docs).where("NOT kept").select("doc_id").distinct(), "gone")
+    return docs.join(broadcast_if_small(gone), "doc_id", "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
