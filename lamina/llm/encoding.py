@@ -15,7 +15,7 @@ import re
 import numpy as np
 
 _RUN = re.compile(r"\s \s")
-_MEMO = 300_000
+_MEMO = 1_000_000
 
 
 @functools.cache
@@ -72,8 +72,8 @@ class Encoder:
         self.index = _Index()
         self.flat = np.empty(1 << 16, np.uint32)
         self.used = 0
-        self.start = np.zeros(1 << 14, np.int64)
-        self.count = np.zeros(1 << 14, np.int64)
+        self.start = np.zeros(1 << 14, np.int32)
+        self.count = np.zeros(1 << 14, np.int32)
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(tokenizer(self.path).encode(text, add_special_tokens=False).ids, np.uint32)
@@ -128,7 +128,7 @@ class Encoder:
                         del cut[0]
                     pieces += cut
             many.append(len(pieces) - before)
-        numbers = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
+        numbers = np.fromiter(map(self.index.__getitem__, pieces), np.int32, len(pieces))
         if self.index.waiting:
             self._learn()
         return numbers, np.array(many, np.int64), whole
@@ -148,7 +148,8 @@ class Encoder:
         numbers, many, whole = self._numbers(texts)
         count = self.count[numbers]
         stop = np.cumsum(count)
-        ids = self.flat[np.repeat(self.start[numbers] - stop + count, count) + np.arange(stop[-1] if len(stop) else 0)]
+        shift = (self.start[numbers] - stop + count).astype(np.int32)  # a batch has far fewer than 2**31 ids
+        ids = self.flat[np.repeat(shift, count) + np.arange(stop[-1] if len(stop) else 0, dtype=np.int32)]
         edge = np.concatenate([[0], stop])[np.concatenate([[0], np.cumsum(many)])]
         out = [ids[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
         for i, x in whole.items():

@@ -30,7 +30,7 @@ from .encoding import encoder, token_bytes, vocabulary_path
 
 END = 2
 SHARD_IDS = 1 << 20
-BATCH = 256
+BATCH = 512
 _SHARDS = ("part int, shard int, inner long, width int, docs array<long>, counts array<long>, payload binary, "
            "displace array<int>, prints array<int>, offsets array<long>, lengths array<long>")
 
