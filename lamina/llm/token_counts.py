@@ -24,7 +24,7 @@ from .encoding import added_tokens, encoder, tokenizer, vocabulary_path
 CHUNK = 32_768
 OVERLAP = 512
 LIMIT = 1024
-BATCH = 128
+BATCH = 512
 
 
 def _pretokens(path: str, text: str) -> tuple[np.ndarray, np.ndarray]:

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -19,7 +20,8 @@ def library(text):
 def test_pieces_equal_whole_texts(docs):
     texts = [r["text"] for r in docs.collect()] + [
         "a  b", "  a", "a \n b", "\n a", "a\n  b ", "", " ", "a ", "x<|endoftext|> y", "　 a", "a  b", "don't  we'll 123  4", "\0a",
-        " \0x", "a \0x", None, "a ​ b", "x" * 5000, "\n\n\n  \t x"]
+        " \0x", "a \0x", None, "a ​ b", "x" * 5000, "\n\n\n  \t x", "ab.\ncd, ef!\ngh\n ij.\n", "a.\n.b \nc d\n\ne f.,", "x's.\n's\n't,", "a\nb\nc\n\td.", "\na.", "é,\nÉ: ß! 中.\n中",
+        "".join(random.Random(4).choices(["a", "b ", ".", ",", "\n", " ", "'s", "1", "é"], k=3000))]
     enc = encoder(PATH)
     assert [x.tolist() for x in enc.encode(texts)] == [library(t) for t in texts]
     assert enc.counts(texts).tolist() == [len(library(t)) for t in texts]
