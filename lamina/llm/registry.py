@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, flac, language_id, license_scan, mixing, near_dedup, pii, secret_scan, token_counts, token_output
+from . import decontaminate, flac, language_id, license_scan, mixing, near_dedup, oracle, pii, secret_scan, token_counts, token_output
 
 QUERIES = {
     "op1_secret_scan": secret_scan.query,
@@ -17,7 +17,7 @@ QUERIES = {
     "op10_token_counts": token_counts.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = oracle.SQL
 
 
 def queries() -> dict:
