@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregation, comparison, detection, fusion_policy, kernels, records, sequence, sequence_more, streams  # noqa: F401
+from . import aggregation, comparison, detection, fusion_policy, kernels, more, records, sequence, sequence_more, streams  # noqa: F401
 from .base import QUERIES, SQL
 
 
