@@ -40,7 +40,7 @@ DISTANCE = 2 * CHUNKS - 1
 #: 100 * intersection >= PERCENT * union
 PERCENT = 85
 #: Shingles of a bucket's members that one task holds against as many others at a time.
-BLOCK = 1_000_000
+BLOCK = 300_000
 _MEMO = 60_000
 
 
