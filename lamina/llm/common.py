@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -92,6 +93,22 @@ def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str
     return modest_batches(df).mapInArrow(run, schema)
 
 
+_held: dict[str, dict] = {}
+
+
+def held(owner: str) -> dict:
+    """What an operator remembers between the tasks of a reused Python worker. A worker keeps it for one
+    operator at a time: a session that runs several needs no more memory than the one that needs most."""
+    if owner not in _held:
+        if _held:
+            _held.clear()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+        _held[owner] = {}
+    return _held[owner]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and odd multipliers), element by element."""
     x = x ^ (x >> np.uint64(32))

@@ -14,6 +14,8 @@ import re
 
 import numpy as np
 
+from .common import held
+
 _RUN = re.compile(r"\s \s")
 _MEMO = 1_000_000
 
@@ -157,6 +159,8 @@ class Encoder:
         return out
 
 
-@functools.cache
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    mine = held("encoding")
+    if path not in mine:
+        mine[path] = Encoder(path)
+    return mine[path]

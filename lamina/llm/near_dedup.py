@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, as_bytes, broadcast_if_small, mix64, modest_batches, space_words, stored
+from .common import arrow_map, as_bytes, broadcast_if_small, held, mix64, modest_batches, space_words, stored
 
 SHINGLE = 5
 CHUNKS = 12
@@ -54,9 +54,11 @@ class _WordHash(dict):
         return h
 
 
-@functools.cache
 def _memo() -> _WordHash:
-    return _WordHash()
+    mine = held("near_dedup")
+    if "words" not in mine:
+        mine["words"] = _WordHash()
+    return mine["words"]
 
 
 def shingles(text: bytes | None) -> np.ndarray:
