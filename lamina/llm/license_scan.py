@@ -2,12 +2,13 @@
 
 Templates are phrases and passages of well-known licences; the index has, for each of their words, the
 (template, position) postings. Document frequencies of the templates' words are counted over the whole
-corpus first. In a file, the word of each template with the highest IDF anchors it: every place of that
-word proposes an alignment, the postings of the template's other words are intersected with the file's
-words at the same relative positions, and the share of words that agree is the alignment's score. A phrase
-template needs all of its words; a passage needs MATCH of them and, inside the aligned stretch, its
-mandatory key phrase word for word. The base phrases are templates of the first kind, so all their
-places are found whatever the frequencies are.
+corpus first. In a file, the template positions whose words it holds are ranked by IDF and the rarest are
+anchors: every place of an anchor's word proposes an alignment, the postings of the template's other words
+are intersected with the file's words at the same relative positions, and the share of words that agree is
+the alignment's score. A phrase template needs all of its words; a passage needs MATCH of them and, inside
+the aligned stretch, its mandatory key phrase word for word. Where need of n words must agree and the file
+lacks those of m positions, any n - need - m + 1 others hold one that agrees (pigeonhole); so many are
+taken, and no accepted alignment is left out whatever the frequencies are.
 
 Defined cases: null, empty and wordless texts have n_words 0 and no labels; overlapping places all count;
 equal texts and repeated rows get equal values; other columns are not read; an empty table gives an empty
@@ -16,6 +17,7 @@ result."""
 from __future__ import annotations
 
 import itertools
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -60,15 +62,14 @@ class Index:
         self.vocab = {w: i + 1 for i, w in enumerate(sorted(set(itertools.chain(*words))))}
         self.words = [np.array([self.vocab[w] for w in ws], np.int32) for ws in words]
         self.keys = [np.array([self.vocab[w] for w in t.key.encode().split()], np.int32) for t in templates]
-        self.postings: dict[int, list[tuple[int, int]]] = {}
-        for t, ids in enumerate(self.words):
-            for at, w in enumerate(ids.tolist()):
-                self.postings.setdefault(w, []).append((t, at))
-        self.anchors = [int(ids[0]) for ids in self.words]
+        self.flat = np.concatenate(self.words)
+        self.edges = np.cumsum([0, *map(len, self.words)])[:-1]
+        self.need = np.array([math.ceil(MATCH * len(w)) if t.key else len(w) for t, w in zip(templates, self.words, strict=True)])
+        self.order = [np.arange(len(ids)) for ids in self.words]
 
     def rank(self, frequency: dict[int, int]) -> Index:
-        """Choose each template's anchor: its word in the fewest documents (the first of equals)."""
-        self.anchors = [min(ids.tolist(), key=lambda w: frequency.get(w, 0)) for ids in self.words]
+        """Order each template's positions: words in the fewest documents first (the first of equals)."""
+        self.order = [np.argsort([frequency.get(w, 0) for w in ids.tolist()], kind="stable") for ids in self.words]
         return self
 
     def ids(self, text: bytes | None) -> np.ndarray:
@@ -78,14 +79,16 @@ class Index:
     def places(self, ids: np.ndarray) -> list[tuple[int, int, float]]:
         """(template, start, score) of the accepted alignments."""
         out = []
-        held = np.unique(ids)
-        for t, want in enumerate(self.words):
-            anchor, n = self.anchors[t], len(want)
-            if not _has(held, anchor):
-                continue
-            at = np.flatnonzero(ids == anchor)
-            offsets = [p for q, p in self.postings[anchor] if q == t]
-            start = np.unique((at[:, None] - np.array(offsets)[None, :]).ravel())
+        held = np.zeros(len(self.vocab) + 1, bool)
+        held[ids] = True
+        held[0] = False
+        n_held = np.add.reduceat(held[self.flat], self.edges, dtype=np.int64)
+        for t in np.flatnonzero(n_held >= self.need).tolist():
+            want = self.words[t]
+            n = len(want)
+            order = self.order[t]
+            anchors = order[held[want[order]]][: int(n_held[t] - self.need[t]) + 1]
+            start = np.unique(np.concatenate([np.flatnonzero(ids == want[p]) - p for p in anchors.tolist()]))
             if self.templates[t].key:
                 agree = np.zeros(len(start), np.int32)
                 for i, w in enumerate(want.tolist()):
@@ -103,11 +106,6 @@ class Index:
         return out
 
 
-def _has(sorted_ids: np.ndarray, x: int) -> bool:
-    i = int(np.searchsorted(sorted_ids, x))
-    return i < len(sorted_ids) and int(sorted_ids[i]) == x
-
-
 def _holds(ids: np.ndarray, phrase: np.ndarray) -> bool:
     n = len(phrase)
     if len(ids) < n:

@@ -1,3 +1,4 @@
+import random
 import re
 
 from lamina.llm import license_scan as ls
@@ -41,6 +42,47 @@ def test_places_passages_and_scores(spark):
     assert by[5]["labels"] == "" and by[7]["score"] == 0
 
 
+def test_a_passage_without_its_rarest_word(spark):
+    passages = [t for t in ls.TEMPLATES if t.key]
+    rows = []
+    for t in passages:
+        ws = t.text.split()
+        keys = [k.split() for k in t.key.split("|")]
+        fixed = {i + j for k in keys for i in range(len(ws)) if ws[i : i + len(k)] == k for j in range(len(k))}
+        for i in sorted(set(range(len(ws))) - fixed):
+            rows.append((len(rows), " ".join(["before", *ws[:i], "mispelt", *ws[i + 1 :], "after"]), t.label, "s", 1))
+    got = {r["doc_id"]: r["labels"].split(",") for r in ls.license_scan(spark.createDataFrame(rows, DOC_SCHEMA)).collect()}
+    assert all(label in got[i] for i, _, label, *_ in rows)
+    # Alone, every edited word is one that no document holds.
+    for i in range(0, len(rows), 9):
+        alone = ls.license_scan(spark.createDataFrame(rows[i : i + 1], DOC_SCHEMA)).first()
+        assert alone["labels"].split(",") == got[i]
+
+
+def test_places_equal_all_alignments():
+    rng = random.Random(1)
+    index = ls.Index()
+    for n in range(300):
+        ws = ["x"]
+        for t in rng.sample(ls.TEMPLATES, 2):
+            ws += [rng.choice(["x", "the", "license"]) if rng.random() < 0.12 else w for w in t.text.split()]
+        index.rank({w: rng.randint(0, 9) for w in index.vocab.values()})
+        ids = index.ids(" ".join(ws[n % 4 :]).encode())
+        assert sorted(index.places(ids)) == sorted(alignments(index, ids.tolist()))
+
+
+def alignments(index, ids):
+    for t, (template, want) in enumerate(zip(index.templates, index.words, strict=True)):
+        n = len(want)
+        for s in range(1 - n, len(ids)):
+            agree = sum(0 <= s + i < len(ids) and ids[s + i] == w for i, w in enumerate(want.tolist()))
+            part = ids[max(0, s) : s + n]
+            keys = [[index.vocab[w] for w in k.encode().split()] for k in template.key.split("|")]
+            holds = all(any(part[i : i + len(k)] == k for i in range(len(part))) for k in keys)
+            if agree == n if not template.key else agree >= ls.MATCH * n and holds:
+                yield t, max(0, s), agree / n
+
+
 def test_odd_rows(odd_extra, empty):
     assert result(odd_extra) == expected(odd_rows())
     assert ls.license_scan(empty).count() == 0
