@@ -6,7 +6,8 @@ corpus first. In a file, the template positions whose words it holds are ranked
 anchors: every place of an anchor's word proposes an alignment, the postings of the template's other words
 are intersected with the file's words at the same relative positions, and the share of words that agree is
 the alignment's score. A phrase template needs all of its words; a passage needs MATCH of them and, inside
-the aligned stretch, its mandatory key phrase word for word. Where need of n words must agree and the file
+the aligned stretch, its mandatory key phrases word for word; the version is part of them where versions
+share their wording. Where need of n words must agree and the file
 lacks those of m positions, any n - need - m + 1 others hold one that agrees (pigeonhole); so many are
 taken, and no accepted alignment is left out whatever the frequencies are.
 
@@ -34,7 +35,7 @@ MATCH = 0.8
 class Template:
     label: str
     text: str
-    key: str = ""  # mandatory phrase of a passage
+    key: str = ""  # mandatory phrases of a passage, | between them
     base: bool = False
 
 
@@ -46,8 +47,10 @@ TEMPLATES = (
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "permission is hereby granted free of charge"),
     Template("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "except in compliance with the license"),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
-    Template("gpl-3", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license", "gnu general public license"),
-    Template("gpl-2", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license", "gnu general public license"),
+    Template("gpl-3", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license", "gnu general public license|version 3 of the license"),
+    Template("gpl-3", "gnu general public license version 3"),
+    Template("gpl-2", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license", "gnu general public license|version 2 of the license"),
+    Template("gpl-2", "gnu general public license version 2"),
     Template("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice", "with or without fee"),
     Template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
@@ -61,7 +64,7 @@ class Index:
         words = [t.text.encode().split() for t in templates]
         self.vocab = {w: i + 1 for i, w in enumerate(sorted(set(itertools.chain(*words))))}
         self.words = [np.array([self.vocab[w] for w in ws], np.int32) for ws in words]
-        self.keys = [np.array([self.vocab[w] for w in t.key.encode().split()], np.int32) for t in templates]
+        self.keys = [[np.array([self.vocab[w] for w in k.split()], np.int32) for k in t.key.encode().split(b"|")] for t in templates]
         self.flat = np.concatenate(self.words)
         self.edges = np.cumsum([0, *map(len, self.words)])[:-1]
         self.need = np.array([math.ceil(MATCH * len(w)) if t.key else len(w) for t, w in zip(templates, self.words, strict=True)])
@@ -96,7 +99,7 @@ class Index:
                     inside = (p >= 0) & (p < len(ids))
                     agree += inside & (ids[p.clip(0, len(ids) - 1)] == w)
                 for s, a in zip(start[agree >= MATCH * n].tolist(), agree[agree >= MATCH * n].tolist(), strict=True):
-                    if _holds(ids[max(0, s) : s + n], self.keys[t]):
+                    if all(_holds(ids[max(0, s) : s + n], k) for k in self.keys[t]):
                         out.append((t, max(0, s), a / n))
             else:
                 start = start[(start >= 0) & (start + n <= len(ids))]

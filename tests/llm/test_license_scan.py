@@ -83,6 +83,16 @@ def alignments(index, ids):
                 yield t, max(0, s), agree / n
 
 
+def test_gpl_versions_are_told_apart(spark):
+    headers = {t.label: t.text for t in ls.TEMPLATES if t.label.startswith("gpl") and t.key}
+    short = "This work is licensed under the GNU General Public License, version {}."
+    want = [(headers["gpl-3"], "gpl-3"), (headers["gpl-2"], "gpl-2"), (short.format(3), "gpl-3"), (short.format(2), "gpl-2"), (short.format(4), ""),
+            (headers["gpl-3"].replace("version 3", "version 4"), ""), (headers["gpl-2"].replace("modify", "change"), "gpl-2"),
+            (headers["gpl-3"].replace("general", "lesser"), ""), (short.format(3).replace("General", "Lesser General"), "")]
+    got = {r["doc_id"]: r["labels"] for r in ls.license_scan(spark.createDataFrame([(i, t, "en", "s", 1) for i, (t, _) in enumerate(want)], DOC_SCHEMA)).collect()}
+    assert [got[i] for i in range(len(want))] == [x for _, x in want]
+
+
 def test_odd_rows(odd_extra, empty):
     assert result(odd_extra) == expected(odd_rows())
     assert ls.license_scan(empty).count() == 0
