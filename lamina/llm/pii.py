@@ -1,9 +1,10 @@
 """PII with a semi-Markov conditional random field, beside exact base detectors.
 
 The base kinds (email, ip, card, phone) are found by their patterns, leftmost and without overlap. The
-field reads the stretches of a text around tokens that hold a digit or an at sign: segments of up to LONGEST
-tokens are scored by features of the whole span (digits, groups, separators, Luhn sum, octets, domain shape,
-the cue word before it) for each type, and dynamic programming bounded by LONGEST chooses the boundaries and
+field reads the stretches of a text around tokens that hold a digit or an at sign, each with LONGEST - 1 whole
+tokens on either side, so every segment with such a token is seen whole: segments of up to LONGEST tokens are
+scored by features of the whole span (digits, groups, separators, Luhn sum, octets, domain shape, the cue word
+before it) for each type, and dynamic programming bounded by LONGEST chooses the boundaries and
 the types together. Its spans that touch no base span are added.
 
 The weights are trained here: gradient ascent on the conditional likelihood (forward-backward over segments)
@@ -15,6 +16,7 @@ a part of an address or a number of any length is read without converting it; ot
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import random
@@ -152,25 +154,25 @@ def _scores(segs: dict, w: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
     return out
 
 
-def viterbi(n: int, score: dict, trans: np.ndarray) -> list[tuple[int, int, int]]:
+def viterbi(n: int, score: dict | _Scores, trans: np.ndarray) -> list[tuple[int, int, int]]:
     """Best segmentation: (type, i, j) in order."""
     kinds = len(KINDS) + 1
-    best = np.full((n + 1, kinds), -np.inf)
-    best[0, 0] = 0.0
-    back: dict[tuple[int, int], tuple[int, int]] = {}
+    last = np.full(kinds, -np.inf)
+    last[0] = 0.0
+    via, prev = np.empty((n + 1, kinds)), np.empty((n + 1, kinds), np.int8)
+    start, of = np.empty((n + 1, kinds), np.int64), np.arange(kinds)
     for j in range(1, n + 1):
-        for i in range(max(0, j - LONGEST), j):
-            via = best[i][:, None] + trans
-            prev = via.argmax(axis=0)
-            total = via[prev, np.arange(kinds)] + score[i, j]
-            for y in np.flatnonzero(total > best[j]).tolist():
-                best[j, y] = total[y]
-                back[j, y] = (i, int(prev[y]))
-    out, j, y = [], n, int(best[n].argmax())
+        step = last[:, None] + trans
+        via[j - 1], prev[j - 1] = step.max(axis=0), step.argmax(axis=0)
+        lo = max(0, j - LONGEST)
+        total = via[lo:j] + np.stack([score[i, j] for i in range(lo, j)])
+        first = total.argmax(axis=0)
+        last, start[j] = total[first, of], first + lo
+    out, j, y = [], n, int(last.argmax())
     while j:
-        i, p = back[j, y]
+        i = int(start[j, y])
         out.append((y, i, j))
-        j, y = i, p
+        j, y = i, int(prev[i, y])
     return out[::-1]
 
 
@@ -287,20 +289,40 @@ def _triggers(text: str) -> list[tuple[int, int]]:
     return out
 
 
+class _Scores:
+    """Scores of the segments of tokens lo to hi as viterbi asks for them; the word before each is seen."""
+
+    def __init__(self, text: str, spans: list[tuple[int, int]], lo: int, w: np.ndarray):
+        self.text, self.spans, self.lo, self.w = text, spans, lo, w
+
+    def __getitem__(self, at: tuple[int, int]) -> np.ndarray:
+        i, j = at[0] + self.lo, at[1] + self.lo
+        before = self.text[slice(*self.spans[i - 1])] if i else ""
+        s = self.w[:, features(self.text[self.spans[i][0] : self.spans[j - 1][1]], before, j - i)].sum(axis=1)
+        if j - i > 1:
+            s[0] = -np.inf
+        return s
+
+
+def _windows(text: str, every: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """[lo, hi) of the tokens within LONGEST - 1 of a trigger; what overlaps is one window, whatever its length."""
+    out: list[tuple[int, int]] = []
+    for mark in _triggers(text):
+        k = bisect.bisect_left(every, mark)
+        lo, hi = max(0, k - LONGEST + 1), min(len(every), k + LONGEST)
+        if out and lo < out[-1][1]:
+            lo = out.pop()[0]
+        out.append((lo, hi))
+    return out
+
+
 def field_spans(text: str, w: np.ndarray, trans: np.ndarray) -> list[tuple[int, int, int]]:
     """(kind number, start, end) that the field finds."""
-    marks = _triggers(text)
-    out, at = [], 0
-    while at < len(marks):
-        stop = at + 1
-        while stop < len(marks) and marks[stop][0] - marks[stop - 1][1] <= 24 and stop - at < 64:
-            stop += 1
-        lo, hi = max(0, marks[at][0] - 40), min(len(text), marks[stop - 1][1] + 40)
-        spans = [m.span() for m in _TOKEN.finditer(text, lo, hi)]
-        inner = [k for k, (a, b) in enumerate(spans) if b > marks[at][0] and a < marks[stop - 1][1]]
-        spans = spans[max(0, inner[0] - 2) : inner[-1] + 3]
-        segs = _segments(text, spans)
-        for y, i, j in viterbi(len(spans), _scores(segs, w), trans):
+    every = [m.span() for m in _TOKEN.finditer(text)]
+    out = []
+    for lo, hi in _windows(text, every):
+        spans = every[lo:hi]
+        for y, i, j in viterbi(len(spans), _Scores(text, every, lo, w), trans):
             if y:
                 a, b = spans[i][0], spans[j - 1][1]
                 while a < b and text[a] in _EDGE and text[a] != "(":
@@ -309,7 +331,6 @@ def field_spans(text: str, w: np.ndarray, trans: np.ndarray) -> list[tuple[int,
                     b -= 1
                 if a < b:
                     out.append((y - 1, a, b))
-        at = stop
     return out
 
 

@@ -85,6 +85,55 @@ def test_added_spans_and_long_texts():
         pii.find(text, w, trans)
 
 
+def test_spelt_addresses_are_found_whole():
+    w, trans = pii.train()
+    text = "mail john [at] example [dot] com today"
+    assert (0, 5, text.index(" today")) in pii.find(text, w, trans)[1]
+    text = f"mail {'j' * 50} [at] {'x' * 50} [dot] com today"
+    assert (0, 5, text.index(" today")) in pii.find(text, w, trans)[1]
+
+
+def test_windows_hold_every_segment_with_a_trigger():
+    text = "a b c d e f g 1 h i j k l m n o p q r s t 2 " + "3 " * 200 + "u v w x y z end"
+    every = [m.span() for m in pii._TOKEN.finditer(text)]
+    spans = pii._windows(text, every)
+    for i in range(len(every)):
+        for j in range(i + 1, min(len(every), i + pii.LONGEST) + 1):
+            if any(text[a:b].isdigit() for a, b in every[i:j]):
+                assert any(lo <= i and j <= hi for lo, hi in spans)
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_entities_across_many_triggers():
+    w, trans = pii.train()
+    for n in range(56, 70):
+        text = "7 " * n + "card 5500 0000 0000 0004 done"
+        assert (2, 2 * n + 5, len(text) - 5) in pii.find(text, w, trans)[1]
+        text = "x 5 " * n + "card 4111.1111 1111.1111 done"
+        spans = [m.span() for m in pii._TOKEN.finditer(text)]
+        whole = pii.viterbi(len(spans), pii._scores(pii._segments(text, spans), w), trans)
+        want = {(y - 1, spans[i][0], spans[j - 1][1]) for y, i, j in whole if y}
+        assert set(pii.field_spans(text, w, trans)) == want
+
+
+def test_recall_through_find():
+    w, trans = pii.train()
+    rng = random.Random(77)
+    hit, n = [0] * 4, [0] * 4
+    for _ in range(400):
+        parts = [pii._example(rng) for _ in range(3)]
+        tokens, gold = [], []
+        for t, g in parts:
+            gold += [(y, i + len(tokens), j + len(tokens)) for y, i, j in g if y]
+            tokens += t
+        text, spans = pii._located(tokens)
+        got = set(pii.find(text, w, trans)[1])
+        for y, i, j in gold:
+            n[y - 1] += 1
+            hit[y - 1] += (y - 1, spans[i][0], spans[j - 1][1]) in got
+    assert all(h / k > 0.9 for h, k in zip(hit, n, strict=True)), (hit, n)
+
+
 def test_odd_rows(odd_extra, empty):
     assert len(pii.pii(odd_extra).collect()) == len(odd_rows())
     assert pii.pii(empty).count() == 0
