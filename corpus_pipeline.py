@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from lamina.llm import decontaminate, language_id, mixing, near_dedup, token_output
 from lamina.llm.common import shared_dir
 
+#: Shingle sets at this similarity in percent or more are near-duplicates of each other.
+NEAR_PERCENT = 80
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is not rejected."""
@@ -18,7 +21,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near-duplicates: the one with the smallest doc_id."""
-    return near_dedup.keep_one(docs)
+    return near_dedup.keep_one(docs, NEAR_PERCENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,9 @@ positions that differ. The signature is cut into CHUNKS chunks of WIDTH position
 DISTANCE = 2 * CHUNKS - 1 has, by the pigeonhole principle, a chunk with at most one error, and the
 errors are enumerated: each chunk gives WIDTH keys, each leaving one position out. So every pair
 within DISTANCE shares a key. A pair at Jaccard 0.85 differs at 9 of 60 positions on average
-(standard deviation 2.8), so DISTANCE 23 misses about one such pair in two million.
+(standard deviation 2.8), so DISTANCE 23 misses about two such pairs in a million. These are op3's
+values; for another similarity the chunks are chosen so that no larger share is missed: at 0.8, 15
+chunks of 4 and a distance of 29 (about one such pair in five million).
 
 Documents with equal sets collapse into their smallest doc_id before any pair is made. Buckets are
 never expanded into all their pairs: each member is paired with its bucket's smallest one; the best
@@ -23,6 +25,8 @@ links and each gets that document's component; other columns are not read."""
 from __future__ import annotations
 
 import functools
+import math
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +43,37 @@ POSITIONS = CHUNKS * WIDTH
 DISTANCE = 2 * CHUNKS - 1
 #: 100 * intersection >= PERCENT * union
 PERCENT = 85
+#: Largest share of the pairs just at the similarity that may lie beyond the distance.
+MISSED = 3e-6
 #: Shingles of a bucket's members that one task holds against as many others at a time.
 BLOCK = 300_000
 _MEMO = 60_000
 
 
+class Plan(NamedTuple):
+    """A similarity and the chunks that find its pairs."""
+
+    percent: int
+    chunks: int
+
+    @property
+    def width(self) -> int:
+        return POSITIONS // self.chunks
+
+    @property
+    def distance(self) -> int:
+        return 2 * self.chunks - 1
+
+
+def plan(percent: int) -> Plan:
+    """The fewest chunks, CHUNKS at least, whose distance misses no more than MISSED of the pairs at the similarity."""
+    p = 1 - percent / 100
+    for made in (Plan(percent, c) for c in range(CHUNKS, POSITIONS // 2 + 1) if POSITIONS % c == 0):
+        if sum(math.comb(POSITIONS, k) * p**k * (1 - p) ** (POSITIONS - k) for k in range(made.distance + 1, POSITIONS + 1)) <= MISSED:
+            return made
+    raise ValueError(f"no chunks of {POSITIONS} positions find pairs at {percent} %")
+
+
 class _WordHash(dict):
     """xxh3 of a word, remembered; emptied when full, so memory is bounded."""
 
@@ -96,17 +126,17 @@ def signature(s: np.ndarray) -> np.ndarray:
     return (least * np.uint32(0xC2B2AE35) >> np.uint32(16)).astype(np.uint16)
 
 
-def _keys(sigs: np.ndarray) -> np.ndarray:
-    """(rows x CHUNKS * WIDTH) keys: each chunk with one position left out."""
-    out = np.empty((len(sigs), CHUNKS * WIDTH), np.uint64)
+def _keys(sigs: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    """(rows x POSITIONS) keys: each chunk of width positions with one left out."""
+    out = np.empty((len(sigs), POSITIONS), np.uint64)
     wide = sigs.astype(np.uint64)
-    for c in range(CHUNKS):
-        for skip in range(WIDTH):
-            acc = np.full(len(sigs), c * WIDTH + skip + 1, np.uint64)
-            for i in range(WIDTH):
+    for at in range(0, POSITIONS, width):
+        for skip in range(width):
+            acc = np.full(len(sigs), at + skip + 1, np.uint64)
+            for i in range(width):
                 if i != skip:
-                    acc = mix64(acc * np.uint64(0x9E3779B97F4A7C15) + wide[:, c * WIDTH + i])
-            out[:, c * WIDTH + skip] = acc
+                    acc = mix64(acc * np.uint64(0x9E3779B97F4A7C15) + wide[:, at + i])
+            out[:, at + skip] = acc
     return out
 
 
@@ -125,22 +155,22 @@ def sketches(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_shingles long, set_key binary, sig binary")
 
 
-def _emit_keys(reps: DataFrame) -> DataFrame:
+def _emit_keys(reps: DataFrame, width: int) -> DataFrame:
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 batch = whole.slice(at, 4096)
                 ids = batch.column("rep").to_numpy()
                 sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, POSITIONS)
-                keys = _keys(sigs).view(np.int64)
+                keys = _keys(sigs, width).view(np.int64)
                 each = lambda x, n=keys.shape[1]: pa.array(np.repeat(x, n))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), each(ids), each(batch.column("size").to_numpy())], names=["key", "rep", "size"])
 
     return modest_batches(reps).mapInArrow(run, "key long, rep long, size long")
 
 
-def _within(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """(a, b, d) of the pairs whose signatures differ at no more than DISTANCE positions."""
+def _within(pairs: DataFrame, sigs: DataFrame, distance: int) -> DataFrame:
+    """(a, b, d) of the pairs whose signatures differ at no more than distance positions."""
     both = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a").join(
         sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
 
@@ -150,14 +180,14 @@ def _within(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
                 continue
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, POSITIONS) for c in ("sig_a", "sig_b"))
             d = (x != y).sum(axis=1).astype(np.int32)
-            ok = d <= DISTANCE
+            ok = d <= distance
             yield pa.RecordBatch.from_arrays(
                 [pa.array(batch.column("a").to_numpy()[ok]), pa.array(batch.column("b").to_numpy()[ok]), pa.array(d[ok])], names=["a", "b", "d"])
 
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long, d int")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """(a, b) of the pairs whose full shingle sets meet the similarity."""
     both = pairs.select("a", "b").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b").join(
         texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
@@ -173,7 +203,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     last, mine = a[i], shingles(ta[i].as_py().encode("utf-8", "surrogatepass"))
                 other = shingles(tb[i].as_py().encode("utf-8", "surrogatepass"))
                 inter = len(np.intersect1d(mine, other, assume_unique=True))
-                if 100 * inter >= PERCENT * (len(mine) + len(other) - inter):
+                if 100 * inter >= percent * (len(mine) + len(other) - inter):
                     out.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in out], pa.int64()), pa.array([b[i] for i in out], pa.int64())], names=["a", "b"])
 
@@ -207,7 +237,7 @@ def _ends(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return both.withColumns({"p": F.coalesce("p", "a"), "q": F.coalesce("q", "b")})
 
 
-def _links_within(ids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+def _links_within(ids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links that join different components, between members of left and of right, on full sets.
 
     One member at a time is held against all others by counting its shingles in theirs; members that a link
@@ -227,14 +257,14 @@ def _links_within(ids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], le
         mark[mine] = True
         both = np.add.reduceat(mark[flat[lo:hi]], edge, dtype=np.int64)
         mark[mine] = False
-        for k in right[(100 * both >= PERCENT * (sizes[r] + sizes[right] - both)) & (comps[right] != comps[r])].tolist():
+        for k in right[(100 * both >= percent * (sizes[r] + sizes[right] - both)) & (comps[right] != comps[r])].tolist():
             if comps[k] != comps[r]:
                 comps[comps == comps[k]] = comps[r]
                 out.append((min(int(ids[k]), int(ids[r])), max(int(ids[k]), int(ids[r]))))
     return out
 
 
-def _mixed_buckets(members: DataFrame, comp: DataFrame, texts: DataFrame) -> DataFrame:
+def _mixed_buckets(members: DataFrame, comp: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """(a, b): confirmed links that join the components that meet in one bucket.
 
     A bucket is cut by a hash into blocks of about BLOCK shingles, whatever its size; each pair of its blocks is
@@ -253,20 +283,21 @@ def _mixed_buckets(members: DataFrame, comp: DataFrame, texts: DataFrame) -> Dat
         raw = group["text"].cast(pa.binary())
         sets = [shingles(raw[int(k)].as_py()) for k in order]
         blk = blk[order]
-        got = _links_within(group["rep"].to_numpy()[order], group["comp"].to_numpy()[order], sets, np.flatnonzero(blk == i), np.flatnonzero(blk == j))
+        got = _links_within(group["rep"].to_numpy()[order], group["comp"].to_numpy()[order], sets, np.flatnonzero(blk == i), np.flatnonzero(blk == j), percent)
         return pa.table({"a": pa.array([x for x, _ in got], pa.int64()), "b": pa.array([y for _, y in got], pa.int64())})
 
     return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of (doc_id, text)."""
+def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of (doc_id, text); pairs from percent up are links."""
+    at = plan(percent)
     table = stored(sketches(docs), "sketches")
     usable = table.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
     groups = stored(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig"), F.max("n_shingles").alias("size")), "groups")
     # A repeated doc_id with different texts may represent several sets: its rows are one document.
     sigs = groups.select("rep", "sig")
-    keys = _emit_keys(groups.select("rep", "sig", "size"))
+    keys = _emit_keys(groups.select("rep", "sig", "size"), at.width)
     shared = keys.groupBy("key").agg(
         F.min("rep").alias("pivot"), F.max("rep").alias("top"), F.count("*").alias("n"), F.sum("size").alias("weight"),
         F.bit_xor(F.xxhash64("rep")).alias("mark")).where("n > 1")
@@ -274,20 +305,20 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     shared = stored(shared.groupBy("pivot", "top", "n", "weight", "mark").agg(F.min("key").alias("key")).select("key", "pivot", "n", "weight"), "shared")
     members = stored(keys.join(broadcast_if_small(shared), "key").select("key", "rep", "pivot", "n", "weight"), "members")
     star = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    close = stored(_within(star, sigs), "close")
+    close = stored(_within(star, sigs, at.distance), "close")
     # One pass moves the texts of documents that share a key; all confirmations read this smaller table.
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").where("text IS NOT NULL")
     wanted = stored(members.select("rep").distinct(), "wanted")
     texts = stored(texts.join(broadcast_if_small(wanted), "rep", "left_semi"), "texts")
     best = close.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    edges = stored(_confirmed(best, texts), "edges")
+    edges = stored(_confirmed(best, texts, percent), "edges")
     comp = components(edges)
     rest = stored(_ends(close.join(best, ["a", "b"], "left_anti"), comp).where("p <> q").select("a", "b"), "rest")
     if not rest.isEmpty():
-        edges = stored(edges.union(_confirmed(rest, texts)), "edges")
+        edges = stored(edges.union(_confirmed(rest, texts, percent)), "edges")
         comp = components(edges)
     # Buckets of two have had their pair; in larger ones others than the smallest member may be linked.
-    more = stored(_mixed_buckets(members.where("n > 2").select("key", "rep", "weight"), comp, texts), "more")
+    more = stored(_mixed_buckets(members.where("n > 2").select("key", "rep", "weight"), comp, texts, percent), "more")
     if not more.isEmpty():
         comp = components(edges.union(more))
     linked = _relabel(groups.select("set_key", "rep"), comp).select("set_key", "comp")
@@ -296,11 +327,11 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     return got.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Rows of docs, with all their columns, that are their component's smallest document."""
-    gone = stored(near_dedup(docs).where("NOT kept").select("doc_id").distinct(), "gone")
+    gone = stored(near_dedup(docs, percent).where("NOT kept").select("doc_id").distinct(), "gone")
     return docs.join(broadcast_if_small(gone), "doc_id", "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), PERCENT)

@@ -1,4 +1,9 @@
+import random
+
 import corpus_pipeline as cp
+from lamina.llm import near_dedup as nd
+
+from .conftest import DOC_SCHEMA
 
 
 def test_each_stage_keeps_the_columns_and_rows_of_its_input(spark, sf_dir, docs):
@@ -18,3 +23,29 @@ def test_each_stage_keeps_the_columns_and_rows_of_its_input(spark, sf_dir, docs)
 def test_run(spark, sf_dir):
     got = cp.run(spark, sf_dir).collect()
     assert got and sum(r["n_tokens"] for r in got) == max(r["start"] + r["n_tokens"] for r in got)
+
+
+def test_near_copies_from_four_fifths_up_are_dropped(spark, sf_dir):
+    rng = random.Random(8)
+    rows, sets, gone = [], [], set()
+    for g in range(40):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(204)]
+        # A changed end of k words leaves 200 - k of 200 + k shingles: 170/230 = 0.74, 178/222 = 0.802, 183/217 = 0.843.
+        for k in (0, 22, 17, 30):
+            if k == 0 or k == (22, 17, 30)[g % 3]:
+                ws = base[: 204 - k] + [f"e{g}x{i}" for i in range(k)]
+                rows.append((len(rows), " ".join(ws), "en", "s", 1))
+                sets.append({tuple(ws[i : i + 5]) for i in range(200)})
+    for i in range(0, len(rows), 2):
+        both = len(sets[i] & sets[i + 1])
+        if 100 * both >= 80 * (400 - both):
+            gone.add(i + 1)
+    df = spark.createDataFrame(rows, DOC_SCHEMA)
+    left = {r["doc_id"] for r in cp.drop_near_duplicates(spark, df, sf_dir).collect()}
+    assert left == {r[0] for r in rows} - gone and 20 < len(gone) < 40
+    assert nd.near_dedup(df).where("NOT kept").isEmpty()  # op3 links from 0.85 up
+
+
+def test_plans_of_similarities():
+    assert nd.plan(85) == (85, nd.CHUNKS) and nd.plan(85).distance == nd.DISTANCE and nd.plan(85).width == nd.WIDTH
+    assert (nd.plan(80).chunks, nd.plan(80).width, nd.plan(80).distance) == (15, 4, 29)
