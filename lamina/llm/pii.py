@@ -1,11 +1,12 @@
 """PII with a semi-Markov conditional random field, beside exact base detectors.
 
 The base kinds (email, ip, card, phone) are found by their patterns, leftmost and without overlap. The
-field reads the stretches of a text around tokens that hold a digit or an at sign, each with LONGEST - 1 whole
-tokens on either side, so every segment with such a token is seen whole: segments of up to LONGEST tokens are
-scored by features of the whole span (digits, groups, separators, Luhn sum, octets, domain shape, the cue word
+field reads a text's tokens: segments of up to LONGEST tokens are scored by features of the whole span (digits, groups, separators, Luhn sum, octets, domain shape, the cue word
 before it) for each type, and dynamic programming bounded by LONGEST chooses the boundaries and
-the types together. Its spans that touch no base span are added.
+the types together. An entity holds a digit, an at sign or its spelling (the model gives other segments no
+type but outside), so every token further than LONGEST - 1 tokens from such a one is outside: the programme runs over
+each stretch of nearer tokens, with the token that follows it, and gives what it would give over the whole text.
+Its spans that touch no base span are added.
 
 The weights are trained here: gradient ascent on the conditional likelihood (forward-backward over segments)
 of sequences that a seeded generator writes, with entities in several spellings among words and numbers that
@@ -96,15 +97,16 @@ _GROUP = re.compile(r"[0-9]+")
 _MAIL_LIKE = re.compile(r"\S+ ?(?:@|\(at\)|\[at\]) ?\S+(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z]{2,})+$")
 _CUES = {"email": 0, "mail": 0, "ip": 1, "host": 1, "address": 1, "card": 2, "visa": 2, "phone": 3, "tel": 3, "call": 3, "fax": 3}
 _N = 24
+_NONE = 18  # of a segment that can be no entity
 
 
 def features(span: str, before: str, tokens: int) -> list[int]:
     """Numbers of the features that a whole span has."""
     core = span.strip(_EDGE)
-    groups = _GROUP.findall(core[:200])
+    groups = _GROUP.findall(core)
     n = sum(map(len, groups))
     out = [0, min(tokens, LONGEST)]
-    letters = any(c.isalpha() for c in core[:200])
+    letters = any(map(str.isalpha, core))
     out.append(7 if letters else 8)
     if len(core) <= 254 and _MAIL_LIKE.match(core):
         out.append(9)
@@ -124,8 +126,8 @@ def features(span: str, before: str, tokens: int) -> list[int]:
         out.append(16)
     if n > 19:
         out.append(17)
-    if not n and "@" not in core:
-        out.append(18)
+    if not _TRIGGER.search(span):
+        out.append(_NONE)
     cue = _CUES.get(before.lower().strip(_EDGE))
     if cue is not None:
         out.append(19 + cue)
@@ -147,13 +149,19 @@ def _scores(segs: dict, w: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
     """Score of each segment for each type; type 0 (outside) has one token."""
     out = {}
     for (i, j), f in segs.items():
-        s = w[:, f].sum(axis=1)
-        if j - i > 1:
-            s[0] = -np.inf
-        out[i, j] = s
+        out[i, j] = _allowed(w[:, f].sum(axis=1), f, j - i)
     return out
 
 
+def _allowed(s: np.ndarray, f: list[int], tokens: int) -> np.ndarray:
+    """Scores by type with -inf for what the model rules out: several tokens as one outside, an entity without a trigger."""
+    if tokens > 1:
+        s[0] = -np.inf
+    if _NONE in f:
+        s[1:] = -np.inf
+    return s
+
+
 def viterbi(n: int, score: dict | _Scores, trans: np.ndarray) -> list[tuple[int, int, int]]:
     """Best segmentation: (type, i, j) in order."""
     kinds = len(KINDS) + 1
@@ -298,19 +306,18 @@ class _Scores:
     def __getitem__(self, at: tuple[int, int]) -> np.ndarray:
         i, j = at[0] + self.lo, at[1] + self.lo
         before = self.text[slice(*self.spans[i - 1])] if i else ""
-        s = self.w[:, features(self.text[self.spans[i][0] : self.spans[j - 1][1]], before, j - i)].sum(axis=1)
-        if j - i > 1:
-            s[0] = -np.inf
-        return s
+        f = features(self.text[self.spans[i][0] : self.spans[j - 1][1]], before, j - i)
+        return _allowed(self.w[:, f].sum(axis=1), f, j - i)
 
 
 def _windows(text: str, every: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """[lo, hi) of the tokens within LONGEST - 1 of a trigger; what overlaps is one window, whatever its length."""
+    """[lo, hi) of the tokens within LONGEST - 1 of a trigger and the next, which is outside; what meets is one
+    window, whatever its length."""
     out: list[tuple[int, int]] = []
     for mark in _triggers(text):
         k = bisect.bisect_left(every, mark)
-        lo, hi = max(0, k - LONGEST + 1), min(len(every), k + LONGEST)
-        if out and lo < out[-1][1]:
+        lo, hi = max(0, k - LONGEST + 1), min(len(every), k + LONGEST + 1)
+        if out and lo <= out[-1][1]:
             lo = out.pop()[0]
         out.append((lo, hi))
     return out

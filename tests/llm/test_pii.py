@@ -104,6 +104,49 @@ def test_windows_hold_every_segment_with_a_trigger():
     assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
 
 
+def whole(text, w, trans):
+    """The field's spans by one decode over all tokens of the text."""
+    spans = [m.span() for m in pii._TOKEN.finditer(text)]
+    best = pii.viterbi(len(spans), pii._scores(pii._segments(text, spans), w), trans)
+    out = []
+    for y, i, j in best:
+        a, b = spans[i][0], spans[j - 1][1]
+        while y and a < b and text[a] in pii._EDGE and text[a] != "(":
+            a += 1
+        while y and b > a and (text[b - 1] in pii._EDGE or text[b - 1] == "."):
+            b -= 1
+        if y and a < b:
+            out.append((y - 1, a, b))
+    return out
+
+
+def test_stretches_give_what_one_decode_of_the_whole_text_gives():
+    w, trans = pii.train()
+    rng = random.Random(31)
+    for _ in range(250):
+        tokens = []
+        for _ in range(rng.randint(1, 8)):
+            tokens += pii._example(rng)[0] if rng.random() < 0.6 else rng.choices(["—", "call", "mail", "ab", "...", "7", "x" * 130, "card", "(at)"], k=rng.randint(1, 14))
+        text = " ".join(tokens)
+        assert pii.field_spans(text, w, trans) == whole(text, w, trans), text
+
+
+def test_many_triggers_do_not_change_or_contradict_spans():
+    w, trans = pii.train()
+    for n in (62, 63, 64, 65, 10_000):
+        text = "call " + n * "12 " + "x y z a b c d (212) 555-1234 now"
+        got = pii.field_spans(text, w, trans)
+        assert (3, text.index("("), text.index(" now")) in got
+        assert all(a[2] <= b[1] for a, b in zip(got, got[1:], strict=False))
+        if n < 100:
+            assert got == whole(text, w, trans)
+
+
+def test_features_see_whole_spans():
+    near, far = "1" * 210, "1" * 210 + "a"
+    assert 8 in pii.features(near, "", 1) and 7 in pii.features(far, "", 1)
+
+
 def test_entities_across_many_triggers():
     w, trans = pii.train()
     for n in range(56, 70):
