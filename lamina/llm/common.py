@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123))
-#: Rows of an Arrow batch: whole texts can be long, and a task holds one batch in the JVM and one in Python.
+#: Rows of texts that a task works on at a time; Spark bounds its own batches by bytes.
 BATCH_ROWS = 1000
 #: Rows of a narrow table (tens of bytes a row) that may be broadcast.
 BROADCAST_ROWS = 1_000_000
@@ -39,16 +39,18 @@ def alnum_words(text: bytes) -> list[bytes]:
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder that the driver and all executors reach.
 
-    It lies in spark.checkpoint.dir; only where that is unset (tests on one machine) a local
-    folder is made and set as the checkpoint folder."""
+    It lies in spark.checkpoint.dir; only where that is unset and all runs on one machine (tests) a local
+    folder is made and set as the checkpoint folder. On a cluster an unset folder is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isDefined():
             base = found.get()
-        else:
+        elif spark.sparkContext.master.startswith("local"):
             base = f"file://{tempfile.gettempdir()}/checkpoints"
             spark.sparkContext.setCheckpointDir(base)
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -56,7 +58,17 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read again: cuts lineage, survives the loss of executors."""
     path = shared_dir(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made.stored_path = path
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that stored() made; nothing that is still to be read may come from them."""
+    for t in tables:
+        jvm, conf = t.sparkSession._jvm, t.sparkSession._jsc.sc().hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(t.stored_path)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def broadcast_if_small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -70,12 +82,11 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def modest_batches(df: DataFrame) -> DataFrame:
-    """Hold Arrow batches of whole texts to BATCH_ROWS rows where the session has Spark's default of 10,000."""
-    conf = df.sparkSession.conf
-    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df
+def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of whole texts in parts of BATCH_ROWS rows: what a task makes of one part stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
@@ -86,11 +97,11 @@ def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str
     out = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             made = rows(batch)
             yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in out], schema=out)
 
-    return modest_batches(df).mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 _held: dict[str, dict] = {}
@@ -116,3 +127,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(32))
     x = x * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
+
+
+def rolling(h: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each n values in a row."""
+    acc = np.full(len(h) - n + 1, n, np.uint64)
+    for i in range(n):
+        acc = mix64(acc * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - n + 1 + i])
+    return acc

@@ -17,7 +17,9 @@ import numpy as np
 from .common import held
 
 _RUN = re.compile(r"\s \s")
+#: Pieces and their characters that a worker remembers.
 _MEMO = 1_000_000
+_MEMO_CHARS = 32_000_000
 
 
 @functools.cache
@@ -74,6 +76,7 @@ class Encoder:
         self.index = _Index()
         self.flat = np.empty(1 << 16, np.uint32)
         self.used = 0
+        self.chars = 0
         self.start = np.zeros(1 << 14, np.int32)
         self.count = np.zeros(1 << 14, np.int32)
 
@@ -91,6 +94,7 @@ class Encoder:
     def _learn(self) -> None:
         """Encode the waiting pieces as one text; the lengths of its tokens tell where each piece ends."""
         pieces, self.index.waiting = self.index.waiting, []
+        self.chars += sum(map(len, pieces))
         base = len(self.index) - len(pieces)
         while len(self.index) > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
@@ -112,7 +116,7 @@ class Encoder:
 
     def _numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
         """Piece numbers of all texts, how many each text has, and the ids of texts that went to the library whole."""
-        if len(self.index) > _MEMO:
+        if len(self.index) > _MEMO or self.chars > _MEMO_CHARS:
             self.clear()
         pieces: list[str] = []
         many, whole = [], {}

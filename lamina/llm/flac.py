@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, as_bytes, modest_batches
+from .common import arrow_map, as_bytes, slices
 
 BLOCK = 4096
 PAD = 64
@@ -470,7 +470,7 @@ def media(docs: DataFrame) -> DataFrame:
                              hashlib.sha256(s).hexdigest(), _feature(samples)))
             yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
 
-    return modest_batches(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
 def media_column(docs: DataFrame) -> DataFrame:
@@ -486,13 +486,13 @@ def pcm_blocks(streams: DataFrame) -> DataFrame:
     """doc_id, sample_offset, samples (little-endian 16-bit PCM) of each block of a column of FLAC streams."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 64):
             for doc, blocks in zip(batch.column("doc_id").to_pylist(), read(batch.column("media").to_pylist()), strict=True):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([doc] * len(blocks), pa.int64()), pa.array([o for o, _ in blocks], pa.int64()), pa.array([x.astype("<i2").tobytes() for _, x in blocks], pa.binary())],
                     names=["doc_id", "sample_offset", "samples"])
 
-    return modest_batches(streams.select("doc_id", "media")).mapInArrow(run, "doc_id long, sample_offset long, samples binary")
+    return streams.select("doc_id", "media").mapInArrow(run, "doc_id long, sample_offset long, samples binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

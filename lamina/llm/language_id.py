@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, modest_batches
+from .common import arrow_map, slices
 
 BUCKETS = 8192
 DIM = 16
@@ -65,7 +65,27 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit(x: np.ndarray, y: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
+class Sparse:
+    """Rows of mean features, kept as (bucket, share) lists; take() gives some of them as a dense block."""
+
+    def __init__(self, idx: list, val: list):
+        self.size = np.array([len(i) for i in idx], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.idx = np.concatenate([np.asarray(i, np.int16) for i in idx])
+        self.val = np.concatenate([np.asarray(v, np.float32) for v in val])
+
+    def take(self, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rows), BUCKETS), np.float32)
+        for k, r in enumerate(rows.tolist()):
+            at = slice(self.start[r], self.start[r] + self.size[r])
+            out[k, self.idx[at]] = self.val[at]
+        return out
+
+    def logits(self, rows: np.ndarray, table: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.take(rows[lo : lo + 256]) @ table for lo in range(0, len(rows), 256)])
+
+
+def fit(x: Sparse, y: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
     """Bucket logits (BUCKETS x k) of the embedding model after SGD on the given rows of x (mean features)."""
     rng = np.random.default_rng(SEED)
     emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
@@ -76,7 +96,7 @@ def fit(x: np.ndarray, y: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
         order = rows[rng.permutation(len(rows))]
         for lo in range(0, len(order), 64):
             pick = order[lo : lo + 64]
-            part, lab = x[pick], y[pick]
+            part, lab = x.take(pick), y[pick]
             hid = part @ emb
             g = _softmax(hid @ out)
             g[np.arange(len(lab)), lab] -= 1
@@ -89,7 +109,7 @@ def fit(x: np.ndarray, y: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
 
 def train(docs: DataFrame, per_lang: int = PER_LANG) -> dict:
     """Model from (doc_id, text, lang) rows with crc32(doc_id) mod 4 other than 2."""
-    rows = docs.select("doc_id", "text", "lang").where(
+    rows = docs.select("doc_id", "text", "lang", F.xxhash64("text").alias("h")).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
     )
     counts = {r[0]: r[1] for r in docs.select("doc_id", "lang", F.col("text").isNotNull().alias("t")).where(
@@ -104,30 +124,29 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> dict:
     at = {lang: i for i, lang in enumerate(langs)}
 
     def hists(batch: pa.RecordBatch) -> dict:
-        keep_id, keep_lang, idx, val = [], [], [], []
-        for doc, text, lang in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "lang")), strict=True):
+        keep_id, keep_lang, keep_h, idx, val = [], [], [], [], []
+        for doc, text, lang, h in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "lang", "h")), strict=True):
             if (f := features(text)) is not None:
                 nz = np.flatnonzero(f)
                 keep_id.append(doc)
                 keep_lang.append(at[lang])
+                keep_h.append(h)
                 idx.append(nz.astype(np.int16))
                 val.append((f[nz] / f.sum()).astype(np.float32))
-        return {"doc_id": keep_id, "y": keep_lang, "idx": idx, "val": val}
+        return {"doc_id": keep_id, "y": keep_lang, "h": keep_h, "idx": idx, "val": val}
 
-    got = arrow_map(rows.where(dice < share), hists, "doc_id long, y int, idx array<short>, val array<float>").toPandas()
-    got = got.sort_values(["doc_id", "y"], kind="stable")
+    got = arrow_map(rows.where(dice < share), hists, "doc_id long, y int, h long, idx array<short>, val array<float>").toPandas()
+    got = got.sort_values(["doc_id", "y", "h"], kind="stable")
     y = got["y"].to_numpy()
     if not len(y):
         return {"langs": [], "logits": None, "temperature": 1.0, "threshold": 0.0}
-    x = np.zeros((len(y), BUCKETS), np.float32)
-    for i, (ix, v) in enumerate(zip(got["idx"], got["val"], strict=True)):
-        x[i, np.asarray(ix, np.int64)] = v
+    x = Sparse(list(got["idx"]), list(got["val"]))
     held = np.arange(len(y)) % 10 == 9
     del got
     logits = fit(x, y, np.flatnonzero(~held), len(langs))
     temperature, threshold = 1.0, 0.0
     if held.any():
-        z = x[held] @ logits
+        z = x.logits(np.flatnonzero(held), logits)
         best = np.inf
         for t in np.geomspace(0.25, 8, 41):
             p = _softmax(z / t)[np.arange(len(z)), y[held]]
@@ -177,7 +196,7 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     table = docs.sparkSession.sparkContext.broadcast(model["logits"])
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for text in batch.column("text").to_pylist():
                 f = features(text) if langs else None
@@ -188,7 +207,7 @@ def keep_identified(docs: DataFrame) -> DataFrame:
                 keep.append(bool(p.max() >= threshold))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return modest_batches(docs).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -156,11 +156,11 @@ def mixture(docs: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """Rows of docs, with all their columns, each as often as the mix takes it."""
-    got = copies(sized(docs)).where("copies > 0").select(
-        F.col("key").alias("__key"), F.col("source").alias("__source"), F.col("copies").alias("__copies"))
-    keyed = docs.withColumn("__key", F.xxhash64(F.lit(SEED), "doc_id", "text"))
-    joined = keyed.join(got.withColumnRenamed("__key", "__mate"), (F.col("__key") == F.col("__mate")) & F.col("source").eqNullSafe(F.col("__source")))
-    return joined.withColumn("__row", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*docs.columns)
+    got = copies(sized(docs)).where("copies > 0").select(F.col("key").alias("mate"), F.col("source").alias("src"), "copies")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))  # apart from this function's own names
+    keyed = docs.select(whole.alias("doc"), F.xxhash64(F.lit(SEED), "doc_id", "text").alias("key"))
+    joined = keyed.join(got, (F.col("key") == F.col("mate")) & F.col("doc.source").eqNullSafe(F.col("src")))
+    return joined.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, as_bytes, broadcast_if_small, held, mix64, modest_batches, space_words, stored
+from .common import arrow_map, as_bytes, broadcast_if_small, discard, held, mix64, rolling, slices, space_words, stored
 
 SHINGLE = 5
 CHUNKS = 12
@@ -97,11 +97,7 @@ def shingles(text: bytes | None) -> np.ndarray:
     if not words:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(_memo().__getitem__, words), np.uint64, len(words))
-    n = min(SHINGLE, len(h))
-    acc = np.full(len(h) - n + 1, n, np.uint64)
-    for i in range(n):
-        acc = mix64(acc * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - n + 1 + i])
-    return np.unique(acc)
+    return np.unique(rolling(h, min(SHINGLE, len(h))))
 
 
 @functools.cache
@@ -166,7 +162,7 @@ def _emit_keys(reps: DataFrame, width: int) -> DataFrame:
                 each = lambda x, n=keys.shape[1]: pa.array(np.repeat(x, n))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), each(ids), each(batch.column("size").to_numpy())], names=["key", "rep", "size"])
 
-    return modest_batches(reps).mapInArrow(run, "key long, rep long, size long")
+    return reps.mapInArrow(run, "key long, rep long, size long")
 
 
 def _within(pairs: DataFrame, sigs: DataFrame, distance: int) -> DataFrame:
@@ -194,7 +190,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         last, mine = None, None
-        for batch in batches:
+        for batch in slices(batches):
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             ta, tb = batch.column("text_a"), batch.column("text_b")
             out = []
@@ -207,7 +203,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                     out.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in out], pa.int64()), pa.array([b[i] for i in out], pa.int64())], names=["a", "b"])
 
-    return modest_batches(both).mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -220,14 +216,16 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         hooked = comp.join(reach, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         jump = comp.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
         new = stored(hooked.join(jump, "comp").select("node", "old", F.least("comp", "up").alias("comp")), label)
+        discard(comp)
         if new.where("comp <> old").isEmpty():
-            return new.select("node", "comp")
-        comp = new.select("node", "comp")
+            discard(both)
+            return new
+        comp = new
 
 
 def _relabel(members: DataFrame, comp: DataFrame) -> DataFrame:
     """members with comp of each rep; a rep without links is its own component."""
-    return members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    return members.join(comp.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
 
 
 def _ends(pairs: DataFrame, comp: DataFrame) -> DataFrame:
@@ -267,15 +265,18 @@ def _links_within(ids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], le
 def _mixed_buckets(members: DataFrame, comp: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """(a, b): confirmed links that join the components that meet in one bucket.
 
-    A bucket is cut by a hash into blocks of about BLOCK shingles, whatever its size; each pair of its blocks is
-    one group, and what comes out of a group is at most one row a member."""
+    A bucket is cut by a hash into blocks of about BLOCK shingles, whatever its size; each pair of its blocks whose
+    members lie in more than one component is one group, and what comes out of a group is at most one row a member.
+    The pairs are made of blocks' least and greatest components, not of members."""
     labelled = _relabel(members, comp)
     spans = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
     left = labelled.join(spans.select("key"), "key")
-    cut = left.withColumn("blocks", F.ceil(F.col("weight") / BLOCK).cast("int")).withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "rep", "comp")
-    dealt = dealt.join(texts, "rep")
+    cut = stored(left.withColumn("blocks", F.ceil(F.col("weight") / BLOCK).cast("int")).withColumn(
+        "blk", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).select("key", "blk", "rep", "comp"), "cut")
+    side = lambda n: cut.groupBy("key", F.col("blk").alias(n)).agg(F.min("comp").alias(f"lo_{n}"), F.max("comp").alias(f"hi_{n}"))
+    pairs = side("i").join(side("j"), "key").where("i <= j AND least(lo_i, lo_j) < greatest(hi_i, hi_j)")
+    meet = pairs.select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("blk"))
+    dealt = cut.join(meet, ["key", "blk"]).join(texts, "rep")
 
     def run(group: pa.Table) -> pa.Table:
         blk, i, j = group["blk"].to_numpy(), group["i"][0].as_py(), group["j"][0].as_py()
@@ -286,7 +287,9 @@ def _mixed_buckets(members: DataFrame, comp: DataFrame, texts: DataFrame, percen
         got = _links_within(group["rep"].to_numpy()[order], group["comp"].to_numpy()[order], sets, np.flatnonzero(blk == i), np.flatnonzero(blk == j), percent)
         return pa.table({"a": pa.array([x for x, _ in got], pa.int64()), "b": pa.array([y for _, y in got], pa.int64())})
 
-    return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+    found = stored(dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long"), "more")
+    discard(cut)
+    return found
 
 
 def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -315,13 +318,16 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     comp = components(edges)
     rest = stored(_ends(close.join(best, ["a", "b"], "left_anti"), comp).where("p <> q").select("a", "b"), "rest")
     if not rest.isEmpty():
-        edges = stored(edges.union(_confirmed(rest, texts, percent)), "edges")
+        first, edges = edges, stored(edges.union(_confirmed(rest, texts, percent)), "edges")
+        discard(first, comp)
         comp = components(edges)
     # Buckets of two have had their pair; in larger ones others than the smallest member may be linked.
-    more = stored(_mixed_buckets(members.where("n > 2").select("key", "rep", "weight"), comp, texts, percent), "more")
+    more = _mixed_buckets(members.where("n > 2").select("key", "rep", "weight"), comp, texts, percent)
     if not more.isEmpty():
+        discard(comp)
         comp = components(edges.union(more))
-    linked = _relabel(groups.select("set_key", "rep"), comp).select("set_key", "comp")
+    linked = stored(_relabel(groups.select("set_key", "rep"), comp).select("set_key", "comp"), "linked")
+    discard(groups, shared, members, close, wanted, texts, edges, comp, rest, more)
     got = table.join(linked, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
     return got.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

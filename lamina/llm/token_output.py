@@ -25,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, modest_batches, shared_dir
+from .common import mix64, shared_dir
 from .encoding import encoder, token_bytes, vocabulary_path
 
 END = 2
 SHARD_IDS = 1 << 20
+#: Text bytes of a range of documents, which one task encodes; the session's shuffle partitions are the least number of ranges.
+PART_BYTES = 1 << 28
 BATCH = 512
 _SHARDS = ("part int, shard int, inner long, width int, docs array<long>, counts array<long>, payload binary, "
            "displace array<int>, prints array<int>, offsets array<long>, lengths array<long>")
@@ -104,8 +106,9 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, end: int = END, sh
     width = 2 if end < 65536 else 4
     out = to_arrow_schema(StructType.fromDDL(_SHARDS))
     spark = docs.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col("doc_id").cast("long"), "text")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     dealt = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).withColumn("h", F.xxhash64("text"))
     dealt = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h").select("doc_id", "text", F.spark_partition_id().alias("part"))
 
@@ -128,7 +131,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, end: int = END, sh
         if keys:
             yield pa.RecordBatch.from_pylist([_shard(part, number, inner, wide, keys, pieces)], schema=out)
 
-    modest_batches(dealt).mapInArrow(run, _SHARDS).write.option("compression", "zstd").parquet(path)
+    dealt.mapInArrow(run, _SHARDS).write.option("compression", "zstd").parquet(path)
 
 
 def _bases(shards: DataFrame) -> DataFrame:
@@ -167,7 +170,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                     [pa.array(row["docs"], pa.int64()), pa.array(row["base"] + where), pa.array(counts), pa.array(crc, pa.int64())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return modest_batches(spots).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spots.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
@@ -188,7 +191,7 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return modest_batches(shards.join(routed, ["part", "shard"])).mapInArrow(run, "doc_id long, ids array<int>")
+    return shards.join(routed, ["part", "shard"]).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def token_output(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
