@@ -223,11 +223,6 @@ def weak_cells(spark, sf):
     return sectors(spark, sf).groupBy("track", "sector").agg(F.count("*").alias("reads"), F.round(F.avg("quality"), 6).alias("mean"), F.round(j, 6).alias("jitter"), (j > 10).alias("weak"))
 
 
-@query("agg34_free_space", f"WITH {IMAGES} SELECT image, count(*) AS chunks, count(*) FILTER (length(data) < 512) * 256 AS free_bytes, CAST(sum(length(data)) // 2 AS BIGINT) AS used FROM images GROUP BY image")
-def free_space(spark, sf):
-    return images(spark, sf).groupBy("image").agg(F.count("*").alias("chunks"), (F.count_if(F.length("data") < 512) * 256).alias("free_bytes"), (F.sum(F.length("data")) / 2).cast("long").alias("used"))
-
-
 @query("agg35_bam_count", f"WITH {SECTORS} SELECT track, CAST(sum(bit_count(data)) AS BIGINT) AS free FROM sectors GROUP BY track")
 def bam_count(spark, sf):
     return sectors(spark, sf).groupBy("track").agg(F.sum(F.bit_count("data")).cast("long").alias("free"))

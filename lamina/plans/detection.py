@@ -134,39 +134,8 @@ def duplicate_sectors(spark, sf):
     return table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("track"), F.col("l_linenumber").cast("long").alias("sector")).agg(F.count("*").alias("copies")).where("copies > 1")
 
 
-CHAIN = """WITH RECURSIVE c AS (SELECT CAST(s AS BIGINT) AS start, CAST(s AS BIGINT) AS cluster, CAST(0 AS BIGINT) AS step FROM range(0, 20) AS r(s)
-  UNION ALL SELECT start, (cluster * 7 + 3) % 101, step + 1 FROM c WHERE step < 15 AND (cluster * 7 + 3) % 101 <> start AND cluster <> 50) SELECT start, cluster, step FROM c"""
-
-
-@query("fs02_chain", CHAIN)
-def chain(spark, sf):
-    return spark.sql("""WITH RECURSIVE c(start, cluster, step) AS (SELECT id, id, 0L FROM range(20)
-      UNION ALL SELECT start, (cluster * 7 + 3) % 101, step + 1 FROM c WHERE step < 15 AND (cluster * 7 + 3) % 101 <> start AND cluster <> 50) SELECT start, cluster, step FROM c""")
-
-
-@query("fs06_dos_time", """SELECT o_orderkey AS id, make_timestamp(1980 + o_orderkey % 100, 1 + o_orderkey % 12, 1 + o_orderkey % 28, o_orderkey % 24, o_orderkey % 60, 0.0) AS at FROM orders""")
-def dos_time(spark, sf):
-    k = F.col("o_orderkey")
-    part = lambda x: x.cast("int")
-    return table(spark, sf, "orders").select(k.alias("id"), F.make_timestamp_ntz(part(k % 100 + 1980), part(k % 12 + 1), part(k % 28 + 1), part(k % 24), part(k % 60), F.lit(0)).alias("at"))
-
-
 @query("fs07_name_hash", """SELECT p_partkey AS id, list_reduce(list_prepend(CAST(length(p_name) AS BIGINT), [CAST(ord(upper(c)) AS BIGINT) FOR c IN string_split(p_name, '')]), lambda h, c: (h * 13 + c) & 2147483647) % 72 AS slot FROM part""")
 def name_hash(spark, sf):
     name = F.upper("p_name")
     h = F.aggregate(F.split(name, ""), F.length(name).cast("long"), lambda h, c: (h * 13 + F.ascii(c)).bitwiseAND(2147483647))
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), (h % 72).alias("slot"))
-
-
-@query("fs15_directory", "SELECT l_suppkey AS user_no, l_returnflag AS name, count(*) AS extents, max(l_linenumber) AS last_extent, round(sum(l_quantity), 6) AS records FROM lineitem GROUP BY 1, 2")
-def directory(spark, sf):
-    return table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("user_no"), F.col("l_returnflag").alias("name")).agg(
-        F.count("*").alias("extents"), F.max("l_linenumber").alias("last_extent"), F.round(F.sum("l_quantity"), 6).alias("records"))
-
-
-@query("fs12_bitmap_check", """WITH a AS (SELECT DISTINCT o_custkey AS block FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT c_custkey AS block FROM customer WHERE c_acctbal > 0)
-  SELECT coalesce(a.block, b.block) AS block, CASE WHEN b.block IS NULL THEN 'USED_BUT_FREE' ELSE 'LOST' END AS state FROM a FULL JOIN b ON a.block = b.block WHERE a.block IS NULL OR b.block IS NULL""")
-def bitmap_check(spark, sf):
-    a = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("block")).distinct().withColumn("a", F.lit(1))
-    b = table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("block")).withColumn("b", F.lit(1))
-    return a.join(b, "block", "full").where("a IS NULL OR b IS NULL").select("block", F.when(F.col("b").isNull(), "USED_BUT_FREE").otherwise("LOST").alias("state"))

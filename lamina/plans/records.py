@@ -166,32 +166,6 @@ def wizard(spark, sf):
     return sectors(spark, sf).groupBy("track").agg(s.alias("s")).select("track", F.when(F.col("s") > 80, "DIRECT").when(F.col("s") >= 60, "RETRY").when(F.col("s") >= 40, "MULTI_READ").otherwise("FORENSIC").alias("strategy"))
 
 
-@query("fs01_packed_entry", "SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN p_partkey * 2654435761 & 4095 ELSE (p_partkey * 2654435761 >> 4) & 4095 END AS entry FROM part")
-def packed_entry(spark, sf):
-    k = F.col("p_partkey")
-    v = k * 2654435761
-    return table(spark, sf, "part").select(k.alias("id"), F.when(k % 2 == 0, v.bitwiseAND(4095)).otherwise(F.shiftright(v, 4).bitwiseAND(4095)).alias("entry"))
-
-
-@query("fs03_read_directory", f"WITH {IMAGES} SELECT image, chunk * 8 + i AS slot, substr(data, CAST(i * 64 + 1 AS BIGINT), 22) AS name, substr(data, CAST(i * 64 + 1 AS BIGINT), 2) = 'E5' AS deleted FROM images, range(0, 8) AS r(i) WHERE length(substr(data, CAST(i * 64 + 1 AS BIGINT), 64)) = 64 AND image < 50")
-def read_directory(spark, sf):
-    e = images(spark, sf).where("image < 50").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))))
-    slot = F.substring("data", (F.col("i") * 64 + 1).cast("int"), F.lit(64))
-    return e.where(F.length(slot) == 64).select("image", (F.col("chunk") * 8 + F.col("i")).alias("slot"), F.substring(slot, 1, 22).alias("name"), (F.substring(slot, 1, 2) == "E5").alias("deleted"))
-
-
-@query("fs05_extract", "SELECT conv_id, string_agg(text, '' ORDER BY turn) AS content, count(*) AS clusters FROM conversations GROUP BY conv_id")
-def extract(spark, sf):
-    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("p"), F.count("*").alias("clusters"))
-    return c.select("conv_id", F.array_join(F.transform("p", lambda s: s["text"]), "").alias("content"), "clusters")
-
-
-@query("fs14_disk_parameters", "SELECT p_partkey AS id, CAST(log2(CAST(1 << (p_size % 4) AS DOUBLE)) + 3 AS BIGINT) AS bsh, CAST((1 << (p_size % 4 + 3)) - 1 AS BIGINT) AS blm FROM part")
-def disk_parameters(spark, sf):
-    s = F.col("p_size") % 4 + 3
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), s.cast("long").alias("bsh"), (F.expr("shiftleft(1, p_size % 4 + 3)") - 1).cast("long").alias("blm"))
-
-
 @query("prot13_fat_track", """WITH t AS (SELECT vec_id AS track, embedding AS e FROM embeddings) SELECT a.track, CAST((SELECT count(*) FROM range(1, 65) AS r(i) WHERE (a.e[i] > 0) <> (b.e[i] > 0)) AS BIGINT) AS differing FROM t a JOIN t b ON b.track = a.track + 1""")
 def fat_track(spark, sf):
     t = table(spark, sf, "embeddings").select(F.col("vec_id").alias("track"), F.transform("embedding", lambda x: x > 0).alias("e"))

@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..sources.carriers import FLUX, IMAGES, flux, table
+from ..sources.storage import shared_folder
 from ..sources.containers import decode_transitions, encode_transitions, sector_image, transitions
 from ..streaming import pipeline as pipe
 from .base import query
 
 
 def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return shared_folder(spark, "stream")
 
 
 def _events(spark, sf):

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import octets
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -52,12 +54,22 @@ SAMPLES = """samples AS (SELECT vec_id AS trace, CAST(label AS BIGINT) AS label,
 
 
 def images(spark: SparkSession, sf_dir: str, size: int = 256) -> DataFrame:
-    """image, chunk (from 0), bytes as hexadecimal digits of size bytes."""
-    raw = F.hex(F.encode("text", "utf-8"))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("image"), raw.alias("raw")).where("length(raw) > 0")
-    return docs.select("image", "raw", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.length("raw") - 1) / (2 * size)))).alias("chunk")).select(
-        "image", "chunk", F.substring("raw", (F.col("chunk") * 2 * size + 1).cast("int"), F.lit(2 * size)).alias("data"))
+    """image, chunk (from 0), bytes as hexadecimal digits of size bytes; each byte is cut out once."""
+    raw = F.encode("text", "utf-8")
+    n = F.octet_length("text")
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int")), lambda c: F.substring(raw, c * size + 1, F.lit(size)))
+    return table(spark, sf_dir, "documents").where("octet_length(text) > 0").select(F.col("doc_id").alias("image"), F.posexplode(chunks).alias("chunk", "data")).select(
+        "image", F.col("chunk").cast("long").alias("chunk"), F.hex("data").alias("data"))
 
 
 IMAGES = """raws AS (SELECT doc_id AS image, hex(encode(text)) AS raw FROM documents WHERE length(text) > 0),
 images AS (SELECT image, c AS chunk, substr(raw, c * 512 + 1, 512) AS data FROM raws, unnest(range(0, CAST(floor((length(raw) - 1) / 512) AS BIGINT) + 1)) AS u(c))"""
+
+
+def noise(spark: SparkSession, sf_dir: str, size: int = 256) -> DataFrame:
+    """image, chunk, data: the images' bytes mixed so that all 256 values occur (zero and 0xE5 marks among them)."""
+    mixed = F.transform(octets.values(F.col("data")), lambda b: (b * 37 + F.col("image") * 11 + F.col("chunk")) % 256)
+    return images(spark, sf_dir, size).select("image", "chunk", F.array_join(F.transform(mixed, lambda b: octets.digits(b, 1)), "").alias("data"))
+
+
+NOISE = f"""{IMAGES}, noise AS (SELECT image, chunk, array_to_string([printf('%02X', (b * 37 + image * 11 + chunk) % 256) FOR b IN {octets.sql_values("data")}], '') AS data FROM images)"""
