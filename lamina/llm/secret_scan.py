@@ -3,7 +3,8 @@
 From each rule's regular expression a Boolean trigram query is derived: an AND of ORs of trigrams that
 any match must hold (folded to lower case). The index has, for each trigram that some query asks for,
 the documents that hold it. A rule's candidates are the intersection of its postings, taken by
-aggregating a document's postings (no text is moved for that); the candidates are joined to the texts and
+aggregating a document's postings (no text is moved for that), written, counted and joined to the texts: sent
+to them where they are few, so no text is moved at all, else by a shuffle of both sides; then they are
 verified with the rule's expression. A rule without mandatory trigrams scans every text.
 
 Spans are code-point offsets: a text is cut at a rule's matches, and the lengths of the pieces and the
@@ -21,6 +22,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import broadcast_if_small, stored
+
 try:
     import re._constants as _c
     import re._parser as _parser
@@ -53,6 +56,8 @@ RULES = (
 _MOST = 64
 #: Trigrams asked of one literal; fewer is still a condition that every match meets.
 _ASKED = 3
+#: Matches of a text whose spans are put together at a time; the parts are joined once.
+_PART = 256
 _SPAN = "array<struct<start: int, rank: int, end: int, kind: string>>"
 
 
@@ -142,7 +147,7 @@ def _found(text: Column, rule: Rule, rank: int, wanted: Column | None) -> Column
     matches = F.regexp_extract_all(text, pattern, F.lit(0))
     pieces = F.split(text, rule.pattern, -1)
     pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(matches)), matches, lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("n"), m.alias("m")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("got"))
+    parts = F.transform(F.sequence(F.lit(0), F.ceil(F.size(matches) / _PART).cast("int") - 1), lambda i: F.slice(pairs, i * _PART + 1, F.lit(_PART)))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
@@ -150,8 +155,13 @@ def _found(text: Column, rule: Rule, rank: int, wanted: Column | None) -> Column
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + x["n"]).alias("end"), F.lit(rule.kind).alias("kind"))
         return F.struct((start + x["n"]).alias("at"), F.when(size >= rule.least, F.concat(acc["got"], F.array(span))).otherwise(acc["got"]).alias("got"))
 
+    def part(acc: Column, some: Column) -> Column:
+        done = F.aggregate(some, F.struct(acc["at"].alias("at"), F.array().cast(_SPAN).alias("got")), step)
+        return F.struct(done["at"].alias("at"), F.concat(acc["got"], F.array(done["got"])).alias("got"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("got"))
     test = text.rlike(rule.pattern)
-    return F.when(test if wanted is None else wanted & test, F.aggregate(pairs, zero, step)["got"]).otherwise(F.array().cast(_SPAN))
+    return F.when(test if wanted is None else wanted & test, F.flatten(F.aggregate(parts, zero, part)["got"])).otherwise(F.array().cast(_SPAN))
 
 
 def secret_scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -159,8 +169,8 @@ def secret_scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     indexed = tuple(r for r in rules if trigram_query(r.pattern))
     asked = sorted({g for r in indexed for clause in trigram_query(r.pattern) for grams in clause for g in grams})
-    cands = candidates(postings(base, asked), indexed).withColumnRenamed("doc_id", "mate")
-    joined = base.join(cands, F.col("doc_id").eqNullSafe(F.col("mate")), "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "kinds")
+    cands = stored(candidates(postings(base, asked), indexed).withColumnRenamed("doc_id", "mate"), "candidates")
+    joined = base.join(broadcast_if_small(cands), F.col("doc_id").eqNullSafe(F.col("mate")), "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "kinds")
     found = [
         _found(F.col("text"), r, i, F.coalesce(F.array_contains("kinds", r.kind), F.lit(False)) if r in indexed else None)
         for i, r in enumerate(rules)
