@@ -41,8 +41,7 @@ def once(value: Column, use) -> Column:
 
 def values(hexed: Column) -> Column:
     """All bytes as an array of numbers."""
-    at = F.when(F.length(hexed) > 1, F.sequence(F.lit(0), size(hexed) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: byte(hexed, i))
+    return once(hexed, lambda h: F.transform(F.when(F.length(h) > 1, F.sequence(F.lit(0), size(h) - 1)).otherwise(F.array().cast("array<int>")), lambda i: byte(h, i)))
 
 
 def digits(value: Column, n: int) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import octets
+
 
 def clamp(x: Column, lo: float, hi: float) -> Column:
     return F.least(F.greatest(x, F.lit(lo)), F.lit(hi))
@@ -38,14 +40,11 @@ def glob(name: Column, pattern: str) -> Column:
 
 def crc16_ccitt(hexed: Column, preset: int = 0xFFFF) -> Column:
     """CRC-16 (0x1021) of the bytes of a hexadecimal string, as one array expression."""
-    at = F.when(F.length(hexed) > 1, F.sequence(F.lit(1), (F.length(hexed) / 2).cast("int"))).otherwise(F.array().cast("array<int>"))
-    digits = "0123456789ABCDEF"
 
-    def step(acc: Column, i: Column) -> Column:
-        pair = F.substring(hexed, i * 2 - 1, F.lit(2))
-        byte = (F.instr(F.lit(digits), F.substring(pair, 1, 1)) - 1) * 16 + F.instr(F.lit(digits), F.substring(pair, 2, 1)) - 1
+    def step(acc: Column, byte: Column) -> Column:
+        byte = byte.cast("int")
         y = F.shiftright(acc, 8).bitwiseXOR(byte)
         x = y.bitwiseXOR(F.shiftright(y, 4))  # the polynomial's shifts for a whole byte
         return F.shiftleft(acc, 8).bitwiseXOR(F.shiftleft(x, 12)).bitwiseXOR(F.shiftleft(x, 5)).bitwiseXOR(x).bitwiseAND(0xFFFF)
 
-    return F.aggregate(at, F.lit(preset), step)
+    return F.aggregate(octets.values(hexed), F.lit(preset), step)

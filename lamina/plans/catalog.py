@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregation, comparison, detection, filesystems, fusion_policy, kernels, more, records, sequence, sequence_more, streams  # noqa: F401
+from . import aggregation, codes, comparison, detection, filesystems, fusion_policy, kernels, loops, more, records, sequence, sequence_more, streams  # noqa: F401
 from .base import QUERIES, SQL
 
 

@@ -11,16 +11,6 @@ from ..sources.carriers import FLUX, SAMPLES, flux, images, samples, table
 from .base import query
 
 
-@query("dec01_pll")
-def pll(spark, sf):
-    return decode.pll(flux(spark, sf).where("dt > 0").select("track", "idx", "dt"), "track", "idx", "dt", 3.6e9)
-
-
-@query("dec03_kalman")
-def kalman(spark, sf):
-    return decode.kalman(samples(spark, sf), "trace", "idx", "amp")
-
-
 @query("dec26_viterbi")
 def viterbi(spark, sf):
     return decode.viterbi(samples(spark, sf), "trace", "idx", "amp", (-0.15, 0.0, 0.15))
@@ -32,11 +22,6 @@ def rule_merge(spark, sf):
     return decode.merge_runs(runs, "track", "first", "run_label", "length", 3)
 
 
-@query("dec13_crc16")
-def crc16(spark, sf):
-    return images(spark, sf).select("image", "chunk", crc16_ccitt(F.col("data")).cast("long").alias("crc"))
-
-
 @query("fn02_crc32")
 def crc32(spark, sf):
     return table(spark, sf, "documents").select(F.col("doc_id").alias("image"), F.crc32("text").alias("crc"))
@@ -48,12 +33,6 @@ def encoding(spark, sf):
     return m.select("track", F.when(F.col("h") < 4, "MFM").when(F.col("h") < 8, "GCR").otherwise("FM").alias("encoding"))
 
 
-@query("dec06_sync_search", "SELECT doc_id AS image, CAST(instr(text, 'the') - 1 AS BIGINT) AS at FROM documents WHERE instr(text, 'the') > 0")
-def sync_search(spark, sf):
-    at = F.instr("text", F.lit("the"))
-    return table(spark, sf, "documents").where(at > 0).select(F.col("doc_id").alias("image"), (at - 1).cast("long").alias("at"))
-
-
 @query("dec33_haar", f"""WITH {SAMPLES}, n AS (SELECT trace, count(*) AS n FROM samples GROUP BY trace) SELECT a.trace, a.idx, round((a.amp + b.amp) / 2, 6) AS approx, round((a.amp - b.amp) / 2, 6) AS detail
   FROM samples a JOIN n USING (trace) JOIN samples b ON b.trace = a.trace AND b.idx = (a.idx + n.n - 1) % n.n""")
 def haar(spark, sf):

@@ -13,14 +13,6 @@ from ..sources.carriers import FLUX, IMAGES, SAMPLES, SECTORS, flux, images, sam
 from .base import query
 
 
-@query("dec15_mfm_tracks", "SELECT conv_id AS track, turn AS sector, md5(text) AS content, true AS ok FROM conversations WHERE text IS NOT NULL")
-def mfm_tracks(spark, sf):
-    """Turns written as sectors of a track of bit cells and decoded again."""
-    c = table(spark, sf, "conversations").where("text IS NOT NULL").select(F.col("conv_id").alias("track"), F.col("turn").alias("sector"), F.encode(F.md5("text"), "utf-8").alias("data"))
-    got = coding.decode_tracks(coding.encode_tracks(c))
-    return got.select("track", "sector", F.substring(F.decode("data", "utf-8"), 1, 32).alias("content"), (F.col("header_ok") & F.col("data_ok")).alias("ok"))
-
-
 @query("fuse14_one_bit_fix", f"WITH {IMAGES} SELECT image, chunk, true AS repaired FROM images WHERE length(data) = 512")
 def one_bit_fix(spark, sf):
     """Each full chunk loses one bit, by its number, and is repaired from its checksum."""
@@ -59,15 +51,6 @@ def encoding_shares(spark, sf):
     return flux(spark, sf).where("dt > 0").groupBy("track").agg(share(dt < 7200000000).alias("short"), share((dt >= 7200000000) & (dt < 14400000000)).alias("mid"), share(dt >= 14400000000).alias("long"))
 
 
-@query("dec24_encoding_boost", f"""WITH {FLUX}, m AS (SELECT track, avg(dt) / 3.6e9 AS h, count(*) AS n FROM flux WHERE dt > 0 GROUP BY track), c AS (SELECT * FROM (VALUES (1, 'FM', 8.0), (2, 'MFM', 4.0), (3, 'GCR', 5.5), (4, 'M2FM', 6.5), (5, 'APPLE', 3.0)) AS t(reg, name, centre)),
-  s AS (SELECT track, name, reg, round(exp(-abs(h - centre)), 6) AS score FROM m, c) SELECT track, arg_max(name, (score, -reg)) AS encoding, max(score) AS score FROM s GROUP BY track""")
-def encoding_boost(spark, sf):
-    m = flux(spark, sf).where("dt > 0").groupBy("track").agg((F.avg("dt") / 3.6e9).alias("h"))
-    c = spark.createDataFrame([(1, "FM", 8.0), (2, "MFM", 4.0), (3, "GCR", 5.5), (4, "M2FM", 6.5), (5, "APPLE", 3.0)], "reg int, name string, centre double")
-    s = m.crossJoin(F.broadcast(c)).withColumn("score", F.round(F.exp(-F.abs(F.col("h") - F.col("centre"))), 6))  # five candidates
-    return s.groupBy("track").agg(F.max_by("name", F.struct("score", -F.col("reg"))).alias("encoding"), F.max("score").alias("score"))
-
-
 @query("dec30_retry_policy", f"WITH {SECTORS}, t AS (SELECT track, count(DISTINCT sector) / 7.0 AS cover, avg(CASE WHEN crc_ok THEN 1.0 ELSE 0.0 END) AS good FROM sectors GROUP BY track) SELECT track, CASE WHEN cover < 0.3 THEN 'REREAD' WHEN good < 0.5 THEN 'ADJUST' WHEN good < 1 THEN 'RETRY' ELSE 'DONE' END AS action FROM t")
 def retry_policy(spark, sf):
     t = sectors(spark, sf).groupBy("track").agg((F.count_distinct("sector") / 7.0).alias("cover"), F.avg(F.when(F.col("crc_ok"), 1.0).otherwise(0.0)).alias("good"))
@@ -164,12 +147,6 @@ def ladder(spark, sf):
     return d.select("trace", "idx", kind.alias("kind"))
 
 
-@query("win28_change_health", f"""WITH {FLUX}, c AS (SELECT track, avg(CASE WHEN label = 'error' THEN 1.0 ELSE 0.0 END) AS rate, avg(amp) AS level FROM flux GROUP BY track) SELECT track, round(0.75 * least(1.0, level / 100) + 0.25 * greatest(0.0, 1 - rate / 0.5), 6) AS health FROM c""")
-def change_health(spark, sf):
-    c = flux(spark, sf).groupBy("track").agg(F.avg(F.when(F.col("label") == "error", 1.0).otherwise(0.0)).alias("rate"), F.avg("amp").alias("level"))
-    return c.select("track", F.round(F.least(F.lit(1.0), F.col("level") / 100) * 0.75 + F.greatest(F.lit(0.0), 1 - F.col("rate") / 0.5) * 0.25, 6).alias("health"))
-
-
 @query("win29_low_envelope", f"""WITH {SAMPLES}, e AS (SELECT trace, idx, sqrt(avg(amp * amp) OVER (PARTITION BY trace ORDER BY idx ROWS 7 PRECEDING)) < 0.1 AS low FROM samples), g AS (SELECT trace, idx, idx - row_number() OVER (PARTITION BY trace ORDER BY idx) AS grp FROM e WHERE low) SELECT trace, min(idx) AS first, count(*) AS length FROM g GROUP BY trace, grp HAVING count(*) >= 2""")
 def low_envelope(spark, sf):
     e = samples(spark, sf).withColumn("low", win.rms(F.col("amp"), win.trailing(["trace"], "idx", 8)) < 0.1)

@@ -149,19 +149,6 @@ def weak_bits(spark, sf):
     return c.withColumn("grp", at).groupBy("track", "grp").agg(F.min("sector").alias("first"), F.count("*").alias("length")).drop("grp")
 
 
-CUSUM_SQL = f"""WITH RECURSIVE {FLUX}, m AS (SELECT track, avg(amp) AS mu FROM flux GROUP BY track), x AS (SELECT f.track, idx, amp - mu AS v FROM flux f JOIN m USING (track)),
-  c AS (SELECT track, -1::BIGINT AS idx, 0.0::DOUBLE AS p, 0.0::DOUBLE AS n, false AS hit FROM m
-  UNION ALL SELECT c.track, x.idx, CASE WHEN greatest(0, (c.p + x.v) - 5) > 100 OR greatest(0, (c.n - x.v) - 5) > 100 THEN 0 ELSE greatest(0, (c.p + x.v) - 5) END,
-  CASE WHEN greatest(0, (c.p + x.v) - 5) > 100 OR greatest(0, (c.n - x.v) - 5) > 100 THEN 0 ELSE greatest(0, (c.n - x.v) - 5) END,
-  greatest(0, (c.p + x.v) - 5) > 100 OR greatest(0, (c.n - x.v) - 5) > 100 FROM c JOIN x ON x.track = c.track AND x.idx = c.idx + 1) SELECT track, idx FROM c WHERE hit"""
-
-
-@query("win23_cusum", CUSUM_SQL)
-def cusum(spark, sf):
-    by = flux(spark, sf).groupBy("track").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "amp"))), lambda s: s["amp"]).alias("series"), F.avg("amp").alias("mu"))
-    return by.select("track", F.explode(win.cusum(F.col("series"), F.col("mu"), 5.0, 100.0)).alias("idx"))
-
-
 @query("win25_envelope", f"""WITH {SAMPLES}, e AS (SELECT trace, idx, sqrt(avg(amp * amp) OVER w) AS rms, stddev_pop(amp) OVER w AS s, avg(amp) OVER w AS m FROM samples WINDOW w AS (PARTITION BY trace ORDER BY idx ROWS 15 PRECEDING))
   SELECT trace, idx, round(rms, 6) AS rms, round(CASE WHEN s > 1e-12 AND abs(m) > 0 THEN 20 * log10(abs(m) / s) ELSE -60.0 END, 4) AS snr FROM e WHERE idx % 8 = 7""")
 def envelope(spark, sf):

@@ -169,12 +169,6 @@ def fuzzy_sync(spark, sf):
     return s.where("distance <= 9").withColumn("confidence", 100 - F.col("distance") * 8)
 
 
-@query("dec07_sync_any", "SELECT doc_id AS image, CAST(least(nullif(instr(text, 'ing'), 0), nullif(instr(text, 'que'), 0), nullif(instr(text, 'der'), 0)) - 1 AS BIGINT) AS at FROM documents")
-def sync_any(spark, sf):
-    at = lambda p: F.nullif(F.instr("text", F.lit(p)), F.lit(0))
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("image"), (F.least(at("ing"), at("que"), at("der")) - 1).cast("long").alias("at"))
-
-
 def _mfm_sql() -> str:
     terms, prev = [], "0"
     for i in range(7, -1, -1):
@@ -206,10 +200,3 @@ def mfm_decode(spark, sf):
 
 # The five-bit group code of four-bit values.
 GROUP_CODE = [10, 11, 18, 19, 14, 15, 22, 23, 9, 25, 26, 27, 13, 29, 30, 21]
-
-
-@query("dec28_group_code", f"SELECT p_partkey AS id, CAST({GROUP_CODE}[(p_size % 16) + 1] AS BIGINT) AS code, CAST(list_position({GROUP_CODE}, p_partkey % 32) - 1 AS BIGINT) AS value FROM part")
-def group_code(spark, sf):
-    codes = F.array(*map(F.lit, GROUP_CODE))
-    back = F.nullif(F.array_position(codes, (F.col("p_partkey") % 32).cast("int")), F.lit(0))
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.element_at(codes, F.col("p_size") % 16 + 1).cast("long").alias("code"), (back - 1).cast("long").alias("value"))

@@ -57,7 +57,7 @@ def images(spark: SparkSession, sf_dir: str, size: int = 256) -> DataFrame:
     """image, chunk (from 0), bytes as hexadecimal digits of size bytes; each byte is cut out once."""
     raw = F.encode("text", "utf-8")
     n = F.octet_length("text")
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int")), lambda c: F.substring(raw, c * size + 1, F.lit(size)))
+    chunks = octets.once(raw, lambda r: F.transform(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int")), lambda c: F.substring(r, c * size + 1, F.lit(size))))
     return table(spark, sf_dir, "documents").where("octet_length(text) > 0").select(F.col("doc_id").alias("image"), F.posexplode(chunks).alias("chunk", "data")).select(
         "image", F.col("chunk").cast("long").alias("chunk"), F.hex("data").alias("data"))
 
@@ -73,3 +73,28 @@ def noise(spark: SparkSession, sf_dir: str, size: int = 256) -> DataFrame:
 
 
 NOISE = f"""{IMAGES}, noise AS (SELECT image, chunk, array_to_string([printf('%02X', (b * 37 + image * 11 + chunk) % 256) FOR b IN {octets.sql_values("data")}], '') AS data FROM images)"""
+
+
+def pulses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """track, idx (from 0), dt (nanoseconds): intervals of 2, 3 or 4 cells of 2,000 ns with up to 200 ns of jitter."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    cells = F.floor(F.abs("value")) % 3 + 2
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("track"), (F.row_number().over(order) - 1).cast("long").alias("idx"), (cells * 2000 + F.col("event_id") * 7919 % 401 - 200).alias("dt"))
+
+
+PULSES = """pulses AS (SELECT user_id AS track, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx,
+  (CAST(floor(abs(value)) AS BIGINT) % 3 + 2) * 2000 + event_id * 7919 % 401 - 200 AS dt FROM events)"""
+
+
+def turns(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
+    """track, sector (from 0), data: a conversation's turns cut into sectors of size bytes, as digits, the last ones filled up."""
+    raw = F.encode("text", "utf-8")
+    chunks = octets.once(raw, lambda r: F.transform(F.sequence(F.lit(0), F.floor((F.octet_length("text") - 1) / size).cast("int")), lambda c: F.substring(r, c * size + 1, F.lit(size))))
+    cut = table(spark, sf_dir, "conversations").where("octet_length(text) > 0").select("conv_id", "turn", F.posexplode(chunks).alias("chunk", "data"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "chunk")
+    return cut.select(F.col("conv_id").alias("track"), (F.row_number().over(order) - 1).cast("long").alias("sector"), F.rpad(F.hex("data"), 2 * size, "0").alias("data"))
+
+
+def turns_sql(size: int, name: str = "turns") -> str:
+    return f"""{name} AS (SELECT conv_id AS track, row_number() OVER (PARTITION BY conv_id ORDER BY turn, c) - 1 AS sector, rpad(substr(raw, CAST(c * {2 * size} + 1 AS BIGINT), {2 * size}), {2 * size}, '0') AS data
+  FROM (SELECT conv_id, turn, hex(encode(text)) AS raw FROM conversations WHERE length(text) > 0), unnest(range(0, (length(raw) - 1) // {2 * size} + 1)) AS u(c))"""
