@@ -42,30 +42,6 @@ def ambiguity(spark, sf):
     return p.groupBy("path").agg(named.alias("alternatives"), F.count("*").alias("n")).where("n > 1")
 
 
-@query("src08_bayesian_detect", """WITH e AS (SELECT p_partkey AS path, p_size, p_retailprice AS price FROM part), h AS (SELECT * FROM (VALUES ('a', 10, 0.4), ('b', 25, 0.35), ('c', 40, 0.25)) AS t(spec, size, prior)),
-  l AS (SELECT path, spec, prior * pow((CASE WHEN p_size = size THEN 1.0 WHEN abs(p_size - size) <= 5 THEN 0.5 WHEN abs(p_size - size) <= size * 0.3 THEN 0.3 ELSE 0.01 END) * (CASE WHEN price > size * 40 THEN 1.0 ELSE 0.1 END) * 0.5, 1.0 / 3) AS v FROM e, h),
-  p AS (SELECT path, spec, 100 * v / sum(v) OVER (PARTITION BY path) AS conf FROM l), r AS (SELECT *, row_number() OVER w AS k, lead(conf) OVER w AS nxt FROM p WINDOW w AS (PARTITION BY path ORDER BY round(conf, 9) DESC, spec))
-  SELECT path, spec, round(conf, 6) AS confidence, conf < 70 AS low, conf - nxt < 20 AS ambiguous FROM r WHERE k = 1""")
-def bayesian_detect(spark, sf):
-    specs = F.broadcast(spark.createDataFrame([("a", 10, 0.4), ("b", 25, 0.35), ("c", 40, 0.25)], "spec string, size int, prior double"))  # three rows
-    gap = F.abs(F.col("p_size") - F.col("size"))
-    size = F.when(gap == 0, 1.0).when(gap <= 5, 0.5).when(gap <= F.col("size") * 0.3, 0.3).otherwise(0.01)
-    magic = F.when(F.col("p_retailprice") > F.col("size") * 40, 1.0).otherwise(0.1)
-    like = table(spark, sf, "part").select(F.col("p_partkey").alias("path"), "p_size", "p_retailprice").crossJoin(specs).withColumn("v", F.col("prior") * F.pow(size * magic * 0.5, F.lit(1.0 / 3)))
-    conf = like.withColumn("conf", F.col("v") * 100 / F.sum("v").over(Window.partitionBy("path")))
-    w = Window.partitionBy("path").orderBy(F.desc(F.round("conf", 9)), "spec")
-    r = conf.withColumns({"k": F.row_number().over(w), "nxt": F.lead("conf").over(w)}).where("k = 1")
-    return r.select("path", "spec", F.round("conf", 6).alias("confidence"), (F.col("conf") < 70).alias("low"), (F.col("conf") - F.col("nxt") < 20).alias("ambiguous"))
-
-
-@query("src14_extension_lookup", "SELECT o_orderkey AS path, CASE lower(o_orderstatus) WHEN 'f' THEN 'flux' WHEN 'o' THEN 'sector' WHEN 'p' THEN 'sector' END AS plugin FROM orders")
-def extension_lookup(spark, sf):
-    plugins = spark.createDataFrame([("flux", "f;x", 1), ("sector", "o;p;f", 2)], "plugin string, ext string, reg int")
-    by = plugins.select("plugin", "reg", F.explode(F.split("ext", ";")).alias("ext")).groupBy("ext").agg(F.min_by("plugin", "reg").alias("plugin"))
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("path"), F.lower("o_orderstatus").alias("ext"))
-    return o.join(F.broadcast(by), "ext", "left").select("path", "plugin")
-
-
 @query("src21_boot_record", """WITH b AS (SELECT image, data FROM images WHERE chunk = 0 AND length(data) >= 32) SELECT image, 
   CAST(('0x' || substr(data, 25, 2) || substr(data, 23, 2)) AS BIGINT) AS bytes_per_sector, CAST(('0x' || substr(data, 27, 2)) AS BIGINT) AS per_cluster, CAST(('0x' || substr(data, 31, 2) || substr(data, 29, 2)) AS BIGINT) AS reserved FROM b""".replace("WITH b", f"WITH {IMAGES}, b"))
 def boot_record(spark, sf):
@@ -74,12 +50,6 @@ def boot_record(spark, sf):
     return b.select("image", le(11, 2).alias("bytes_per_sector"), le(13, 1).alias("per_cluster"), le(14, 2).alias("reserved"))
 
 
-@query("src24_profile_by_size", """WITH g AS (SELECT * FROM (VALUES (1, 'small'), (5, 'medium'), (10, 'large'), (50, 'huge')) AS t(size, profile)) SELECT p_partkey AS path, coalesce(profile, 'UNKNOWN') AS profile FROM part LEFT JOIN g ON p_size = size""")
-def profile_by_size(spark, sf):
-    g = spark.createDataFrame([(1, "small"), (5, "medium"), (10, "large"), (50, "huge")], "size int, profile string")
-    return table(spark, sf, "part").join(F.broadcast(g), F.col("p_size") == F.col("size"), "left").select(F.col("p_partkey").alias("path"), F.coalesce("profile", F.lit("UNKNOWN")).alias("profile"))
-
-
 @query("scan01_track_iterator", f"WITH {FLUX} SELECT track, idx, amp FROM flux WHERE track BETWEEN 10 AND 20 AND idx % 2 = 0")
 def track_iterator(spark, sf):
     return flux(spark, sf).where("track BETWEEN 10 AND 20 AND idx % 2 = 0").select("track", "idx", "amp")

@@ -91,12 +91,6 @@ def tick_histogram(spark, sf):
     return flux(spark, sf).where(t <= 500).groupBy(t.alias("tick")).agg(F.count("*").alias("n"))
 
 
-@query("io18_extension_and_size", "SELECT p_partkey AS id, CASE WHEN p_type LIKE '%BRASS%' AND p_size > 25 THEN 'exact' WHEN p_type LIKE '%BRASS%' THEN 'extension' WHEN p_size > 40 THEN 'magic' ELSE 'unknown' END AS by_rule FROM part")
-def extension_and_size(spark, sf):
-    brass, s = F.col("p_type").like("%BRASS%"), F.col("p_size")
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.when(brass & (s > 25), "exact").when(brass, "extension").when(s > 40, "magic").otherwise("unknown").alias("by_rule"))
-
-
 @query("scan02_sector_iterator", f"WITH {SAMPLES} SELECT trace, idx, amp FROM samples WHERE label = 3 AND idx >= 60")
 def sector_iterator(spark, sf):
     return samples(spark, sf).where("label = 3 AND idx >= 60").select("trace", "idx", "amp")

@@ -29,40 +29,6 @@ def resolve_unique(spark, sf):
     return table(spark, sf, "nation").select(F.col("n_nationkey").alias("id")).join(u, "id", "left").select("id", "plugin")
 
 
-@query("src20_geometry", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 84 = 80 AND o_orderkey % 22 = 18 THEN 'HD' WHEN o_orderkey % 84 = 80 THEN 'DD' WHEN o_orderkey % 84 BETWEEN 35 AND 42 THEN 'SD' ELSE 'UNKNOWN' END AS geometry FROM orders")
-def geometry(spark, sf):
-    c, s = F.col("o_orderkey") % 84, F.col("o_orderkey") % 22
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.when((c == 80) & (s == 18), "HD").when(c == 80, "DD").when(c.between(35, 42), "SD").otherwise("UNKNOWN").alias("geometry"))
-
-
-@query("src22_validate_boot", """SELECT p_partkey AS id, p_size IN (1, 2, 4, 8, 16, 32) AND p_retailprice BETWEEN 900 AND 2000 AND length(p_name) > 8 AS valid FROM part""")
-def validate_boot(spark, sf):
-    power = (F.col("p_size") > 0) & (F.col("p_size").bitwiseAND(F.col("p_size") - 1) == 0)
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), (power & F.col("p_retailprice").between(900, 2000) & (F.length("p_name") > 8)).alias("valid"))
-
-
-@query("src26_suggestion", """WITH f AS (SELECT * FROM (VALUES ('flux', 0.6, true, true), ('bits', 0.5, false, true), ('sectors', 0.55, false, false)) AS t(format, base, flux, weak)), d AS (SELECT c_custkey AS path, c_acctbal > 5000 AS protected, c_nationkey % 2 = 0 AS has_weak FROM customer),
-  s AS (SELECT path, format, round(least(1.0, greatest(0.0, base + CASE WHEN flux THEN 0.15 ELSE 0 END + CASE WHEN protected THEN CASE WHEN flux THEN 0.2 ELSE -0.3 END ELSE 0 END + CASE WHEN has_weak THEN CASE WHEN weak THEN 0.15 ELSE -0.25 END ELSE 0 END)), 6) AS score FROM d, f),
-  r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, format) AS rank FROM s) SELECT path, format, score, rank FROM r""")
-def suggestion(spark, sf):
-    f = spark.createDataFrame([("flux", 0.6, True, True), ("bits", 0.5, False, True), ("sectors", 0.55, False, False)], "format string, base double, flux boolean, weak boolean")
-    d = table(spark, sf, "customer").select(F.col("c_custkey").alias("path"), (F.col("c_acctbal") > 5000).alias("protected"), (F.col("c_nationkey") % 2 == 0).alias("has_weak"))
-    pick = lambda c, a, b: F.when(F.col(c), a).otherwise(b)
-    score = F.col("base") + pick("flux", 0.15, 0.0) + F.when(F.col("protected"), pick("flux", 0.2, -0.3)).otherwise(0.0) + F.when(F.col("has_weak"), pick("weak", 0.15, -0.25)).otherwise(0.0)
-    s = d.crossJoin(F.broadcast(f)).select("path", "format", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)), 6).alias("score"))
-    return s.withColumn("rank", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("score"), "format")).cast("long"))
-
-
-@query("src27_triage", f"""WITH {FLUX}, b AS (SELECT min(track) AS lo, max(track) AS hi FROM flux), t AS (SELECT track, avg(CASE WHEN label = 'error' THEN 1.0 ELSE 0.0 END) AS bad FROM flux, b WHERE track IN (lo, hi, (lo + hi) // 2) GROUP BY track)
-  SELECT track, round(bad, 6) AS bad, CASE WHEN bad < 0.05 THEN 'GREEN' WHEN bad < 0.2 THEN 'YELLOW' ELSE 'RED' END AS grade FROM t""")
-def triage(spark, sf):
-    f = flux(spark, sf)
-    b = f.agg(F.min("track").alias("lo"), F.max("track").alias("hi"))  # one row
-    t = f.join(F.broadcast(b), (F.col("track") == F.col("lo")) | (F.col("track") == F.col("hi")) | (F.col("track") == F.expr("(lo + hi) div 2")))
-    t = t.groupBy("track").agg(F.avg(F.when(F.col("label") == "error", 1.0).otherwise(0.0)).alias("bad"))
-    return t.select("track", F.round("bad", 6).alias("bad"), F.when(F.col("bad") < 0.05, "GREEN").when(F.col("bad") < 0.2, "YELLOW").otherwise("RED").alias("grade"))
-
-
 @query("io05_checksum", f"""WITH {IMAGES} SELECT image, chunk, CAST((SELECT sum(CAST('0x' || substr(data, i * 2 + 1, 2) AS BIGINT)) FROM range(0, length(data) // 2) AS r(i)) % 4294967296 AS BIGINT) AS checksum FROM images""")
 def checksum(spark, sf):
     at = F.sequence(F.lit(1), (F.length("data") / 2).cast("int"))
