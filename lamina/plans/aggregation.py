@@ -136,12 +136,6 @@ def surface_scan(spark, sf):
                                   F.round(F.count_if("fine") * 100.0 / F.count("*"), 6).alias("quality"))
 
 
-@query("agg19_bad_sectors", f"""WITH {SECTORS} SELECT track, sector, read, count(*) OVER () AS found FROM sectors WHERE NOT crc_ok ORDER BY track, sector, read LIMIT 100""")
-def bad_sectors(spark, sf):
-    bad = sectors(spark, sf).where(~F.col("crc_ok")).select("track", "sector", "read")
-    return bad.orderBy("track", "sector", "read").limit(100).crossJoin(F.broadcast(bad.agg(F.count("*").alias("found"))))  # one row
-
-
 @query("agg20_bit_error_rate", """WITH p AS (SELECT label, unnest(embedding[1:63]) AS a, unnest(embedding[2:64]) AS b FROM embeddings), q AS (SELECT label, CAST(floor(abs(a) * 100) AS BIGINT) AS x, CAST(floor(abs(b) * 100) AS BIGINT) AS y FROM p)
   SELECT CAST(label AS BIGINT) AS label, CAST(sum(bit_count(xor(x, y))) AS BIGINT) AS errors, count(*) * 8 AS bits, round(greatest(-10.0, log10(sum(bit_count(xor(x, y))) / (count(*) * 8))), 6) AS log_rate FROM q GROUP BY label""")
 def bit_error_rate(spark, sf):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregation, codes, comparison, detection, filesystems, formats, fusion_policy, kernels, loops, more, records, sequence, sequence_more, streams  # noqa: F401
+from . import aggregation, codes, comparison, detection, filesystems, formats, fusion_policy, kernels, loops, media, more, records, sequence, sequence_more, series, streams  # noqa: F401
 from .base import QUERIES, SQL
 
 

@@ -75,30 +75,11 @@ def status_or_default(spark, sf):
     return cmp.left_default(pairs, F.broadcast(m), ["src", "dst"], "status", "UNTESTED").select("src", "dst", "status")
 
 
-@query("join18_duplicate_recovery", f"""WITH {SECTORS}, bad AS (SELECT track, sector, min(data) AS data FROM sectors WHERE NOT crc_ok GROUP BY 1, 2), good AS (SELECT data // 10 AS k, track AS t2, sector AS s2, data AS d2 FROM sectors WHERE crc_ok),
-  c AS (SELECT b.track, b.sector, t2, s2, d2, row_number() OVER (PARTITION BY b.track, b.sector ORDER BY t2, s2, d2) AS n FROM bad b JOIN good g ON b.data // 10 = g.k) SELECT track, sector, t2 AS from_track, s2 AS from_sector, d2 AS inferred FROM c WHERE n = 1""")
-def duplicate_recovery(spark, sf):
-    s = sectors(spark, sf)
-    bad = s.where(~F.col("crc_ok")).groupBy("track", "sector").agg(F.min("data").alias("data")).withColumn("k", F.expr("data div 10"))
-    # The first good sector of a content class is found before the join, so a class of many sectors is one row.
-    good = s.where("crc_ok").groupBy(F.expr("data div 10").alias("k")).agg(F.min(F.struct("track", "sector", "data")).alias("g"))
-    return bad.join(good, "k").select("track", "sector", F.col("g.track").alias("from_track"), F.col("g.sector").alias("from_sector"), F.col("g.data").alias("inferred"))
-
-
 @query("join22_best_positive", "SELECT l_orderkey AS disk, arg_max(l_shipdate, (l_quantity, l_linenumber, l_partkey)) AS at FROM lineitem WHERE l_quantity > 10 GROUP BY 1")
 def best_positive(spark, sf):
     return table(spark, sf, "lineitem").where("l_quantity > 10").groupBy(F.col("l_orderkey").alias("disk")).agg(F.max_by("l_shipdate", F.struct("l_quantity", "l_linenumber", "l_partkey")).alias("at"))
 
 
-@query("io32_slices_at_index", """WITH i AS (SELECT user_id AS track, event_id AS from_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS to_id FROM events WHERE event_type = 'purchase')
-  SELECT i.track, from_id, count(*) AS n FROM i JOIN events e ON e.user_id = i.track AND e.event_id >= from_id AND (to_id IS NULL OR e.event_id < to_id) GROUP BY 1, 2""")
-def slices_at_index(spark, sf):
-    # A range join to index marks, as a running last mark: one sort, no pairs.
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    e = table(spark, sf, "events").withColumn("from_id", F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), True).over(w))
-    return e.where("from_id IS NOT NULL").groupBy(F.col("user_id").alias("track"), "from_id").agg(F.count("*").alias("n"))
-
-
 @query("set01_multiset_difference", "SELECT c_nationkey AS k, count(*) AS n FROM (SELECT c_nationkey FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier) GROUP BY 1")
 def multiset_difference(spark, sf):
     d = table(spark, sf, "customer").select("c_nationkey").exceptAll(table(spark, sf, "supplier").select("s_nationkey"))

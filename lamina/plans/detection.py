@@ -50,11 +50,6 @@ def boot_record(spark, sf):
     return b.select("image", le(11, 2).alias("bytes_per_sector"), le(13, 1).alias("per_cluster"), le(14, 2).alias("reserved"))
 
 
-@query("scan01_track_iterator", f"WITH {FLUX} SELECT track, idx, amp FROM flux WHERE track BETWEEN 10 AND 20 AND idx % 2 = 0")
-def track_iterator(spark, sf):
-    return flux(spark, sf).where("track BETWEEN 10 AND 20 AND idx % 2 = 0").select("track", "idx", "amp")
-
-
 @query("scan04_interleaved_order", """WITH t AS (SELECT DISTINCT user_id AS track FROM events) SELECT track, row_number() OVER (ORDER BY 1 - track % 2, track) - 1 AS step FROM t""")
 def interleaved_order(spark, sf):
     # Odd tracks first, then even ones; the distinct tracks are the device's, a bounded list.
@@ -75,13 +70,6 @@ def glob_filter(spark, sf):
     return table(spark, sf, "part").where(glob(F.col("p_name"), "*ll w?dget")).select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
 
 
-@query("join21_signature_scan", """WITH s AS (SELECT * FROM (VALUES ('a', 'token = '), ('b', 'license'), ('c', '@mail')) AS t(sig, pat)) SELECT doc_id AS image, sig, CAST(instr(text, pat) - 1 AS BIGINT) AS at FROM documents, s WHERE instr(text, pat) > 0""")
-def signature_scan(spark, sf):
-    sigs = [("a", "token = "), ("b", "license"), ("c", "@mail")]
-    hits = F.array_compact(F.array(*[F.when(F.instr("text", F.lit(p)) > 0, F.struct(F.lit(s).alias("sig"), (F.instr("text", F.lit(p)) - 1).cast("long").alias("at"))) for s, p in sigs]))
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("image"), F.explode(hits).alias("h")).select("image", "h.sig", "h.at")
-
-
 @query("prot06_pattern_track", r"""SELECT doc_id AS image, CAST(length(regexp_extract(text, '(!! ?[A-Z]+){5,}')) AS BIGINT) AS length FROM documents WHERE regexp_matches(text, '(!! ?[A-Z]+){5,}')""")
 def pattern_track(spark, sf):
     p = r"(!! ?[A-Z]+){5,}"

@@ -16,12 +16,6 @@ def viterbi(spark, sf):
     return decode.viterbi(samples(spark, sf), "trace", "idx", "amp", (-0.15, 0.0, 0.15))
 
 
-@query("win08_rule_merge")
-def rule_merge(spark, sf):
-    runs = win.runs(flux(spark, sf), ["track"], "idx", F.col("label"))
-    return decode.merge_runs(runs, "track", "first", "run_label", "length", 3)
-
-
 @query("fn02_crc32")
 def crc32(spark, sf):
     return table(spark, sf, "documents").select(F.col("doc_id").alias("image"), F.crc32("text").alias("crc"))

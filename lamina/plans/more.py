@@ -131,29 +131,6 @@ def bytes_equal(spark, sf):
     return i.join(y, ["image", "chunk"]).groupBy("image").agg(F.bool_and(F.col("data") == F.col("other")).alias("equal"))
 
 
-@query("win05_ladder", f"""WITH {SAMPLES}, d AS (SELECT trace, idx, coalesce(amp - lag(amp) OVER (PARTITION BY trace ORDER BY idx), 0) AS delta, coalesce(lead(amp) OVER (PARTITION BY trace ORDER BY idx) - amp, 0) AS nxt FROM samples)
-  SELECT trace, idx, CASE WHEN delta > 0.2 AND nxt < -0.2 THEN 'SPIKE_POS' WHEN delta < -0.2 AND nxt > 0.2 THEN 'SPIKE_NEG' WHEN delta > 0.2 THEN 'REFLECTION' WHEN delta < -0.2 THEN 'ATTENUATION' WHEN abs(delta) > 0.1 THEN 'DRIFT' ELSE 'NONE' END AS kind FROM d""")
-def ladder(spark, sf):
-    w = Window.partitionBy("trace").orderBy("idx")
-    d = samples(spark, sf).withColumns({"delta": F.coalesce(F.col("amp") - F.lag("amp").over(w), F.lit(0.0)), "nxt": F.coalesce(F.lead("amp").over(w) - F.col("amp"), F.lit(0.0))})
-    x, n = F.col("delta"), F.col("nxt")
-    kind = F.when((x > 0.2) & (n < -0.2), "SPIKE_POS").when((x < -0.2) & (n > 0.2), "SPIKE_NEG").when(x > 0.2, "REFLECTION").when(x < -0.2, "ATTENUATION").when(F.abs(x) > 0.1, "DRIFT").otherwise("NONE")
-    return d.select("trace", "idx", kind.alias("kind"))
-
-
-@query("win29_low_envelope", f"""WITH {SAMPLES}, e AS (SELECT trace, idx, sqrt(avg(amp * amp) OVER (PARTITION BY trace ORDER BY idx ROWS 7 PRECEDING)) < 0.1 AS low FROM samples), g AS (SELECT trace, idx, idx - row_number() OVER (PARTITION BY trace ORDER BY idx) AS grp FROM e WHERE low) SELECT trace, min(idx) AS first, count(*) AS length FROM g GROUP BY trace, grp HAVING count(*) >= 2""")
-def low_envelope(spark, sf):
-    e = samples(spark, sf).withColumn("low", win.rms(F.col("amp"), win.trailing(["trace"], "idx", 8)) < 0.1)
-    return win.runs(e, ["trace"], "idx", F.col("low")).where("run_label AND length >= 2").select("trace", "first", "length")
-
-
-@query("win35_aligned_traces", f"WITH {SAMPLES} SELECT s.trace, s.idx, coalesce(t.amp, 0) AS amp FROM samples s LEFT JOIN samples t ON t.trace = s.trace AND t.idx = s.idx - s.label")
-def aligned_traces(spark, sf):
-    s = samples(spark, sf)
-    t = s.select("trace", (F.col("idx") + F.col("label")).alias("idx"), F.col("amp").alias("moved"))
-    return s.join(t, ["trace", "idx"], "left").select("trace", "idx", F.coalesce("moved", F.lit(0.0)).alias("amp"))
-
-
 @query("fuse04_accept", f"""WITH {SECTORS}, c AS (SELECT track, sector, data, count(*) AS n, count(*) FILTER (crc_ok) AS g FROM sectors GROUP BY 1, 2, 3), v AS (SELECT track, sector, arg_max(data, (n, -data)) AS data, max(n) * 100 // sum(n) AS conf, sum(g) AS good FROM c GROUP BY 1, 2) SELECT track, sector, data, conf >= 60 AND good > 0 AS recovered FROM v""")
 def accept(spark, sf):
     c = sectors(spark, sf).groupBy("track", "sector", "data").agg(F.count("*").alias("n"), F.count_if("crc_ok").alias("g"))

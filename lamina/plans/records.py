@@ -29,13 +29,6 @@ def resolve_unique(spark, sf):
     return table(spark, sf, "nation").select(F.col("n_nationkey").alias("id")).join(u, "id", "left").select("id", "plugin")
 
 
-@query("io05_checksum", f"""WITH {IMAGES} SELECT image, chunk, CAST((SELECT sum(CAST('0x' || substr(data, i * 2 + 1, 2) AS BIGINT)) FROM range(0, length(data) // 2) AS r(i)) % 4294967296 AS BIGINT) AS checksum FROM images""")
-def checksum(spark, sf):
-    at = F.sequence(F.lit(1), (F.length("data") / 2).cast("int"))
-    total = F.aggregate(at, F.lit(0).cast("long"), lambda a, i: a + F.conv(F.substring("data", i * 2 - 1, F.lit(2)), 16, 10).cast("long"))
-    return images(spark, sf).select("image", "chunk", (total % 4294967296).alias("checksum"))
-
-
 @query("io06_rpm", f"WITH {FLUX} SELECT track, idx, CASE WHEN dt > 0 THEN CAST(floor(60000000000.0 / dt) AS BIGINT) ELSE 0 END AS rpm FROM flux WHERE dt IS NOT NULL")
 def rpm(spark, sf):
     return flux(spark, sf).where("dt IS NOT NULL").select("track", "idx", F.coalesce(F.floor(F.lit(60000000000.0) / F.nullif("dt", F.lit(0))), F.lit(0)).cast("long").alias("rpm"))
@@ -46,12 +39,6 @@ def to_json(spark, sf):
     return sectors(spark, sf).groupBy("track").agg(F.to_json(F.struct(F.count("*").alias("sectors"), F.count_if(~F.col("crc_ok")).alias("bad"))).alias("report"))
 
 
-@query("io17_validate", f"WITH {SECTORS} SELECT CAST(sum(CASE WHEN sector < 1 OR sector > 7 THEN 1 ELSE 0 END) AS BIGINT) AS bad_sector, CAST(sum(CASE WHEN quality <= 0 THEN 1 ELSE 0 END) AS BIGINT) AS bad_quality, count(*) AS checked FROM sectors")
-def validate(spark, sf):
-    s = sectors(spark, sf)
-    return s.agg(F.count_if(~F.col("sector").between(1, 7)).alias("bad_sector"), F.count_if(F.col("quality") <= 0).alias("bad_quality"), F.count("*").alias("checked"))
-
-
 @query("scan03_pair_iterator", f"WITH {SAMPLES} SELECT a.trace, a.idx, a.amp AS left_amp, b.amp AS right_amp FROM samples a JOIN samples b ON b.trace = a.trace + 250 AND b.idx = a.idx")
 def pair_iterator(spark, sf):
     s = samples(spark, sf).select("trace", "idx", "amp")
@@ -64,13 +51,6 @@ def sector_lookup(spark, sf):
     return sectors(spark, sf).where("sector = 3").groupBy("track").agg(F.min_by("data", "read").alias("data"))
 
 
-@query("scan12_annotate", "SELECT user_id AS disk, string_agg(event_type || '@' || event_id, ';' ORDER BY event_id) AS notes FROM events WHERE event_type = 'error' GROUP BY 1")
-def annotate(spark, sf):
-    note = F.struct("event_id", F.concat(F.col("event_type"), F.lit("@"), F.col("event_id").cast("string")).alias("t"))
-    e = table(spark, sf, "events").where("event_type = 'error'").groupBy(F.col("user_id").alias("disk")).agg(F.array_sort(F.collect_list(note)).alias("n"))
-    return e.select("disk", F.array_join(F.transform("n", lambda s: s["t"]), ";").alias("notes"))
-
-
 @query("join08_self_verify", f"""WITH {SECTORS}, p AS (SELECT track, sector, count(*) AS reads, count(DISTINCT data) AS v FROM sectors GROUP BY 1, 2) SELECT track, count(*) FILTER (reads > 1 AND v = 1) AS verified, count(*) FILTER (reads > 1 AND v > 1) AS failed, count(*) FILTER (reads = 1) AS unread FROM p GROUP BY track""")
 def self_verify(spark, sf):
     p = sectors(spark, sf).groupBy("track", "sector").agg(F.count("*").alias("reads"), F.count_distinct("data").alias("v"))

@@ -86,14 +86,6 @@ def clipping_runs(spark, sf):
     return _runs_where(samples(spark, sf), F.abs("amp") >= 0.15, 2, 20)
 
 
-@query("win13_stuck_runs", f"""WITH {SAMPLES}, c AS (SELECT trace, idx, coalesce(abs(amp - lag(amp) OVER (PARTITION BY trace ORDER BY idx)) <= 0.02, false) AS hit FROM samples),
-  g AS (SELECT trace, idx, idx - row_number() OVER (PARTITION BY trace ORDER BY idx) AS grp FROM c WHERE hit) SELECT trace, min(idx) - 1 AS first, max(idx) AS last, count(*) + 1 AS length FROM g GROUP BY trace, grp HAVING count(*) >= 2""")
-def stuck_runs(spark, sf):
-    still = F.coalesce(F.abs(F.col("amp") - F.lag("amp").over(_w())) <= 0.02, F.lit(False))
-    r = win.runs(samples(spark, sf).withColumn("still", still), ["trace"], "idx", F.col("still")).where("run_label AND length >= 2")
-    return r.select("trace", (F.col("first") - 1).alias("first"), "last", (F.col("length") + 1).alias("length"))
-
-
 @query("win15_repair", f"""WITH {SAMPLES}, b AS (SELECT *, abs(amp) < 0.05 AS bad FROM samples), n AS (SELECT *, last_value(CASE WHEN NOT bad THEN amp END IGNORE NULLS) OVER p AS v0, last_value(CASE WHEN NOT bad THEN idx END IGNORE NULLS) OVER p AS i0,
   first_value(CASE WHEN NOT bad THEN amp END IGNORE NULLS) OVER q AS v1, first_value(CASE WHEN NOT bad THEN idx END IGNORE NULLS) OVER q AS i1 FROM b
   WINDOW p AS (PARTITION BY trace ORDER BY idx ROWS UNBOUNDED PRECEDING), q AS (PARTITION BY trace ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
@@ -111,11 +103,6 @@ def _conf(spark, sf):
     return sectors(spark, sf).select("track", (F.row_number().over(w) - 1).cast("long").alias("idx"), clamp(x, 0.0, 1.0).alias("conf"))
 
 
-@query("win16_confidence_map", f"WITH {CONF} SELECT track, idx, round(conf, 6) AS confidence FROM o")
-def confidence_map(spark, sf):
-    return _conf(spark, sf).select("track", "idx", F.round("conf", 6).alias("confidence"))
-
-
 @query("win17_confidence_segments", f"""WITH {CONF}, b AS (SELECT *, CASE WHEN round(conf, 9) >= 0.7 THEN 'HIGH' WHEN round(conf, 9) >= 0.3 THEN 'MID' ELSE 'LOW' END AS band FROM o),
   g AS (SELECT *, idx - row_number() OVER (PARTITION BY track, band ORDER BY idx) AS grp FROM b), s AS (SELECT track, band, min(idx) AS first, max(idx) AS last, count(*) AS length, round(avg(conf), 6) AS mean FROM g GROUP BY track, band, grp)
   SELECT *, row_number() OVER (PARTITION BY track ORDER BY mean DESC, first) - 1 AS rank FROM s""")
@@ -132,23 +119,6 @@ def smooth(spark, sf):
     return samples(spark, sf).select("trace", "idx", F.round(F.avg("amp").over(_w().rowsBetween(-4, 4)), 6).alias("smooth"))
 
 
-@query("win20_events", f"""WITH {FLUX}, x AS (SELECT *, lag(dt) OVER (PARTITION BY track ORDER BY idx) AS prev, avg(dt) OVER (PARTITION BY track) AS mean FROM flux),
-  k AS (SELECT track, idx, 'NOFLUX' AS kind FROM x WHERE dt > 4 * mean UNION ALL SELECT track, idx, 'JITTER_SPIKE' FROM x WHERE dt > 2.5 * prev UNION ALL SELECT track, idx, 'ENCODING_ERROR' FROM x WHERE label = 'error') SELECT track, idx, kind FROM k""")
-def events(spark, sf):
-    w = Window.partitionBy("track")
-    x = flux(spark, sf).withColumns({"prev": F.lag("dt").over(w.orderBy("idx")), "mean": F.avg("dt").over(w)})
-    kinds = F.array_compact(F.array(F.when(F.col("dt") > F.col("mean") * 4, F.lit("NOFLUX")), F.when(F.col("dt") > F.col("prev") * 2.5, F.lit("JITTER_SPIKE")), F.when(F.col("label") == "error", F.lit("ENCODING_ERROR"))))
-    return x.select("track", "idx", F.explode(kinds).alias("kind"))
-
-
-@query("win21_weak_bits", f"""WITH {SECTORS}, c AS (SELECT track, sector, coalesce(stddev_pop(quality) / avg(quality) > 0.3, false) AS weak FROM sectors GROUP BY track, sector),
-  g AS (SELECT track, sector, sector - row_number() OVER (PARTITION BY track ORDER BY sector) AS grp FROM c WHERE weak) SELECT track, min(sector) AS first, count(*) AS length FROM g GROUP BY track, grp""")
-def weak_bits(spark, sf):
-    c = sectors(spark, sf).groupBy("track", "sector").agg((F.stddev_pop("quality") / F.avg("quality") > 0.3).alias("weak")).where("weak")
-    at = F.col("sector") - F.row_number().over(Window.partitionBy("track").orderBy("sector"))
-    return c.withColumn("grp", at).groupBy("track", "grp").agg(F.min("sector").alias("first"), F.count("*").alias("length")).drop("grp")
-
-
 @query("win25_envelope", f"""WITH {SAMPLES}, e AS (SELECT trace, idx, sqrt(avg(amp * amp) OVER w) AS rms, stddev_pop(amp) OVER w AS s, avg(amp) OVER w AS m FROM samples WINDOW w AS (PARTITION BY trace ORDER BY idx ROWS 15 PRECEDING))
   SELECT trace, idx, round(rms, 6) AS rms, round(CASE WHEN s > 1e-12 AND abs(m) > 0 THEN 20 * log10(abs(m) / s) ELSE -60.0 END, 4) AS snr FROM e WHERE idx % 8 = 7""")
 def envelope(spark, sf):

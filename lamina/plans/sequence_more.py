@@ -36,38 +36,6 @@ def polarity(spark, sf):
     return n.select("trace", "idx", p.alias("polarity"))
 
 
-@query("win10_pass_fail", f"""WITH {FLUX}, t AS (SELECT track, max(amp) AS peak, avg(amp) AS mean, count(*) FILTER (label = 'error') AS errors FROM flux GROUP BY track)
-  SELECT track, CAST((CASE WHEN peak > 450 THEN 1 ELSE 0 END) | (CASE WHEN mean > 60 THEN 2 ELSE 0 END) | (CASE WHEN errors > 8 THEN 4 ELSE 0 END) AS BIGINT) AS reasons,
-  CASE WHEN peak > 450 OR mean > 60 OR errors > 8 THEN 'FAIL' WHEN peak > 450 * 0.7 OR mean > 60 * 0.7 OR errors > 8 * 0.7 THEN 'WARN' ELSE 'PASS' END AS verdict FROM t""")
-def pass_fail(spark, sf):
-    t = flux(spark, sf).groupBy("track").agg(F.max("amp").alias("peak"), F.avg("amp").alias("mean"), F.count_if(F.col("label") == "error").alias("errors"))
-    limits = [("peak", 450.0), ("mean", 60.0), ("errors", 8.0)]
-    fail, warn, reasons = F.lit(False), F.lit(False), F.lit(0)
-    for i, (c, x) in enumerate(limits):
-        fail, warn = fail | (F.col(c) > x), warn | (F.col(c) > x * 0.7)
-        reasons = reasons.bitwiseOR(F.when(F.col(c) > x, 1 << i).otherwise(0))
-    return t.select("track", reasons.cast("long").alias("reasons"), F.when(fail, "FAIL").when(warn, "WARN").otherwise("PASS").alias("verdict"))
-
-
-@query("win14_dead_zone", f"""WITH {SAMPLES}, d AS (SELECT trace, idx, coalesce(abs(amp - lag(amp) OVER (PARTITION BY trace ORDER BY idx)) < 0.08, false) AS dead FROM samples),
-  g AS (SELECT trace, idx, idx - row_number() OVER (PARTITION BY trace ORDER BY idx) AS grp FROM d WHERE dead) SELECT trace, min(idx) AS first, count(*) AS length FROM g GROUP BY trace, grp HAVING count(*) >= 3""")
-def dead_zone(spark, sf):
-    dead = F.coalesce(F.abs(F.col("amp") - F.lag("amp").over(_w())) < 0.08, F.lit(False))
-    return win.runs(samples(spark, sf).withColumn("dead", dead), ["trace"], "idx", F.col("dead")).where("run_label AND length >= 3").select("trace", "first", "length")
-
-
-@query("win22_template", f"""WITH {SAMPLES}, t AS (SELECT idx, amp FROM samples WHERE trace = 0 AND idx < 8), m AS (SELECT a.trace, a.idx - t.idx AS pos, sum(a.amp * t.amp) AS dot, sqrt(sum(a.amp * a.amp)) AS n, count(*) AS c FROM samples a, t WHERE a.idx >= t.idx GROUP BY 1, 2)
-  SELECT trace, pos, round(dot / (n * (SELECT sqrt(sum(amp * amp)) FROM t)), 6) AS score FROM m WHERE c = 8 AND dot / (n * (SELECT sqrt(sum(amp * amp)) FROM t)) >= 0.6""")
-def template(spark, sf):
-    s = samples(spark, sf)
-    t = s.where("trace = 0 AND idx < 8").select(F.col("idx").alias("o"), F.col("amp").alias("t"))  # eight values
-    norm = t.agg(F.sqrt(F.sum(F.col("t") * F.col("t"))).alias("tn"))
-    m = s.join(F.broadcast(t), F.col("idx") >= F.col("o")).groupBy("trace", (F.col("idx") - F.col("o")).alias("pos")).agg(
-        F.sum(F.col("amp") * F.col("t")).alias("dot"), F.sqrt(F.sum(F.col("amp") * F.col("amp"))).alias("n"), F.count("*").alias("c")).where("c = 8")
-    score = F.col("dot") / (F.col("n") * F.col("tn"))
-    return m.crossJoin(F.broadcast(norm)).where(score >= 0.6).select("trace", "pos", F.round(score, 6).alias("score"))
-
-
 @query("win26_envelope_health", f"""WITH {SAMPLES}, e AS (SELECT trace, idx, sqrt(avg(amp * amp) OVER (PARTITION BY trace ORDER BY idx ROWS 15 PRECEDING)) AS r FROM samples), k AS (SELECT *, row_number() OVER (PARTITION BY trace ORDER BY r, idx) AS k, count(*) OVER (PARTITION BY trace) AS n FROM e)
   SELECT trace, round(least(1.0, greatest(0.0, (20 * log10(avg(r)) + 30) / 25)), 6) AS health FROM k WHERE k > floor(n * 0.1) AND k <= n - floor(n * 0.1) GROUP BY trace""")
 def envelope_health(spark, sf):
@@ -95,15 +63,6 @@ def splice_map(spark, sf):
     return s.join(m, "label").groupBy("label").agg(F.max("med").alias("med"), F.round(F.avg(F.when(F.abs(F.col("pos") - F.col("med")) <= 8, 1.0).otherwise(0.0)), 6).alias("near"))
 
 
-@query("win41_llr", f"""WITH {FLUX}, c AS (SELECT track, idx, dt / 3.6e9 AS x FROM flux WHERE dt > 0), n AS (SELECT *, least(8, greatest(1, CAST(floor(x + 0.5) AS BIGINT))) AS cells FROM c)
-  SELECT track, idx, k AS cell, round(CASE WHEN k = cells THEN 1.0 ELSE -1.0 END * least(8.0, 1.0 / (0.1 + abs(x - cells))), 6) AS llr FROM n, unnest(range(1, cells + 1)) AS u(k)""")
-def llr(spark, sf):
-    n = flux(spark, sf).where("dt > 0").withColumn("x", F.col("dt") / 3.6e9).withColumn("cells", F.least(F.lit(8).cast("long"), F.greatest(F.lit(1).cast("long"), F.floor(F.col("x") + 0.5))))
-    e = n.withColumn("cell", F.explode(F.sequence(F.lit(1).cast("long"), "cells")))
-    sign = F.when(F.col("cell") == F.col("cells"), 1.0).otherwise(-1.0)
-    return e.select("track", "idx", "cell", F.round(sign * F.least(F.lit(8.0), 1.0 / (F.abs(F.col("x") - F.col("cells")) + 0.1)), 6).alias("llr"))
-
-
 @query("win42_soft_bytes", f"""WITH {SAMPLES} SELECT trace, idx // 8 AS byte, CAST(sum(CASE WHEN amp > 0 THEN 1 << CAST(7 - idx % 8 AS INT) ELSE 0 END) AS BIGINT) AS value FROM samples GROUP BY 1, 2""")
 def soft_bytes(spark, sf):
     bit = F.when(F.col("amp") > 0, F.expr("shiftleft(1, cast(7 - idx % 8 as int))")).otherwise(0)

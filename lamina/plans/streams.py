@@ -52,10 +52,3 @@ def flux_container(spark, sf):
 
     packed = d.groupBy("path").applyInArrow(pack, "path string, content binary")
     return transitions(packed, decode_transitions).where("ticks > 0").groupBy("path", "ticks").agg(F.count("*").alias("n"))
-
-
-@query("io19_sector_image", f"WITH {IMAGES} SELECT image, count(*) AS sectors, min(length(data)) // 2 AS least FROM images GROUP BY image")
-def sector_images(spark, sf):
-    docs = table(spark, sf, "documents").where("length(text) > 0").select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "utf-8").alias("content"))
-    cut = sector_image(docs, 256)
-    return cut.groupBy(F.col("path").cast("long").alias("image")).agg(F.count("*").alias("sectors"), F.min(F.length("data")).cast("long").alias("least"))

@@ -149,3 +149,116 @@ class _SectorReader(DataSourceReader):
         with store.open_input_file(partition.uri) as f:
             for at in range(partition.start, partition.stop, self.size):
                 yield partition.uri, at // self.size, f.read_at(min(self.size, partition.stop - at), at)
+
+
+# Track table of a flux image, chunk names of a capture container.
+TABLE_AT, TABLE_TRACKS = 0x10, 168
+CAPTURE_HEAD = b"A2R2\xff\n\r\n"
+
+
+def encode_stream(ticks: np.ndarray) -> bytes:
+    """Opcodes of intervals, an information block first, the end mark last."""
+    out = bytearray(b"\x0d\x01\x08\x00" + bytes(8))
+    for t in ticks.tolist():
+        while t > 65535:
+            out.append(OVERFLOW)
+            t -= 65536
+        if OOB < t < 256:
+            out.append(t)
+        elif t < 2048:
+            out += bytes([t >> 8, t & 255])
+        else:
+            out += bytes([FLUX3, t >> 8, t & 255])
+    return bytes(out + bytes([OOB, OOB, OOB, OOB]))
+
+
+def flux_image(tracks: dict[int, bytes], writable: bool = False) -> bytes:
+    """A flux image of one revolution a track: header with checksum, table of offsets, track headers, interval words."""
+    body, table = bytearray(), [0] * TABLE_TRACKS
+    for no, words in sorted(tracks.items()):
+        table[no] = TABLE_AT + 4 * TABLE_TRACKS + len(body)
+        body += b"TRK" + bytes([no]) + len(words).to_bytes(4, "little") + (len(words) // 2).to_bytes(4, "little") + (16).to_bytes(4, "little") + words
+    rest = b"".join(t.to_bytes(4, "little") for t in table) + bytes(body)
+    total = sum(rest) & 0xFFFFFFFF
+    return b"SCP\x19\x80\x01" + bytes([min(tracks, default=0), max(tracks, default=0), 4 if writable else 0, 0, 0, 0]) + total.to_bytes(4, "little") + rest
+
+
+def open_flux_image(raw: bytes) -> list[tuple[int, int, int]]:
+    """(track, offset, words) of the tracks that a flux image's table names."""
+    out = []
+    if raw[:3] == b"SCP":
+        for no in range(TABLE_TRACKS):
+            at = int.from_bytes(raw[TABLE_AT + 4 * no : TABLE_AT + 4 * no + 4], "little")
+            if at and raw[at : at + 3] == b"TRK":
+                out.append((no, at, int.from_bytes(raw[at + 8 : at + 12], "little")))
+    return out
+
+
+def flux_track(raw: bytes, no: int) -> np.ndarray:
+    """Intervals of one track of a flux image."""
+    for track, at, words in open_flux_image(raw):
+        if track == no:
+            start = at + int.from_bytes(raw[at + 12 : at + 16], "little")
+            return decode_transitions(raw[start : start + 2 * words])
+    return np.empty(0, np.int64)
+
+
+def checksum_ok(raw: bytes) -> bool:
+    """A flux image's checksum over all after the header; one that may be written to has none."""
+    return bool(raw[8] & 4) or sum(raw[TABLE_AT:]) & 0xFFFFFFFF == int.from_bytes(raw[12:16], "little")
+
+
+def capture_file(captures: dict[int, np.ndarray]) -> bytes:
+    """A container of chunks: information, then captures whose intervals are bytes that 255 continues."""
+    body = bytearray()
+    for no, ticks in sorted(captures.items()):
+        data = b"".join(b"\xff" * (t // 255) + bytes([t % 255]) for t in ticks.tolist())
+        body += bytes([no, 1]) + len(data).to_bytes(4, "little") + int(ticks.sum()).to_bytes(4, "little") + data
+    chunk = lambda name, data: name + len(data).to_bytes(4, "little") + bytes(data)
+    return CAPTURE_HEAD + chunk(b"INFO", b"\x01" + bytes(35)) + chunk(b"STRM", body + b"\xff")
+
+
+def read_captures(raw: bytes) -> list[tuple[int, np.ndarray]]:
+    """(location, intervals) of each capture; unknown chunks are passed over."""
+    out, at = [], len(CAPTURE_HEAD)
+    while raw.startswith(CAPTURE_HEAD) and at + 8 <= len(raw):
+        name, size = raw[at : at + 4], int.from_bytes(raw[at + 4 : at + 8], "little")
+        body, at = raw[at + 8 : at + 8 + size], at + 8 + size
+        k = 0
+        while name == b"STRM" and k + 10 <= len(body) and body[k] != 255:
+            n = int.from_bytes(body[k + 2 : k + 6], "little")
+            b = np.frombuffer(body[k + 10 : k + 10 + n], np.uint8).astype(np.int64)
+            ends = np.flatnonzero(b < 255)
+            total = np.cumsum(b)[ends]
+            out.append((body[k], np.diff(total, prepend=0)))
+            k += 10 + n
+    return out
+
+
+def opened(containers: DataFrame, rows, schema: str) -> DataFrame:
+    """path and what rows(content) gives, a tuple a row, for each container."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    out = to_arrow_schema(StructType.fromDDL("path string, " + schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                cols = list(zip(*rows(raw or b""), strict=True)) or [()] * (len(out) - 1)
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(cols[0]), pa.string()), *[pa.array(c, f.type) for c, f in zip(cols, list(out)[1:], strict=True)]], schema=out)
+
+    return containers.select("path", "content").mapInArrow(run, "path string, " + schema)
+
+
+def packed(tracks: DataFrame, build) -> DataFrame:
+    """(path, content) of (path, no, idx, ticks): build takes a container's intervals by track. A container holds what a disk holds."""
+
+    def run(t: pa.Table) -> pa.Table:
+        order = np.lexsort((t["idx"].to_numpy(), t["no"].to_numpy()))
+        no, ticks = t["no"].to_numpy()[order], t["ticks"].to_numpy()[order]
+        edge = np.flatnonzero(np.concatenate([[True], no[1:] != no[:-1]]))
+        parts = {int(no[a]): ticks[a:b] for a, b in zip(edge, np.append(edge[1:], len(no)), strict=True)}
+        return pa.table({"path": t["path"].slice(0, 1), "content": pa.array([build(parts)], pa.binary())})
+
+    return tracks.groupBy("path").applyInArrow(run, "path string, content binary")
