@@ -166,3 +166,28 @@ def denoise_traces(df: DataFrame, part: str, order: str, value: str) -> DataFram
         return pa.table({part: t[part], order: pa.array(p[order].to_numpy(np.int64)), "clean": pa.array(np.round(denoise(p[value].to_numpy(float)), 6))})
 
     return df.groupBy(part).applyInArrow(run, f"{part} {kind}, {order} long, clean double")
+
+
+@functools.cache
+def _pairs(size: int) -> dict[int, tuple[int, int]]:
+    """Checksum change of each pair of flipped bits of size bytes; (-1, -1) where several pairs make it."""
+    one = sorted((bit, s) for s, bit in _syndromes(size).items() if bit >= 0)
+    out: dict[int, tuple[int, int]] = {}
+    for k, (a, x) in enumerate(one):
+        for b, y in one[k + 1 :]:
+            out[x ^ y] = (-1, -1) if x ^ y in out else (a, b)
+    return out
+
+
+def fix_two_bits(data: bytes, stored: int) -> bytes | None:
+    """The data with the only pair of bits flipped that meets the stored checksum; None where there is none or several."""
+    wrong = crc16(data) ^ stored
+    if not wrong:
+        return data
+    a, b = _pairs(len(data)).get(wrong, (-1, -1))
+    if a < 0:
+        return None
+    out = bytearray(data)
+    for bit in (a, b):
+        out[bit // 8] ^= 128 >> bit % 8
+    return bytes(out)

@@ -70,23 +70,6 @@ def glob_filter(spark, sf):
     return table(spark, sf, "part").where(glob(F.col("p_name"), "*ll w?dget")).select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
 
 
-@query("prot06_pattern_track", r"""SELECT doc_id AS image, CAST(length(regexp_extract(text, '(!! ?[A-Z]+){5,}')) AS BIGINT) AS length FROM documents WHERE regexp_matches(text, '(!! ?[A-Z]+){5,}')""")
-def pattern_track(spark, sf):
-    p = r"(!! ?[A-Z]+){5,}"
-    return table(spark, sf, "documents").where(F.col("text").rlike(p)).select(F.col("doc_id").alias("image"), F.length(F.regexp_extract("text", p, 0)).cast("long").alias("length"))
-
-
-@query("prot01_unified_rules", f"""WITH {FLUX}, t AS (SELECT track, count(*) AS n, max(dt) AS gap, count(*) FILTER (label = 'error') AS errors FROM flux GROUP BY track),
-  h AS (SELECT track, 'LONG' AS rule, CAST(80 AS BIGINT) AS conf FROM t WHERE n > 70 UNION ALL SELECT track, 'GAP', 90 FROM t WHERE gap > 60000000000 UNION ALL SELECT track, 'ERRORS', 10 * errors FROM t WHERE errors >= 3)
-  SELECT track, arg_max(rule, (conf, rule)) AS primary_rule, count(*) AS hits FROM h GROUP BY track""")
-def unified_rules(spark, sf):
-    t = flux(spark, sf).groupBy("track").agg(F.count("*").alias("n"), F.max("dt").alias("gap"), F.count_if(F.col("label") == "error").alias("errors"))
-    hit = lambda test, rule, conf: F.when(test, F.struct(F.lit(rule).alias("rule"), conf.cast("long").alias("conf")))
-    rules = F.array_compact(F.array(hit(F.col("n") > 70, "LONG", F.lit(80)), hit(F.col("gap") > 60000000000, "GAP", F.lit(90)), hit(F.col("errors") >= 3, "ERRORS", F.col("errors") * 10)))
-    h = t.select("track", F.explode(rules).alias("h"))
-    return h.groupBy("track").agg(F.max_by("h.rule", F.struct("h.conf", "h.rule")).alias("primary_rule"), F.count("*").alias("hits"))
-
-
 @query("prot15_duplicate_sectors", "SELECT l_orderkey AS track, CAST(l_linenumber AS BIGINT) AS sector, count(*) AS copies FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def duplicate_sectors(spark, sf):
     return table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("track"), F.col("l_linenumber").cast("long").alias("sector")).agg(F.count("*").alias("copies")).where("copies > 1")

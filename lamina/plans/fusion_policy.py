@@ -31,18 +31,6 @@ def classify_passes(spark, sf):
     return a.select("track", "sector", c.alias("class"))
 
 
-@query("fuse07_weighted_bits", f"""WITH {SECTORS}, b AS (SELECT track, sector, bit, sum(CASE WHEN (data >> bit) & 1 = 1 THEN quality ELSE 0 END) AS one, sum(quality) AS total FROM sectors, range(0, 8) AS r(bit) GROUP BY 1, 2, 3)
-  SELECT track, sector, CAST(sum(CASE WHEN one * 2 > total THEN 1 << bit ELSE 0 END) AS BIGINT) AS byte, round(avg(greatest(one, total - one) / total), 6) AS confidence FROM b GROUP BY 1, 2""")
-def weighted_bits(spark, sf):
-    one = [F.sum(F.when(F.shiftright("data", i).bitwiseAND(1) == 1, F.col("quality")).otherwise(0.0)).alias(f"b{i}") for i in range(8)]
-    b = sectors(spark, sf).groupBy("track", "sector").agg(F.sum("quality").alias("total"), *one)
-    byte, conf = F.lit(0), F.lit(0.0)
-    for i in range(8):
-        byte = byte + F.when(F.col(f"b{i}") * 2 > F.col("total"), 1 << i).otherwise(0)
-        conf = conf + F.greatest(F.col(f"b{i}"), F.col("total") - F.col(f"b{i}")) / F.col("total")
-    return b.select("track", "sector", byte.cast("long").alias("byte"), F.round(conf / 8, 6).alias("confidence"))
-
-
 @query("fuse11_best_read", f"WITH {SECTORS}, r AS (SELECT *, row_number() OVER (PARTITION BY track, sector ORDER BY crc_ok DESC, read) AS k FROM sectors) SELECT track, sector, read, data, crc_ok FROM r WHERE k = 1")
 def best_read(spark, sf):
     return fus.best_read(sectors(spark, sf), ["track", "sector"], "crc_ok", "read").select("track", "sector", "read", "data", "crc_ok")
@@ -59,11 +47,6 @@ def label_stability(spark, sf):
     return fus.stability(table(spark, sf, "events").withColumnRenamed("user_id", "track"), ["track"], "event_type")
 
 
-@query("fuse32_snapshot_digest", "SELECT doc_id AS image, sha256(text) AS digest, length(encode(text)) AS size FROM documents WHERE text IS NOT NULL".replace("length(encode(text))", "CAST(strlen(text) AS BIGINT)"))
-def snapshot_digest(spark, sf):
-    return table(spark, sf, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("image"), F.sha2(F.col("text"), 256).alias("digest"), F.octet_length("text").cast("long").alias("size"))
-
-
 @query("fuse34_provenance_chain", """WITH RECURSIVE e AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, role || ':' || text AS body FROM conversations),
   c AS (SELECT conv_id, CAST(0 AS BIGINT) AS k, repeat('0', 64) AS h FROM (SELECT DISTINCT conv_id FROM e) UNION ALL SELECT c.conv_id, e.k, sha256(c.h || e.body) FROM c JOIN e ON e.conv_id = c.conv_id AND e.k = c.k + 1)
   SELECT conv_id, max(k) AS entries, arg_max(h, k) AS head FROM c GROUP BY conv_id""")

@@ -51,12 +51,6 @@ def encoding_shares(spark, sf):
     return flux(spark, sf).where("dt > 0").groupBy("track").agg(share(dt < 7200000000).alias("short"), share((dt >= 7200000000) & (dt < 14400000000)).alias("mid"), share(dt >= 14400000000).alias("long"))
 
 
-@query("dec30_retry_policy", f"WITH {SECTORS}, t AS (SELECT track, count(DISTINCT sector) / 7.0 AS cover, avg(CASE WHEN crc_ok THEN 1.0 ELSE 0.0 END) AS good FROM sectors GROUP BY track) SELECT track, CASE WHEN cover < 0.3 THEN 'REREAD' WHEN good < 0.5 THEN 'ADJUST' WHEN good < 1 THEN 'RETRY' ELSE 'DONE' END AS action FROM t")
-def retry_policy(spark, sf):
-    t = sectors(spark, sf).groupBy("track").agg((F.count_distinct("sector") / 7.0).alias("cover"), F.avg(F.when(F.col("crc_ok"), 1.0).otherwise(0.0)).alias("good"))
-    return t.select("track", F.when(F.col("cover") < 0.3, "REREAD").when(F.col("good") < 0.5, "ADJUST").when(F.col("good") < 1, "RETRY").otherwise("DONE").alias("action"))
-
-
 @query("agg11_mad_sigma", f"WITH {SAMPLES}, m AS (SELECT trace, median(amp) AS med FROM samples GROUP BY trace) SELECT s.trace, round(1.4826 * median(abs(amp - med)), 6) AS sigma FROM samples s JOIN m USING (trace) GROUP BY s.trace")
 def mad_sigma(spark, sf):
     m = samples(spark, sf).withColumn("med", F.median("amp").over(Window.partitionBy("trace")))
@@ -145,13 +139,6 @@ def weak_regions(spark, sf):
     return r.where("run_label").select("label", "first", "length", "spread")
 
 
-@query("fuse27_hypothesis", "WITH h AS (SELECT o_custkey AS k, o_orderkey AS id, o_orderstatus = 'F' AS rejected FROM orders), s AS (SELECT k, min(id) AS chosen FROM h GROUP BY k) SELECT s.k, CASE WHEN bool_or(rejected AND id = chosen) THEN min(CASE WHEN NOT rejected THEN id END) ELSE chosen END AS selected FROM s JOIN h ON h.k = s.k GROUP BY s.k, chosen")
-def hypothesis(spark, sf):
-    h = table(spark, sf, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") == "F").alias("rejected"))
-    first = h.groupBy("k").agg(F.min(F.struct("id", "rejected")).alias("c"), F.min(F.when(~F.col("rejected"), F.col("id"))).alias("other"))
-    return first.select("k", F.when(F.col("c.rejected"), F.col("other")).otherwise(F.col("c.id")).alias("selected"))
-
-
 @query("fs13_carry_checksum", f"WITH {IMAGES} SELECT image, chunk, CAST(list_reduce(list_prepend(CAST(0 AS BIGINT), [CAST('0x' || substr(data, CAST(i * 8 + 1 AS BIGINT), 8) AS BIGINT) FOR i IN range(0, length(data) // 8)]), lambda a, x: (a + x) % 4294967296 + (a + x) // 4294967296) AS BIGINT) AS checksum FROM images")
 def carry_checksum(spark, sf):
     n = F.floor(F.length("data") / 8).cast("int")
@@ -181,19 +168,6 @@ def full_pipeline(spark, sf):
     return c.select("trace", F.round("integrity", 6).alias("integrity"), F.round("conf", 6).alias("confidence"), "events", F.round(clamp(overall, 0.0, 1.0), 6).alias("overall"))
 
 
-@query("prot10_long_pattern", f"WITH {FLUX}, r AS (SELECT track, label, idx - row_number() OVER (PARTITION BY track, label ORDER BY idx) AS grp FROM flux), n AS (SELECT track, label, count(*) AS n FROM r GROUP BY track, label, grp) SELECT track, max(n) AS longest, max(n) >= 5 AS protected FROM n GROUP BY track")
-def long_pattern(spark, sf):
-    r = win.runs(flux(spark, sf), ["track"], "idx", F.col("label"))
-    return r.groupBy("track").agg(F.max("length").alias("longest"), (F.max("length") >= 5).alias("protected"))
-
-
-@query("prot17_byte_signatures", """WITH s AS (SELECT * FROM (VALUES ('A', '@mail'), ('B', 'http'), ('C', '!!')) AS t(name, sig)) SELECT page_id AS image, string_agg(name, ',' ORDER BY name) AS found FROM pages, s WHERE contains(html, sig) GROUP BY page_id""")
-def byte_signatures(spark, sf):
-    sigs = [("A", "@mail"), ("B", "http"), ("C", "!!")]
-    found = F.array_compact(F.array(*[F.when(F.contains("html", F.lit(s)), F.lit(n)) for n, s in sigs]))
-    return table(spark, sf, "pages").select(F.col("page_id").alias("image"), F.array_join(found, ",").alias("found")).where("found <> ''")
-
-
 @query("fn03_cosine_to_first", """WITH f AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id AS trace, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])), 6) AS cosine FROM embeddings, f""")
 def cosine_to_first(spark, sf):
     e = table(spark, sf, "embeddings")

@@ -81,15 +81,6 @@ def bit_majority(spark, sf):
     return b.groupBy("label").agg(F.count_if(F.col("one") * 2 > F.col("n")).alias("ones"), weak.alias("weak_n"), F.round(1 - weak / F.count("*"), 6).alias("quality"))
 
 
-@query("fuse13_sift", f"""WITH {SECTORS}, a AS (SELECT track, sector, read, data, crc_ok, quality / 50.0 AS angle FROM sectors), g AS (SELECT *, CASE WHEN angle - lag(angle) OVER w <= 0.03 THEN 0 ELSE 1 END AS cut FROM a WINDOW w AS (PARTITION BY track ORDER BY angle, sector, read)),
-  c AS (SELECT *, sum(cut) OVER (PARTITION BY track ORDER BY angle, sector, read) AS cluster FROM g) SELECT track, CAST(cluster AS BIGINT) AS cluster, count(*) AS n, bool_or(crc_ok) AS good, round(avg(angle), 6) AS position FROM c GROUP BY 1, 2""")
-def sift(spark, sf):
-    w = Window.partitionBy("track").orderBy("angle", "sector", "read")
-    a = sectors(spark, sf).withColumn("angle", F.col("quality") / 50.0)
-    g = a.withColumn("cut", F.when(F.col("angle") - F.lag("angle").over(w) <= 0.03, 0).otherwise(1)).withColumn("cluster", F.sum("cut").over(w))
-    return g.groupBy("track", "cluster").agg(F.count("*").alias("n"), F.bool_or("crc_ok").alias("good"), F.round(F.avg("angle"), 6).alias("position"))
-
-
 @query("fuse19_partial", f"WITH {SECTORS}, g AS (SELECT t.track, s AS sector FROM (SELECT DISTINCT track FROM sectors) t, range(1, 8) AS r(s)), b AS (SELECT track, sector, arg_min(data, read) AS data FROM sectors WHERE crc_ok GROUP BY 1, 2) SELECT g.track, CAST(g.sector AS BIGINT) AS sector, coalesce(b.data, 0) AS data, b.data IS NOT NULL AS valid FROM g LEFT JOIN b ON b.track = g.track AND b.sector = g.sector")
 def partial(spark, sf):
     s = sectors(spark, sf)
@@ -98,35 +89,6 @@ def partial(spark, sf):
     return grid.join(best, ["track", "sector"], "left").select("track", "sector", F.coalesce("d", F.lit(0)).alias("data"), F.col("d").isNotNull().alias("valid"))
 
 
-@query("fuse23_weak_intervals", f"""WITH {FLUX}, n AS (SELECT *, lag(dt) OVER w AS p, lead(dt) OVER w AS q FROM flux WINDOW w AS (PARTITION BY track ORDER BY idx)) SELECT track, idx, round(CASE WHEN label = 'error' AND p IS NOT NULL AND q IS NOT NULL THEN (p + q) / 2 ELSE CAST(dt AS DOUBLE) END, 3) AS dt FROM n WHERE dt IS NOT NULL""")
-def weak_intervals(spark, sf):
-    w = Window.partitionBy("track").orderBy("idx")
-    n = flux(spark, sf).withColumns({"p": F.lag("dt").over(w), "q": F.lead("dt").over(w)}).where("dt IS NOT NULL")
-    mid = (F.col("label") == "error") & F.col("p").isNotNull() & F.col("q").isNotNull()
-    return n.select("track", "idx", F.round(F.when(mid, (F.col("p") + F.col("q")) / 2).otherwise(F.col("dt").cast("double")), 3).alias("dt"))
-
-
-@query("fuse29_wizard", f"""WITH {SECTORS}, t AS (SELECT track, 100.0 * count(*) FILTER (crc_ok) / count(*) AS s FROM sectors GROUP BY track) SELECT track, CASE WHEN s > 80 THEN 'DIRECT' WHEN s >= 60 THEN 'RETRY' WHEN s >= 40 THEN 'MULTI_READ' ELSE 'FORENSIC' END AS strategy FROM t""")
-def wizard(spark, sf):
-    s = F.count_if("crc_ok") * 100.0 / F.count("*")
-    return sectors(spark, sf).groupBy("track").agg(s.alias("s")).select("track", F.when(F.col("s") > 80, "DIRECT").when(F.col("s") >= 60, "RETRY").when(F.col("s") >= 40, "MULTI_READ").otherwise("FORENSIC").alias("strategy"))
-
-
-@query("prot13_fat_track", """WITH t AS (SELECT vec_id AS track, embedding AS e FROM embeddings) SELECT a.track, CAST((SELECT count(*) FROM range(1, 65) AS r(i) WHERE (a.e[i] > 0) <> (b.e[i] > 0)) AS BIGINT) AS differing FROM t a JOIN t b ON b.track = a.track + 1""")
-def fat_track(spark, sf):
-    t = table(spark, sf, "embeddings").select(F.col("vec_id").alias("track"), F.transform("embedding", lambda x: x > 0).alias("e"))
-    b = t.select((F.col("track") - 1).alias("track"), F.col("e").alias("f"))
-    differing = F.size(F.filter(F.zip_with("e", "f", lambda x, y: x != y), lambda d: d)).cast("long")
-    return t.join(b, "track").select("track", differing.alias("differing"))
-
-
-@query("prot20_multi_read", f"WITH {SECTORS}, r AS (SELECT track, sector, count(DISTINCT data) AS v, count(*) AS n FROM sectors GROUP BY 1, 2) SELECT track, count(*) FILTER (v > 1) AS weak_sectors, CASE WHEN count(*) FILTER (v > 1) >= 2 THEN 'WEAK_BITS' ELSE 'NONE' END AS scheme FROM r GROUP BY track")
-def multi_read(spark, sf):
-    r = sectors(spark, sf).groupBy("track", "sector").agg(F.count_distinct("data").alias("v"))
-    weak = F.count_if(F.col("v") > 1)
-    return r.groupBy("track").agg(weak.alias("weak_sectors"), F.when(weak >= 2, "WEAK_BITS").otherwise("NONE").alias("scheme"))
-
-
 @query("conv12_scan", f"WITH {SECTORS} SELECT track, count(DISTINCT sector) AS sectors, min(sector) AS first, max(sector) AS last, string_agg(DISTINCT CAST(sector AS VARCHAR), ' ' ORDER BY CAST(sector AS VARCHAR)) AS map FROM sectors GROUP BY track")
 def scan_report(spark, sf):
     each = F.array_sort(F.collect_set(F.col("sector").cast("string")))

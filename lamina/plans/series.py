@@ -41,12 +41,12 @@ def _ladder(spark, sf):
     return g.select("trace", "idx", "snr", "delta", kind.alias("kind"))
 
 
-@query("win05_ladder", f"WITH {SCALES} SELECT trace, idx, kind, round(CASE kind WHEN 'OSCILLATION' THEN least(1.0, (snr - 5) / 20) WHEN 'REFLECTION' THEN least(1.0, (snr - 3) / 20) WHEN 'BROADLOSS' THEN least(1.0, greatest(0.0, (snr - 4) / 20)) WHEN 'ATTENUATION' THEN least(1.0, (snr - 2) / 20) ELSE 0.0 END, 6) AS confidence FROM ladder")
+@query("win05_ladder", f"WITH {SCALES} SELECT trace, idx, kind, round(CASE kind WHEN 'OSCILLATION' THEN least(1.0, (snr - 5) / 20) WHEN 'REFLECTION' THEN least(1.0, (snr - 3) / 20) WHEN 'BROADLOSS' THEN least(1.0, greatest(0.0, (snr - 4) / 20)) WHEN 'ATTENUATION' THEN least(1.0, (snr - 2) / 20) ELSE 0.0 END, 8) AS confidence FROM ladder")
 def ladder(spark, sf):
     """Ordered tests on shape, direction and signal-to-noise ratio over three scales."""
     base = F.create_map(*[F.lit(x) for x in ("OSCILLATION", 5.0, "REFLECTION", 3.0, "BROADLOSS", 4.0, "ATTENUATION", 2.0)])
     conf = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("snr") - F.try_element_at(base, F.col("kind"))) / 20))
-    return _ladder(spark, sf).select("trace", "idx", "kind", F.round(F.when(F.col("kind") == "NONE", 0.0).otherwise(conf), 6).alias("confidence"))
+    return _ladder(spark, sf).select("trace", "idx", "kind", F.round(F.when(F.col("kind") == "NONE", 0.0).otherwise(conf), 8).alias("confidence"))
 
 
 #: Rules in order: first label, second label, samples at least of each, samples of NONE between them at most, what they become.
