@@ -85,16 +85,6 @@ def list_targets(spark, sf):
     return p.groupBy("src").agg(F.count("*").alias("targets"), F.array_join(F.array_sort(F.collect_list("dst")), ",").alias("list"))
 
 
-@query("conv08_loss_report", f"WITH {SECTORS} SELECT track, bool_or(weak) AS loses_weak, bool_or(deleted) AS loses_marks, count(*) FILTER (NOT crc_ok) AS bad FROM sectors GROUP BY track")
-def loss_report(spark, sf):
-    return sectors(spark, sf).groupBy("track").agg(F.bool_or("weak").alias("loses_weak"), F.bool_or("deleted").alias("loses_marks"), F.count_if(~F.col("crc_ok")).alias("bad"))
-
-
-@query("conv10_write_gate", f"WITH {SECTORS}, t AS (SELECT track, bool_and(crc_ok) AS fine, count(*) AS n, max(quality) AS q FROM sectors GROUP BY track) SELECT track, fine AND n >= 2 AND q > 5 AS allowed FROM t")
-def write_gate(spark, sf):
-    return sectors(spark, sf).groupBy("track").agg((F.bool_and("crc_ok") & (F.count("*") >= 2) & (F.max("quality") > 5)).alias("allowed"))
-
-
 @query("fn01_thresholds", f"WITH {SAMPLES} SELECT trace, idx, round(CASE WHEN amp > 0.1 THEN amp - 0.1 WHEN amp < -0.1 THEN amp + 0.1 ELSE 0 END, 6) AS soft, round(CASE WHEN abs(amp) > 0.1 THEN amp ELSE 0 END, 6) AS hard, round(1 / (1 + exp(-amp)), 6) AS squashed FROM samples")
 def thresholds(spark, sf):
     a = F.col("amp")

@@ -147,27 +147,6 @@ def carry_checksum(spark, sf):
     return images(spark, sf).select("image", "chunk", total.alias("checksum"))
 
 
-@query("conv09_batch_run", "WITH j AS (SELECT c_custkey AS job, CASE WHEN c_acctbal < 0 THEN 'FAILED' ELSE 'OK' END AS status FROM customer), f AS (SELECT min(job) AS first FROM j WHERE status = 'FAILED') SELECT job, CASE WHEN job > first THEN 'SKIPPED' ELSE status END AS status FROM j, f")
-def batch_run(spark, sf):
-    j = table(spark, sf, "customer").select(F.col("c_custkey").alias("job"), F.when(F.col("c_acctbal") < 0, "FAILED").otherwise("OK").alias("status"))
-    first = j.where("status = 'FAILED'").agg(F.min("job").alias("first"))  # one row
-    return j.crossJoin(F.broadcast(first)).select("job", F.when(F.col("job") > F.col("first"), "SKIPPED").otherwise(F.col("status")).alias("status"))
-
-
-@query("conv14_hex_view", f"WITH {IMAGES} SELECT image, chunk, substr(data, 1, 32) AS line FROM images WHERE image < 20")
-def hex_view(spark, sf):
-    return images(spark, sf).where("image < 20").select("image", "chunk", F.substring("data", 1, 32).alias("line"))
-
-
-@query("str09_full_pipeline", f"""WITH {SAMPLES}, i AS (SELECT trace, idx, amp, abs(amp) < 0.02 AS bad FROM samples), c AS (SELECT trace, avg(CASE WHEN bad THEN 0.0 ELSE 1.0 END) AS integrity, avg(least(1.0, abs(amp) * 4)) AS conf, count(*) FILTER (bad) AS events FROM i GROUP BY trace)
-  SELECT trace, round(integrity, 6) AS integrity, round(conf, 6) AS confidence, events, round(least(1.0, greatest(0.0, 0.4 * integrity + 0.4 * conf + 0.2 * (1 - 0.02 * events))), 6) AS overall FROM c""")
-def full_pipeline(spark, sf):
-    bad = F.abs("amp") < 0.02
-    c = samples(spark, sf).groupBy("trace").agg(F.avg(F.when(bad, 0.0).otherwise(1.0)).alias("integrity"), F.avg(F.least(F.lit(1.0), F.abs("amp") * 4)).alias("conf"), F.count_if(bad).alias("events"))
-    overall = F.col("integrity") * 0.4 + F.col("conf") * 0.4 + (1 - F.col("events") * 0.02) * 0.2
-    return c.select("trace", F.round("integrity", 6).alias("integrity"), F.round("conf", 6).alias("confidence"), "events", F.round(clamp(overall, 0.0, 1.0), 6).alias("overall"))
-
-
 @query("fn03_cosine_to_first", """WITH f AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id AS trace, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])), 6) AS cosine FROM embeddings, f""")
 def cosine_to_first(spark, sf):
     e = table(spark, sf, "embeddings")

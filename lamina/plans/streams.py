@@ -31,16 +31,6 @@ def running_stats(spark, sf):
     return rows.groupBy("track").agg(F.max_by(F.struct("n", "mean", "least", "most"), "batch").alias("r")).select("track", "r.*")
 
 
-@query("str03_windowed_chunks", "SELECT date_trunc('hour', ts) AS start, event_type AS label, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
-def windowed_chunks(spark, sf):
-    at = _folder(spark)
-    stream = _events(spark, sf).select(F.col("ts").cast("timestamp").alias("at"), F.col("event_type").alias("label"), F.col("value").alias("amp"))
-    pipe.drain(pipe.windowed(stream), f"{at}/out", f"{at}/state", "update")
-    rows = spark.read.parquet(f"{at}/out")
-    last = rows.groupBy("start", "label").agg(F.max_by(F.struct("n", "mean"), "batch").alias("r"))
-    return last.select(F.col("start").cast("timestamp_ntz").alias("start"), "label", "r.*")
-
-
 @query("io03_flux_container", f"WITH {FLUX}, d AS (SELECT track, idx, CASE WHEN dt // 1000000 % 65536 = 0 THEN dt // 1000000 - 65535 ELSE dt // 1000000 END AS ticks FROM flux WHERE dt >= 1000000) SELECT CAST(track AS VARCHAR) AS path, ticks, count(*) AS n FROM d GROUP BY 1, 2")
 def flux_container(spark, sf):
     """Each track's intervals written as a container's words and read again."""

@@ -40,3 +40,56 @@ def drain(stream: DataFrame, path: str, checkpoint: str, mode: str) -> None:
         batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/number={number}")  # a repeated batch overwrites itself
 
     stream.writeStream.foreachBatch(save).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+CHUNKS = "track long, start long, length long, mean double, low long, flushed boolean, pushed long, buffered long"
+_CHUNK_STATE = "buf array<double>, start long, pushed long"
+DATA, FLUSH, RESET = 0, 1, 2
+
+
+def chunked(stream: DataFrame, chunk: int, overlap: int, least: int = 4, low: float = 20.0) -> DataFrame:
+    """Chunks of (track, seq, amp, kind) as they fill: chunk samples each, the last overlap of them kept for the next one.
+
+    A flush row gives what is left (least samples or more), a reset row forgets it. The state of a track is less than one
+    chunk, so nothing is dropped however fast samples come. A row with length 0 tells what was pushed and is buffered."""
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        buf, start, pushed = state.get if state.exists else ([], 0, 0)
+        buf, rows = list(buf), []
+
+        def emit(part: list[float], flushed: bool) -> None:
+            rows.append((key[0], start, len(part), sum(part) / len(part), sum(abs(x) < low for x in part), flushed, pushed, 0))
+
+        whole = pd.concat(list(frames)).sort_values(["seq", "kind"], kind="stable")
+        for kind, amp in zip(whole["kind"].tolist(), whole["amp"].tolist(), strict=True):
+            if kind == DATA:
+                buf.append(float(amp))
+                pushed += 1
+                if len(buf) == chunk:
+                    emit(buf, False)
+                    buf, start = buf[chunk - overlap :], start + chunk - overlap
+            elif kind == FLUSH:
+                if len(buf) >= least:
+                    emit(buf, True)
+                buf, start = [], start + len(buf)
+            else:
+                buf, start = [], pushed
+        state.update((buf, start, pushed))
+        rows.append((key[0], start, 0, 0.0, 0, False, pushed, len(buf)))
+        yield pd.DataFrame(rows, columns=["track", "start", "length", "mean", "low", "flushed", "pushed", "buffered"])
+
+    return stream.groupBy("track").applyInPandasWithState(update, CHUNKS, _CHUNK_STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def replayed(samples: DataFrame, path: str, parts: int = 3) -> DataFrame:
+    """A stream of (track, seq, amp, kind) that brings a table's rows in parts by seq, one part a batch, a flush of every track last."""
+    schema = "track long, seq long, amp double, kind int"
+    top = samples.agg(F.max("seq")).first()[0] or 0
+    rows = samples.select(F.col("track").cast("long"), F.col("seq").cast("long"), F.col("amp").cast("double"), F.col("kind").cast("int"))
+    for i in range(parts):
+        lo, hi = top * i // parts, top * (i + 1) // parts
+        part = rows.where((F.col("seq") > (lo if i else -1)) & (F.col("seq") <= hi))
+        part.coalesce(1).write.mode("append").parquet(path)  # one file a part: the file source takes one file a batch, in the order of writing
+    ends = rows.groupBy("track").agg(F.lit(top + 1).cast("long").alias("seq"), F.lit(0.0).alias("amp"), F.lit(FLUSH).alias("kind"))
+    ends.coalesce(1).write.mode("append").parquet(path)
+    return samples.sparkSession.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
