@@ -1,4 +1,4 @@
-"""Decode kernels with ordered state: one Arrow group a track, numpy or a short loop inside."""
+"""Group codes read along the cheapest path."""
 
 from __future__ import annotations
 
@@ -7,91 +7,59 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
-def pll(df: DataFrame, part: str, order: str, dt: str, cell: float, gain: float = 0.05, most: int = 8) -> DataFrame:
-    """Bit cells of each interval by a proportional loop: n = round(dt / cell), held to 1..most; the cell moves by
-    gain times the error of one cell and stays within a fifth of its start."""
-    kind = df.schema[part].dataType.simpleString()
+# The sixteen five-bit codes.
+_CODES = (10, 11, 18, 19, 14, 15, 22, 23, 9, 25, 26, 27, 13, 29, 30, 21)
+SLIP = 3
 
-    def run(table: pa.Table) -> pa.Table:
-        t = table.to_pandas().sort_values(order)
-        now, cells, state = cell, [], []
-        for x in t[dt].to_numpy(float):
-            n = int(min(most, max(1, np.floor(x / now + 0.5))))
-            now = min(cell * 1.2, max(cell * 0.8, now + gain * (x / n - now)))
-            cells.append(n)
-            state.append(now)
-        return pa.table({part: table[part], order: pa.array(t[order].to_numpy(np.int64)), "cells": pa.array(cells, pa.int64()), "cell": pa.array(np.round(state, 6))})
 
-    return df.where(f"{dt} IS NOT NULL").groupBy(part).applyInArrow(run, f"{part} {kind}, {order} long, cells long, cell double")
-
-
-def kalman(df: DataFrame, part: str, order: str, value: str, drift: float = 1e-3, noise: float = 0.1) -> DataFrame:
-    """Level estimate by a one-dimensional filter, with its innovation and whether it is an outlier (3 sigma)."""
-    kind = df.schema[part].dataType.simpleString()
-
-    def run(table: pa.Table) -> pa.Table:
-        t = table.to_pandas().sort_values(order)
-        x = t[value].to_numpy(float)
-        level, var, out = (x[0] if len(x) else 0.0), 1.0, []
-        for z in x:
-            var += drift
-            inn, s = z - level, var + noise
-            odd = bool(inn * inn > 9 * s)
-            if not odd:
-                k = var / s
-                level, var = level + k * inn, (1 - k) * var
-            out.append((level, inn, odd))
-        level, inn, odd = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table({part: table[part], order: pa.array(t[order].to_numpy(np.int64)), "level": pa.array(np.round(level, 6)), "innovation": pa.array(np.round(inn, 6)), "outlier": pa.array(odd, pa.bool_())})
-
-    return df.groupBy(part).applyInArrow(run, f"{part} {kind}, {order} long, level double, innovation double, outlier boolean")
-
-
-def viterbi(df: DataFrame, part: str, order: str, value: str, states: tuple[float, ...], stay: float = 0.9) -> DataFrame:
-    """Most likely level of each sample among fixed levels with a cost to change."""
-    kind = df.schema[part].dataType.simpleString()
-    levels, move = np.array(states), -np.log(np.where(np.eye(len(states)) > 0, stay, (1 - stay) / max(1, len(states) - 1)))
-
-    def run(table: pa.Table) -> pa.Table:
-        t = table.to_pandas().sort_values(order)
-        cost = (t[value].to_numpy(float)[:, None] - levels[None, :]) ** 2
-        total, back = cost[0], []
-        for row in cost[1:]:
-            via = total[:, None] + move
-            back.append(via.argmin(axis=0))
-            total = via.min(axis=0) + row
-        path = [int(total.argmin())]
-        for b in reversed(back):
-            path.append(int(b[path[-1]]))
-        return pa.table({part: table[part], order: pa.array(t[order].to_numpy(np.int64)), "state": pa.array(path[::-1], pa.int64())})
-
-    return df.groupBy(part).applyInArrow(run, f"{part} {kind}, {order} long, state long")
-
-
-def merge_runs(df: DataFrame, part: str, order: str, label: str, length: str, least: int) -> DataFrame:
-    """Runs shorter than least join the longer neighbour, again and again until none is left."""
-    kind = df.schema[part].dataType.simpleString()
-
-    def run(table: pa.Table) -> pa.Table:
-        t = table.to_pandas().sort_values(order)
-        segs = [[a, b, c] for a, b, c in zip(t[label], t[length].astype(int), t[order], strict=True)]
-        while len(segs) > 1:
-            short = min(range(len(segs)), key=lambda i: (segs[i][1], i))
-            if segs[short][1] >= least:
-                break
-            sides = [i for i in (short - 1, short + 1) if 0 <= i < len(segs)]
-            into = max(sides, key=lambda i: (segs[i][1], -i))
-            segs[into][1] += segs[short][1]
-            segs[into][2] = min(segs[into][2], segs[short][2])
-            del segs[short]
-            packed = [segs[0]]
-            for s in segs[1:]:
-                if s[0] == packed[-1][0]:
-                    packed[-1][1] += s[1]
+def _tables() -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Cost and half byte of each pattern of four, five or six bits: differing bits, and SLIP where a bit was lost or put in."""
+    out = {}
+    for n in (4, 5, 6):
+        cost, digit = np.full(1 << n, 99), np.zeros(1 << n, np.int64)
+        for v in range(1 << n):
+            text = f"{v:0{n}b}"
+            for i, code in enumerate(_CODES):
+                c = f"{code:05b}"
+                if n == 5:
+                    d = sum(a != b for a, b in zip(text, c, strict=True))
                 else:
-                    packed.append(s)
-            segs = packed
-        who = table[part][0].as_py()
-        return pa.table({part: pa.array([who] * len(segs), table[part].type), "start": pa.array([s[2] for s in segs], pa.int64()), "label": pa.array([s[0] for s in segs], pa.string()), "length": pa.array([s[1] for s in segs], pa.int64())})
-
-    return df.groupBy(part).applyInArrow(run, f"{part} {kind}, start long, label string, length long")
+                    short, long_ = (text, c) if n == 4 else (c, text)
+                    d = SLIP + min(sum(a != b for a, b in zip(short, long_[:k] + long_[k + 1 :], strict=True)) for k in range(len(long_)))
+                if d < cost[v]:
+                    cost[v], digit[v] = d, i
+        out[n] = cost, digit
+    return out
+
+
+_TABLES = _tables()
+
+
+def trellis(bits: str) -> tuple[int, str]:
+    """Least cost and half bytes of a string of bits read as groups of five, of four (one lost) or six (one too many)."""
+    n = len(bits)
+    cost, back = [0] + [1 << 30] * n, [None] * (n + 1)
+    for p in range(n):
+        if cost[p] < 1 << 30:
+            for size in (5, 4, 6):
+                if p + size <= n:
+                    v = int(bits[p : p + size], 2)
+                    c = cost[p] + int(_TABLES[size][0][v])
+                    if c < cost[p + size]:
+                        cost[p + size], back[p + size] = c, (p, int(_TABLES[size][1][v]))
+    out, p = [], n
+    while p and back[p]:
+        p, d = back[p]
+        out.append(f"{d:X}")
+    return (cost[n], "".join(reversed(out))) if p == 0 else (-1, "")
+
+
+def group_trellis(df: DataFrame) -> DataFrame:
+    """(image, chunk, cost, decoded) of (image, chunk, bits)."""
+
+    def run(batches):
+        for b in batches:
+            got = [trellis(x) for x in b.column("bits").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("image"), b.column("chunk"), pa.array([c for c, _ in got], pa.int64()), pa.array([d for _, d in got], pa.string())], names=["image", "chunk", "cost", "decoded"])
+
+    return df.select("image", "chunk", "bits").mapInArrow(run, "image long, chunk long, cost long, decoded string")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregation, chunks, codes, comparison, conversion, detection, filesystems, formats, fusion_policy, kernels, loops, media, more, protection, records, recovery, sequence, sequence_more, series, streams  # noqa: F401
+from . import aggregation, chunks, codes, comparison, conversion, detection, filesystems, formats, fusion_policy, kernels, loops, measures, media, more, protection, records, recovery, sequence, sequence_more, series, streams  # noqa: F401
 from .base import QUERIES, SQL
 
 

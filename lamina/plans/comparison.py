@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import compare as cmp
@@ -24,11 +23,6 @@ def disk_compare(spark, sf):
     return _pair(spark, sf).select("track", "sector", "verdict")
 
 
-@query("join05_similarity", f"WITH {PAIR} SELECT track, count(*) AS total, count(*) FILTER (verdict = 'IDENTICAL') AS identical, round(count(*) FILTER (verdict = 'IDENTICAL') / count(*), 6) AS similarity FROM v GROUP BY track")
-def similarity(spark, sf):
-    return cmp.similarity(_pair(spark, sf), ["track"])
-
-
 @query("join04_chunk_compare", f"""WITH {IMAGES}, a AS (SELECT * FROM images WHERE image % 2 = 0), b AS (SELECT image - 1 AS image, chunk, data FROM images WHERE image % 2 = 1)
   SELECT coalesce(a.image, b.image) AS image, coalesce(a.chunk, b.chunk) AS chunk, a.data IS NULL AS missing_in_a, b.data IS NULL AS missing_in_b, coalesce(a.data = b.data, false) AS same FROM a FULL JOIN b ON a.image = b.image AND a.chunk = b.chunk""")
 def chunk_compare(spark, sf):
@@ -60,13 +54,6 @@ def weak_tolerant(spark, sf):
     return p.groupBy("track").agg(F.bool_and(F.col("weak") | F.col("w1") | (F.col("data") == F.col("d1"))).alias("verified"))
 
 
-@query("join12_difference_mask", f"""WITH {PAIR} SELECT track, CAST(bit_or(CASE verdict WHEN 'SIZE' THEN 1 WHEN 'STATUS' THEN 2 WHEN 'DATA' THEN 4 WHEN 'IDENTICAL' THEN 0 ELSE 8 END) AS BIGINT) AS mask FROM v GROUP BY track""")
-def difference_mask(spark, sf):
-    v = F.col("verdict")
-    bit = F.when(v == "SIZE", 1).when(v == "STATUS", 2).when(v == "DATA", 4).when(v == "IDENTICAL", 0).otherwise(8)
-    return _pair(spark, sf).groupBy("track").agg(F.bit_or(bit.cast("long")).alias("mask"))
-
-
 @query("join17_status_or_default", """WITH m AS (SELECT * FROM (VALUES ('EUROPE', 'ASIA', 'LOSSLESS'), ('ASIA', 'AFRICA', 'LOSSY')) AS t(src, dst, status)) SELECT a.r_name AS src, b.r_name AS dst, coalesce(status, 'UNTESTED') AS status FROM region a CROSS JOIN region b LEFT JOIN m ON m.src = a.r_name AND m.dst = b.r_name""")
 def status_or_default(spark, sf):
     r = table(spark, sf, "region").select("r_name")
@@ -75,11 +62,6 @@ def status_or_default(spark, sf):
     return cmp.left_default(pairs, F.broadcast(m), ["src", "dst"], "status", "UNTESTED").select("src", "dst", "status")
 
 
-@query("join22_best_positive", "SELECT l_orderkey AS disk, arg_max(l_shipdate, (l_quantity, l_linenumber, l_partkey)) AS at FROM lineitem WHERE l_quantity > 10 GROUP BY 1")
-def best_positive(spark, sf):
-    return table(spark, sf, "lineitem").where("l_quantity > 10").groupBy(F.col("l_orderkey").alias("disk")).agg(F.max_by("l_shipdate", F.struct("l_quantity", "l_linenumber", "l_partkey")).alias("at"))
-
-
 @query("set01_multiset_difference", "SELECT c_nationkey AS k, count(*) AS n FROM (SELECT c_nationkey FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier) GROUP BY 1")
 def multiset_difference(spark, sf):
     d = table(spark, sf, "customer").select("c_nationkey").exceptAll(table(spark, sf, "supplier").select("s_nationkey"))

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import octets
 from ..operators import tracks as tr
-from ..sources.carriers import IMAGES, PULSES, SECTORS, images, pulses, sectors, table, turns, turns_sql
+from ..sources.carriers import IMAGES, PULSES, SECTORS, images, pulses, sectors, turns
 from ..sources.storage import stored
 from .base import query
 from .codes import ENCODED

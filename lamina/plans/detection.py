@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import glob
-from ..sources.carriers import FLUX, IMAGES, flux, images, table
+from ..sources.carriers import IMAGES, images, table
 from .base import query
 
 PROBES = """probes AS (SELECT o_custkey AS path, o_orderpriority AS plugin, CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS reg, CAST(max(floor(o_totalprice / 50000)) AS BIGINT) AS conf FROM orders GROUP BY 1, 2, 3)"""
@@ -50,11 +50,11 @@ def boot_record(spark, sf):
     return b.select("image", le(11, 2).alias("bytes_per_sector"), le(13, 1).alias("per_cluster"), le(14, 2).alias("reserved"))
 
 
-@query("scan04_interleaved_order", """WITH t AS (SELECT DISTINCT user_id AS track FROM events) SELECT track, row_number() OVER (ORDER BY 1 - track % 2, track) - 1 AS step FROM t""")
+@query("scan04_interleaved_order", """WITH t AS (SELECT DISTINCT user_id // 20 AS disk, user_id AS track FROM events) SELECT disk, track, row_number() OVER (PARTITION BY disk ORDER BY 1 - track % 2, track) - 1 AS step FROM t""")
 def interleaved_order(spark, sf):
-    # Odd tracks first, then even ones; the distinct tracks are the device's, a bounded list.
-    t = table(spark, sf, "events").select(F.col("user_id").alias("track")).distinct()
-    return t.select("track", (F.row_number().over(Window.partitionBy().orderBy(1 - F.col("track") % 2, "track")) - 1).cast("long").alias("step"))
+    """Odd tracks of each disk first, then even ones."""
+    t = table(spark, sf, "events").select(F.expr("user_id div 20").alias("disk"), F.col("user_id").alias("track")).distinct()
+    return t.select("disk", "track", (F.row_number().over(Window.partitionBy("disk").orderBy(1 - F.col("track") % 2, "track")) - 1).cast("long").alias("step"))
 
 
 @query("scan08_metadata", """WITH m AS (SELECT event_id, event_type, ts FROM events), l AS (SELECT user_id, event_type, arg_max(value, event_id) AS v FROM events WHERE event_type <> 'error' GROUP BY 1, 2) SELECT user_id AS disk, event_type AS key, v AS value FROM l""")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import octets
 from ..operators import records as rec
-from ..sources.carriers import IMAGES, NOISE, images, noise, table
+from ..sources.carriers import NOISE, images, noise, table
 from ..sources.storage import stored
 from .base import query
 

@@ -4,18 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import crc16_ccitt
-from ..operators import decode
-from ..operators import windows as win
-from ..sources.carriers import FLUX, SAMPLES, flux, images, samples, table
+from ..sources.carriers import FLUX, SAMPLES, flux, samples, table
 from .base import query
 
 
-@query("dec26_viterbi")
-def viterbi(spark, sf):
-    return decode.viterbi(samples(spark, sf), "trace", "idx", "amp", (-0.15, 0.0, 0.15))
-
-
 @query("fn02_crc32")
 def crc32(spark, sf):
     return table(spark, sf, "documents").select(F.col("doc_id").alias("image"), F.crc32("text").alias("crc"))

@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import cells as cl
-from ..functions import octets
 from ..operators import tracks as tr
 from ..sources import containers as box
 from ..sources.carriers import FLUX, IMAGES, PULSES, SECTORS, flux, images, pulses, sectors, table

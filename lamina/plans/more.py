@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clamp, cosine
+from ..functions.scalars import cosine
 from ..operators import coding
 from ..operators import windows as win
 from ..sources.carriers import FLUX, IMAGES, SAMPLES, SECTORS, flux, images, samples, sectors, table
@@ -30,11 +30,6 @@ def one_bit_fix(spark, sf):
     return whole.mapInArrow(run, "image long, chunk long, repaired boolean")
 
 
-@query("dec34_denoise")
-def denoise(spark, sf):
-    return coding.denoise_traces(samples(spark, sf), "trace", "idx", "amp")
-
-
 @query("dec35_quiet_mask", f"""WITH {SAMPLES}, v AS (SELECT trace, idx // 8 AS win, var_pop(amp) AS v FROM samples GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY trace ORDER BY v, win) AS k, count(*) OVER (PARTITION BY trace) AS n FROM v) SELECT trace, win FROM r WHERE k <= greatest(1, floor(n * 0.2))""")
 def quiet_mask(spark, sf):
     v = samples(spark, sf).groupBy("trace", F.expr("idx div 8").alias("win")).agg(F.var_pop("amp").alias("v"))
@@ -69,11 +64,6 @@ def map_counts(spark, sf):
     return p.groupBy("track").agg(F.count_if("ok").alias("valid"), F.count_if(~F.col("ok")).alias("invalid"), (7 - F.count("*")).alias("empty"))
 
 
-@query("agg23_session_summary", "SELECT role, count(*) AS turns, round(avg(length(text)), 6) AS mean_length, count(DISTINCT conv_id) AS sessions FROM conversations GROUP BY role")
-def session_summary(spark, sf):
-    return table(spark, sf, "conversations").groupBy("role").agg(F.count("*").alias("turns"), F.round(F.avg(F.length("text")), 6).alias("mean_length"), F.count_distinct("conv_id").alias("sessions"))
-
-
 @query("io08_stream_stats", f"WITH {FLUX} SELECT track, min(dt) AS least, max(dt) AS most, round(60000000000.0 / max(dt), 6) AS min_rpm, round(60000000000.0 / avg(dt), 6) AS mean_rpm FROM flux WHERE dt > 0 GROUP BY track")
 def stream_stats(spark, sf):
     return flux(spark, sf).where("dt > 0").groupBy("track").agg(F.min("dt").alias("least"), F.max("dt").alias("most"), F.round(F.lit(60000000000.0) / F.max("dt"), 6).alias("min_rpm"), F.round(F.lit(60000000000.0) / F.avg("dt"), 6).alias("mean_rpm"))
@@ -85,11 +75,6 @@ def tick_histogram(spark, sf):
     return flux(spark, sf).where(t <= 500).groupBy(t.alias("tick")).agg(F.count("*").alias("n"))
 
 
-@query("scan02_sector_iterator", f"WITH {SAMPLES} SELECT trace, idx, amp FROM samples WHERE label = 3 AND idx >= 60")
-def sector_iterator(spark, sf):
-    return samples(spark, sf).where("label = 3 AND idx >= 60").select("trace", "idx", "amp")
-
-
 @query("scan09_metadata_get", "SELECT event_id, try_cast(json_extract(props, '$.k') AS BIGINT) AS value FROM events")
 def metadata_get(spark, sf):
     m = F.from_json("props", "map<string,string>")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import octets
-from ..sources.carriers import NOISE, PULSES, SECTORS, images, noise, pulses, sectors, table
+from ..sources.carriers import NOISE, PULSES, SECTORS, noise, pulses, sectors, table
 from .base import query
 
 #: Tracks with a planted pattern: zeros and fillers by the image's number, in front of the chunk's own bytes.

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import cells as cl
 from ..functions import octets
 from ..operators import coding
-from ..operators import fusion as fus
-from ..sources.carriers import IMAGES, PULSES, SAMPLES, SECTORS, images, pulses, samples, sectors, table
+from ..sources.carriers import PULSES, SECTORS, images, pulses, sectors, table
 from ..sources.storage import shared_folder, stored
 from .base import query
 

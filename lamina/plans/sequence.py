@@ -135,17 +135,18 @@ def spectral_flatness(spark, sf):
     return samples(spark, sf).select("trace", "idx", F.round(F.exp(F.avg(F.ln(x)).over(w)) / F.avg(x).over(w), 6).alias("flatness"))
 
 
-@query("win33_shift_estimate", f"""WITH {SAMPLES}, r AS (SELECT idx, amp FROM samples WHERE trace = 0), n AS (SELECT trace, sqrt(sum(amp * amp)) AS s FROM samples GROUP BY trace),
-  d AS (SELECT x.trace, lag, sum(r.amp * x.amp) AS dot FROM samples x, range(-8, 9) AS l(lag), r WHERE r.idx = x.idx - lag GROUP BY x.trace, lag),
-  s AS (SELECT d.trace, lag, round(dot / (n.s * (SELECT s FROM n WHERE trace = 0)), 6) AS score FROM d JOIN n USING (trace)) SELECT trace, arg_max(lag, (score, -lag)) AS shift, max(score) AS score FROM s GROUP BY trace""")
+@query("win33_shift_estimate", f"""WITH {SAMPLES}, f AS (SELECT label, min(trace) AS r FROM samples GROUP BY label), n AS (SELECT trace, sqrt(sum(amp * amp)) AS s FROM samples GROUP BY trace),
+  d AS (SELECT x.trace, any_value(f.r) AS r, lag, sum(y.amp * x.amp) AS dot FROM samples x JOIN f ON f.label = x.label, range(-8, 9) AS l(lag), samples y WHERE y.trace = f.r AND y.idx = x.idx - lag GROUP BY x.trace, lag),
+  s AS (SELECT d.trace, lag, round(dot / (n.s * m.s), 6) AS score FROM d JOIN n ON n.trace = d.trace JOIN n m ON m.trace = d.r) SELECT trace, arg_max(lag, (score, -lag)) AS shift, max(score) AS score FROM s GROUP BY trace""")
 def shift_estimate(spark, sf):
-    s = samples(spark, sf)
-    ref = s.where("trace = 0").select(F.col("idx").alias("at"), F.col("amp").alias("ref"))  # one trace
+    """The lag at which a trace fits its class's first trace best, by the overlap's product over both whole lengths."""
+    s = samples(spark, sf).withColumn("r", F.min("trace").over(Window.partitionBy("label")))
+    first = s.where("trace = r")
     norm = s.groupBy("trace").agg(F.sqrt(F.sum(F.col("amp") * F.col("amp"))).alias("n"))
+    ref = first.join(norm, "trace").select("r", F.col("idx").alias("at"), F.col("amp").alias("ref"), F.col("n").alias("n0"))
     lags = s.withColumn("lag", F.explode(F.sequence(F.lit(-8).cast("long"), F.lit(8).cast("long")))).withColumn("at", F.col("idx") - F.col("lag"))
-    dot = lags.join(F.broadcast(ref), "at").groupBy("trace", "lag").agg(F.sum(F.col("amp") * F.col("ref")).alias("dot"))
-    one = norm.where("trace = 0").select(F.col("n").alias("n0"))
-    scored = dot.join(norm, "trace").crossJoin(F.broadcast(one)).withColumn("score", F.round(F.col("dot") / (F.col("n") * F.col("n0")), 6))
+    dot = lags.join(ref, ["r", "at"]).groupBy("trace", "lag").agg(F.sum(F.col("amp") * F.col("ref")).alias("dot"), F.max("n0").alias("n0"))
+    scored = dot.join(norm, "trace").withColumn("score", F.round(F.col("dot") / (F.col("n") * F.col("n0")), 6))
     return scored.groupBy("trace").agg(F.max_by("lag", F.struct("score", -F.col("lag"))).alias("shift"), F.max("score").alias("score"))
 
 

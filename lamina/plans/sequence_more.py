@@ -103,15 +103,6 @@ def bounded_histogram(spark, sf):
     return flux(spark, sf).where(b < 50).groupBy(b.alias("bin")).agg(F.count("*").alias("n"))
 
 
-@query("agg32_bit_runs", f"""WITH b AS (SELECT p_partkey AS id, k, (p_partkey * 2654435761 >> CAST(k AS INT)) & 1 AS bit FROM part, range(0, 32) AS r(k)), g AS (SELECT id, k, k - row_number() OVER (PARTITION BY id ORDER BY k) AS grp FROM b WHERE bit = 1), r AS (SELECT id, grp, count(*) AS n FROM g GROUP BY id, grp)
-  SELECT id, max(n) AS longest, count(*) FILTER (n >= 5) AS syncs FROM r GROUP BY id""")
-def bit_runs(spark, sf):
-    p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 2654435761).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(31))).alias("k"))
-    b = p.where(F.expr("shiftright(v, k) & 1") == 1)
-    r = b.withColumn("grp", F.col("k") - F.row_number().over(Window.partitionBy("id").orderBy("k"))).groupBy("id", "grp").agg(F.count("*").alias("n"))
-    return r.groupBy("id").agg(F.max("n").alias("longest"), F.count_if(F.col("n") >= 5).alias("syncs"))
-
-
 @query("topk01_largest_gaps", f"WITH {FLUX}, r AS (SELECT track, idx, dt, row_number() OVER (PARTITION BY track ORDER BY dt DESC, idx) AS rank FROM flux WHERE dt IS NOT NULL) SELECT track, idx, dt, rank FROM r WHERE rank <= 5")
 def largest_gaps(spark, sf):
     w = Window.partitionBy("track").orderBy(F.desc("dt"), "idx")
@@ -155,7 +146,3 @@ def mfm_decode(spark, sf):
     for i in range(8):
         byte = byte + F.shiftleft(F.shiftright(k, 2 * i).bitwiseAND(1), i)
     return table(spark, sf, "part").select(k.alias("id"), byte.alias("byte"))
-
-
-# The five-bit group code of four-bit values.
-GROUP_CODE = [10, 11, 18, 19, 14, 15, 22, 23, 9, 25, 26, 27, 13, 29, 30, 21]

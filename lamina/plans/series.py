@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import octets
 from ..operators import lanes
 from ..operators import windows as win
-from ..sources.carriers import FLUX, PULSES, SAMPLES, SECTORS, flux, pulses, samples, sectors, table
+from ..sources.carriers import PULSES, SAMPLES, SECTORS, pulses, samples, sectors, table
 from .base import query
 from .loops import PHASE
 
@@ -84,10 +84,6 @@ def _merged(segs, passes: int):
     return segs
 
 
-MERGE = "row_number() OVER (PARTITION BY trace ORDER BY first) AS k"
-_FITS = " ".join(f"WHEN a.label = '{x}' AND b.label = '{y}' AND gap <= {most} THEN '{name}'" for x, y, _, _, most, name in _RULES)
-
-
 def _pass_sql(n: int, src: str) -> str:
     """One greedy pass in SQL: what each segment could join with, then the chain of taken segments by recursion."""
     return f"""n{n} AS (SELECT *, row_number() OVER (PARTITION BY trace ORDER BY first) AS k FROM {src}),

@@ -6,9 +6,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ..sources.carriers import FLUX, IMAGES, flux, table
+from ..sources.carriers import FLUX, flux, table
 from ..sources.storage import shared_folder
-from ..sources.containers import decode_transitions, encode_transitions, sector_image, transitions
+from ..sources.containers import decode_transitions, encode_transitions, transitions
 from ..streaming import pipeline as pipe
 from .base import query
 

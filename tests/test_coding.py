@@ -36,3 +36,17 @@ def test_denoise_keeps_a_step_and_lowers_noise():
     noisy = clean + rng.normal(0, 0.1, 512)
     assert np.abs(coding.denoise(noisy) - clean).mean() < 0.6 * np.abs(noisy - clean).mean()
     assert np.allclose(coding.denoise(clean), clean)
+
+
+def test_two_flipped_bits_are_repaired_where_only_one_pair_fits():
+    rng = np.random.default_rng(9)
+    right = 0
+    for _ in range(40):
+        data = rng.integers(0, 256, 16, dtype=np.uint8).tobytes()
+        bad = bytearray(data)
+        for bit in rng.choice(128, 2, replace=False).tolist():
+            bad[bit // 8] ^= 128 >> bit % 8
+        got = coding.fix_two_bits(bytes(bad), coding.crc16(data))
+        assert got is None or got == data
+        right += got == data
+    assert right > 20 and coding.fix_two_bits(data, coding.crc16(data)) == data

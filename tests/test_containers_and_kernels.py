@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamina.functions.scalars import crc16_ccitt
-from lamina.operators import decode
+from lamina.operators import decode, lanes
 from lamina.sources import containers as c
 
 
@@ -40,28 +40,74 @@ def test_crc16(spark, data):
     assert got == binascii.crc_hqx(data, 0xFFFF)
 
 
-def test_pll_follows_a_drifting_clock(spark):
-    cells, cell, rows = [2, 3, 4, 2, 2, 3] * 40, 100.0, []
+def test_a_drifting_clock_is_followed(spark):
+    cells, cell, rows = [2, 3, 4, 2, 2, 3] * 40, 2000.0, []
     for i, n in enumerate(cells):
         cell *= 1.0005
         rows.append((1, i, n * cell))
-    got = decode.pll(spark.createDataFrame(rows, "t long, i long, dt double"), "t", "i", "dt", 100.0).orderBy("i").collect()
-    assert [r["cells"] for r in got] == cells
-
-
-def test_viterbi_removes_a_spike(spark):
-    rows = [(1, i, 1.0 if i == 10 else 0.0 if i < 20 else 1.0) for i in range(40)]
-    got = decode.viterbi(spark.createDataFrame(rows, "t long, i long, x double"), "t", "i", "x", (0.0, 1.0)).orderBy("i").collect()
-    assert [r["state"] for r in got] == [0] * 20 + [1] * 20
-
-
-def test_kalman_flags_an_outlier_and_keeps_its_level(spark):
-    rows = [(1, i, 50.0 if i == 30 else 1.0) for i in range(60)]
-    got = decode.kalman(spark.createDataFrame(rows, "t long, i long, x double"), "t", "i", "x").orderBy("i").collect()
-    assert [r["i"] for r in got if r["outlier"]] == [30] and abs(got[-1]["level"] - 1) < 0.01
-
-
-def test_short_runs_are_merged(spark):
-    rows = [(1, 0, "a", 10), (1, 10, "b", 1), (1, 11, "a", 5), (1, 16, "c", 4)]
-    got = decode.merge_runs(spark.createDataFrame(rows, "t long, first long, label string, n long"), "t", "first", "label", "n", 3).orderBy("start").collect()
-    assert [(r["start"], r["label"], r["length"]) for r in got] == [(0, "a", 16), (16, "c", 4)]
+    df = spark.createDataFrame(rows, "t long, i long, dt double")
+    for start, step in (lanes.phase_loop(2000.0, 0.5, 0.05), lanes.simple_kalman_loop(2000.0, 10000.0, 1.0, 2500.0)):
+        extra = "period double" if len(start) == 2 else "cell double, odd boolean"
+        got = lanes.scan(df, "t", "i", ["dt"], start, step, f"cells long, {extra}").orderBy("i").collect()
+        assert [r["cells"] for r in got] == cells
+
+
+def test_lanes_equal_a_plain_loop_across_stretches_and_batches(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    series = {t: rng.normal(0, 3, n).round(3).tolist() for t, n in ((1, 9000), (2, 1), (3, 4097), (4, 37), (None, 50))}
+    rows = [(t, i, x) for t, xs in series.items() for i, x in enumerate(xs)]
+    df = spark.createDataFrame(rows, "t long, i long, x double").repartition(3)
+    start, step = lanes.change_loop(0.5, 12.0)
+    want = []
+    for t, xs in series.items():
+        up = down = 0.0
+        for i, x in enumerate(xs):
+            up, down = max(0.0, up + x - 0.5), max(0.0, down - x - 0.5)
+            hit = up > 12 or down > 12
+            want.append((str(t), i, hit))
+            up, down = (0.0, 0.0) if hit else (up, down)
+    for size in ("10000", "997"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = lanes.scan(df, "t", "i", ["x"], start, step, "hit boolean").collect()
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        assert sorted((str(r["t"]), r["i"], r["hit"]) for r in got) == sorted(want)
+    assert lanes.scan(df.limit(0), "t", "i", ["x"], start, step, "hit boolean").count() == 0
+
+
+def test_flux_images_and_captures():
+    rng = np.random.default_rng(4)
+    tracks = {n: rng.integers(1, 300_000, 200) for n in (0, 5, 167)}
+    tracks = {n: np.where(t % 65536 == 0, t + 1, t) for n, t in tracks.items()}
+    raw = c.flux_image({n: c.encode_transitions(t) for n, t in tracks.items()})
+    assert [n for n, _, _ in c.open_flux_image(raw)] == [0, 5, 167] and c.checksum_ok(raw)
+    for n, t in tracks.items():
+        got = c.flux_track(raw, n)
+        assert got[got > 0].tolist() == t.tolist()
+    assert not c.checksum_ok(raw[:-1] + bytes([raw[-1] ^ 1])) and c.checksum_ok(c.flux_image({}, True)[:-1] + b"\1")
+    assert c.open_flux_image(b"") == [] and c.flux_track(raw, 9).tolist() == []
+    back = c.read_captures(c.capture_file(tracks))
+    assert [n for n, _ in back] == [0, 5, 167] and all(t.tolist() == tracks[n].tolist() for n, t in back)
+    assert c.read_captures(b"junk") == []
+    ticks, status = c.decode_stream(c.encode_stream(tracks[5]))
+    assert status == "OK" and ticks.tolist() == tracks[5].tolist()
+
+
+def test_trellis_equals_brute_force():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        bits = "".join(rng.choice(["0", "1"], int(rng.integers(4, 15))))
+
+        def best(p, bits=bits):
+            if p == len(bits):
+                return 0
+            return min((int(decode._TABLES[n][0][int(bits[p : p + n], 2)]) + best(p + n) for n in (4, 5, 6) if p + n <= len(bits)), default=1 << 30)
+
+        cost, _ = decode.trellis(bits)
+        want = best(0)
+        assert cost == (want if want < 1 << 20 else -1)
+    codes = [f"{x:05b}" for x in decode._CODES]
+    text = "".join(codes[i] for i in (1, 2, 3, 9, 12, 5, 7))
+    assert decode.trellis(text) == (0, "1239C57")
+    assert decode.trellis(text[:12] + text[13:])[0] == decode.SLIP
