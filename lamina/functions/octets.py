@@ -40,8 +40,9 @@ def once(value: Column, use) -> Column:
 
 
 def values(hexed: Column) -> Column:
-    """All bytes as an array of numbers."""
-    return once(hexed, lambda h: F.transform(F.when(F.length(h) > 1, F.sequence(F.lit(0), size(h) - 1)).otherwise(F.array().cast("array<int>")), lambda i: byte(h, i)))
+    """All bytes as an array of numbers, none of null; the digits are cut once from left to right."""
+    pairs = F.regexp_extract_all(hexed, F.lit(".."), F.lit(0))
+    return F.coalesce(F.transform(pairs, lambda x: F.conv(x, 16, 10).cast("long")), F.array().cast("array<bigint>"))
 
 
 def digits(value: Column, n: int) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-STRETCH = 4096
+STRETCH = 512
 Step = Callable[[list[np.ndarray], list[np.ndarray]], tuple[list[np.ndarray], list[np.ndarray]]]
 
 

@@ -87,7 +87,7 @@ def carry_sum(longs: Column) -> Column:
 
 def longs(hexed: Column, n: int) -> Column:
     """n big-endian 32-bit numbers; what is missing is zero."""
-    return octets.once(F.rpad(hexed, 8 * n, "0"), lambda full: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: octets.number(octets.cut(full, i * 4, 4))))
+    return F.transform(F.regexp_extract_all(F.rpad(hexed, 8 * n, "0"), F.lit(".{8}"), F.lit(0)), lambda x: F.conv(x, 16, 10).cast("long"))
 
 
 def name_hash(name: Column, slots: int = 72) -> Column:
