@@ -35,31 +35,52 @@ def _tables() -> dict[int, tuple[np.ndarray, np.ndarray]]:
 _TABLES = _tables()
 
 
-def trellis(bits: str) -> tuple[int, str]:
-    """Least cost and half bytes of a string of bits read as groups of five, of four (one lost) or six (one too many)."""
-    n = len(bits)
-    cost, back = [0] + [1 << 30] * n, [None] * (n + 1)
-    for p in range(n):
-        if cost[p] < 1 << 30:
-            for size in (5, 4, 6):
-                if p + size <= n:
-                    v = int(bits[p : p + size], 2)
-                    c = cost[p] + int(_TABLES[size][0][v])
-                    if c < cost[p + size]:
-                        cost[p + size], back[p + size] = c, (p, int(_TABLES[size][1][v]))
-    out, p = [], n
-    while p and back[p]:
-        p, d = back[p]
-        out.append(f"{d:X}")
-    return (cost[n], "".join(reversed(out))) if p == 0 else (-1, "")
+_FAR = 1 << 20
+
+
+def trellises(texts: list[str]) -> list[tuple[int, str]]:
+    """Least cost and half bytes of strings of bits read as groups of five, of four (one lost) or six (one too many);
+    (-1, "") where no such groups fill a string. All strings step through their positions together."""
+    n = np.array([len(t) for t in texts], np.int64)
+    wide = int(n.max(initial=0))
+    bits = np.zeros((len(texts), wide), np.int64)
+    for row, t in zip(bits, texts, strict=True):
+        row[: len(t)] = np.frombuffer(t.encode(), np.uint8) - 48
+    seen = {}
+    for size in (5, 4, 6):
+        v = np.zeros((len(texts), max(0, wide - size + 1)), np.int64)
+        for k in range(size):
+            v = v * 2 + bits[:, k : k + v.shape[1]]
+        seen[size] = v
+    cost, via = np.full((len(texts), wide + 1), _FAR, np.int64), np.zeros((len(texts), wide + 1), np.int8)
+    cost[:, 0] = 0
+    for p in range(wide):
+        for size in (5, 4, 6):
+            if p + size <= wide:
+                c = cost[:, p] + _TABLES[size][0][seen[size][:, p]]
+                better = c < cost[:, p + size]
+                cost[better, p + size], via[better, p + size] = c[better], size
+    rows, at = np.arange(len(texts)), n.copy()
+    total = cost[rows, n]
+    parts: list[list[str]] = [[] for _ in texts]
+    live = rows[(total < _FAR) & (n > 0)]
+    while len(live):
+        size = via[live, at[live]]
+        for s in (4, 5, 6):
+            mine = live[size == s]
+            at[mine] -= s
+            for r, d in zip(mine.tolist(), _TABLES[s][1][seen[s][mine, at[mine]]].tolist(), strict=True):
+                parts[r].append(f"{d:X}")
+        live = live[at[live] > 0]
+    return [(int(c), "".join(reversed(x))) if c < _FAR else (-1, "") for c, x in zip(total.tolist(), parts, strict=True)]
 
 
 def group_trellis(df: DataFrame) -> DataFrame:
     """(image, chunk, cost, decoded) of (image, chunk, bits)."""
 
     def run(batches):
-        for b in batches:
-            got = [trellis(x) for x in b.column("bits").to_pylist()]
+        for b in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
+            got = trellises([x or "" for x in b.column("bits").to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column("image"), b.column("chunk"), pa.array([c for c, _ in got], pa.int64()), pa.array([d for _, d in got], pa.string())], names=["image", "chunk", "cost", "decoded"])
 
     return df.select("image", "chunk", "bits").mapInArrow(run, "image long, chunk long, cost long, decoded string")

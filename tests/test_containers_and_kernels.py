@@ -104,10 +104,10 @@ def test_trellis_equals_brute_force():
                 return 0
             return min((int(decode._TABLES[n][0][int(bits[p : p + n], 2)]) + best(p + n) for n in (4, 5, 6) if p + n <= len(bits)), default=1 << 30)
 
-        cost, _ = decode.trellis(bits)
+        cost, _ = decode.trellises([bits, "1" * 20])[0]
         want = best(0)
         assert cost == (want if want < 1 << 20 else -1)
     codes = [f"{x:05b}" for x in decode._CODES]
     text = "".join(codes[i] for i in (1, 2, 3, 9, 12, 5, 7))
-    assert decode.trellis(text) == (0, "1239C57")
-    assert decode.trellis(text[:12] + text[13:])[0] == decode.SLIP
+    assert decode.trellises([text, "", "01"]) == [(0, "1239C57"), (0, ""), (-1, "")]
+    assert decode.trellises([text[:12] + text[13:]])[0][0] == decode.SLIP
