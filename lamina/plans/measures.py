@@ -158,7 +158,7 @@ _DIST = " + ".join(f"(substr(g, {k}, 1) <> substr(code, {k}, 1))::INT" for k in
 
 
 @query("dec27_nearest_groups", f"""WITH {BITS}, k AS (SELECT * FROM (VALUES {_CODES}) AS t(code, digit, ord)), w AS (SELECT lpad(bin(v), 5, '0') AS g FROM range(0, 32) AS r(v)), b AS (SELECT g, arg_min(digit, ({_DIST}, ord)) AS digit, min({_DIST}) AS d FROM w, k GROUP BY g),
-  x AS (SELECT image, chunk, i, regexp_extract_all(bits, '.{{5}}')[i] AS g FROM bits, unnest(range(1, length(bits) // 5 + 1)) AS u(i)) SELECT image, chunk, string_agg(digit, '' ORDER BY i) AS decoded, CAST(sum(d) AS BIGINT) AS corrected FROM x JOIN b ON b.g = x.g GROUP BY 1, 2""")
+  x AS (SELECT image, chunk, unnest(range(1, len(gs) + 1)) AS i, unnest(gs) AS g FROM (SELECT image, chunk, regexp_extract_all(bits, '.{{5}}') AS gs FROM bits)) SELECT image, chunk, string_agg(digit, '' ORDER BY i) AS decoded, CAST(sum(d) AS BIGINT) AS corrected FROM x JOIN b ON b.g = x.g GROUP BY 1, 2""")
 def nearest_groups(spark, sf):
     """Each group as the code that differs in the fewest bits, the lowest of equals, with the bits put right."""
     near = {}
