@@ -191,3 +191,36 @@ def fix_two_bits(data: bytes, stored: int) -> bytes | None:
     for bit in (a, b):
         out[bit // 8] ^= 128 >> bit % 8
     return bytes(out)
+
+
+_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+
+
+def _sync_errors(a: np.ndarray, sync: bytes) -> np.ndarray:
+    """Wrong bits against sync at each byte position that lies before the stream's last len(sync) bytes."""
+    n = max(0, len(a) - len(sync))
+    return sum((_ONES[a[j : n + j] ^ v].astype(np.int64) for j, v in enumerate(sync)), np.zeros(n, np.int64))
+
+
+def recover_stream(raw: bytes, sync: bytes, spacing: int, errors: int = 2, least: int = 16, most: int = 64, rounds: int = 11) -> tuple[bytes, int, int]:
+    """A byte-aligned stream without a checksum: from left to right each place within errors bits of sync becomes sync; then a distance
+    between two syncs that differs from spacing bits by more than least and less than most is mended in its middle, by taking bytes out or
+    putting zeros in, rounds times at most. The stream, the syncs mended and the distances mended."""
+    a = np.frombuffer(raw, np.uint8).copy()
+    wrong, at, repairs = _sync_errors(a, sync), -1, 0
+    for i in np.flatnonzero(wrong <= errors).tolist():
+        if i >= at:
+            repairs += int(wrong[i] > 0)
+            a[i : i + len(sync)] = np.frombuffer(sync, np.uint8)
+            at = i + len(sync)
+    whole = np.flatnonzero(_sync_errors(a, sync) == 0)
+    slip = np.diff(whole) * 8 - spacing
+    bad = np.flatnonzero((np.abs(slip) > least) & (np.abs(slip) < most))[:rounds]
+    parts, done = [], 0
+    for g in bad.tolist():
+        place = int(whole[g]) + spacing // 16
+        parts.append(a[done:place].tobytes())
+        size = int(slip[g]) // 8
+        parts.append(bytes(max(0, -size)))
+        done = place + max(0, size)
+    return b"".join([*parts, a[done:].tobytes()]), repairs, len(bad)

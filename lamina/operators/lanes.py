@@ -162,3 +162,20 @@ def change_loop(slack: float, limit: float) -> tuple[tuple[float, ...], Step]:
         return [np.where(hit, 0.0, up), np.where(hit, 0.0, down)], [hit]
 
     return (0.0, 0.0), step
+
+
+def short_loop(least: int) -> tuple[tuple[float, ...], Step]:
+    """Segments given by size, sum and the next one's size and sum (0 after the last): one with fewer than least points joins the neighbour
+    whose mean is nearer, the left one on a tie, and is then looked at again. 0: ends a segment of its own, 1: joins the one before, 2: goes on into the next."""
+
+    def step(state, values):
+        (left, left_sum, held, held_sum), (n, total, after, after_sum) = state, values
+        n, total = n + held, total + held_sum
+        mean = total / n
+        nearer = np.abs(mean - left_sum / np.maximum(left, 1)) <= np.abs(mean - after_sum / np.maximum(after, 1))
+        joins = (n < least) & (left > 0) & ((after == 0) | nearer)
+        goes = (n < least) & ~joins & (after > 0)
+        new = [np.where(goes, left, np.where(joins, left + n, n)), np.where(goes, left_sum, np.where(joins, left_sum + total, total)), np.where(goes, n, 0.0), np.where(goes, total, 0.0)]
+        return new, [np.where(joins, 1, np.where(goes, 2, 0))]
+
+    return (0.0, 0.0, 0.0, 0.0), step

@@ -152,3 +152,29 @@ def amplitude_dropouts(spark, sf):
     r = win.runs(samples(spark, sf), ["trace"], "idx", F.abs("amp") < 0.05).where("run_label AND length >= 2")
     lo, hi = F.expr("(first + 3) div 4"), F.expr("last div 4")
     return r.where(lo <= hi).select("trace", F.explode(F.sequence(lo, hi)).alias("point"))
+
+
+CUTS = f"""{FLUX}, f AS (SELECT track, idx, CAST(round(amp * 1000) AS BIGINT) AS v, sum(CASE WHEN label = 'error' AND idx > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY track ORDER BY idx) AS cut FROM flux),
+  g AS (SELECT track, row_number() OVER (PARTITION BY track ORDER BY cut) - 1 AS idx, min(f.idx) AS first, max(f.idx) AS last, count(*) AS n, CAST(sum(v) AS BIGINT) AS s FROM f GROUP BY track, cut),
+  cuts AS (SELECT *, coalesce(lead(n) OVER (PARTITION BY track ORDER BY idx), 0) AS nn, coalesce(lead(s) OVER (PARTITION BY track ORDER BY idx), 0) AS ns FROM g)"""
+SHORT = recurrence(CUTS, "cuts", "n AS vn, p.s AS vs, p.nn, p.ns", "CAST(0 AS BIGINT) AS ln, CAST(0 AS BIGINT) AS ls, CAST(0 AS BIGINT) AS hn, CAST(0 AS BIGINT) AS hs, 0 AS kind",
+                   ["hn + vn AS cn, hs + vs AS cs", "CASE WHEN cn >= 4 THEN 0 WHEN ln > 0 AND (nn = 0 OR abs(cs / cn - ls / greatest(ln, 1)) <= abs(cs / cn - ns / greatest(nn, 1))) THEN 1 WHEN nn > 0 THEN 2 ELSE 0 END AS k",
+                    "CASE k WHEN 0 THEN cn WHEN 1 THEN ln + cn ELSE ln END, CASE k WHEN 0 THEN cs WHEN 1 THEN ls + cs ELSE ls END, CASE k WHEN 2 THEN cn ELSE 0 END, CASE k WHEN 2 THEN cs ELSE 0 END, k"],
+                   """, k AS (SELECT q.*, c.kind, lag(c.kind) OVER (PARTITION BY q.track ORDER BY q.idx) AS was, first_value(CASE WHEN c.kind < 2 THEN c.kind END IGNORE NULLS) OVER (PARTITION BY q.track ORDER BY q.idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS fate FROM cuts q JOIN c ON c.track = q.track AND c.idx = q.idx),
+  m AS (SELECT *, sum(CASE WHEN coalesce(was, 0) < 2 AND fate = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY track ORDER BY idx) AS seg FROM k) SELECT track, CAST(seg AS BIGINT) AS seg, min(first) AS first, max(last) AS last, round(sum(s) / sum(n) / 1000, 6) AS level FROM m GROUP BY track, seg""")
+
+
+@query("win31_merge_segments", SHORT)
+def merge_segments(spark, sf):
+    """Segments cut at changes; those of fewer than four points join the neighbour of nearer level, from left to right."""
+    w = Window.partitionBy("track").orderBy("idx")
+    f = flux(spark, sf).select("track", "idx", F.round(F.col("amp") * 1000).cast("long").alias("v"), F.sum(F.when((F.col("label") == "error") & (F.col("idx") > 0), 1).otherwise(0)).over(w).alias("cut"))
+    g = f.groupBy("track", "cut").agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.count("*").alias("n"), F.sum("v").alias("s"))
+    g = g.withColumn("idx", (F.row_number().over(Window.partitionBy("track").orderBy("cut")) - 1).cast("long"))
+    cuts = g.withColumns({"nn": F.coalesce(F.lead("n").over(w), F.lit(0)), "ns": F.coalesce(F.lead("s").over(w), F.lit(0))})
+    kinds = lanes.scan(cuts, "track", "idx", ["n", "s", "nn", "ns"], *lanes.short_loop(4), "kind long")
+    k = cuts.join(kinds, ["track", "idx"])
+    fate = F.first(F.when(F.col("kind") < 2, F.col("kind")), ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    k = k.withColumn("starts", (F.coalesce(F.lag("kind").over(w), F.lit(0)) < 2) & (fate == 0))
+    m = k.withColumn("seg", F.sum(F.col("starts").cast("long")).over(w))
+    return m.groupBy("track", "seg").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.round(F.sum("s") / F.sum("n") / 1000, 6).alias("level"))

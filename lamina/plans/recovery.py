@@ -163,6 +163,49 @@ def recover_track(spark, sf):
     return got.groupBy("image").agg(F.count("*").alias("sectors"), F.count_if("repaired").alias("recovered"))
 
 
+MARK = bytes.fromhex("448944894489")
+_BODY, _CUT, _SLIP = 250, 122, 4  # bytes between marks; where bytes are put in or lost, and how many
+
+
+def _streams(spark, sf):
+    """image, raw: a text's pieces of _BODY bytes behind marks; by their number marks have one or two bits turned round and pieces before the last have bytes put in or lost."""
+    def run(batches):
+        for b in batches:
+            made = []
+            for image, text in zip(b.column("image").to_pylist(), b.column("text").to_pylist(), strict=True):
+                pieces = [text[i : i + _BODY] for i in range(0, len(text), _BODY)]
+                for k, x in enumerate(pieces):
+                    mark = int.from_bytes(MARK)
+                    for turned in range((image * 7 + k) % 4 if (image * 7 + k) % 4 < 3 else 0):
+                        mark ^= 1 << (image + k + 13 * turned) % 48
+                    if k + 1 < len(pieces) and (image + k) % 6 == 2:
+                        x = x[:_CUT] + b"N" * _SLIP + x[_CUT:]
+                    elif k + 1 < len(pieces) and (image + k) % 6 == 5:
+                        x = x[:_CUT] + x[_CUT + _SLIP :]
+                    pieces[k] = mark.to_bytes(6) + x
+                made.append(b"".join(pieces))
+            yield pa.RecordBatch.from_arrays([b.column("image"), pa.array(made, pa.binary())], names=["image", "raw"])
+
+    texts = table(spark, sf, "documents").where("octet_length(text) > 0").select(F.col("doc_id").alias("image"), F.encode("text", "utf-8").alias("text"))
+    return texts.mapInArrow(run, "image long, raw binary")
+
+
+@query("fuse21_recover_stream", f"""WITH raws AS (SELECT doc_id AS image, hex(encode(text)) AS raw FROM documents WHERE length(text) > 0), p AS (SELECT image, k, substr(raw, CAST(k * {2 * _BODY} + 1 AS BIGINT), {2 * _BODY}) AS x, k + 1 < (length(raw) + {2 * _BODY - 1}) // {2 * _BODY} AND (image + k) % 6 IN (2, 5) AS slips, (image + k) % 6 = 2 AS more, (image * 7 + k) % 4 IN (1, 2) AS turned
+  FROM raws, unnest(range(0, (length(raw) - 1) // {2 * _BODY} + 1)) AS u(k)), r AS (SELECT *, slips AND count(*) FILTER (slips) OVER (PARTITION BY image ORDER BY k) <= 11 AS fixed FROM p),
+  c AS (SELECT image, k, turned, fixed, '{MARK.hex().upper()}' || CASE WHEN NOT slips OR fixed AND more THEN x ELSE substr(x, 1, {2 * _CUT}) || CASE WHEN fixed THEN '{"00" * _SLIP}' WHEN more THEN '{"4E" * _SLIP}' ELSE '' END || substr(x, CASE WHEN more THEN {2 * _CUT + 1} ELSE {2 * (_CUT + _SLIP) + 1} END) END AS x FROM r)
+  SELECT image, string_agg(x, '' ORDER BY k) AS content, count(*) FILTER (turned) AS marks, count(*) FILTER (fixed) AS slips, greatest(0, 100 - 5 * (count(*) FILTER (turned) + count(*) FILTER (fixed))) AS confidence FROM c GROUP BY image""")
+def recover_streams(spark, sf):
+    """Streams without a checksum: marks with up to two wrong bits, then distances between marks; confidence falls by 5 a mend."""
+    def run(batches):
+        for b in batches:
+            made = [coding.recover_stream(x, MARK, (_BODY + len(MARK)) * 8) for x in b.column("raw").to_pylist()]
+            marks, slips = pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("image"), pa.array([m[0].hex().upper() for m in made], pa.string()), marks, slips], names=["image", "content", "marks", "slips"])
+
+    got = _streams(spark, sf).mapInArrow(run, "image long, content string, marks long, slips long")
+    return got.withColumn("confidence", F.greatest(F.lit(0).cast("long"), 100 - 5 * (F.col("marks") + F.col("slips"))))
+
+
 @query("fuse18_average_reads", f"""WITH {READS}, live AS (SELECT * FROM bytes), n AS (SELECT track, sector, pos, b, count(*) AS votes FROM live GROUP BY 1, 2, 3, 4), v AS (SELECT track, sector, pos, arg_max(b, (votes, -b)) AS b, max(votes) * 255 // sum(votes) AS conf FROM n GROUP BY 1, 2, 3),
   g AS (SELECT track, sector, bool_or(crc_ok) AS ok FROM bytes GROUP BY 1, 2) SELECT v.track, v.sector, string_agg(printf('%02X', b), '' ORDER BY pos) AS content, CAST(min(conf) AS BIGINT) AS least_confidence, any_value(ok) AS accepted FROM v JOIN g USING (track, sector) GROUP BY v.track, v.sector""")
 def average_reads(spark, sf):

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 
@@ -50,3 +52,39 @@ def test_two_flipped_bits_are_repaired_where_only_one_pair_fits():
         assert got is None or got == data
         right += got == data
     assert right > 20 and coding.fix_two_bits(data, coding.crc16(data)) == data
+
+
+def plain_recovery(raw, sync, spacing):
+    """Byte by byte: mend marks from left to right, then one distance after the other, each time from the start."""
+    a, repairs, slips, at = bytearray(raw), 0, 0, 0
+    while at < len(a) - len(sync):
+        wrong = sum(bin(x ^ y).count("1") for x, y in zip(a[at:], sync, strict=False))
+        if wrong > 2:
+            at += 1
+            continue
+        repairs += wrong > 0
+        a[at : at + len(sync)] = sync
+        at += len(sync)
+    while slips < 11:
+        marks = [i for i in range(len(a) - len(sync)) if a[i : i + len(sync)] == sync]
+        bad = [(i, (j - i) * 8 - spacing) for i, j in zip(marks, marks[1:], strict=False) if 16 < abs((j - i) * 8 - spacing) < 64]
+        if not bad:
+            break
+        place, size = bad[0][0] + spacing // 16, bad[0][1] // 8
+        a[place : place + max(0, size)] = bytes(max(0, -size))
+        slips += 1
+    return bytes(a), repairs, slips
+
+
+def test_streams_without_checksum_are_mended_as_by_plain_steps():
+    rng, sync = random.Random(5), bytes.fromhex("448944894489")
+    for trial in range(150):
+        raw = b""
+        for _ in range(rng.randrange(0, 20)):
+            mark = int.from_bytes(sync)
+            for _ in range(rng.choice([0, 0, 1, 2, 3])):
+                mark ^= 1 << rng.randrange(48)
+            raw += mark.to_bytes(6) + rng.randbytes(58 + rng.choice([0, 0, 3, 5, 7, 8, -3, -4, -7, -8, -20]))
+        raw = raw[: len(raw) - rng.randrange(0, 70)] if trial % 3 == 0 else raw
+        assert coding.recover_stream(raw, sync, 512) == plain_recovery(raw, sync, 512)
+    assert coding.recover_stream(b"", sync, 512) == (b"", 0, 0)

@@ -1,4 +1,5 @@
 import binascii
+import random
 
 import numpy as np
 import pytest
@@ -111,3 +112,40 @@ def test_trellis_equals_brute_force():
     text = "".join(codes[i] for i in (1, 2, 3, 9, 12, 5, 7))
     assert decode.trellises([text, "", "01"]) == [(0, "1239C57"), (0, ""), (-1, "")]
     assert decode.trellises([text[:12] + text[13:]])[0][0] == decode.SLIP
+
+
+def plain_merge(segs, least):
+    """The first short segment joins a neighbour, then again from the start; segs are (points, sum)."""
+    segs = [(n, t, [i]) for i, (n, t) in enumerate(segs)]
+    while len(segs) > 1:
+        i = next((i for i, s in enumerate(segs) if s[0] < least), None)
+        if i is None:
+            break
+        mean = [t / n for n, t, _ in segs]
+        left = i > 0 and (i + 1 == len(segs) or abs(mean[i] - mean[i - 1]) <= abs(mean[i] - mean[i + 1]))
+        a = i - 1 if left else i
+        segs[a : a + 2] = [tuple(x + y for x, y in zip(segs[a], segs[a + 1], strict=True))]
+    return [s[2] for s in segs]
+
+
+def test_short_segments_merge_as_by_plain_steps():
+    rng = random.Random(3)
+    for _ in range(300):
+        segs = [(rng.randrange(1, 8), rng.randrange(-20, 20)) for _ in range(rng.randrange(1, 14))]
+        start, step = lanes.short_loop(4)
+        state, kinds = [np.array([x]) for x in start], []
+        for i, (n, t) in enumerate(segs):
+            after = segs[i + 1] if i + 1 < len(segs) else (0, 0)
+            state, (kind,) = step(state, [np.array([float(x)]) for x in (n, t, *after)])
+            kinds.append(int(kind[0]))
+        groups = []
+        held = []
+        for i, kind in enumerate(kinds):
+            held.append(i)
+            if kind == 1:
+                groups[-1] += held
+            elif kind == 0:
+                groups.append(held)
+            if kind != 2:
+                held = []
+        assert not held and groups == plain_merge(segs, 4)
