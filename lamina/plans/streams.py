@@ -28,7 +28,7 @@ def running_stats(spark, sf):
     stream = _events(spark, sf).select(F.col("user_id").alias("track"), F.col("value").alias("amp"))
     pipe.drain(pipe.running_stats(stream), f"{at}/out", f"{at}/state", "update")
     rows = spark.read.parquet(f"{at}/out")
-    return rows.groupBy("track").agg(F.max_by(F.struct("n", "mean", "least", "most"), "batch").alias("r")).select("track", "r.*")
+    return rows.groupBy("track").agg(F.max_by(F.struct("n", F.round("mean", 6).alias("mean"), "least", "most"), "batch").alias("r")).select("track", "r.*")
 
 
 @query("io03_flux_container", f"WITH {FLUX}, d AS (SELECT track, idx, CASE WHEN dt // 1000000 % 65536 = 0 THEN dt // 1000000 - 65535 ELSE dt // 1000000 END AS ticks FROM flux WHERE dt >= 1000000) SELECT CAST(track AS VARCHAR) AS path, ticks, count(*) AS n FROM d GROUP BY 1, 2")

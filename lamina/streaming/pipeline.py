@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,18 +14,19 @@ STATS = "track long, n long, mean double, least double, most double"
 
 
 def _update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Count, sum, least and most so far; the state is four numbers whatever the track's length."""
-    n, total, least, most = state.get if state.exists else (0, 0.0, float("inf"), float("-inf"))
+    """Count, sum, least and most so far; the state is five numbers whatever the track's length. A null counts as a row and is in no mean."""
+    n, seen, total, least, most = state.get if state.exists else (0, 0, 0.0, float("inf"), float("-inf"))
     for f in frames:
-        n, total = n + len(f), total + float(f["amp"].sum())
-        least, most = min(least, float(f["amp"].min())), max(most, float(f["amp"].max()))
-    state.update((n, total, least, most))
-    yield pd.DataFrame({"track": [key[0]], "n": [n], "mean": [round(total / n, 6)], "least": [least], "most": [most]})
+        amps = f["amp"].dropna().tolist()
+        n, seen, total = n + len(f), seen + len(amps), math.fsum([total, *amps])
+        least, most = min([least, *amps]), max([most, *amps])
+    state.update((n, seen, total, least, most))
+    yield pd.DataFrame({"track": [key[0]], "n": [n], "mean": [total / seen if seen else None], "least": [least if seen else None], "most": [most if seen else None]}).astype({"mean": float, "least": float, "most": float})
 
 
 def running_stats(stream: DataFrame) -> DataFrame:
-    """Running statistics of each track of (track, amp), given again after each batch that changes them."""
-    return stream.groupBy("track").applyInPandasWithState(_update, STATS, "n long, total double, least double, most double", "update", GroupStateTimeout.NoTimeout)
+    """Running statistics of each track of (track, amp), given again after each batch that changes them; null where a track has no value yet."""
+    return stream.groupBy("track").applyInPandasWithState(_update, STATS, "n long, seen long, total double, least double, most double", "update", GroupStateTimeout.NoTimeout)
 
 
 def windowed(stream: DataFrame, every: str = "1 hour", late: str = "2 hours") -> DataFrame:

@@ -1,5 +1,6 @@
 """Tracks of cells, packed records and chunked streams against plain loops."""
 
+import math
 import random
 
 import numpy as np
@@ -103,3 +104,13 @@ def test_chunks_of_a_stream(spark, tmp_path):
         if len(buf) >= 4:
             want.append((t, start, len(buf), round(sum(buf) / len(buf), 6), True))
     assert sorted((r["track"], r["start"], r["length"], round(r["mean"], 6), r["flushed"]) for r in got) == sorted(want)
+
+
+def test_running_stats_with_nulls(spark, tmp_path):
+    at = f"file://{tmp_path}"
+    rows = [(1, 1.0), (1, None), (2, None), (3, 0.1), (3, 0.2), (3, 0.3)]
+    spark.createDataFrame(rows, "track long, amp double").write.parquet(f"{at}/in")
+    stream = spark.readStream.schema("track long, amp double").parquet(f"{at}/in")
+    pipe.drain(pipe.running_stats(stream), f"{at}/out", f"{at}/state", "update")
+    got = sorted(tuple(r)[:5] for r in spark.read.parquet(f"{at}/out").collect())
+    assert got == [(1, 2, 1.0, 1.0, 1.0), (2, 1, None, None, None), (3, 3, math.fsum([0.1, 0.2, 0.3]) / 3, 0.1, 0.3)]
