@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, flac, language_id, license_scan, mixing, near_dedup, oracle, pii, secret_scan, token_counts, token_output
+from . import cover_tree, decontaminate, divergence, flac, language_id, license_scan, mixing, near_dedup, oracle, pii, resampling, secret_scan, token_counts, token_output
 
 QUERIES = {
     "op1_secret_scan": secret_scan.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_decontaminate": decontaminate.query,
     "op9_flac": flac.query,
     "op10_token_counts": token_counts.query,
+    "op11_resampling": resampling.query,
+    "op12_divergence": divergence.query,
+    "op13_cover_tree": cover_tree.query,
 }
 
 ORACLE_SQL = oracle.SQL

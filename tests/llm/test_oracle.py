@@ -8,7 +8,7 @@ from lamina.llm import registry
 def test_query_equals_its_sql(spark, name):
     sf = "/root/testdata/sf0.01"
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     rel = con.sql(registry.ORACLE_SQL[name])
     df = registry.QUERIES[name](spark, sf)
