@@ -19,8 +19,11 @@ left out lies within one component already, or is beyond DISTANCE, so no link is
 
 Defined cases: a null, empty or all-space text has n_shingles 0 and is linked with nothing; with one
 to four words the whole sequence is the single shingle; a row with a null doc_id is linked with
-nothing, has a null component_id and is kept; rows that repeat a doc_id are one document to the
-links and each gets that document's component; other columns are not read."""
+nothing, has a null component_id and is kept; other columns are not read. near_dedup reports documents: rows that repeat a
+doc_id, with equal or different texts, are one document, whose links are those of all its rows, and each gets that
+document's component. keep_one removes rows: of a group of near-duplicate texts the row with the smallest doc_id stays, so rows of one
+doc_id with different texts stay or go each by its own text, and no text is lost with a doc_id; rows equal in
+doc_id and set stay or go together."""
 
 from __future__ import annotations
 
@@ -33,6 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from .common import arrow_map, as_bytes, broadcast_if_small, discard, held, mix64, rolling, slices, space_words, stored
 
@@ -292,13 +296,57 @@ def _mixed_buckets(members: DataFrame, comp: DataFrame, texts: DataFrame, percen
     return found
 
 
-def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of (doc_id, text); pairs from percent up are links."""
+def _repeats(table: DataFrame) -> DataFrame:
+    """doc_ids of more than one row, and whether those rows' sets differ."""
+    rows = table.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("set_key").alias("low"), F.max("set_key").alias("high"))
+    return stored(rows.where("n > 1").select("doc_id", F.coalesce(F.col("low") != F.col("high"), F.lit(False)).alias("mixed")), "repeats")
+
+
+def _numbered(groups: DataFrame) -> DataFrame:
+    """groups with a rep of its own for each set: the smallest doc_id, or a number that no doc_id has where that one stands for several sets."""
+    several = groups.groupBy("doc").agg(F.min("set_key").alias("first"), F.count("*").alias("n")).where("n > 1").select("doc", "first")
+    low, high = groups.agg(F.min("doc"), F.max("doc")).first()
+    more = F.monotonically_increasing_id() + 1
+    other = F.lit(high).cast("long") + more if (high or 0) < 2**62 else F.lit(low).cast("long") - more
+    mine = F.col("first").isNull() | (F.col("first") == F.col("set_key"))
+    return groups.drop("rep").join(several, "doc", "left").withColumn("rep", F.when(mine, F.col("doc")).otherwise(other)).drop("first")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc (the whole row), id, set_key of every row."""
+    schema = StructType([StructField("doc", docs.schema), StructField("id", LongType()), StructField("set_key", BinaryType())])
+
+    def run(batches):
+        for batch in slices(batches):
+            sets = [shingles(text) for text in as_bytes(batch.column("text"))]
+            keys = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("id"), pa.array(keys, pa.binary())], names=["doc", "id", "set_key"])
+
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    return docs.select(whole.alias("doc"), F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text")).mapInArrow(run, schema)
+
+
+def _texts(docs: DataFrame, groups: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
+    """(rep, text) of the wanted representatives. Where doc_ids repeat, a doc_id's rows are told apart by their sets."""
+    if not repeated:
+        texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").where("text IS NOT NULL")
+        return texts.join(broadcast_if_small(wanted), "rep", "left_semi")
+    own = groups.select("rep", "doc", "set_key").join(wanted, "rep", "left_semi")
+    rows = _keyed(docs.select("doc_id", "text")).select("id", "set_key", F.col("doc.text").alias("text"))
+    return rows.join(own, (F.col("id") == F.col("doc")) & (rows["set_key"] == own["set_key"])).select("rep", "text").dropDuplicates(["rep"])
+
+
+def linked_sets(docs: DataFrame, percent: int, by_document: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """sketches of all rows; set_key, doc (smallest doc_id), rep, comp of each set; the doc_ids that repeat.
+
+    by_document: sets of rows with one doc_id are linked too."""
     at = plan(percent)
     table = stored(sketches(docs), "sketches")
     usable = table.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    groups = stored(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig"), F.max("n_shingles").alias("size")), "groups")
-    # A repeated doc_id with different texts may represent several sets: its rows are one document.
+    groups = usable.groupBy("set_key").agg(F.min("doc_id").alias("doc"), F.min_by("sig", "doc_id").alias("sig"), F.max("n_shingles").alias("size")).withColumn("rep", F.col("doc"))
+    repeats = _repeats(table)
+    repeated = not repeats.isEmpty()
+    groups = stored(_numbered(stored(groups, "sets")) if repeated else groups, "groups")
     sigs = groups.select("rep", "sig")
     keys = _emit_keys(groups.select("rep", "sig", "size"), at.width)
     shared = keys.groupBy("key").agg(
@@ -310,9 +358,8 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     star = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     close = stored(_within(star, sigs, at.distance), "close")
     # One pass moves the texts of documents that share a key; all confirmations read this smaller table.
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").where("text IS NOT NULL")
     wanted = stored(members.select("rep").distinct(), "wanted")
-    texts = stored(texts.join(broadcast_if_small(wanted), "rep", "left_semi"), "texts")
+    texts = stored(_texts(docs, groups, wanted, repeated), "texts")
     best = close.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
     edges = stored(_confirmed(best, texts, percent), "edges")
     comp = components(edges)
@@ -323,20 +370,46 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         comp = components(edges)
     # Buckets of two have had their pair; in larger ones others than the smallest member may be linked.
     more = _mixed_buckets(members.where("n > 2").select("key", "rep", "weight"), comp, texts, percent)
-    if not more.isEmpty():
+    links = edges.union(more)
+    if repeated and by_document:
+        rows = usable.join(repeats.where("mixed").select("doc_id"), "doc_id", "left_semi").select("doc_id", "set_key").distinct()
+        rows = stored(rows.join(groups.select("set_key", "rep"), "set_key").select("doc_id", "rep"), "rows")
+        links = links.union(rows.join(rows.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").select("a", F.col("rep").alias("b")).where("a <> b"))
+    if repeated or not more.isEmpty():
         discard(comp)
-        comp = components(edges.union(more))
-    linked = stored(_relabel(groups.select("set_key", "rep"), comp).select("set_key", "comp"), "linked")
+        comp = components(links)
+    linked = stored(_relabel(groups.select("set_key", "doc", "rep"), comp).select("set_key", "doc", "rep", "comp"), "linked")
     discard(groups, shared, members, close, wanted, texts, edges, comp, rest, more)
-    got = table.join(linked, "set_key", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
+    return table, linked, repeats
+
+
+def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of (doc_id, text); pairs from percent up are links."""
+    table, linked, repeats = linked_sets(docs, percent, by_document=True)
+    if repeats.isEmpty():
+        got = table.join(linked.select("set_key", F.col("comp").alias("least")), "set_key", "left")
+    else:
+        # A component may be labelled with a set's own number, and a row without words belongs to its document's component.
+        least = linked.groupBy("comp").agg(F.min("doc").alias("least"))
+        own = table.join(linked.join(least, "comp").select("set_key", "least"), "set_key", "left")
+        others = own.join(repeats.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("least").alias("other"))
+        got = own.join(others, "doc_id", "left").withColumn("least", F.coalesce("least", "other"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
     return got.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Rows of docs, with all their columns, that are their component's smallest document."""
-    gone = stored(near_dedup(docs, percent).where("NOT kept").select("doc_id").distinct(), "gone")
-    return docs.join(broadcast_if_small(gone), "doc_id", "left_anti")
+    """Rows of docs, with all their columns: of each group of near-duplicate texts the one with the smallest doc_id."""
+    table, linked, repeats = linked_sets(docs, percent, by_document=False)
+    rows = table.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
+    if repeats.isEmpty():
+        gone = stored(rows.join(linked, "set_key").where("doc_id <> comp").select("doc_id"), "gone")
+        return docs.join(broadcast_if_small(gone), "doc_id", "left_anti")
+    best = linked.groupBy("comp").agg(F.min(F.struct("doc", "rep")).alias("m")).select("comp", F.col("m.rep").alias("best"))
+    stay = linked.join(best, "comp").where("rep = best").select("set_key", "doc")
+    gone = rows.join(stay, "set_key", "left").where("doc IS NULL OR doc <> doc_id").select("doc_id", "set_key").distinct()
+    gone = broadcast_if_small(stored(gone.select(F.col("doc_id").alias("gone_id"), F.col("set_key").alias("gone_set")), "gone"))
+    return _keyed(docs).join(gone, (F.col("id") == F.col("gone_id")) & (F.col("set_key") == F.col("gone_set")), "left_anti").select("doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
