@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kep
 return the columns of documents. A stage's result is written as Parquet and read again for the next.
 
 Defined cases, stage by stage: a document whose text is null, empty or without a letter is rejected by language ID; rows with a
-null doc_id are linked with nothing and stay, rows that repeat a doc_id are one document to the links, and of near-duplicates
-the smallest doc_id stays; a wordless text is in no benchmark; the mix takes rows that are equal in source, doc_id and text
+null doc_id are linked with nothing and stay, of near-duplicate texts the row with the smallest doc_id stays, and rows of one doc_id
+with different texts stay or go each by its own text; a wordless text is in no benchmark; the mix takes rows that are equal in source, doc_id and text
 alike; token output puts null doc_ids first. An empty table gives an empty result at every stage; other columns, whatever
 their names, are carried to the last stage."""
 
