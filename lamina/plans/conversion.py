@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import probing as pr
 from ..operators import tracks as tr
 from ..sources.carriers import IMAGES, PULSES, SECTORS, images, pulses, sectors, turns
 from ..sources.storage import stored
 from .base import query
 from .codes import ENCODED
 from .filesystems import CATALOGUE, _catalogues, _listed
-from .formats import CLAIMS, FILES, _claims, _files
+from .formats import CLAIMS, FILES, _files, _id, _picked
 from .fusion_policy import MATRIX, PATHS, _sql_values, _values
 
 _TO = ["HFE", "SCP", "IMG", "ADF", "D64", "G64"]
@@ -35,15 +36,13 @@ def _gated(spark, asked):
 GATE = "CASE WHEN quality IS NULL THEN 'NO_PATH' WHEN coalesce(status, 'UNTESTED') = 'LOSSLESS' THEN 'RUN' WHEN status = 'LOSSY_DOCUMENTED' AND consent THEN 'RUN' WHEN status = 'LOSSY_DOCUMENTED' THEN 'NEEDS_CONSENT' ELSE 'ABORT' END"
 
 
-@query("conv01_convert_file", f"""WITH {CLAIMS}, {POLICY}, t AS (SELECT id, max(conf) AS top FROM claims WHERE conf > 0 GROUP BY id), w AS (SELECT c.id, arg_min(format, reg) AS src, count(*) AS tied FROM claims c JOIN t ON t.id = c.id AND conf = top GROUP BY c.id), a AS (SELECT files.id, src, tied, {_TO}[CAST(1 + files.id % {len(_TO)} AS BIGINT)] AS dst, files.id % 2 = 0 AS consent FROM files LEFT JOIN w ON w.id = files.id),
+@query("conv01_convert_file", f"""WITH {CLAIMS}, {POLICY}, t AS (SELECT *, max(conf) OVER (PARTITION BY id) AS top FROM claims), w AS (SELECT id, arg_min(format, reg) AS src, count(*) AS tied FROM t WHERE conf = top GROUP BY id), a AS (SELECT files.id, src, tied, {_TO}[CAST(1 + files.id % {len(_TO)} AS BIGINT)] AS dst, files.id % 2 = 0 AS consent FROM files LEFT JOIN w ON w.id = files.id),
   g AS (SELECT a.*, CASE WHEN a.src IS NULL THEN 'UNKNOWN' WHEN tied > 1 THEN 'AMBIGUOUS' ELSE {GATE} END AS outcome, status FROM a LEFT JOIN p ON p.src = a.src AND p.dst = a.dst LEFT JOIN m ON m.src = a.src AND m.dst = a.dst) SELECT id, src, dst, outcome, outcome = 'RUN' AND coalesce(status, '') = 'LOSSY_DOCUMENTED' AS sidecar FROM g""")
 def convert_file(spark, sf):
-    """Probe, refuse what is unknown or ambiguous, look up the path, pass the gate; lossy runs get a sidecar."""
-    from pyspark.sql import Window
-
-    top = F.max("conf").over(Window.partitionBy("id"))
-    w = _claims(spark, sf).withColumn("top", top).where("conf = top").groupBy("id").agg(F.min_by("format", "reg").alias("src"), F.count("*").alias("tied"))
-    a = _files(spark, sf).select("id", F.get(F.array(*map(F.lit, _TO)), (F.col("id") % len(_TO)).cast("int")).alias("dst"), (F.col("id") % 2 == 0).alias("consent")).join(w, "id", "left")
+    """Probe the bytes, refuse what is unknown or ambiguous, look up the path, pass the gate; lossy runs get a sidecar."""
+    files = _files(spark, sf)
+    w = _id(pr.ranking(pr.claims(files))).select("id", F.col("winner").alias("src"), "tied")
+    a = _id(files.select("path")).select("id", F.get(F.array(*map(F.lit, _TO)), (F.col("id") % len(_TO)).cast("int")).alias("dst"), (F.col("id") % 2 == 0).alias("consent")).join(w, "id", "left")
     out = F.when(F.col("src").isNull(), "UNKNOWN").when(F.col("tied") > 1, "AMBIGUOUS").otherwise(F.col("outcome"))
     return _gated(spark, a).select("id", "src", "dst", out.alias("outcome"), "status").select("id", "src", "dst", "outcome", ((F.col("outcome") == "RUN") & (F.col("status") == "LOSSY_DOCUMENTED")).alias("sidecar"))
 
@@ -51,7 +50,7 @@ def convert_file(spark, sf):
 @query("conv02_convert_memory", f"""WITH {FILES}, {POLICY}, a AS (SELECT id, upper(ext) AS src, {_TO}[CAST(1 + id % {len(_TO)} AS BIGINT)] AS dst, id % 2 = 0 AS consent FROM files) SELECT id, a.src, a.dst, {GATE} AS outcome FROM a LEFT JOIN p ON p.src = a.src AND p.dst = a.dst LEFT JOIN m ON m.src = a.src AND m.dst = a.dst""")
 def convert_memory(spark, sf):
     """The same gate for a buffer whose format is given."""
-    a = _files(spark, sf).select("id", F.upper("ext").alias("src"), F.get(F.array(*map(F.lit, _TO)), (F.col("id") % len(_TO)).cast("int")).alias("dst"), (F.col("id") % 2 == 0).alias("consent"))
+    a = _picked(spark, sf).select("id", F.upper("ext").alias("src"), F.get(F.array(*map(F.lit, _TO)), (F.col("id") % len(_TO)).cast("int")).alias("dst"), (F.col("id") % 2 == 0).alias("consent"))
     return _gated(spark, a).select("id", "src", "dst", "outcome")
 
 
@@ -87,7 +86,7 @@ def preflight_gate(spark, sf):
 
 @query("join15_path_lookup", f"WITH {FILES}, {POLICY} SELECT id, p.src, p.dst, quality FROM files JOIN p ON p.src = upper(ext) AND p.dst = {_TO}[CAST(1 + id % {len(_TO)} AS BIGINT)]")
 def path_lookup(spark, sf):
-    a = _files(spark, sf).select("id", F.upper("ext").alias("src"), F.get(F.array(*map(F.lit, _TO)), (F.col("id") % len(_TO)).cast("int")).alias("dst"))
+    a = _picked(spark, sf).select("id", F.upper("ext").alias("src"), F.get(F.array(*map(F.lit, _TO)), (F.col("id") % len(_TO)).cast("int")).alias("dst"))
     return a.join(_paths(spark), ["src", "dst"]).select("id", "src", "dst", "quality")
 
 

@@ -1,4 +1,4 @@
-"""Format detection over files: specifications, probes, scores, boot records, geometry, suggestions."""
+"""Format detection over the bytes of files: probes, scores, boot records, geometry, suggestions."""
 
 from __future__ import annotations
 
@@ -6,157 +6,260 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import octets
-from ..sources.carriers import FLUX, SECTORS, flux, sectors, table
+from ..operators import probing as pr
+from ..sources import disks, samples
+from ..sources.carriers import FLUX, flux, table
+from ..sources.storage import stored
 from .base import query
 
-# Formats with their order of registration, extensions, exact sizes, magic bytes and priors.
-SPECS = [
-    ("SCP", 1, ["scp"], [], "534350", 0.10), ("HFE", 2, ["hfe"], [], "4858435049434645", 0.10), ("G64", 3, ["g64"], [], "4743522D31353431", 0.08), ("D64", 4, ["d64"], [174848, 175531, 196608, 197376], "", 0.12),
-    ("ADF", 5, ["adf", "adz"], [901120, 1802240], "444F53", 0.15), ("IMG", 6, ["img", "ima", "dsk"], [163840, 184320, 327680, 368640, 737280, 1228800, 1474560, 2949120], "", 0.20), ("IMD", 7, ["imd"], [], "494D4420", 0.05),
-    ("ATR", 8, ["atr"], [92176, 133136, 183952], "9602", 0.05), ("DSK", 9, ["dsk", "do"], [143360], "", 0.05), ("STX", 10, ["stx"], [], "52535900", 0.04), ("TD0", 11, ["td0"], [], "5444", 0.03), ("WOZ", 12, ["woz"], [], "574F5A31", 0.03)]
-_SIZES = [174848, 901120, 737280, 1474560, 143360, 92176, 180000, 900000, 512, 196608, 1228800, 50000, 1802240, 368640, 135000, 2949120, 175531, 160000, 720000, 183952]
-_HEADERS = ["5343500102030405", "4858435049434645", "4743522D31353431", "444F530000000000", "EB3C904D53444F53", "494D442000000000", "9602000080000000", "0000000000000000", "5344440000000000"]
-_EXTS = ["scp", "HFE", "g64", "d64", "ADF", "img", "dsk", "atr", "bin", "woz", "Ima"]
+def _list(values) -> str:
+    return "(" + ", ".join(map(str, values)) + ")"
 
 
-def _sql(v) -> str:
-    return "[" + ", ".join(map(_sql, v)) + "]::BIGINT[]" if isinstance(v, list) and not (v and isinstance(v[0], str)) else str(v)
+#: Bytes of a file's beginning that the SQL spells out; what lies beyond is filler or one known structure.
+_SPELT = 7680
+_KIND_ROWS = ", ".join(
+    f"({i}, {size}, '{ext}', " + ", ".join(f"{at}, '{data[:_SPELT].hex()}'" for at, data in [*parts, *[(None, b"")] * (2 - len(parts))]).replace("None, ''", "NULL, NULL") + ")" for i, (_, size, ext, parts) in enumerate(samples.KINDS))
+_LAY = "CASE WHEN {o} IS NULL OR {o} >= %d THEN {h} ELSE substr(substr({h}, 1, CAST(2 * {o} AS INTEGER)) || {x} || substr({h}, CAST(2 * {o} + length({x}) + 1 AS INTEGER)), 1, %d) END" % (_SPELT, 2 * _SPELT)
+#: id, kind, damage, ext, n (length), m (digits of the filler), h (digits of the first bytes), o1, x1, o2, x2 (structures and where they stand).
+FILES = f"""kinds AS (SELECT * FROM (VALUES {_KIND_ROWS}) AS t(kind, size, ext, o1, x1, o2, x2)),
+  pick AS (SELECT s_suppkey AS id, CAST(s_suppkey % {len(samples.KINDS)} AS INTEGER) AS kind, CAST((s_suppkey // {len(samples.KINDS)} + s_nationkey) % {len(samples.DAMAGES)} AS INTEGER) AS damage FROM supplier),
+  laid AS (SELECT id, kind, damage, ext, CASE damage WHEN 2 THEN size // 2 WHEN 4 THEN size + 1 ELSE size END AS n, lower(hex(md5(CAST(id AS VARCHAR)))) AS m,
+    CASE WHEN damage = 3 AND o2 IS NULL THEN NULL ELSE o1 END AS o1, x1, CASE WHEN damage = 3 THEN NULL ELSE o2 END AS o2, x2 FROM pick JOIN kinds USING (kind)),
+  once AS (SELECT *, {_LAY.format(o="o1", x="x1", h=f"repeat(m, {_SPELT // 32})")} AS h1 FROM laid), twice AS (SELECT *, substr({_LAY.format(o="o2", x="x2", h="h1")}, 1, CAST(2 * n AS INTEGER)) AS h2 FROM once),
+  files AS (SELECT id, kind, damage, ext, n, m, o1, x1, o2, x2, CASE WHEN damage = 1 AND n > 0 THEN lower(printf('%02x', xor(CAST('0x' || substr(h2, 1, 2) AS INTEGER), 32))) || substr(h2, 3) ELSE h2 END AS h FROM twice)"""
 
 
-FILES = f"""specs AS (SELECT * FROM (VALUES {", ".join("(" + ", ".join([repr(s[0]), str(s[1]), str(s[2]), _sql(s[3]), repr(s[4]), str(s[5])]) + ")" for s in SPECS)}) AS t(format, reg, exts, sizes, magic, prior)),
-  files AS (SELECT p_partkey AS id, {_SIZES}[1 + p_size % {len(_SIZES)}] AS size, {_HEADERS}[CAST(1 + p_partkey % {len(_HEADERS)} AS BIGINT)] AS header, {_EXTS}[CAST(1 + p_partkey % {len(_EXTS)} AS BIGINT)] AS ext FROM part)"""
+def _byte(at: int) -> str:
+    return f"TRY_CAST('0x' || substr(h, {2 * at + 1}, 2) AS BIGINT)"
 
 
-def _pick(values: list, k):
-    return F.get(F.array(*map(F.lit, values)), k.cast("int"))
+def _le(at: int, n: int = 2) -> str:
+    return "(" + " + ".join(f"{_byte(at + i)} * {256**i}" for i in range(n)) + ")"
 
 
-def _files(spark, sf):
-    """id, size, header (digits of its first bytes), ext of each part's file."""
-    k = F.col("p_partkey")
-    return table(spark, sf, "part").select(k.alias("id"), _pick(_SIZES, F.col("p_size") % len(_SIZES)).cast("long").alias("size"), _pick(_HEADERS, k % len(_HEADERS)).alias("header"), _pick(_EXTS, k % len(_EXTS)).alias("ext"))
+def _be(at: int, n: int = 2) -> str:
+    return "(" + " + ".join(f"{_byte(at + n - 1 - i)} * {256**i}" for i in range(n)) + ")"
 
 
-def _specs(spark):
-    return F.broadcast(spark.createDataFrame(SPECS, "format string, reg int, exts array<string>, sizes array<long>, magic string, prior double"))  # a dozen rows
+def _far(at: int) -> str:
+    return f"CASE WHEN o1 = {at} THEN substr(x1, 1, 6) ELSE substr(m, 1, 6) END"
 
 
-def _claims(spark, sf, with_size: bool = True):
-    """Every format's confidence in every file: 95 for its magic bytes, 80 for an exact size."""
-    magic = (F.col("magic") != "") & F.col("header").startswith(F.col("magic"))
-    size = F.exists("sizes", lambda s: s == F.col("size")) if with_size else F.lit(False)
-    return _files(spark, sf).crossJoin(_specs(spark)).withColumn("conf", F.when(magic, 95).when(size, 80).otherwise(0)).where("conf > 0")
+def _starts(*words: bytes) -> str:
+    return "(" + " OR ".join(f"starts_with(h, '{w.hex()}')" for w in words) + ")"
 
 
-CLAIMS = f"{FILES}, claims AS (SELECT f.id, format, reg, CASE WHEN magic <> '' AND starts_with(header, magic) THEN 95 WHEN list_contains(sizes, f.size) THEN 80 ELSE 0 END AS conf FROM files f, specs)"
+def _rules(whole: bool) -> dict[str, str]:
+    """Each format's confidence in a file of n bytes that begin with h; whole: the probe sees all of it."""
+    far = lambda at, link, mark, base, linked, marked: f"CASE WHEN substr({_far(at)}, 1, 4) = '{link}' THEN {linked} WHEN substr({_far(at)}, 5, 2) = '{mark}' THEN {marked} ELSE {base} END" if whole else str(base)
+    of = lambda name: _list(pr.LENGTHS[name])
+    sized = lambda name, value: f"CASE WHEN n IN {of(name)} THEN {value} ELSE 0 END"
+    marked = lambda word, least, value: f"CASE WHEN n >= {least} AND {_starts(*word) if isinstance(word, tuple) else _starts(word)} THEN {value} ELSE 0 END"
+    shape = " OR ".join(f"(n // 512 % {h * t} = 0 AND n // 512 // {h * t} BETWEEN 35 AND 84)" for h in pr.HEADS for t in pr.TRACKS)
+    oem = " AND ".join(f"{_byte(i)} BETWEEN 32 AND 126" for i in range(3, 11))
+    starts = f"list_filter(list_transform(range(164), lambda i: TRY_CAST('0x' || substr(h, CAST(71 + 8 * i AS INTEGER), 2) || substr(h, CAST(69 + 8 * i AS INTEGER), 2) || substr(h, CAST(67 + 8 * i AS INTEGER), 2) || substr(h, CAST(65 + 8 * i AS INTEGER), 2) AS BIGINT)), lambda x: x > 0)"
+    name = " AND ".join(f"({_byte(i)} = 0 OR ({_byte(i)} >= 32 AND {_byte(i)} <> 127))" for i in range(17))
+    ones = "len(list_filter(range(6656), lambda i: substr(h, CAST(2 * i + 1 AS INTEGER), 2) = 'ff'))"
+    total = "list_sum(list_transform(range(133), lambda i: TRY_CAST('0x' || substr(h, CAST(2 * i + 1 AS INTEGER), 2) AS BIGINT)))"
+    return {
+        "D64": sized("D64", far(0x16500, "1201", "41", 75, 92, 88)), "D71": sized("D71", far(0x16500, "1201", "--", 70, 90, 90)), "D81": sized("D81", far(0x61800, "2803", "44", 80, 92, 88)),
+        "ADF": sized("ADF", f"CASE WHEN {_starts(b'DOS')} THEN 95 ELSE 70 END"),
+        "IMG": f"CASE WHEN n IN {of('IMG')} OR (n > 0 AND n % 512 = 0 AND ({shape})) THEN CASE WHEN n < 512 THEN 40 WHEN {_le(11)} = 512 THEN 90 WHEN {oem} THEN 85 WHEN {_byte(510)} = 85 AND {_byte(511)} = 170 THEN 80 WHEN {_byte(0)} IN (233, 235) THEN 60 ELSE 40 END ELSE 0 END",
+        "XFD": f"CASE WHEN n IN {of('XFD')} THEN CASE WHEN {_byte(0)} IN (0, 1) AND {_byte(3)} BETWEEN 7 AND 191 THEN 82 ELSE 40 END WHEN n > 0 AND n <= 266240 AND n % 128 = 0 THEN 25 ELSE 0 END",
+        "JV1": "CASE WHEN n > 0 AND n % 2560 = 0 AND (n // 2560 <= 40 OR (n // 2560 <= 80 AND n // 2560 % 2 = 0)) THEN 35 ELSE 0 END", "DO": sized("DO", "60"), "PO": sized("PO", "55"),
+        "NIB": sized("NIB", f"CASE WHEN len(regexp_extract_all(substr(h, 1, 13312), 'd5aa96')) >= 10 AND {ones} > 500 THEN 95 WHEN {ones} > 200 THEN 88 ELSE 80 END"),
+        "TRD": sized("TRD", f"CASE WHEN {_byte(0x227)} = 16 THEN 92 WHEN {_byte(0x8E4)} <= 128 THEN 82 ELSE 70 END"),
+        "SCP": marked(b"SCP", 16, f"CASE WHEN {_byte(3)} <= 47 THEN 95 ELSE 50 END"),
+        "HFE": marked((b"HXCPICFE", b"HXCHFEV3"), 512, f"95 + CASE WHEN {_byte(9)} BETWEEN 1 AND 84 THEN 2 ELSE 0 END + CASE WHEN {_byte(10)} BETWEEN 1 AND 2 THEN 2 ELSE 0 END + CASE WHEN {_le(12)} BETWEEN 125 AND 1000 THEN 1 ELSE 0 END"),
+        "G64": marked(b"GCR-1541", 12, f"CASE WHEN n >= 12 + 8 * {_byte(9)} THEN 100 WHEN {_le(10)} BETWEEN 1 AND 7928 THEN 98 WHEN {_byte(9)} BETWEEN 1 AND 84 THEN 95 WHEN {_byte(8)} = 0 THEN 90 ELSE 80 END"),
+        "IMD": marked(b"IMD ", 4, "95"), "ATR": marked(b"\x96\x02", 16, "95"), "TD0": marked((b"TD", b"td"), 2, "95"), "STX": marked(b"RSY\x00", 16, "97"), "IPF": marked(b"CAPS", 12, "95"), "ATX": marked(b"AT8X", 48, "98"), "2IMG": marked(b"2IMG", 64, "95"),
+        "CPC": marked((b"MV - CPC", b"EXTENDED"), 8, "95"), "SCL": marked(b"SINCLAIR", 9, "96"), "FDI": marked(b"FDI", 14, f"CASE WHEN {_le(4)} BETWEEN 1 AND 180 AND {_le(6)} BETWEEN 1 AND 2 THEN 92 ELSE 75 END"),
+        "DC42": f"CASE WHEN n >= 84 AND {_be(82)} = 256 AND {_byte(0)} <= 63 AND {_be(64, 4)} > 0 THEN CASE WHEN {_byte(80)} > 3 THEN 50 ELSE 92 END ELSE 0 END",
+        "CQM": marked(b"CQ\x14", 3, f"CASE WHEN n >= 133 AND {total} % 256 = 0 AND {_le(18)} BETWEEN 1 AND 2 AND {_le(16)} BETWEEN 1 AND 64 AND {_byte(90)} >= 1 AND {_le(3)} IN (128, 256, 512, 1024, 2048, 4096, 8192) THEN 95 ELSE 60 END"),
+        "MSA": marked(b"\x0e\x0f", 10, f"CASE WHEN {_be(2)} BETWEEN 1 AND 18 AND {_be(4)} <= 1 AND {_be(8)} >= {_be(6)} THEN 70 + CASE WHEN {_byte(2)} + {_byte(4)} + {_byte(6)} + {_byte(8)} = 0 THEN 20 ELSE 0 END + CASE WHEN {_be(8)} < 90 THEN 5 ELSE 0 END ELSE 0 END"),
+        "D88": f"CASE WHEN n >= 688 AND {_le(28, 4)} BETWEEN 688 AND n AND {_byte(27)} IN (0, 16, 32, 48, 64) AND len({starts}) > 0 AND list_sort(list_distinct({starts})) = {starts} AND list_min({starts}) >= 688 AND list_max({starts}) < {_le(28, 4)}"
+               f" THEN 60 + CASE WHEN {_le(28, 4)} = n THEN 20 ELSE 0 END + CASE WHEN {_byte(26)} IN (0, 16) THEN 10 ELSE 0 END + CASE WHEN {name} THEN 5 ELSE 0 END ELSE 0 END",
+    }
 
 
-@query("src02_ranked_file", f"""WITH {CLAIMS}, r AS (SELECT *, row_number() OVER w AS k, lead(format) OVER w AS runner_up, count(*) OVER (PARTITION BY id) AS claimants, max(conf) OVER (PARTITION BY id) AS top FROM claims WHERE conf > 0 WINDOW w AS (PARTITION BY id ORDER BY conf DESC, reg)),
-  t AS (SELECT id, count(*) AS tied FROM r WHERE conf = top GROUP BY id) SELECT id, format AS winner, conf, claimants, tied, runner_up FROM r JOIN t USING (id) WHERE k = 1""")
-def ranked_file(spark, sf):
-    every = Window.partitionBy("id")
-    w = every.orderBy(F.desc("conf"), "reg")
-    r = _claims(spark, sf).withColumns({"k": F.row_number().over(w), "runner_up": F.lead("format").over(w), "claimants": F.count("*").over(every), "top": F.max("conf").over(every)})
-    return r.withColumn("tied", F.count_if(F.col("conf") == F.col("top")).over(every)).where("k = 1").select("id", F.col("format").alias("winner"), "conf", "claimants", "tied", "runner_up")
+def _claims_sql(name: str, whole: bool, source: str = "files") -> str:
+    """A table of the claims that the rules give."""
+    rules = _rules(whole)
+    rows = ", ".join(f"{{'format': '{f}', 'reg': {pr.REG[f]}, 'conf': {rules[f]}}}" for f, _ in pr.FORMATS)
+    return f"{name}_all AS (SELECT id, unnest([{rows}]) AS x FROM {source}), {name} AS (SELECT id, x.format AS format, x.reg AS reg, x.conf AS conf FROM {name}_all WHERE x.conf > 0)"
 
 
-@query("src05_detect_buffer", f"WITH {CLAIMS} SELECT files.id, c.format, CASE WHEN c.format IS NOT NULL THEN 90 ELSE 0 END AS confidence FROM files LEFT JOIN (SELECT id, arg_max(format, (conf, -reg)) AS format FROM claims WHERE conf > 0 GROUP BY id) c ON c.id = files.id")
-def detect_buffer(spark, sf):
-    """The winner of the probe with a fixed confidence; names are not looked at."""
-    won = _claims(spark, sf).groupBy("id").agg(F.max_by("format", F.struct("conf", -F.col("reg"))).alias("format"))
-    return _files(spark, sf).select("id").join(won, "id", "left").select("id", "format", F.when(F.col("format").isNotNull(), 90).otherwise(0).alias("confidence"))
+#: What the files' beginnings claim, and what the whole files do.
+CLAIMS = f"{FILES}, {_claims_sql('claims', False)}"
+WHOLE = f"{FILES}, {_claims_sql('claims', True)}"
 
 
-@query("src06_detect_header", f"WITH {FILES} SELECT f.id, arg_min(format, reg) AS format, 90 AS score FROM files f JOIN specs ON magic <> '' AND starts_with(header, magic) GROUP BY f.id")
-def detect_header(spark, sf):
-    return _claims(spark, sf, with_size=False).groupBy("id").agg(F.min_by("format", "reg").alias("format")).withColumn("score", F.lit(90))
+def _picked(spark, sf):
+    """id, kind, damage, ext of each supplier's file; every third extension is written in capitals."""
+    k = F.col("s_suppkey")
+    kind = (k % len(samples.KINDS)).cast("int")
+    damage = ((F.floor(k / len(samples.KINDS)) + F.col("s_nationkey")) % len(samples.DAMAGES)).cast("int")
+    return table(spark, sf, "supplier").select(k.alias("id"), kind.alias("kind"), damage.alias("damage"), F.get(F.array(*[F.lit(x[2]) for x in samples.KINDS]), kind).alias("ext"))
+
 
+def _files(spark, sf):
+    """path, length, content: the written files, kept in the shared folder."""
+    return stored(samples.written(_picked(spark, sf)), "files")
 
-BAYES1 = f"""{FILES}, l AS (SELECT f.id, format, reg, prior * (CASE WHEN list_contains(sizes, f.size) THEN 0.9::DOUBLE ELSE 0.1 END) * (CASE WHEN magic <> '' AND starts_with(header, magic) THEN 0.95::DOUBLE WHEN magic <> '' THEN 0.01 ELSE 0.5 END) * (CASE WHEN starts_with(header, 'EB') THEN 0.8::DOUBLE ELSE 0.85 END) AS v FROM files f, specs),
-  p AS (SELECT id, format, reg, round(v / sum(v) OVER (PARTITION BY id), 9) AS post FROM l), r AS (SELECT *, row_number() OVER w AS k, lead(format) OVER w AS second, lead(post) OVER w AS nxt FROM p WINDOW w AS (PARTITION BY id ORDER BY post DESC, reg))"""
 
+def _id(df):
+    return df.withColumn("id", F.substring_index("path", ".", 1).cast("long")).drop("path")
 
-@query("src07_bayesian_detect", f"WITH {BAYES1} SELECT id, format AS best, round(post * 100, 4) AS confidence, second, nxt > post * 0.7 AS ambiguous FROM r WHERE k = 1")
-def bayesian_first(spark, sf):
-    size = F.when(F.exists("sizes", lambda s: s == F.col("size")), 0.9).otherwise(0.1)
-    magic = F.when((F.col("magic") != "") & F.col("header").startswith(F.col("magic")), 0.95).when(F.col("magic") != "", 0.01).otherwise(0.5)
-    boot = F.when(F.col("header").startswith("EB"), 0.8).otherwise(0.85)
-    return _best(_files(spark, sf).crossJoin(_specs(spark)).withColumn("v", F.col("prior") * size * magic * boot)).select(
-        "id", F.col("format").alias("best"), F.round(F.col("post") * 100, 4).alias("confidence"), "second", (F.col("nxt") > F.col("post") * 0.7).alias("ambiguous"))
+
+@query("src02_ranked_file", f"""WITH {CLAIMS}, r AS (SELECT *, max(conf) OVER (PARTITION BY id) AS top FROM claims)
+  SELECT id, arg_min(format, reg) FILTER (conf = top) AS winner, CAST(max(conf) AS INTEGER) AS conf, count(*) AS claimants, count(*) FILTER (conf = top) AS tied, arg_max(format, conf * 100 - reg) FILTER (conf < top) AS runner_up FROM r GROUP BY id""")
+def ranked_file(spark, sf):
+    """The first 64 KB of each file: winner, how many formats claim it, how many as well as the winner, the best below."""
+    return _id(pr.ranking(pr.claims(_files(spark, sf))))
+
+
+@query("src05_detect_buffer", f"WITH {WHOLE} SELECT files.id, c.format, CASE WHEN c.format IS NOT NULL THEN 90 ELSE 0 END AS confidence FROM files LEFT JOIN (SELECT id, arg_max(format, conf * 100 - reg) AS format FROM claims GROUP BY id) c ON c.id = files.id")
+def detect_buffer(spark, sf):
+    """The winner of the probe of the whole content with a fixed confidence; names are not looked at."""
+    files = _files(spark, sf)
+    won = pr.claims(files, window=None).groupBy("path").agg(F.max_by("format", F.struct("conf", -F.col("reg"))).alias("format"))
+    return _id(files.select("path").join(won, "path", "left").select("path", "format", F.when(F.col("format").isNotNull(), 90).otherwise(0).alias("confidence")))
+
+
+HEADER = 1024
 
 
-def _best(scored):
-    w = Window.partitionBy("id")
-    p = scored.withColumn("post", F.round(F.col("v") / F.sum("v").over(w), 9))
-    o = w.orderBy(F.desc("post"), "reg")
-    return p.withColumns({"k": F.row_number().over(o), "second": F.lead("format").over(o), "nxt": F.lead("post").over(o)}).where("k = 1")
+@query("src06_detect_header", f"WITH {FILES}, cut AS (SELECT id, m, o1, x1, substr(h, 1, {2 * HEADER}) AS h, least(n, {HEADER}) AS n FROM files), {_claims_sql('claims', False, 'cut')} SELECT id, arg_max(format, conf * 100 - reg) AS format, 90 AS score FROM claims GROUP BY id")
+def detect_header(spark, sf):
+    """A header alone is the whole buffer: its own length is the file's."""
+    head = _files(spark, sf).select("path", F.least(F.col("length"), F.lit(HEADER)).alias("length"), F.substring("content", 1, HEADER).alias("content"))
+    return _id(pr.claims(head).groupBy("path").agg(F.max_by("format", F.struct("conf", -F.col("reg"))).alias("format")).withColumn("score", F.lit(90)))
+
 
+def _sizes(s) -> str:
+    return f"n IN {_list(s.sizes)}" if s.sizes else "false"
 
-#: Size: exact, within the range of the sizes, within a tenth of one, else; magic: whole, by the share of bytes that agree, none; structure by a check where there is one.
-BAYES2 = f"""{FILES}, s AS (SELECT f.id, format, reg, prior, CASE WHEN list_contains(sizes, f.size) THEN 1.0::DOUBLE WHEN len(sizes) > 0 AND f.size BETWEEN list_min(sizes) AND list_max(sizes) THEN 0.5 WHEN len(sizes) > 0 AND len([x FOR x IN sizes IF abs(f.size - x) <= x * 0.1]) > 0 THEN 0.3 ELSE 0.01 END AS size_score,
-  CASE WHEN magic = '' THEN 0.5::DOUBLE WHEN starts_with(header, magic) THEN 1.0 ELSE len([i FOR i IN range(0, length(magic) // 2) IF substr(header, CAST(i * 2 + 1 AS BIGINT), 2) = substr(magic, CAST(i * 2 + 1 AS BIGINT), 2)]) * 0.5 / (length(magic) // 2) END AS magic_score,
-  CASE WHEN format = 'IMG' THEN CASE WHEN starts_with(header, 'EB') THEN 1.0::DOUBLE ELSE 0.1 END WHEN format = 'ADF' THEN CASE WHEN starts_with(header, '444F53') THEN 1.0::DOUBLE ELSE 0.1 END ELSE 0.5 END AS structure_score FROM files f, specs)"""
 
+def _first_sql() -> str:
+    mark = f"(n >= 512 AND {_byte(510)} = 85 AND {_byte(511)} = 170 AND {_le(11)} = 512)"
+    system = {"FAT": (mark, 0.8), "OFS": (f"(n >= 512 AND {_starts(b'DOS')})", 0.85), "CBM": (f"(n > {0x16502} AND substr({_far(0x16500)}, 1, 2) = '12')", 0.85)}
+    rows = []
+    for i, s in enumerate(pr.FIRST):
+        v = f"{s.prior}::DOUBLE"
+        if s.sizes:
+            v += f" * CASE WHEN {_sizes(s)} THEN 0.9::DOUBLE ELSE 0.1 END"
+        if s.magic:
+            v += f" * CASE WHEN n < {max(4, len(s.magic))} THEN 1::DOUBLE WHEN {_starts(s.magic)} THEN 0.95 ELSE 0.01 END"
+        if s.filesystem:
+            v += f" * CASE WHEN {system[s.filesystem][0]} THEN {system[s.filesystem][1]}::DOUBLE ELSE 1 END"
+        rows.append(f"{{'format': '{s.name}', 'reg': {i}, 'v': {v}}}")
+    return ", ".join(rows)
 
-def _scores(spark, sf):
-    near = F.exists("sizes", lambda x: F.abs(F.col("size") - x) <= x * 0.1)
-    within = F.col("size").between(F.array_min("sizes"), F.array_max("sizes"))
-    size = F.when(F.exists("sizes", lambda s: s == F.col("size")), 1.0).when(within, 0.5).when(near, 0.3).otherwise(0.01)
-    n = F.length("magic") / 2
-    agree = F.size(F.filter(F.sequence(F.lit(0), F.greatest(n.cast("int") - 1, F.lit(0))), lambda i: octets.cut(F.col("header"), i, 1) == octets.cut(F.col("magic"), i, 1)))
-    magic = F.when(F.col("magic") == "", 0.5).when(F.col("header").startswith(F.col("magic")), 1.0).otherwise(agree * 0.5 / F.nullif(n, F.lit(0.0)))
-    check = lambda head: F.when(F.col("header").startswith(head), 1.0).otherwise(0.1)
-    structure = F.when(F.col("format") == "IMG", check("EB")).when(F.col("format") == "ADF", check("444F53")).otherwise(0.5)
-    return _files(spark, sf).crossJoin(_specs(spark)).withColumns({"size_score": size, "magic_score": magic, "structure_score": structure})
 
+BAYES = """p AS (SELECT id, x.format AS format, x.reg AS reg, round(x.v / sum(x.v) OVER (PARTITION BY id), 9) AS post FROM l), r AS (SELECT *, row_number() OVER w AS k, lead(format) OVER w AS second, lead(post) OVER w AS nxt FROM p WINDOW w AS (PARTITION BY id ORDER BY post DESC, reg))"""
 
-@query("src08_bayesian_detect", f"""WITH {BAYES2}, l AS (SELECT *, prior * pow(size_score * magic_score * structure_score, 1.0 / 3) AS v FROM s), p AS (SELECT id, format, reg, round(v / sum(v) OVER (PARTITION BY id), 9) AS post FROM l),
-  r AS (SELECT *, row_number() OVER w AS k, lead(post) OVER w AS nxt FROM p WINDOW w AS (PARTITION BY id ORDER BY post DESC, reg)) SELECT id, format AS best, round(post * 100, 4) AS confidence, post * 100 < 70 AS low, (post - nxt) * 100 < 20 AS ambiguous FROM r WHERE k = 1""")
+
+@query("src07_bayesian_detect", f"WITH {FILES}, l AS (SELECT id, unnest([{_first_sql()}]) AS x FROM files WHERE n > 0), {BAYES} SELECT id, format AS best, round(post * 100, 4) AS confidence, second, nxt > post * 0.7 AS ambiguous FROM r WHERE k = 1")
+def bayesian_first(spark, sf):
+    """Prior, length, signature and file system of thirteen formats; a file without bytes has no answer."""
+    got = pr.posteriors(_files(spark, sf).where("length > 0"), pr.FIRST, pr.evidence_first)
+    return _id(got.select("path", "best", F.round(F.col("post") * 100, 4).alias("confidence"), "second", (F.col("next") > F.col("post") * 0.7).alias("ambiguous")))
+
+
+def _second_sql(whole: bool) -> str:
+    """The three scores of each format; whole: structure is judged by all bytes, else by the first 64."""
+    long = lambda n: f"n >= {n}" if whole else "false"
+    far = _far(91392)
+    digit = lambda at: f"CAST('0x' || substr({far}, {at}, 2) AS BIGINT)"
+    checks = {
+        "D64": f"({long(174848)} AND {digit(1)} <= 40 AND {digit(3)} <= 21 AND {digit(5)} IN (65, 0))", "ADF": f"({long(901120)})",
+        "SCP": f"(n >= 16 AND {_starts(b'SCP')} AND {_byte(3)} <= 41 AND {_byte(6)} <= {_byte(7)} AND {_byte(5)} BETWEEN 1 AND 32)", "G64": f"(n >= 12 AND {_starts(b'GCR-1541')} AND {_byte(8)} = 0 AND {_byte(9)} BETWEEN 1 AND 168)"}
+    rows = []
+    for i, s in enumerate(pr.SECOND):
+        near = " OR ".join(f"(n::DOUBLE / {x} > 0.9 AND n::DOUBLE / {x} < 1.1)" for x in s.sizes) or "false"
+        size = f"CASE WHEN {_sizes(s)} THEN 1.0::DOUBLE WHEN n BETWEEN {s.least} AND {s.most} THEN 0.5 WHEN {near} THEN 0.3 ELSE 0.01 END"
+        agree = " + ".join(f"CASE WHEN {_byte(k)} = {c} THEN 1 ELSE 0 END" for k, c in enumerate(s.magic)) or "0"
+        magic = f"CASE WHEN n < {len(s.magic)} THEN 0.01::DOUBLE WHEN {agree} = {len(s.magic)} THEN 1.0 ELSE ({agree})::DOUBLE / {len(s.magic)} * 0.5 END" if s.magic else "0.5::DOUBLE"
+        structure = f"CASE WHEN {checks[s.name]} THEN 1.0::DOUBLE ELSE 0.1 END" if s.check else "0.5::DOUBLE"
+        rows.append(f"{{'format': '{s.name}', 'reg': {i}, 'prior': {s.prior}::DOUBLE, 'a': {size}, 'b': {magic}, 'c': {structure}}}")
+    return ", ".join(rows)
+
+
+@query("src08_bayesian_detect", f"""WITH {FILES}, e AS (SELECT id, unnest([{_second_sql(False)}]) AS x FROM files), l AS (SELECT id, {{'format': x.format, 'reg': x.reg, 'v': x.prior * pow(x.a * x.b * x.c, 1.0::DOUBLE / 3)}} AS x FROM e), {BAYES}
+  SELECT id, format AS best, round(post * 100, 4) AS confidence, post * 100 < 70 AS low, round((post - nxt) * 100, 6) < 20 AS ambiguous FROM r WHERE k = 1""")
 def bayesian_second(spark, sf):
-    s = _scores(spark, sf).withColumn("v", F.col("prior") * F.pow(F.col("size_score") * F.col("magic_score") * F.col("structure_score"), F.lit(1.0 / 3)))
+    """Prior times the cubic mean of length, signature and structure of seven formats, all judged by the first 64 bytes."""
+    got = pr.posteriors(_files(spark, sf), pr.SECOND, pr.evidence_second, window=64)
     post = F.col("post") * 100
-    return _best(s).select("id", F.col("format").alias("best"), F.round(post, 4).alias("confidence"), (post < 70).alias("low"), ((F.col("post") - F.col("nxt")) * 100 < 20).alias("ambiguous"))
+    return _id(got.select("path", "best", F.round(post, 4).alias("confidence"), (post < 70).alias("low"), (F.round((F.col("post") - F.col("next")) * 100, 6) < 20).alias("ambiguous")))
 
 
-@query("src11_structure_score", f"WITH {BAYES2} SELECT id, format, round(size_score, 6) AS size_score, round(magic_score, 6) AS magic_score, structure_score FROM s")
+@query("src11_structure_score", f"WITH {FILES}, e AS (SELECT id, unnest([{_second_sql(True)}]) AS x FROM files) SELECT id, x.format AS format, round(x.a, 6) AS size_score, round(x.b, 6) AS magic_score, x.c AS structure_score FROM e")
 def structure_score(spark, sf):
-    return _scores(spark, sf).select("id", "format", F.round("size_score", 6).alias("size_score"), F.round("magic_score", 6).alias("magic_score"), "structure_score")
+    """Seven formats' scores in each whole file."""
+    return _id(pr.score_table(_files(spark, sf)).select("path", "format", F.round("size_score", 6).alias("size_score"), F.round("magic_score", 6).alias("magic_score"), "structure_score"))
 
 
-@query("src12_common_formats", f"""WITH {FILES}, c AS (SELECT id, [x FOR x IN [CASE WHEN starts_with(header, '534350') THEN 'SCP:0.95' END, CASE WHEN starts_with(header, '4743522D31353431') THEN 'G64:0.95' END, CASE WHEN starts_with(header, '4858435049434645') THEN 'HFE:0.95' END, CASE WHEN starts_with(header, '494D4420') THEN 'IMD:0.95' END,
-  CASE WHEN size IN (174848, 175531, 196608, 197376) THEN 'D64:0.85' END, CASE WHEN size IN (901120, 1802240) THEN 'ADF:0.85' END] IF x IS NOT NULL] AS f FROM files) SELECT id, array_to_string(f, ',') AS found, CAST(len(f) AS BIGINT) AS n FROM c""")
+@query("src12_common_formats", f"""WITH {FILES}, c AS (SELECT id, [x FOR x IN [CASE WHEN n >= 8 AND {_starts(b'SCP')} THEN 'SCP:0.95' END, CASE WHEN n >= 8 AND {_starts(b'GCR-1541')} THEN 'G64:0.95' END, CASE WHEN n >= 8 AND {_starts(b'HXCPICFE')} THEN 'HFE:0.95' END, CASE WHEN n >= 8 AND {_starts(b'IMD ')} THEN 'IMD:0.95' END,
+  CASE WHEN n IN (174848, 175531, 196608, 197376) THEN 'D64:0.85' END, CASE WHEN n IN (901120, 1802240) THEN 'ADF:0.85' END] IF x IS NOT NULL] AS f FROM files) SELECT id, array_to_string(f, ',') AS found, CAST(len(f) AS BIGINT) AS n FROM c""")
 def common_formats(spark, sf):
-    """Four formats by their magic bytes, two by their sizes; each with its fixed probability."""
-    head = lambda magic, name: F.when(F.col("header").startswith(magic), F.lit(f"{name}:0.95"))
-    found = F.array_compact(F.array(head("534350", "SCP"), head("4743522D31353431", "G64"), head("4858435049434645", "HFE"), head("494D4420", "IMD"), F.when(F.col("size").isin(174848, 175531, 196608, 197376), F.lit("D64:0.85")),
-                                    F.when(F.col("size").isin(901120, 1802240), F.lit("ADF:0.85"))))
-    return _files(spark, sf).select("id", F.array_join(found, ",").alias("found"), F.size(found).cast("long").alias("n"))
+    """Four formats by their signatures, two by their lengths; each with its fixed probability."""
+    head = lambda word, name: F.when((F.col("length") >= 8) & F.col("head").startswith(F.lit(word)), F.lit(f"{name}:0.95"))
+    found = F.array_compact(F.array(head(b"SCP", "SCP"), head(b"GCR-1541", "G64"), head(b"HXCPICFE", "HFE"), head(b"IMD ", "IMD"), F.when(F.col("length").isin(174848, 175531, 196608, 197376), F.lit("D64:0.85")),
+                                    F.when(F.col("length").isin(901120, 1802240), F.lit("ADF:0.85"))))
+    return _id(_files(spark, sf).withColumn("head", F.substring("content", 1, 8)).select("path", F.array_join(found, ",").alias("found"), F.size(found).cast("long").alias("n")))
+
+
+#: Sectors and good ones of the kinds whose bytes are sectors: by length, by the error map, by the dump's records.
+_OPENED = f"""opened AS (SELECT w.id, w.format, CASE WHEN w.format = 'D64' THEN CASE WHEN n IN (174848, 175531) THEN 683 WHEN n IN (196608, 197376) THEN 768 WHEN n IN (200960, 201745) THEN 785 ELSE 802 END WHEN w.format = 'ADF' THEN n // 512 WHEN w.format = 'IMG' THEN n // 512 WHEN w.format = 'D71' THEN 1366 WHEN w.format = 'D81' THEN 3200
+    WHEN w.format = 'ATR' THEN (n - 16) // 128 WHEN w.format = 'DO' THEN 560 WHEN w.format = 'IMD' THEN CASE WHEN damage = 2 THEN {{dumped}} ELSE 54 END ELSE 0 END AS sectors,
+  CASE WHEN w.format = 'D64' AND n = 175531 THEN CASE WHEN o2 IS NULL THEN 0 ELSE {sum(e == 1 for e in samples._ERRORS)} END WHEN w.format = 'IMD' THEN CASE WHEN damage = 2 THEN {{dumped_good}} ELSE {{whole_good}} END END AS fewer FROM w JOIN files ON files.id = w.id)"""
+
+
+def _dumped(raw: bytes) -> tuple[int, int]:
+    got = disks.read_dump(raw)
+    return len(got), sum(r[5] == "OK" for r in got)
 
 
-@query("src13_smart_open", f"""WITH {CLAIMS}, {SECTORS}, w AS (SELECT id, arg_max(format, (conf, -reg)) AS format, max(conf) AS top FROM claims WHERE conf > 0 GROUP BY id), t AS (SELECT c.id, count(*) > 1 AS tie FROM claims c JOIN w USING (id) WHERE c.conf = top GROUP BY c.id),
-  q AS (SELECT data AS id, count(*) AS total, count(*) FILTER (crc_ok) AS good, bool_or(weak AND deleted) AS marked FROM sectors GROUP BY data) SELECT w.id, w.format, tie AS warned, coalesce(total, 0) AS sectors, coalesce(good, 0) AS good, coalesce(marked, false) AS protected,
-  CASE WHEN total IS NULL OR good = 0 THEN 'UNREADABLE' WHEN good * 100 // total = 100 THEN 'PERFECT' WHEN good * 100 // total >= 95 THEN 'GOOD' WHEN good * 100 // total >= 80 THEN 'FAIR' WHEN good * 100 // total >= 50 THEN 'POOR' ELSE 'BAD' END AS level FROM w JOIN t USING (id) LEFT JOIN q ON q.id = w.id""")
+_HALF, _FULL = _dumped(samples._DUMP[: len(samples._DUMP) // 2]), _dumped(samples._DUMP)
+
+
+@query("src13_smart_open", f"""WITH {CLAIMS}, t AS (SELECT *, max(conf) OVER (PARTITION BY id) AS top FROM claims), w AS (SELECT id, arg_min(format, reg) FILTER (conf = top) AS format, count(*) FILTER (conf = top) > 1 AS warned FROM t GROUP BY id),
+  {_OPENED.format(dumped=_HALF[0], dumped_good=_HALF[1], whole_good=_FULL[1])}, q AS (SELECT id, CAST(sectors AS BIGINT) AS sectors, CAST(coalesce(fewer, sectors) AS BIGINT) AS good FROM opened)
+  SELECT id, format, warned, sectors, good, CASE WHEN sectors = 0 THEN 'UNKNOWN' WHEN good * 100 // sectors = 100 THEN 'PERFECT' WHEN good * 100 // sectors >= 95 THEN 'GOOD' WHEN good * 100 // sectors >= 80 THEN 'FAIR' WHEN good * 100 // sectors >= 50 THEN 'POOR' WHEN good > 0 THEN 'BAD' ELSE 'UNREADABLE' END AS level FROM w JOIN q USING (id)""")
 def smart_open(spark, sf):
-    """The probe's winner (a tie is only a warning), whether its sectors look protected, and a quality level from those that are good."""
-    c = _claims(spark, sf).withColumn("top", F.max("conf").over(Window.partitionBy("id")))
-    w = c.groupBy("id").agg(F.max_by("format", F.struct("conf", -F.col("reg"))).alias("format"), (F.count_if(F.col("conf") == F.col("top")) > 1).alias("warned"))
-    q = sectors(spark, sf).groupBy(F.col("data").alias("id")).agg(F.count("*").alias("sectors"), F.count_if("crc_ok").alias("good"), F.bool_or(F.col("weak") & F.col("deleted")).alias("protected"))
-    j = w.join(q, "id", "left").na.fill(0, ["sectors", "good"]).na.fill(False, ["protected"])
+    """The probe's winner (a tie is only a warning), the sectors that its reader finds, and a quality level from the good ones."""
+    files = _files(spark, sf)
+    claimed = pr.claims(files).withColumn("top", F.max("conf").over(Window.partitionBy("path")))
+    w = claimed.groupBy("path").agg(F.max_by("format", F.struct("conf", -F.col("reg"))).alias("format"), (F.count_if(F.col("conf") == F.col("top")) > 1).alias("warned"))
+    found = disks.sectors(files.join(w, "path")).groupBy("path").agg(F.count("*").alias("sectors"), F.count_if(F.col("status") == "OK").alias("good"))
+    j = w.join(found, "path", "left").na.fill(0, ["sectors", "good"])
     pct = F.expr("try_divide(good * 100, sectors)").cast("int")
-    level = F.when(F.col("good") == 0, "UNREADABLE").when(pct == 100, "PERFECT").when(pct >= 95, "GOOD").when(pct >= 80, "FAIR").when(pct >= 50, "POOR").otherwise("BAD")
-    return j.select("id", "format", "warned", "sectors", "good", "protected", level.alias("level"))
+    level = F.when(F.col("sectors") == 0, "UNKNOWN").when(pct == 100, "PERFECT").when(pct >= 95, "GOOD").when(pct >= 80, "FAIR").when(pct >= 50, "POOR").when(F.col("good") > 0, "BAD").otherwise("UNREADABLE")
+    return _id(j.select("path", "format", "warned", "sectors", "good", level.alias("level")))
+
+
+_SPECS = "specs AS (SELECT * FROM (VALUES " + ", ".join(f"('{f}', {pr.REG[f]}, {e}, {pr.LENGTHS.get(f, [])}::BIGINT[])" for f, e in pr.FORMATS) + ") AS t(format, reg, exts, sizes))"
+
+
+def _specs(spark):
+    return spark.createDataFrame([(f, pr.REG[f], e, pr.LENGTHS.get(f, [])) for f, e in pr.FORMATS], "format string, reg int, exts array<string>, sizes array<long>")  # a row a format
 
 
-@query("src14_extension_lookup", f"WITH {FILES}, e AS (SELECT x AS ext, arg_min(format, reg) AS format FROM specs, unnest(exts) AS u(x) GROUP BY x) SELECT id, e.format FROM files LEFT JOIN e ON e.ext = lower(files.ext)")
+@query("src14_extension_lookup", f"WITH {FILES}, {_SPECS}, e AS (SELECT x AS ext, arg_min(format, reg) AS format FROM specs, unnest(exts) AS u(x) GROUP BY x) SELECT id, e.format FROM files LEFT JOIN e ON e.ext = lower(files.ext)")
 def extension_lookup(spark, sf):
     """The format registered first among those that claim the extension, whatever its case."""
     by = _specs(spark).select("format", "reg", F.explode("exts").alias("low")).groupBy("low").agg(F.min_by("format", "reg").alias("format"))
-    return _files(spark, sf).withColumn("low", F.lower("ext")).join(F.broadcast(by), "low", "left").select("id", "format")
+    named = _files(spark, sf).select("path", F.lower(F.substring_index("path", ".", -1)).alias("low"))
+    return _id(named.join(F.broadcast(by), "low", "left").select("path", "format"))
 
 
-@query("src16_lookup_by_name", f"WITH {FILES} SELECT id, reg, prior::DOUBLE AS prior FROM files JOIN specs ON format = upper(ext)")
+@query("src16_lookup_by_name", f"WITH {FILES}, {_SPECS} SELECT id, format, reg, CAST(len(sizes) AS INTEGER) AS lengths FROM files JOIN specs ON format = upper(ext)")
 def lookup_by_name(spark, sf):
-    return _files(spark, sf).withColumn("format", F.upper("ext")).join(_specs(spark), "format").select("id", "reg", "prior")
+    """Formats whose name is the file's extension."""
+    named = _files(spark, sf).select("path", F.upper(F.substring_index("path", ".", -1)).alias("format"))
+    return _id(named.join(F.broadcast(_specs(spark)), "format").select("path", "format", "reg", F.size("sizes").alias("lengths")))
 
 
 REGISTER = "tries AS (SELECT s_suppkey AS step, 'plugin' || s_nationkey AS name, s_suppkey % 5 > 0 AS abi FROM supplier), ranked AS (SELECT *, row_number() OVER (PARTITION BY name, abi ORDER BY step) AS k FROM tries)"
@@ -250,10 +353,10 @@ _PROFILES = [(901120, "AMIGA_DD"), (1802240, "AMIGA_HD"), (163840, "IBM_DD"), (1
              (1915904, "IBM_XDF"), (357376, "ATARI_ST_DD"), (714752, "ATARI_ST_DD"), (174848, "C64"), (175531, "C64"), (196608, "C64"), (349696, "C64"), (143360, "APPLE_DOS33"), (819200, "APPLE_PRODOS")]
 
 
-@query("src24_profile_by_size", f"WITH {FILES}, g AS (SELECT * FROM (VALUES {', '.join(map(str, _PROFILES))}) AS t(size, profile)) SELECT id, coalesce(profile, 'UNKNOWN') AS profile FROM files LEFT JOIN g ON g.size = files.size")
+@query("src24_profile_by_size", f"WITH {FILES}, g AS (SELECT * FROM (VALUES {', '.join(map(str, _PROFILES))}) AS t(size, profile)) SELECT id, coalesce(profile, 'UNKNOWN') AS profile FROM files LEFT JOIN g ON g.size = files.n")
 def profile_by_size(spark, sf):
-    g = spark.createDataFrame(_PROFILES, "size long, profile string")
-    return _files(spark, sf).join(F.broadcast(g), "size", "left").select("id", F.coalesce("profile", F.lit("UNKNOWN")).alias("profile"))
+    g = spark.createDataFrame(_PROFILES, "length long, profile string")
+    return _id(_files(spark, sf).join(F.broadcast(g), "length", "left").select("path", F.coalesce("profile", F.lit("UNKNOWN")).alias("profile")))
 
 
 _SYNCS = [0x4489, 0x9521, 0xD5AA96, 0x52FF, 0x1234, 0xA245, 0x4489, 0xFF52]
@@ -308,13 +411,19 @@ def triage(spark, sf):
     return q.select("track", "quality", F.when(F.col("quality") >= 80, "GREEN").when(F.col("quality") >= 50, "YELLOW").when(F.col("quality") > 0, "RED").otherwise("WHITE").alias("grade"))
 
 
-@query("io18_validate_image", f"""WITH {FILES}, c AS (SELECT f.id, format, reg, list_contains(sizes, f.size) AS exact, len(sizes) = 0 AS any_size, list_contains(exts, lower(f.ext)) AS named, magic <> '' AND starts_with(header, magic) AS marked FROM files f, specs),
-  e AS (SELECT id, arg_min(format, reg) FILTER (named AND exact) AS a, arg_min(format, reg) FILTER (named AND any_size) AS b, arg_min(format, reg) FILTER (marked) AS m FROM c GROUP BY id) SELECT id, coalesce(a, b, m) AS format, coalesce(a, b, m) IS NOT NULL AS valid, CASE WHEN a IS NOT NULL THEN 'SIZE' WHEN b IS NOT NULL THEN 'EXTENSION' WHEN m IS NOT NULL THEN 'MAGIC' ELSE 'NONE' END AS how FROM e""")
+@query("io18_validate_image", f"""WITH {WHOLE}, {_SPECS}, x AS (SELECT ext, format, reg, sizes FROM (SELECT unnest(exts) AS ext, format, reg, sizes FROM specs)),
+  c AS (SELECT f.id, coalesce(x.format, k.format) AS format, coalesce(x.reg, k.reg) AS reg, x.format IS NOT NULL AND list_contains(sizes, n) AS exact, x.format IS NOT NULL AND len(sizes) = 0 AS any_size, k.format IS NOT NULL AS claimed, coalesce(k.conf, 0) AS conf
+    FROM files f LEFT JOIN x ON x.ext = lower(f.ext) LEFT JOIN claims k ON k.id = f.id AND k.format = x.format),
+  e AS (SELECT id, arg_min(format, reg) FILTER (exact AND claimed) AS a, arg_min(format, reg) FILTER (any_size AND claimed) AS b FROM c GROUP BY id), m AS (SELECT id, arg_max(format, conf * 100 - reg) AS m FROM claims GROUP BY id)
+  SELECT e.id, coalesce(a, b, m) AS format, coalesce(a, b, m) IS NOT NULL AS valid, CASE WHEN a IS NOT NULL THEN 'SIZE' WHEN b IS NOT NULL THEN 'EXTENSION' WHEN m IS NOT NULL THEN 'CONTENT' ELSE 'NONE' END AS how FROM e LEFT JOIN m ON m.id = e.id""")
 def validate_image(spark, sf):
-    """Extension with its exact size, else an extension of any size, else magic bytes."""
-    named, exact = F.array_contains("exts", F.lower("ext")), F.exists("sizes", lambda s: s == F.col("size"))
-    marked = (F.col("magic") != "") & F.col("header").startswith(F.col("magic"))
+    """A format that the extension names and the content bears out, first by an exact length, then of any length; else what the content alone says."""
+    files = _files(spark, sf)
+    by = F.broadcast(_specs(spark).select("format", F.explode("exts").alias("low"), "sizes"))
+    named = files.select("path", "length", F.lower(F.substring_index("path", ".", -1)).alias("low")).join(by, "low").drop("low")
+    c = pr.claims(files, window=None).join(named, ["path", "format"], "left")
     first = lambda test: F.min_by(F.when(test, F.col("format")), F.when(test, F.col("reg")))
-    e = _files(spark, sf).crossJoin(_specs(spark)).groupBy("id").agg(first(named & exact).alias("a"), first(named & (F.size("sizes") == 0)).alias("b"), first(marked).alias("m"))
-    how = F.when(F.col("a").isNotNull(), "SIZE").when(F.col("b").isNotNull(), "EXTENSION").when(F.col("m").isNotNull(), "MAGIC").otherwise("NONE")
-    return e.select("id", F.coalesce("a", "b", "m").alias("format"), F.coalesce("a", "b", "m").isNotNull().alias("valid"), how.alias("how"))
+    e = c.groupBy("path").agg(first(F.array_contains("sizes", F.col("length"))).alias("a"), first(F.size("sizes") == 0).alias("b"), F.max_by("format", F.struct("conf", -F.col("reg"))).alias("m"))
+    how = F.when(F.col("a").isNotNull(), "SIZE").when(F.col("b").isNotNull(), "EXTENSION").when(F.col("m").isNotNull(), "CONTENT").otherwise("NONE")
+    got = files.select("path").join(e, "path", "left")
+    return _id(got.select("path", F.coalesce("a", "b", "m").alias("format"), F.coalesce("a", "b", "m").isNotNull().alias("valid"), how.alias("how")))
