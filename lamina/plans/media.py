@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import cells as cl
+from ..operators import signatures as sg
 from ..operators import tracks as tr
 from ..sources import containers as box
 from ..sources.carriers import FLUX, IMAGES, PULSES, SECTORS, flux, images, pulses, sectors, table
@@ -323,16 +324,24 @@ def duplicate_recovery(spark, sf):
     return near.groupBy("image", "chunk").agg(F.min(F.struct("at", "same")).alias("m")).select("image", "chunk", F.col("m.at.image").alias("from_image"), F.col("m.at.chunk").alias("from_chunk"), F.col("m.same").alias("equal_bytes"))
 
 
-# Fixed values of this example: signatures in digits; a dot stands for a masked half byte.
-_SIGNATURES = [("a", "746F6B656E203D20"), ("b", "6C6963656E.65"), ("c", "406D6.69"), ("d", "4.4B4941")]
+#: Signatures: every 24th byte of each benchmark text begins one of twelve bytes; the fourth is fixed in its high half only, the sixth is free.
+_CUT, _MASK = 24, "FFFFFFF0FF00FFFFFFFFFFFF"
+SIGNED = f"""sigs AS (SELECT item_id * 100000 + i AS sig, substr(h, CAST(2 * {_CUT} * i + 1 AS INTEGER), 24) AS p FROM (SELECT item_id, hex(encode(text)) AS h FROM benchmark) b, unnest(range(0, (length(h) // 2 - 12) // {_CUT} + 1)) AS u(i))"""
 
 
-@query("join21_signature_scan", "WITH h AS (SELECT doc_id AS image, hex(encode(text)) AS h FROM documents WHERE length(text) > 0), s AS (SELECT * FROM (VALUES " + ", ".join(map(str, _SIGNATURES)) + ") AS t(sig, pat)) SELECT image, sig, CAST(length(regexp_extract(h, '^((?:..)*?)' || pat, 1)) // 2 AS BIGINT) AS offset_at FROM h, s WHERE regexp_matches(h, '^(?:..)*?' || pat)")
+def _signatures(spark, sf):
+    b = table(spark, sf, "benchmark").select("item_id", F.col("text").cast("binary").alias("b"))
+    each = b.select("item_id", "b", F.explode(F.sequence(F.lit(0), F.expr(f"(octet_length(b) - 12) div {_CUT}"))).alias("i")).where(F.octet_length("b") >= 12)
+    return each.select((F.col("item_id") * 100000 + F.col("i")).alias("sig"), F.substring("b", F.col("i") * _CUT + 1, F.lit(12)).alias("pattern"), F.unhex(F.lit(_MASK)).alias("mask"))
+
+
+@query("join21_signature_scan", f"""WITH {SIGNED}, h AS (SELECT doc_id AS image, hex(encode(text)) AS h FROM documents WHERE length(text) > 0), c AS (SELECT image, k * 500 AS start, substr(h, CAST(1000 * k + 1 AS INTEGER), 1022) AS part FROM h, unnest(range(0, length(h) // 1000 + 1)) AS u(k)),
+  w AS (SELECT image, start + i AS i, substr(part, CAST(2 * i + 1 AS INTEGER), 24) AS w FROM c, unnest(range(0, length(part) // 2 - 11)) AS u(i))
+  SELECT image, sig, CAST(min(i) AS BIGINT) AS offset_at FROM w JOIN sigs ON substr(w, 1, 7) = substr(p, 1, 7) AND substr(w, 9, 2) = substr(p, 9, 2) AND substr(w, 13) = substr(p, 13) GROUP BY image, sig""")
 def signature_scan(spark, sf):
-    """Masked byte patterns at any offset: the first place of each."""
-    h = table(spark, sf, "documents").where("octet_length(text) > 0").select(F.col("doc_id").alias("image"), F.hex(F.encode("text", "utf-8")).alias("h"))
-    one = lambda sig, pat: F.when(F.col("h").rlike(f"^(?:..)*?{pat}"), F.struct(F.lit(sig).alias("sig"), F.expr(f"cast(length(regexp_extract(h, '^((?:..)*?){pat}', 1)) / 2 AS long)").alias("offset_at")))
-    return h.select("image", F.explode(F.array_compact(F.array(*[one(s, p) for s, p in _SIGNATURES]))).alias("x")).select("image", "x.*")
+    """A table of hundreds of masked signatures in every whole text: the first place of each."""
+    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("content"))
+    return sg.scan(texts, _signatures(spark, sf)).withColumnRenamed("key", "image")
 
 
 @query("agg19_bad_sectors", f"WITH {SECTORS} SELECT track, sector, read, count(*) OVER () AS found FROM sectors WHERE NOT crc_ok")

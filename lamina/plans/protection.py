@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import octets
+from ..operators import signatures as sg
 from ..sources.carriers import NOISE, PULSES, SECTORS, noise, pulses, sectors, table
 from .base import query
 
@@ -210,25 +211,34 @@ def atari_rules(spark, sf):
     return t.select("track", mask.alias("mask"), F.when(fuzzy & bad, "FUZZY").when(gone, "MISSING").when(extra, "EXTRA").otherwise("NONE").alias("scheme"))
 
 
-# Fixed values of this example: byte signatures of schemes.
-_BYTES = [("loader", "3C74", 70), ("check", "636C6173733D", 80), ("key", "68746D6C", 60), ("guard", "3C2F7363726970743E", 90)]
+#: Signatures of the page scan: the benchmark's words of five letters or more, the first in either case.
+WORDS = "words AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{5,}')) AS name FROM benchmark)"
 
 
-@query("prot17_byte_signatures", "WITH p AS (SELECT page_id AS image, hex(encode(html)) AS h FROM pages WHERE html IS NOT NULL), s AS (SELECT * FROM (VALUES " + ", ".join(map(str, _BYTES)) + ") AS t(name, pat, conf)) SELECT image, name, CAST(length(regexp_extract(h, '^((?:..)*?)' || pat, 1)) // 2 AS BIGINT) AS first_byte, conf FROM p, s WHERE regexp_matches(h, '^(?:..)*?' || pat)")
+@query("prot17_byte_signatures", f"""WITH {WORDS}, s AS (SELECT name, upper(name[1:1]) || name[2:] AS a, lower(name[1:1]) || name[2:] AS b FROM words), p AS (SELECT page_id AS image, html AS h FROM pages WHERE length(html) > 0),
+  x AS (SELECT image, name, h, least(coalesce(nullif(instr(h, a), 0), 1e9::BIGINT), coalesce(nullif(instr(h, b), 0), 1e9::BIGINT)) AS place FROM p, s WHERE contains(h, a) OR contains(h, b))
+  SELECT image, name, CAST(strlen(substr(h, 1, CAST(place - 1 AS INTEGER))) AS BIGINT) AS first_byte, CAST(50 + 2 * least(20, length(name)) AS INTEGER) AS conf FROM x""")
 def byte_signatures(spark, sf):
-    """Byte signatures at byte borders of whole buffers, the first place of each."""
-    p = table(spark, sf, "pages").where("html IS NOT NULL").select(F.col("page_id").alias("image"), F.hex(F.encode("html", "utf-8")).alias("h"))
-    one = lambda name, pat, conf: F.when(F.col("h").rlike(f"^(?:..)*?{pat}"), F.struct(F.lit(name).alias("name"), F.expr(f"cast(length(regexp_extract(h, '^((?:..)*?){pat}', 1)) / 2 AS long)").alias("first_byte"), F.lit(conf).alias("conf")))
-    return p.select("image", F.explode(F.array_compact(F.array(*[one(*s) for s in _BYTES]))).alias("x")).select("image", "x.*")
+    """Byte signatures in whole buffers, the first place of each; a longer one is surer."""
+    words = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{5,}"), F.lit(0))).alias("sig")).distinct()
+    signs = words.select("sig", F.col("sig").cast("binary").alias("pattern"), F.unhex(F.concat(F.lit("DF"), F.repeat(F.lit("FF"), F.length("sig") - 1))).alias("mask"))
+    found = sg.scan(table(spark, sf, "pages").select(F.col("page_id").alias("key"), F.col("html").alias("content")), signs)
+    return found.select(F.col("key").alias("image"), F.col("sig").alias("name"), F.col("offset_at").alias("first_byte"), (F.least(F.length("sig"), F.lit(20)) * 2 + 50).alias("conf"))
 
 
-@query("prot18_boot_signature", "WITH t AS (SELECT doc_id AS image, hex(encode(text)) AS h FROM documents WHERE length(text) > 0) SELECT image, starts_with(h, '47454F53') OR regexp_matches(substr(h, 1, 512), '^(?:..)*?(?:54686520|616E6420)') AS signed, CAST(length(h) // 2 AS BIGINT) AS size, CASE WHEN length(h) // 2 >= 512 THEN 'FULL' ELSE 'SHORT' END AS boot FROM t")
+# Fixed values of this example: signatures of the boot block; the first must begin it.
+_BOOT = ["GEOS", "The ", "and "]
+
+
+@query("prot18_boot_signature", f"WITH t AS (SELECT doc_id AS image, hex(encode(text)) AS h FROM documents WHERE length(text) > 0) SELECT image, starts_with(h, '{_BOOT[0].encode().hex().upper()}') OR regexp_matches(substr(h, 1, 512), '^(?:..)*?(?:{'|'.join(b.encode().hex().upper() for b in _BOOT[1:])})') AS signed, CAST(length(h) // 2 AS BIGINT) AS size, CASE WHEN length(h) // 2 >= 512 THEN 'FULL' ELSE 'SHORT' END AS boot FROM t")
 def boot_signature(spark, sf):
     """A signature within the boot block, and whether the block is whole."""
-    t = table(spark, sf, "documents").where("octet_length(text) > 0").select(F.col("doc_id").alias("image"), F.hex(F.encode("text", "utf-8")).alias("h"))
-    signed = F.col("h").startswith("47454F53") | F.substring("h", 1, 512).rlike("^(?:..)*?(?:54686520|616E6420)")
-    size = F.floor(F.length("h") / 2)
-    return t.select("image", signed.alias("signed"), size.alias("size"), F.when(size >= 512, "FULL").otherwise("SHORT").alias("boot"))
+    t = table(spark, sf, "documents").where("octet_length(text) > 0").select(F.col("doc_id").alias("key"), F.col("text").cast("binary").alias("content"))
+    signs = spark.createDataFrame([(b, bytearray(b.encode()), None) for b in _BOOT], "sig string, pattern binary, mask binary")
+    found = sg.scan(t.select("key", F.substring("content", 1, 256).alias("content")), signs).where(f"sig <> '{_BOOT[0]}' OR offset_at = 0").select("key").distinct()
+    size = F.octet_length("content").cast("long")
+    both = t.select("key", size.alias("size")).join(found.withColumn("signed", F.lit(True)), "key", "left")
+    return both.select(F.col("key").alias("image"), F.coalesce("signed", F.lit(False)).alias("signed"), "size", F.when(F.col("size") >= 512, "FULL").otherwise("SHORT").alias("boot"))
 
 
 @query("prot19_probe_flux", f"""WITH {PULSES}, r AS (SELECT track // 5 AS disk, track % 5 AS rev, count(*) AS n, CAST(sum(dt) AS BIGINT) AS ns FROM pulses GROUP BY 1, 2), d AS (SELECT disk, rev, n, ns, max(n) OVER (PARTITION BY disk) - min(n) OVER (PARTITION BY disk) AS spread FROM r)
