@@ -12,18 +12,18 @@ from .base import query
 from .codes import ENCODED
 from .filesystems import CATALOGUE, _catalogues, _listed
 from .formats import CLAIMS, FILES, _files, _id, _picked
-from .fusion_policy import MATRIX, PATHS, _sql_values, _values
+from .fusion_policy import MATRIX, PATHS, _sql_values
 
 _TO = ["HFE", "SCP", "IMG", "ADF", "D64", "G64"]
 POLICY = f"p AS (SELECT * FROM (VALUES {_sql_values(PATHS)}) AS t(src, dst, quality)), m AS (SELECT * FROM (VALUES {_sql_values(MATRIX)}) AS t(src, dst, status))"
 
 
 def _paths(spark):
-    return F.broadcast(spark.createDataFrame(_values(PATHS), "src string, dst string, quality string"))  # 44 rows
+    return F.broadcast(spark.createDataFrame(PATHS, "src string, dst string, quality string"))  # 44 rows
 
 
 def _matrix(spark):
-    return F.broadcast(spark.createDataFrame(_values(MATRIX), "src string, dst string, status string"))  # 13 rows
+    return F.broadcast(spark.createDataFrame(MATRIX, "src string, dst string, status string"))  # 13 rows
 
 
 def _gated(spark, asked):
@@ -76,12 +76,35 @@ def dispatch(spark, sf):
     return out.select("route", "track", "digest")
 
 
-@query("conv05_preflight_gate", f"WITH {POLICY}, f AS (SELECT DISTINCT src AS x FROM p), g AS (SELECT DISTINCT dst AS x FROM p), a AS (SELECT f.x AS src, g.x AS dst, false AS consent FROM f, g) SELECT a.src, a.dst, {GATE} AS outcome FROM a LEFT JOIN p ON p.src = a.src AND p.dst = a.dst LEFT JOIN m ON m.src = a.src AND m.dst = a.dst")
+#: The format that each file's bytes say, as the probe ranks it.
+PROBED = f"{CLAIMS}, t AS (SELECT *, max(conf) OVER (PARTITION BY id) AS top FROM claims), w AS (SELECT id, arg_min(format, reg) FILTER (conf = top) AS src FROM t GROUP BY id)"
+
+
+def _probed(spark, sf):
+    return _id(pr.ranking(pr.claims(_files(spark, sf)))).select("id", F.col("winner").alias("src"))
+
+
+@query("conv04_preflight", f"""WITH {PROBED}, {POLICY} SELECT id, p.src, p.dst, quality, coalesce(status, 'UNTESTED') AS status, CASE coalesce(status, 'UNTESTED') WHEN 'LOSSLESS' THEN 'RUN' WHEN 'LOSSY_DOCUMENTED' THEN 'NEEDS_CONSENT' ELSE 'ABORT' END AS decision
+  FROM w JOIN p ON p.src = w.src LEFT JOIN m ON p.src = m.src AND p.dst = m.dst""")
+def preflight(spark, sf):
+    """Every path that starts at a file's format, and what the gate would say."""
+    j = _probed(spark, sf).join(_paths(spark), "src").join(_matrix(spark), ["src", "dst"], "left").withColumn("status", F.coalesce("status", F.lit("UNTESTED")))
+    decision = F.when(F.col("status") == "LOSSLESS", "RUN").when(F.col("status") == "LOSSY_DOCUMENTED", "NEEDS_CONSENT").otherwise("ABORT")
+    return j.select("id", "src", "dst", "quality", "status", decision.alias("decision"))
+
+
+@query("conv05_preflight_gate", f"WITH {PROBED}, {POLICY}, g AS (SELECT DISTINCT dst AS x FROM p), a AS (SELECT w.id, w.src, g.x AS dst, false AS consent FROM w, g) SELECT a.id, a.src, a.dst, {GATE} AS outcome FROM a LEFT JOIN p ON p.src = a.src AND p.dst = a.dst LEFT JOIN m ON m.src = a.src AND m.dst = a.dst")
 def preflight_gate(spark, sf):
-    """Every source with every target through the one gate, without consent."""
-    p = _paths(spark)
-    asked = p.select("src").distinct().crossJoin(F.broadcast(p.select("dst").distinct())).withColumn("consent", F.lit(False))  # a dozen formats
-    return _gated(spark, asked).select("src", "dst", "outcome")
+    """Every file to every target through the one gate, without consent."""
+    targets = F.array(*[F.lit(d) for d in sorted({d for _, d, _ in PATHS})])
+    return _gated(spark, _probed(spark, sf).select("id", "src", F.explode(targets).alias("dst"), F.lit(False).alias("consent"))).select("id", "src", "dst", "outcome")
+
+
+@query("join16_list_targets", f"WITH {PROBED}, {POLICY}, l AS (SELECT src, count(*) AS targets, string_agg(dst, ',' ORDER BY dst) AS list FROM p GROUP BY src) SELECT id, w.src, coalesce(targets, 0) AS targets, coalesce(list, '') AS list FROM w LEFT JOIN l ON l.src = w.src")
+def list_targets(spark, sf):
+    """The targets that each file can be converted to."""
+    by = _paths(spark).groupBy("src").agg(F.count("*").alias("targets"), F.array_join(F.array_sort(F.collect_list("dst")), ",").alias("list"))
+    return _probed(spark, sf).join(F.broadcast(by), "src", "left").select("id", "src", F.coalesce("targets", F.lit(0)).alias("targets"), F.coalesce("list", F.lit("")).alias("list"))
 
 
 @query("join15_path_lookup", f"WITH {FILES}, {POLICY} SELECT id, p.src, p.dst, quality FROM files JOIN p ON p.src = upper(ext) AND p.dst = {_TO}[CAST(1 + id % {len(_TO)} AS BIGINT)]")
@@ -113,13 +136,13 @@ def disk_to_disk(spark, sf):
 _CAPS = [("SCP", ["flux", "timing", "weak", "sectors"]), ("HFE", ["bits", "sectors"]), ("G64", ["bits", "timing", "weak", "sectors"]), ("D64", ["sectors", "errors"]), ("ADF", ["sectors"]), ("IMG", ["sectors"]), ("IMD", ["sectors", "marks", "errors"]), ("IPF", ["bits", "timing", "weak", "sectors"])]
 
 
-@query("conv08_loss_report", f"WITH c AS (SELECT * FROM (VALUES {', '.join(map(str, _CAPS))}) AS t(format, caps)) SELECT a.format AS src, b.format AS dst, array_to_string(list_sort([x FOR x IN a.caps IF NOT list_contains(b.caps, x)]), ',') AS lost, len([x FOR x IN a.caps IF NOT list_contains(b.caps, x)]) > 0 AS lossy FROM c a, c b WHERE a.format <> b.format")
+@query("conv08_loss_report", f"""WITH {PROBED}, c AS (SELECT * FROM (VALUES {', '.join(map(str, _CAPS))}) AS t(format, caps)), x AS (SELECT a.format AS src, b.format AS dst, [x FOR x IN a.caps IF NOT list_contains(b.caps, x)] AS lost FROM c a, c b WHERE a.format <> b.format)
+  SELECT id, x.src, dst, array_to_string(list_sort(lost), ',') AS lost, len(lost) > 0 AS lossy FROM w JOIN x ON x.src = w.src""")
 def loss_report(spark, sf):
-    """What the source can hold and the target cannot, for every pair."""
-    c = F.broadcast(spark.createDataFrame(_CAPS, "format string, caps array<string>"))  # eight rows
-    both = c.select(F.col("format").alias("src"), F.col("caps").alias("a")).crossJoin(c.select(F.col("format").alias("dst"), F.col("caps").alias("b"))).where("src <> dst")
-    lost = F.array_sort(F.array_except("a", "b"))
-    return both.select("src", "dst", F.array_join(lost, ",").alias("lost"), (F.size(lost) > 0).alias("lossy"))
+    """What each file's format can hold and each target cannot."""
+    pairs = [(a, b, sorted(set(x) - set(y))) for a, x in _CAPS for b, y in _CAPS if a != b]
+    report = F.broadcast(spark.createDataFrame(pairs, "src string, dst string, lost array<string>"))  # a row a pair of formats
+    return _probed(spark, sf).join(report, "src").select("id", "src", "dst", F.array_join("lost", ",").alias("lost"), (F.size("lost") > 0).alias("lossy"))
 
 
 JOBS = f"{SECTORS}, t AS (SELECT track, count(*) AS n, count(*) FILTER (crc_ok) AS ok, CAST(sum(data) AS BIGINT) AS total FROM sectors GROUP BY track), j AS (SELECT track, track // 10 AS batch, ['VERIFY', 'CONVERT', 'STATS'][CAST(1 + track % 3 AS BIGINT)] AS job, n, ok, total FROM t), r AS (SELECT *, CASE job WHEN 'VERIFY' THEN ok = n WHEN 'CONVERT' THEN ok > 0 ELSE true END AS good FROM j), f AS (SELECT batch, min(track) FILTER (NOT good) AS stop FROM r GROUP BY batch)"

@@ -58,31 +58,29 @@ def provenance_chain(spark, sf):
 
 
 # The conversion paths and the round-trip matrix.
-PATHS = """SCP HFE LOSSY,SCP G64 LOSSLESS,KRYOFLUX SCP LOSSLESS,KRYOFLUX HFE LOSSY,SCP D64 LOSSY,SCP ADF LOSSY,SCP IMG LOSSY,KRYOFLUX D64 LOSSY,KRYOFLUX ADF LOSSY,HFE SCP LOSSLESS,G64 SCP SYNTHETIC,G64 D64 LOSSY,HFE IMG LOSSY,HFE ADF LOSSY,WOZ DSK LOSSY,NIB DSK LOSSY,G64 HFE LOSSLESS,HFE G64 LOSSY,WOZ NIB LOSSY,D64 G64 SYNTHETIC,D64 HFE SYNTHETIC,ADF HFE SYNTHETIC,IMG HFE SYNTHETIC,DSK WOZ SYNTHETIC,DSK NIB SYNTHETIC,D64 SCP SYNTHETIC,ADF SCP SYNTHETIC,IMG SCP SYNTHETIC,D64 D64 LOSSLESS,ADF ADF LOSSLESS,IMG ADF LOSSY,ADF IMG LOSSLESS,IMD IMG LOSSY,IMG IMD LOSSLESS,IPF ADF LOSSY,IPF IMG LOSSY,STX DSK LOSSY,STX IMG LOSSY,IPF SCP LOSSY,STX SCP LOSSY,TD0 IMG LOSSY,TD0 IMD LOSSLESS,NBZ D64 LOSSLESS,NBZ G64 LOSSLESS"""
-MATRIX = """SCP HFE LOSSLESS,HFE SCP LOSSLESS,SCP D64 LOSSY_DOCUMENTED,SCP ADF LOSSY_DOCUMENTED,SCP IMG LOSSY_DOCUMENTED,HFE IMG LOSSY_DOCUMENTED,HFE ADF LOSSY_DOCUMENTED,IPF ADF LOSSY_DOCUMENTED,IMG HFE IMPOSSIBLE,ADF SCP IMPOSSIBLE,IMG SCP IMPOSSIBLE"""
-
-
-def _values(text: str) -> list[tuple[str, ...]]:
-    return [tuple(r.split(" ")) for r in text.split(",")]
-
-
-def _sql_values(text: str) -> str:
-    return ", ".join(str(r) for r in _values(text))
-
-
-@query("conv04_preflight", f"""WITH p AS (SELECT * FROM (VALUES {_sql_values(PATHS)}) AS t(src, dst, quality)), m AS (SELECT * FROM (VALUES {_sql_values(MATRIX)}) AS t(src, dst, status))
-  SELECT p.src, p.dst, quality, coalesce(status, 'UNTESTED') AS status, CASE coalesce(status, 'UNTESTED') WHEN 'LOSSLESS' THEN 'RUN' WHEN 'LOSSY_DOCUMENTED' THEN 'NEEDS_CONSENT' ELSE 'ABORT' END AS decision FROM p LEFT JOIN m ON p.src = m.src AND p.dst = m.dst""")
-def preflight(spark, sf):
-    p = spark.createDataFrame(_values(PATHS), "src string, dst string, quality string")
-    m = spark.createDataFrame(_values(MATRIX), "src string, dst string, status string")
-    j = p.join(F.broadcast(m), ["src", "dst"], "left").withColumn("status", F.coalesce("status", F.lit("UNTESTED")))
-    return j.withColumn("decision", F.when(F.col("status") == "LOSSLESS", "RUN").when(F.col("status") == "LOSSY_DOCUMENTED", "NEEDS_CONSENT").otherwise("ABORT"))
-
-
-@query("join16_list_targets", f"WITH p AS (SELECT * FROM (VALUES {_sql_values(PATHS)}) AS t(src, dst, quality)) SELECT src, count(*) AS targets, string_agg(dst, ',' ORDER BY dst) AS list FROM p GROUP BY src")
-def list_targets(spark, sf):
-    p = spark.createDataFrame(_values(PATHS), "src string, dst string, quality string")
-    return p.groupBy("src").agg(F.count("*").alias("targets"), F.array_join(F.array_sort(F.collect_list("dst")), ",").alias("list"))
+PATHS = [
+    ("SCP", "HFE", "LOSSY"), ("SCP", "G64", "LOSSLESS"), ("KRYOFLUX", "SCP", "LOSSLESS"), ("KRYOFLUX", "HFE", "LOSSY"),
+    ("SCP", "D64", "LOSSY"), ("SCP", "ADF", "LOSSY"), ("SCP", "IMG", "LOSSY"), ("KRYOFLUX", "D64", "LOSSY"),
+    ("KRYOFLUX", "ADF", "LOSSY"), ("HFE", "SCP", "LOSSLESS"), ("G64", "SCP", "SYNTHETIC"), ("G64", "D64", "LOSSY"),
+    ("HFE", "IMG", "LOSSY"), ("HFE", "ADF", "LOSSY"), ("WOZ", "DSK", "LOSSY"), ("NIB", "DSK", "LOSSY"),
+    ("G64", "HFE", "LOSSLESS"), ("HFE", "G64", "LOSSY"), ("WOZ", "NIB", "LOSSY"), ("D64", "G64", "SYNTHETIC"),
+    ("D64", "HFE", "SYNTHETIC"), ("ADF", "HFE", "SYNTHETIC"), ("IMG", "HFE", "SYNTHETIC"), ("DSK", "WOZ", "SYNTHETIC"),
+    ("DSK", "NIB", "SYNTHETIC"), ("D64", "SCP", "SYNTHETIC"), ("ADF", "SCP", "SYNTHETIC"), ("IMG", "SCP", "SYNTHETIC"),
+    ("D64", "D64", "LOSSLESS"), ("ADF", "ADF", "LOSSLESS"), ("IMG", "ADF", "LOSSY"), ("ADF", "IMG", "LOSSLESS"),
+    ("IMD", "IMG", "LOSSY"), ("IMG", "IMD", "LOSSLESS"), ("IPF", "ADF", "LOSSY"), ("IPF", "IMG", "LOSSY"),
+    ("STX", "DSK", "LOSSY"), ("STX", "IMG", "LOSSY"), ("IPF", "SCP", "LOSSY"), ("STX", "SCP", "LOSSY"),
+    ("TD0", "IMG", "LOSSY"), ("TD0", "IMD", "LOSSLESS"), ("NBZ", "D64", "LOSSLESS"), ("NBZ", "G64", "LOSSLESS"),
+]
+MATRIX = [
+    ("SCP", "HFE", "LOSSLESS"), ("HFE", "SCP", "LOSSLESS"), ("SCP", "IMG", "LOSSY_DOCUMENTED"), ("SCP", "ADF", "LOSSY_DOCUMENTED"),
+    ("SCP", "D64", "LOSSY_DOCUMENTED"), ("SCP", "IMD", "LOSSY_DOCUMENTED"), ("HFE", "IMG", "LOSSY_DOCUMENTED"), ("HFE", "ADF", "LOSSY_DOCUMENTED"),
+    ("IMG", "SCP", "IMPOSSIBLE"), ("ADF", "SCP", "IMPOSSIBLE"), ("IMG", "HFE", "IMPOSSIBLE"), ("IPF", "ADF", "LOSSY_DOCUMENTED"),
+    ("STX", "ST", "LOSSY_DOCUMENTED"),
+]
+
+
+def _sql_values(rows: list[tuple[str, ...]]) -> str:
+    return ", ".join(map(str, rows))
 
 
 @query("fn01_thresholds", f"WITH {SAMPLES} SELECT trace, idx, round(CASE WHEN amp > 0.1 THEN amp - 0.1 WHEN amp < -0.1 THEN amp + 0.1 ELSE 0 END, 6) AS soft, round(CASE WHEN abs(amp) > 0.1 THEN amp ELSE 0 END, 6) AS hard, round(1 / (1 + exp(-amp)), 6) AS squashed FROM samples")
