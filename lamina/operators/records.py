@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import octets
 
 # Marks of a 12-bit table.
-FREE, BAD, LAST, END_FROM = 0x000, 0xFF7, 0xFFF, 0xFF8
+FREE, BAD, LAST = 0x000, 0xFF7, 0xFFF
 
 
 def pack12(entries: Column) -> Column:
@@ -30,23 +30,6 @@ def entry12(table: Column, k: Column) -> Column:
     return F.when(k % 2 == 1, F.shiftright(pair, 4)).otherwise(pair.bitwiseAND(0xFFF))
 
 
-def walk12(table: Column, count: Column, start: Column) -> Column:
-    """Follow the links from start: the clusters in order and the state that ended it.
-
-    A 12-bit table has 4,096 entries at most, so a walk is one row's work; what has not ended after as many steps
-    as there are entries runs in a loop."""
-    zero = F.struct(start.cast("long").alias("at"), F.array().cast("array<long>").alias("chain"), F.lit(None).cast("string").alias("state"))
-
-    def step(acc: Column, _: Column) -> Column:
-        link = entry12(table, acc["at"])
-        state = (F.when(link >= END_FROM, "END").when(link == BAD, "BAD").when(link == FREE, "FREE").when((link < 2) | (link >= count), "RANGE"))
-        moved = F.struct(link.alias("at"), F.concat(acc["chain"], F.array(acc["at"])).alias("chain"), state.alias("state"))
-        return F.when(acc["state"].isNull(), moved).otherwise(acc)
-
-    done = F.aggregate(F.sequence(F.lit(1), count.cast("int")), zero, step)
-    return F.struct(done["chain"].alias("chain"), F.coalesce(done["state"], F.lit("LOOP")).alias("state"))
-
-
 def find_paths(entries: DataFrame, paths: DataFrame, root: int = 0) -> DataFrame:
     """(path_id, found, depth): each path's components are looked up one after another, whatever their case.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import octets
+from ..operators import chains as ch
 from ..operators import records as rec
 from ..sources.carriers import NOISE, images, noise, table
 from ..sources.storage import stored
@@ -41,18 +42,6 @@ def _clusters(volumes):
     return volumes.withColumn("cluster", F.explode(F.sequence(F.lit(2).cast("long"), F.col("size") - 1)))
 
 
-def _walks(volumes):
-    """volume, start, chain, state of every cluster's walk."""
-    walk = rec.walk12(F.col("fat"), F.col("size"), F.col("cluster"))
-    return _clusters(volumes).select("volume", F.col("cluster").alias("start"), walk.alias("w")).select("volume", "start", "w.chain", "w.state")
-
-
-def _heads(volumes):
-    """volume, start of the clusters that no entry links to."""
-    entries = F.transform(F.sequence(F.lit(2).cast("long"), F.col("size") - 1), lambda k: rec.entry12(F.col("fat"), k))
-    return _clusters(volumes.withColumn("entries", entries)).where(~F.array_contains("entries", F.col("cluster"))).select("volume", F.col("cluster").alias("start"))
-
-
 @query("fs01_packed_entry", f"WITH {LINKS} SELECT volume, cluster, link AS entry FROM links")
 def packed_entry(spark, sf):
     return _clusters(_volumes(spark, sf)).select("volume", "cluster", rec.entry12(F.col("fat"), F.col("cluster")).alias("entry"))
@@ -60,7 +49,35 @@ def packed_entry(spark, sf):
 
 @query("fs02_chain", f"WITH {WALKS} SELECT volume, start, CASE WHEN state <> 'LOOP' THEN n END AS clusters, state FROM ends")
 def chain(spark, sf):
-    return _walks(_volumes(spark, sf)).select("volume", "start", F.when(F.col("state") != "LOOP", F.size("chain").cast("long")).alias("clusters"), "state")
+    return ch.walks(_volumes(spark, sf), 12).drop("head")
+
+
+def _wide_sql(bits: int) -> str:
+    """The walks where the marks of a 12-bit table are those of a wider one; in a 32-bit table the four highest bits do not count."""
+    bad, end, most = ch.MARKS[bits]
+    return WALKS.replace("4087", str(bad)).replace("4095", str(most)).replace("4088", str(end)).replace("4000", str(most >> 4))
+
+
+def _wide_links(spark, sf, bits):
+    bad, _, most = ch.MARKS[bits]
+    link = F.col("link")
+    return _links(spark, sf).withColumn("link", F.when(link == rec.BAD, bad).when(link == rec.LAST, most).when(link == 4000, most >> 4).otherwise(link).cast("long"))
+
+
+@query("fs02_chain16", f"WITH {_wide_sql(16)} SELECT volume, start, CASE WHEN state <> 'LOOP' THEN n END AS clusters, state FROM ends")
+def chain16(spark, sf):
+    """The same volumes with tables of 16 bits an entry."""
+    by = _wide_links(spark, sf, 16).groupBy("volume").agg(F.transform(F.array_sort(F.collect_list(F.struct("cluster", "link"))), lambda s: s["link"]).alias("links"))  # a table has 65,536 entries at most
+    whole = F.concat(F.array(F.lit(0xFFF0).cast("long"), F.lit(0xFFFF).cast("long")), "links")
+    return ch.walks(by.select("volume", (F.size("links") + 2).cast("long").alias("size"), ch.packed(whole, 16).alias("fat")), 16).drop("head")
+
+
+@query("fs02_chain32", f"WITH {_wide_sql(32)} SELECT volume, start, CASE WHEN state <> 'LOOP' THEN n END AS clusters, state FROM ends")
+def chain32(spark, sf):
+    """Tables of 32 bits an entry, too large for a row: links are rows and a round of jumping is a join."""
+    links = _wide_links(spark, sf, 32)
+    size = links.groupBy("volume").agg((F.count("*") + 2).alias("size"))
+    return ch.linked_walks(links.join(size, "volume").select("volume", "cluster", "link", "size"), lambda t: stored(t, "walks"))
 
 
 @query("agg34_free_space", f"WITH {LINKS} SELECT volume, count(*) FILTER (link = 0) * 512 AS free_bytes, count(*) FILTER (link <> 0) * 512 AS used_bytes FROM links GROUP BY volume")
@@ -75,9 +92,8 @@ def free_space(spark, sf):
   FROM c JOIN ends USING (volume, start) JOIN heads USING (volume, start) WHERE state = 'END' GROUP BY volume, start""".replace("8 * n - start % 8 AS bytes", "8 * max(ends.n) - start % 8 AS bytes"))
 def extract(spark, sf):
     """Clusters of eight bytes of each file in the order of its chain, cut to the file's size."""
-    v = _volumes(spark, sf)
-    chains = _walks(v).where("state = 'END'").join(_heads(v), ["volume", "start"])
-    parts = chains.select("volume", "start", F.size("chain").cast("long").alias("n"), F.posexplode("chain").alias("pos", "cluster"))
+    pieces = ch.files(_volumes(spark, sf), 12)
+    parts = pieces.withColumn("n", F.count("*").over(Window.partitionBy("volume", "start")))
     data = _links(spark, sf).select("volume", "cluster", octets.digits(F.col("content"), 8).alias("data"))
     whole = parts.join(data, ["volume", "cluster"]).groupBy("volume", "start", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "data"))).alias("p"))  # a file's clusters
     size = F.col("n") * 8 - F.col("start") % 8
@@ -90,8 +106,7 @@ def bitmap_check(spark, sf):
     """The volume's bitmap (32 clusters a word) against the clusters that its files reach."""
     bits = _links(spark, sf).groupBy("volume", F.floor(F.col("cluster") / 32).alias("word")).agg(F.sum(F.when(F.col("used"), F.expr("shiftleft(1L, int(cluster % 32))")).otherwise(0)).alias("bits"))
     marks = bits.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(31)))).select("volume", (F.col("word") * 32 + F.col("i")).alias("cluster"), (F.expr("shiftright(bits, i)").bitwiseAND(1) == 1).alias("used"))
-    v = _volumes(spark, sf)
-    reached = _walks(v).join(_heads(v), ["volume", "start"]).select("volume", F.explode("chain").alias("cluster")).distinct().withColumn("reached", F.lit(True))
+    reached = ch.reached(_volumes(spark, sf), 12).withColumn("reached", F.lit(True))
     both = marks.join(reached, ["volume", "cluster"], "full").withColumn("reached", F.coalesce("reached", F.lit(False)))
     return both.where(F.col("reached") != F.coalesce("used", F.lit(False))).select("volume", "cluster", F.when(F.col("reached"), "USED_BUT_FREE").otherwise("LOST").alias("state"))
 

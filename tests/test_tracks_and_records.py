@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamina.functions import cells, octets
+from lamina.operators import chains as ch
 from lamina.operators import records as rec
 from lamina.operators import tracks as tr
 from lamina.sources.storage import stored
@@ -41,22 +42,63 @@ def test_six_bit_codes_are_64():
     assert len(cells.SIX) == 64 and cells.SIX[0] == 0x96 and cells.SIX[-1] == 0xFF and not {0xAA, 0xD5} & set(cells.SIX)
 
 
-def test_packed_tables_and_walks(spark):
-    rng = random.Random(2)
-    tables = {v: [rng.choice([0, 0xFF7, 0xFFF, 2, 4000, *[rng.randrange(2, n + 2) for _ in range(6)]]) for _ in range(n)] for v, n in enumerate([1, 2, 3, 8, 40, 200])}
-    df = spark.createDataFrame([(v, [0xFF0, 0xFFF, *t]) for v, t in tables.items()], "v long, t array<long>").select("v", F.size("t").cast("long").alias("size"), rec.pack12(F.col("t")).alias("fat"))
-    at = df.withColumn("c", F.explode(F.sequence(F.lit(2).cast("long"), F.col("size") - 1)))
-    for r in at.select("v", "c", rec.entry12(F.col("fat"), F.col("c")).alias("e"), rec.walk12(F.col("fat"), F.col("size"), F.col("c")).alias("w")).collect():
-        t = [None, None, *tables[r["v"]]]
-        assert r["e"] == t[r["c"]]
-        chain, here, state = [], r["c"], None
-        while state is None and len(chain) <= len(t):
-            chain.append(here)
-            link = t[here]
-            state = "END" if link >= 0xFF8 else "BAD" if link == 0xFF7 else "FREE" if link == 0 else "RANGE" if link < 2 or link >= len(t) else None
-            here = link
-        assert r["w"]["state"] == (state or "LOOP")
-        assert state is None or r["w"]["chain"] == chain
+def _random_table(rng, n, bits):
+    bad, end, most = ch.MARKS[bits]
+    size = n + 2
+    return [rng.choice([0, bad, end, most, 1, size + 3, *[rng.randrange(2, size) for _ in range(8)]]) for _ in range(n)]
+
+
+def _plain_walk(t, start, bits):
+    bad, end, _ = ch.MARKS[bits]
+    chain, here = [], start
+    while len(chain) <= len(t):
+        chain.append(here)
+        link = t[here]
+        state = "END" if link >= end else "BAD" if link == bad else "FREE" if link == 0 else "RANGE" if link < 2 or link >= len(t) else None
+        if state:
+            return chain, state
+        here = link
+    return None, "LOOP"
+
+
+@pytest.mark.parametrize("bits", [12, 16, 32])
+def test_tables_walks_files_and_reach(spark, bits):
+    rng = random.Random(bits)
+    tables = {v: _random_table(rng, n, bits) for v, n in enumerate([1, 2, 3, 8, 40, 200, 999])}
+    tables[7] = [*range(3, 402), ch.MARKS[bits][2]]  # one long chain
+    tables[8] = [*range(3, 402), 2]  # one long loop
+    df = spark.createDataFrame([(v, [0, 0, *t]) for v, t in tables.items()], "volume long, t array<long>")
+    fat = rec.pack12(F.col("t")) if bits == 12 else ch.packed(F.col("t"), bits)
+    volumes = df.select("volume", F.size("t").cast("long").alias("size"), fat.alias("fat")).repartition(3)
+    want, order, reach = set(), set(), set()
+    for v, t in tables.items():
+        t = [0, 0, *t]
+        linked = {x for k, x in enumerate(t) if k >= 2}
+        for c in range(2, len(t)):
+            chain, state = _plain_walk(t, c, bits)
+            want.add((v, c, len(chain) if chain else None, state, c not in linked))
+            if c not in linked:
+                here = c
+                for _ in t:
+                    reach.add((v, here))
+                    here = t[here]
+                    if not 2 <= here < len(t) or here >= ch.MARKS[bits][0]:
+                        break
+                if state == "END":
+                    order |= {(v, c, k, x) for k, x in enumerate(chain)}
+    assert set(map(tuple, ch.walks(volumes, bits).collect())) == want
+    assert set(map(tuple, ch.files(volumes, bits).collect())) == order
+    assert set(map(tuple, ch.reached(volumes, bits).collect())) == reach
+    links = df.select("volume", F.posexplode("t").alias("cluster", "link"), F.size("t").alias("size")).where("cluster >= 2").selectExpr("volume", "cast(cluster AS long) cluster", "link", "cast(size AS long) size")
+    got = ch.linked_walks(links, lambda t: stored(t, "test"), bits)
+    assert set(map(tuple, got.select("volume", "start", "clusters", "state").collect())) == {w[:4] for w in want}
+    assert ch.linked_walks(links.limit(0), lambda t: stored(t, "test"), bits).count() == 0
+
+
+def test_cut_and_null_tables(spark):
+    df = spark.createDataFrame([(1, 5, "F0FFFF"), (2, 4, None), (3, 2, ""), (4, 3, "")], "volume long, size long, fat string")
+    got = sorted(map(tuple, ch.walks(df, 12).collect()))
+    assert got == [(1, 2, 1, "FREE", True), (1, 3, 1, "FREE", True), (1, 4, 1, "FREE", True), (4, 2, 1, "FREE", True)]
 
 
 def test_chain_positions_and_paths(spark):
