@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..sources.carriers import FLUX, PULSES, SAMPLES, flux, pulses, samples, table
@@ -22,8 +23,13 @@ def _drained(spark, rows):
 
 
 def _events(spark, sf, reset: bool = False):
-    e = table(spark, sf, "events").select(F.col("user_id").alias("track"), F.col("event_id").alias("seq"), F.col("value").alias("amp"), F.lit(pipe.DATA).alias("kind"))
-    return e.unionByName(e.where("seq % 997 = 0").withColumn("kind", F.lit(pipe.RESET))) if reset else e
+    """Each user's values numbered from 0; a reset behind every event whose number divides by 997."""
+    e = flux(spark, sf).select("track", F.col("idx").alias("seq"), "amp", F.lit(pipe.DATA).alias("kind"))
+    if not reset:
+        return e
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    t = table(spark, sf, "events").select("event_id", F.col("user_id").alias("track"), (F.row_number().over(w) - 1).cast("long").alias("seq"))
+    return e.unionByName(t.where("event_id % 997 = 0").select("track", "seq", F.lit(0.0).alias("amp"), F.lit(pipe.RESET).alias("kind")))
 
 
 def _pulses(spark, sf):

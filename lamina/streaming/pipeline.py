@@ -6,8 +6,9 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 STATS = "track long, n long, mean double, least double, most double"
@@ -35,63 +36,135 @@ def windowed(stream: DataFrame, every: str = "1 hour", late: str = "2 hours") ->
         F.col("window.start").alias("start"), "label", "n", "mean")
 
 
-def drain(stream: DataFrame, path: str, checkpoint: str, mode: str) -> None:
-    """Run a streaming frame over all that is there now and write each batch's rows as Parquet with its number."""
+def drain(stream: DataFrame, path: str, checkpoint: str, mode: str, seconds: int | None = None) -> None:
+    """Run a streaming frame over all that is there now and write each batch's rows as Parquet with its number.
+
+    seconds: run for so long instead, a batch a second; timers of the processing time need that, as they come without new rows."""
 
     def save(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/number={number}")  # a repeated batch overwrites itself
 
-    stream.writeStream.foreachBatch(save).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    writer = stream.writeStream.foreachBatch(save).outputMode(mode).option("checkpointLocation", checkpoint)
+    if seconds is None:
+        writer.trigger(availableNow=True).start().awaitTermination()
+    else:
+        query = writer.trigger(processingTime="1 second").start()
+        query.awaitTermination(seconds)
+        query.stop()
 
 
-CHUNKS = "track long, start long, length long, mean double, low long, flushed boolean, pushed long, buffered long"
-_CHUNK_STATE = "buf array<double>, start long, pushed long"
+CHUNKS = "track long, start long, length long, mean double, low long, flushed boolean, pushed long, buffered long, waiting long, refused long"
 DATA, FLUSH, RESET = 0, 1, 2
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def stateful(spark: SparkSession) -> SparkSession:
+    """A session beside the given one whose streams keep their state in RocksDB, as several states a key need; the given one stays as it is."""
+    own = spark.newSession()
+    own.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        if value := spark.conf.get(name, None):
+            own.conf.set(name, value)
+    return own
+
+
+class Chunker(StatefulProcessor):
+    """A track's samples, in whatever order they come, given as chunks in the order of seq.
+
+    seq counts a track's samples from 0. State: `at` (value: next seq, start of the buffer, samples pushed, rows refused, last
+    seqs of a flush and of a reset), `buffer` (list: less than one chunk) and `early` (list: rows that wait for a seq before them). A row whose seq has been used, or
+    is null or negative, is refused and counted; a flush or reset counts once a seq and waits until all samples before it have come (a reset at seq
+    k comes behind sample k, a flush at seq k before it). Where idle milliseconds pass without a row a timer takes the waiting rows as they are and flushes;
+    what comes for its gaps later is refused."""
+
+    def __init__(self, chunk: int, overlap: int, least: int, low: float, idle: int | None):
+        self.chunk, self.overlap, self.least, self.low, self.idle = chunk, overlap, least, low, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.at = handle.getValueState("at", "next long, start long, pushed long, refused long, flushed long, reset long")
+        self.buffer = handle.getListState("buffer", "amp double")
+        self.early = handle.getListState("early", "seq long, kind int, amp double")
+
+    def handleInputRows(self, key, rows, timerValues):
+        frame = pd.concat(list(rows))
+        placed = frame["seq"].notna() & (frame["seq"] >= 0)
+        new = zip(frame["seq"][placed].astype("int64").tolist(), frame["kind"][placed].tolist(), frame["amp"][placed].astype(float).tolist(), strict=True)
+        if self.idle is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle)
+        yield self._step(key[0], list(new), int((~placed).sum()), gaps=False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield self._step(key[0], [], 0, gaps=True)
+
+    def _step(self, track: int, new: list, unplaced: int, gaps: bool) -> pd.DataFrame:
+        """Use what can be used of the waiting and the new rows; gaps: do not wait for what is missing, and flush."""
+        following, start, pushed, refused, flushed, reset = self.at.get() if self.at.exists() else (0, 0, 0, 0, -1, -1)
+        buffer = [amp for (amp,) in self.buffer.get()] if self.buffer.exists() else []
+        waiting = [tuple(r) for r in self.early.get()] if self.early.exists() else []
+        refused += unplaced
+        rows, early = [], []
+
+        def emit(last: bool) -> None:
+            rows.append((track, start, len(buffer), math.fsum(buffer) / len(buffer), sum(abs(x) < self.low for x in buffer), last, pushed, 0, 0, refused))
+
+        # At one seq a flush stands before the sample and a reset behind it.
+        for seq, kind, amp in sorted([*waiting, *new], key=lambda r: (r[0], (1, 0, 2)[r[1]])):
+            if kind == DATA:
+                if seq < following:
+                    refused += 1
+                elif seq > following and not gaps:
+                    early.append((seq, kind, amp))
+                else:
+                    following, pushed = seq + 1, pushed + 1
+                    buffer.append(amp)
+                    if len(buffer) == self.chunk:
+                        emit(False)
+                        buffer, start = buffer[self.chunk - self.overlap :], start + self.chunk - self.overlap
+            elif seq <= (flushed if kind == FLUSH else reset):
+                refused += 1
+            elif not gaps and seq > (following if kind == FLUSH else following - 1):
+                early.append((seq, kind, amp))
+            elif kind == FLUSH:
+                if len(buffer) >= self.least:
+                    emit(True)
+                buffer, start, flushed = [], start + len(buffer), seq
+            else:
+                buffer, start, reset = [], pushed, seq
+        if gaps:
+            if len(buffer) >= self.least:
+                emit(True)
+            buffer, start = [], start + len(buffer)
+        self.at.update((following, start, pushed, refused, flushed, reset))
+        for state, values in ((self.buffer, [(x,) for x in buffer]), (self.early, early)):
+            if values:
+                state.put(values)
+            else:
+                state.clear()
+        rows.append((track, start, 0, 0.0, 0, False, pushed, len(buffer), len(early), refused))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in CHUNKS.split(", ")])
 
 
-def chunked(stream: DataFrame, chunk: int, overlap: int, least: int = 4, low: float = 20.0) -> DataFrame:
+def chunked(stream: DataFrame, chunk: int, overlap: int, least: int = 4, low: float = 20.0, idle: int | None = None) -> DataFrame:
     """Chunks of (track, seq, amp, kind) as they fill: chunk samples each, the last overlap of them kept for the next one.
 
-    A flush row gives what is left (least samples or more), a reset row forgets it. The state of a track is less than one
-    chunk, so nothing is dropped however fast samples come. A row with length 0 tells what was pushed and is buffered."""
+    A flush gives what is left (least samples or more), a reset forgets it. A row with length 0 tells what was pushed, is buffered,
+    waits and was refused. The stream must belong to a session of stateful()."""
+    processor = Chunker(chunk, overlap, least, low, idle)
+    return stream.groupBy("track").transformWithStateInPandas(processor, CHUNKS, "Update", "None" if idle is None else "ProcessingTime")
 
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        buf, start, pushed = state.get if state.exists else ([], 0, 0)
-        buf, rows = list(buf), []
 
-        def emit(part: list[float], flushed: bool) -> None:
-            rows.append((key[0], start, len(part), sum(part) / len(part), sum(abs(x) < low for x in part), flushed, pushed, 0))
-
-        whole = pd.concat(list(frames)).sort_values(["seq", "kind"], kind="stable")
-        for kind, amp in zip(whole["kind"].tolist(), whole["amp"].tolist(), strict=True):
-            if kind == DATA:
-                buf.append(float(amp))
-                pushed += 1
-                if len(buf) == chunk:
-                    emit(buf, False)
-                    buf, start = buf[chunk - overlap :], start + chunk - overlap
-            elif kind == FLUSH:
-                if len(buf) >= least:
-                    emit(buf, True)
-                buf, start = [], start + len(buf)
-            else:
-                buf, start = [], pushed
-        state.update((buf, start, pushed))
-        rows.append((key[0], start, 0, 0.0, 0, False, pushed, len(buf)))
-        yield pd.DataFrame(rows, columns=["track", "start", "length", "mean", "low", "flushed", "pushed", "buffered"])
+ROWS = "track long, seq long, amp double, kind int"
 
-    return stream.groupBy("track").applyInPandasWithState(update, CHUNKS, _CHUNK_STATE, "update", GroupStateTimeout.NoTimeout)
 
+def replayed(samples: DataFrame, path: str, files: int = 12, per_batch: int = 4) -> DataFrame:
+    """A stream of (track, seq, amp, kind) that brings a table's rows in files, per_batch of them a batch, in no order.
 
-def replayed(samples: DataFrame, path: str, parts: int = 3) -> DataFrame:
-    """A stream of (track, seq, amp, kind) that brings a table's rows in parts by seq, one part a batch, a flush of every track last."""
-    schema = "track long, seq long, amp double, kind int"
-    top = samples.agg(F.max("seq")).first()[0] or 0
+    Runs of 16 seqs are dealt to the files by a hash, so a track's samples come in several batches and before their turn; the state restores
+    their order. Each track's flush, at the seq behind its last, comes whenever its file does."""
     rows = samples.select(F.col("track").cast("long"), F.col("seq").cast("long"), F.col("amp").cast("double"), F.col("kind").cast("int"))
-    for i in range(parts):
-        lo, hi = top * i // parts, top * (i + 1) // parts
-        part = rows.where((F.col("seq") > (lo if i else -1)) & (F.col("seq") <= hi))
-        part.coalesce(1).write.mode("append").parquet(path)  # one file a part: the file source takes one file a batch, in the order of writing
-    ends = rows.groupBy("track").agg(F.lit(top + 1).cast("long").alias("seq"), F.lit(0.0).alias("amp"), F.lit(FLUSH).alias("kind"))
-    ends.coalesce(1).write.mode("append").parquet(path)
-    return samples.sparkSession.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    ends = rows.groupBy("track").agg((F.max("seq") + 1).alias("seq"), F.lit(0.0).alias("amp"), F.lit(FLUSH).alias("kind")).where("seq IS NOT NULL")
+    rows.unionByName(ends).repartition(files, F.expr("seq div 16")).write.mode("append").parquet(path)
+    return stateful(samples.sparkSession).readStream.schema(ROWS).option("maxFilesPerTrigger", per_batch).parquet(path)

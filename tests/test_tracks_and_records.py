@@ -124,30 +124,6 @@ def test_octets(spark):
     assert tuple(r[0]) == ([1, 2, 160, 255], 0xA002, 0x0102A0FF, [], None)
 
 
-def test_chunks_of_a_stream(spark, tmp_path):
-    rng = random.Random(6)
-    rows = [(rng.randrange(3), i, float(rng.randrange(100)), pipe.DATA) for i in range(400)] + [(1, 200, 0.0, pipe.RESET)]
-    df = spark.createDataFrame(rows, "track long, seq long, amp double, kind int")
-    stream = pipe.chunked(pipe.replayed(df, f"file://{tmp_path}/in", 4), 10, 3)
-    pipe.drain(stream, f"file://{tmp_path}/out", f"file://{tmp_path}/state", "update")
-    got = spark.read.parquet(f"file://{tmp_path}/out").where("length > 0").collect()
-    want = []
-    for t in range(3):
-        buf, start, pushed = [], 0, 0
-        for _, _, amp, kind in sorted((r for r in rows if r[0] == t), key=lambda r: (r[1], r[3])):
-            if kind == pipe.RESET:
-                buf, start = [], pushed
-                continue
-            buf.append(amp)
-            pushed += 1
-            if len(buf) == 10:
-                want.append((t, start, 10, round(sum(buf) / 10, 6), False))
-                buf, start = buf[7:], start + 7
-        if len(buf) >= 4:
-            want.append((t, start, len(buf), round(sum(buf) / len(buf), 6), True))
-    assert sorted((r["track"], r["start"], r["length"], round(r["mean"], 6), r["flushed"]) for r in got) == sorted(want)
-
-
 def test_running_stats_with_nulls(spark, tmp_path):
     at = f"file://{tmp_path}"
     rows = [(1, 1.0), (1, None), (2, None), (3, 0.1), (3, 0.2), (3, 0.3)]
