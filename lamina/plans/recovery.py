@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import cells as cl
 from ..functions import octets
 from ..operators import coding
+from ..sources import transactions as tx
 from ..sources.carriers import PULSES, SECTORS, images, pulses, sectors, table
 from ..sources.storage import shared_folder, stored
 from .base import query
@@ -290,27 +291,43 @@ def wizard(spark, sf):
     return t.select("track", F.when(F.col("p"), F.when(s >= 60, "KEEP_FLUX").otherwise("FLUX_MULTI_READ")).when(s > 80, "DIRECT").when(s >= 60, "RETRY").when(s >= 40, "MULTI_READ").otherwise("FORENSIC").alias("strategy"))
 
 
-WRITES = "w AS (SELECT o_custkey AS disk, o_orderkey % 6 AS sector, o_orderkey AS step, o_totalprice AS data, o_orderstatus = 'P' AS fails FROM orders)"
+#: Six sectors a disk; orders are writes, every third disk asks for a backup, every third for a mode that is not supported.
+WRITES = """a AS (SELECT o_custkey AS disk, o_orderkey % 6 AS sector, o_orderkey AS step, o_totalprice AS data, o_orderstatus = 'P' AS fails, ['IN_MEMORY', 'BACKUP', 'SHADOW_WRITE'][CAST(1 + o_custkey % 3 AS BIGINT)] AS mode, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 6 ORDER BY o_orderkey) > 1 AS conflict FROM orders),
+  w AS (SELECT * FROM a WHERE NOT conflict AND mode <> 'SHADOW_WRITE')"""
 
 
-@query("fuse30_transaction_begin", f"WITH {WRITES} SELECT disk, count(*) AS pending, CASE WHEN disk % 3 = 0 THEN 'IN_MEMORY' WHEN disk % 3 = 1 THEN 'BACKUP' ELSE 'NOT_SUPPORTED' END AS mode FROM w GROUP BY disk")
+def _transaction(spark, sf):
+    """A store whose sectors all hold -1, and the orders as one transaction on it."""
+    o = table(spark, sf, "orders")
+    store = tx.Store(spark, shared_folder(spark, "store"))
+    store.write(o.select(F.col("o_custkey").alias("disk")).distinct().select("disk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))).alias("sector"), F.lit(-1.0).alias("data")))
+    mode = F.get(F.array(F.lit(tx.IN_MEMORY), F.lit(tx.BACKUP), F.lit(tx.SHADOW)), (F.col("o_custkey") % 3).cast("int"))
+    writes = o.select(F.col("o_custkey").alias("disk"), (F.col("o_orderkey") % 6).alias("sector"), F.col("o_orderkey").alias("step"), F.col("o_totalprice").alias("data"), (F.col("o_orderstatus") == "P").alias("fails"), mode.alias("mode"))
+    return store, tx.Transaction(store, writes)
+
+
+@query("fuse30_transaction_begin", f"WITH {WRITES} SELECT disk, CASE WHEN mode = 'SHADOW_WRITE' THEN 'NOT_SUPPORTED' ELSE mode END AS mode, count(*) FILTER (NOT conflict AND mode <> 'SHADOW_WRITE') AS pending, count(*) FILTER (conflict AND mode <> 'SHADOW_WRITE') AS conflicts FROM a GROUP BY disk, mode")
 def transaction_begin(spark, sf):
-    """Pending writes of each disk staged in a folder of their own; shadow writes are not supported."""
-    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("disk"), (F.col("o_orderkey") % 6).alias("sector"), F.col("o_orderkey").alias("step"))
-    mode = F.when(F.col("disk") % 3 == 0, "IN_MEMORY").when(F.col("disk") % 3 == 1, "BACKUP").otherwise("NOT_SUPPORTED")
-    return stored(o, "staged").groupBy("disk").agg(F.count("*").alias("pending")).withColumn("mode", mode)
+    """Pending writes of each disk, staged in files of their own; a second write of a sector is a conflict, shadow writes are not supported."""
+    return _transaction(spark, sf)[1].begun()
+
 
+_ENDED = f"""{WRITES}, s AS (SELECT *, row_number() OVER (PARTITION BY disk ORDER BY step DESC) AS k FROM w), f AS (SELECT disk, min(k) FILTER (fails) AS stop FROM s GROUP BY disk), g AS (SELECT s.*, stop, stop IS NULL OR (k < stop AND mode = 'IN_MEMORY') AS goes FROM s JOIN f ON f.disk = s.disk)"""
 
-@query("fuse31_transaction_commit", f"""WITH {WRITES}, s AS (SELECT *, row_number() OVER (PARTITION BY disk ORDER BY step DESC) AS k FROM w), f AS (SELECT disk, min(k) FILTER (fails) AS stop FROM s GROUP BY disk) SELECT s.disk, CASE WHEN any_value(stop) IS NULL THEN 'COMMITTED' WHEN s.disk % 3 = 1 THEN 'ROLLED_BACK' ELSE 'PARTIAL' END AS state,
-  count(*) FILTER (stop IS NULL OR (k < stop AND s.disk % 3 <> 1)) AS written FROM s JOIN f ON f.disk = s.disk GROUP BY s.disk""")
+
+@query("fuse31_transaction_commit", f"""WITH {_ENDED}, d AS (SELECT DISTINCT disk, mode FROM a) SELECT d.disk, CASE WHEN d.mode = 'SHADOW_WRITE' THEN 'NOT_SUPPORTED' WHEN any_value(stop) IS NULL THEN 'COMMITTED' WHEN d.mode = 'BACKUP' THEN 'ROLLED_BACK' ELSE 'PARTIAL' END AS state,
+  count(*) FILTER (goes) AS written FROM d LEFT JOIN g ON g.disk = d.disk GROUP BY d.disk, d.mode""")
 def transaction_commit(spark, sf):
-    """Writes go out last first and stop at the first failure; with a backup nothing stays, without one what was written does."""
-    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("disk"), F.col("o_orderkey").alias("step"), (F.col("o_orderstatus") == "P").alias("fails"))
-    s = stored(o, "staged").withColumn("k", F.row_number().over(Window.partitionBy("disk").orderBy(F.desc("step"))))
-    s = s.withColumn("stop", F.min(F.when(F.col("fails"), F.col("k"))).over(Window.partitionBy("disk")))
-    backup = F.col("disk") % 3 == 1
-    by = s.groupBy("disk").agg(F.max("stop").alias("stop"), F.count_if(F.col("stop").isNull() | ((F.col("k") < F.col("stop")) & ~backup)).alias("written"))
-    return by.select("disk", F.when(F.col("stop").isNull(), "COMMITTED").when(backup, "ROLLED_BACK").otherwise("PARTIAL").alias("state"), "written")
+    """Writes go out last first and stop at the first failure; with a backup nothing stays, without one what was written does. The manifest says what was."""
+    return _transaction(spark, sf)[1].commit()
+
+
+@query("fuse31_transaction_content", f"""WITH {_ENDED}, b AS (SELECT DISTINCT disk, sector FROM (SELECT DISTINCT o_custkey AS disk FROM orders), range(0, 6) AS r(sector)) SELECT b.disk, b.sector, coalesce(g.data, -1.0) AS data FROM b LEFT JOIN g ON g.disk = b.disk AND g.sector = b.sector AND goes""")
+def transaction_content(spark, sf):
+    """Every sector as it is read from the store after the commit."""
+    store, one = _transaction(spark, sf)
+    one.commit()
+    return store.read()
 
 
 SNAP = "SELECT doc_id AS image, sha256(text) AS digest, CAST(strlen(text) AS BIGINT) AS size"
