@@ -1,197 +1,8 @@
-"""Track coding: bit cells to sectors and back, checksums and their repair, wavelet denoising."""
+"""Streams without a checksum, mended by their marks."""
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
-
-# Sync word with a missing clock, address and data marks, end-of-header bytes.
-SYNC = 0x4489
-ADDRESS, DATA = 0xFE, 0xFB
-GAP = 0x4E
-
-
-@functools.cache
-def _crc_table() -> tuple[int, ...]:
-    out = []
-    for c in range(256):
-        c <<= 8
-        for _ in range(8):
-            c = ((c << 1) ^ 0x1021 if c & 0x8000 else c << 1) & 0xFFFF
-        out.append(c)
-    return tuple(out)
-
-
-def crc16(data: bytes, preset: int = 0xFFFF) -> int:
-    table, c = _crc_table(), preset
-    for b in data:
-        c = (c << 8 & 0xFFFF) ^ table[c >> 8 ^ b]
-    return c
-
-
-def mfm_bits(data: bytes, last: int = 0) -> np.ndarray:
-    """Clock and data bits; a clock stands between two zeros."""
-    bits = np.unpackbits(np.frombuffer(data, np.uint8))
-    prev = np.concatenate([[last], bits[:-1]])
-    out = np.empty(2 * len(bits), np.uint8)
-    out[0::2], out[1::2] = (bits | prev) ^ 1, bits
-    return out
-
-
-_SYNC_BITS = np.unpackbits(np.array([SYNC >> 8, SYNC & 255], np.uint8))
-
-
-def mfm_track(cyl: int, head: int, sectors: dict[int, bytes]) -> np.ndarray:
-    """A track's bit cells: for each sector sync, address, checksum, gap, sync, data, checksum."""
-    out = [mfm_bits(bytes([GAP]) * 16)]
-
-    def block(body: bytes) -> None:
-        full = body + crc16(b"\xa1\xa1\xa1" + body).to_bytes(2, "big")
-        out.extend([mfm_bits(bytes(12), 0), *[_SYNC_BITS] * 3, mfm_bits(full, 1), mfm_bits(bytes([GAP]) * 22, full[-1] & 1)])
-
-    for number, data in sectors.items():
-        block(bytes([ADDRESS, cyl, head, number, max(0, len(data).bit_length() - 8)]))
-        block(bytes([DATA]) + data)
-    return np.concatenate(out)
-
-
-def find_sync(cells: np.ndarray) -> np.ndarray:
-    """Positions after three sync words in a row."""
-    n, k = len(cells), len(_SYNC_BITS)
-    if n < 3 * k:
-        return np.empty(0, np.int64)
-    word = np.zeros(n - k + 1, np.uint32)
-    for i in range(k):
-        word = (word << np.uint32(1)) | cells[i : n - k + 1 + i]
-    hit = word == SYNC
-    three = hit[: len(hit) - 2 * k] & hit[k : len(hit) - k] & hit[2 * k :]
-    return np.flatnonzero(three) + 3 * k
-
-
-def mfm_sectors(cells: np.ndarray) -> list[tuple[int, int, int, bytes, bool, bool]]:
-    """(cyl, head, sector, data, header ok, data ok) of each address block and the data block after it."""
-
-    def read(at: int, n: int) -> bytes:
-        part = cells[at + 1 : at + 16 * n : 2]
-        return np.packbits(part).tobytes() if len(part) == 8 * n else b""
-
-    out, open_ = [], None
-    for at in find_sync(cells).tolist():
-        mark = read(at, 1)
-        if mark == bytes([ADDRESS]):
-            raw = read(at, 7)
-            open_ = (*raw[1:4], raw[4], crc16(b"\xa1\xa1\xa1" + raw) == 0) if len(raw) == 7 else None
-        elif mark == bytes([DATA]) and open_:
-            size = 128 << (open_[3] & 7)
-            raw = read(at, size + 3)
-            if raw:
-                out.append((open_[0], open_[1], open_[2], raw[1 : 1 + size], open_[4], crc16(b"\xa1\xa1\xa1" + raw) == 0))
-            open_ = None
-    return out
-
-
-@functools.cache
-def _syndromes(size: int) -> dict[int, int]:
-    """Checksum change of each single flipped bit of size bytes, as bit position (-1: several bits); with a zero
-    preset changes add linearly, and each bit further from the end is one more step of the register."""
-    out: dict[int, int] = {}
-    s = 0x1021
-    for bit in range(8 * size - 1, -1, -1):
-        out[s] = -1 if s in out else bit
-        s = ((s << 1) ^ 0x1021 if s & 0x8000 else s << 1) & 0xFFFF
-    return out
-
-
-def fix_one_bit(data: bytes, stored: int) -> bytes | None:
-    """The data with the one bit flipped that meets the stored checksum; None where none or several would."""
-    wrong = crc16(data) ^ stored
-    if not wrong:
-        return data
-    bit = _syndromes(len(data)).get(wrong, -1)
-    if bit < 0:
-        return None
-    out = bytearray(data)
-    out[bit // 8] ^= 1 << (7 - bit % 8)
-    return bytes(out)
-
-
-def denoise(x: np.ndarray, levels: int = 3, soft: bool = True) -> np.ndarray:
-    """Stationary Haar shrinkage: details below sigma * sqrt(2 ln n) go, sigma from the finest details' MAD."""
-    approx, details = x.astype(float), []
-    for level in range(levels):
-        shifted = np.roll(approx, 1 << level)
-        details.append((approx - shifted) / 2)
-        approx = (approx + shifted) / 2
-    sigma = 1.4826 * np.median(np.abs(details[0] - np.median(details[0])))
-    limit = sigma * np.sqrt(2 * np.log(max(2, len(x))))
-    for d in reversed(details):
-        keep = np.sign(d) * np.maximum(np.abs(d) - limit, 0) if soft else np.where(np.abs(d) > limit, d, 0)
-        approx = approx + keep
-    return approx
-
-
-def encode_tracks(df: DataFrame, size: int = 128) -> DataFrame:
-    """(track, cells) from (track, sector, data binary); data is padded to size with zeros, 255 sectors at most a track."""
-
-    def run(t: pa.Table) -> pa.Table:
-        rows = sorted(zip(t["sector"].to_pylist(), t["data"].to_pylist(), strict=True))
-        cells = mfm_track(t["track"][0].as_py() & 0x7F, 0, {s: (d or b"")[:size].ljust(size, b"\0") for s, d in rows})
-        return pa.table({"track": t["track"].slice(0, 1), "cells": pa.array([np.packbits(cells).tobytes()], pa.binary())})
-
-    return df.select("track", "sector", "data").groupBy("track").applyInArrow(run, "track long, cells binary")
-
-
-def decode_tracks(df: DataFrame) -> DataFrame:
-    """(track, cyl, head, sector, data, header_ok, data_ok) from (track, cells)."""
-
-    def run(batches):
-        for batch in batches:
-            rows = [(t, *s) for t, c in zip(batch.column("track").to_pylist(), batch.column("cells").to_pylist(), strict=True)
-                    for s in mfm_sectors(np.unpackbits(np.frombuffer(c, np.uint8)))]
-            cols = list(zip(*rows, strict=True)) or [()] * 7
-            kinds = [pa.int64()] * 4 + [pa.binary(), pa.bool_(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["track", "cyl", "head", "sector", "data", "header_ok", "data_ok"])
-
-    return df.select("track", "cells").mapInArrow(run, "track long, cyl long, head long, sector long, data binary, header_ok boolean, data_ok boolean")
-
-
-def denoise_traces(df: DataFrame, part: str, order: str, value: str) -> DataFrame:
-    kind = df.schema[part].dataType.simpleString()
-
-    def run(t: pa.Table) -> pa.Table:
-        p = t.to_pandas().sort_values(order)
-        return pa.table({part: t[part], order: pa.array(p[order].to_numpy(np.int64)), "clean": pa.array(np.round(denoise(p[value].to_numpy(float)), 6))})
-
-    return df.groupBy(part).applyInArrow(run, f"{part} {kind}, {order} long, clean double")
-
-
-@functools.cache
-def _pairs(size: int) -> dict[int, tuple[int, int]]:
-    """Checksum change of each pair of flipped bits of size bytes; (-1, -1) where several pairs make it."""
-    one = sorted((bit, s) for s, bit in _syndromes(size).items() if bit >= 0)
-    out: dict[int, tuple[int, int]] = {}
-    for k, (a, x) in enumerate(one):
-        for b, y in one[k + 1 :]:
-            out[x ^ y] = (-1, -1) if x ^ y in out else (a, b)
-    return out
-
-
-def fix_two_bits(data: bytes, stored: int) -> bytes | None:
-    """The data with the only pair of bits flipped that meets the stored checksum; None where there is none or several."""
-    wrong = crc16(data) ^ stored
-    if not wrong:
-        return data
-    a, b = _pairs(len(data)).get(wrong, (-1, -1))
-    if a < 0:
-        return None
-    out = bytearray(data)
-    for bit in (a, b):
-        out[bit // 8] ^= 128 >> bit % 8
-    return bytes(out)
-
 
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 

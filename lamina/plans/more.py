@@ -2,34 +2,15 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cosine
-from ..operators import coding
 from ..operators import windows as win
 from ..sources.carriers import FLUX, IMAGES, SAMPLES, SECTORS, flux, images, samples, sectors, table
 from .base import query
 
 
-@query("fuse14_one_bit_fix", f"WITH {IMAGES} SELECT image, chunk, true AS repaired FROM images WHERE length(data) = 512")
-def one_bit_fix(spark, sf):
-    """Each full chunk loses one bit, by its number, and is repaired from its checksum."""
-    whole = images(spark, sf).where("length(data) = 512").select("image", "chunk", F.unhex("data").alias("data"))
-
-    def run(batches):
-        for b in batches:
-            ok = []
-            for i, raw in zip(b.column("image").to_pylist(), b.column("data").to_pylist(), strict=True):
-                bad, bit = bytearray(raw), i * 7919 % (8 * len(raw))
-                bad[bit // 8] ^= 1 << (7 - bit % 8)
-                ok.append(coding.fix_one_bit(bytes(bad), coding.crc16(raw)) == raw)
-            yield pa.RecordBatch.from_arrays([b.column("image"), b.column("chunk"), pa.array(ok, pa.bool_())], names=["image", "chunk", "repaired"])
-
-    return whole.mapInArrow(run, "image long, chunk long, repaired boolean")
-
-
 @query("dec35_quiet_mask", f"""WITH {SAMPLES}, v AS (SELECT trace, idx // 8 AS win, var_pop(amp) AS v FROM samples GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY trace ORDER BY v, win) AS k, count(*) OVER (PARTITION BY trace) AS n FROM v) SELECT trace, win FROM r WHERE k <= greatest(1, floor(n * 0.2))""")
 def quiet_mask(spark, sf):
     v = samples(spark, sf).groupBy("trace", F.expr("idx div 8").alias("win")).agg(F.var_pop("amp").alias("v"))

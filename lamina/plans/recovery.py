@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import cells as cl
 from ..functions import octets
 from ..operators import coding
+from ..operators import syndromes as sy
 from ..sources import transactions as tx
 from ..sources.carriers import PULSES, SECTORS, images, pulses, sectors, table
 from ..sources.storage import shared_folder, stored
@@ -110,58 +111,74 @@ def sift(spark, sf):
     return place.join(best, key)
 
 
-def _damaged(spark, sf, flips: int):
-    """image, chunk, data, crc (of the data), bad: short chunks with one or two bits turned round by their number."""
-    full = images(spark, sf, 32).where("length(data) = 64").select("image", "chunk", F.unhex("data").alias("data"))
+def _damaged(spark, sf, size):
+    """image, chunk, whole, crc (of the whole), data: every chunk, with no, one, two or three bits turned round by its number."""
+    chunks = images(spark, sf, size).select("image", "chunk", F.unhex("data").alias("whole"))
 
     def run(batches):
         for b in batches:
+            whole = b.column("whole").to_pylist()
             bad = []
-            for image, chunk, raw in zip(b.column("image").to_pylist(), b.column("chunk").to_pylist(), b.column("data").to_pylist(), strict=True):
-                x = bytearray(raw)
-                for k in range(flips):
-                    bit = (image * 7919 + chunk * 31 + k * 101) % 256
-                    x[bit // 8] ^= 128 >> bit % 8
+            for image, chunk, raw in zip(b.column("image").to_pylist(), b.column("chunk").to_pylist(), whole, strict=True):
+                n, x = 8 * len(raw), bytearray(raw)
+                for k in range((image + chunk) % 4):
+                    d = (image * 7919 + chunk * 31 + k * (1 + image % (n // 3))) % n  # distance from the end
+                    x[len(x) - 1 - d // 8] ^= 1 << d % 8
                 bad.append(bytes(x))
-            yield pa.RecordBatch.from_arrays([b.column("image"), b.column("chunk"), b.column("data"), pa.array([coding.crc16(r) for r in b.column("data").to_pylist()], pa.int64()), pa.array(bad, pa.binary())], names=["image", "chunk", "data", "crc", "bad"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sy.checksums(whole).astype("int64")), pa.array(bad, pa.binary())], names=["image", "chunk", "whole", "crc", "data"])
 
-    return full.mapInArrow(run, "image long, chunk long, data binary, crc long, bad binary")
+    return chunks.mapInArrow(run, "image long, chunk long, whole binary, crc long, data binary")
 
 
-def _repaired(damaged, fix):
-    def run(batches):
-        for b in batches:
-            made = [fix(x, c) for x, c in zip(b.column("bad").to_pylist(), b.column("crc").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("image"), b.column("chunk"), pa.array([m == d if m is not None else None for m, d in zip(made, b.column("data").to_pylist(), strict=True)], pa.bool_())], names=["image", "chunk", "repaired"])
+def _mended(spark, sf, size, most_wrong, most_two=512):
+    """image, chunk, outcome, and whether the result is the whole chunk."""
+    return sy.repaired(_damaged(spark, sf, size), most_wrong, most_two).select("image", "chunk", "outcome", (F.col("fixed") == F.col("whole")).alias("repaired"))
 
-    return damaged.mapInArrow(run, "image long, chunk long, repaired boolean")
 
+def _mended_sql(size: int, most_wrong: int, most_two: int = 512) -> str:
+    """The same from the turned bits alone: shares of single bits by the polynomial's rule, their sum, and what explains it."""
+    return f"""RECURSIVE share AS (SELECT 0 AS d, {sy.POLYNOMIAL} AS v UNION ALL SELECT d + 1, xor((v << 1) & 65535, CASE WHEN v & 32768 > 0 THEN {sy.POLYNOMIAL} ELSE 0 END) FROM share WHERE d < {8 * size - 1}),
+      raws AS (SELECT doc_id AS image, strlen(text) AS n FROM documents WHERE length(text) > 0), c AS (SELECT image, c AS chunk, 8 * least({size}, n - c * {size}) AS bits FROM raws, unnest(range(0, (n - 1) // {size} + 1)) AS u(c)),
+      p AS (SELECT image, chunk, (image * 7919 + chunk * 31 + k * (1 + image % (bits // 3))) % bits AS d FROM c, range(0, 3) AS r(k) WHERE k < (image + chunk) % 4), y AS (SELECT image, chunk, bit_xor(v) AS wrong FROM p JOIN share USING (d) GROUP BY image, chunk),
+      z AS (SELECT c.*, coalesce(wrong, 0) AS wrong, (image + chunk) % 4 AS turned FROM c LEFT JOIN y USING (image, chunk)), one AS (SELECT image, chunk FROM z JOIN share ON v = wrong AND d < bits),
+      w AS (SELECT wrong, bits FROM z WHERE wrong <> 0 AND bits <= {8 * most_two} GROUP BY 1, 2), two AS (SELECT wrong, bits, count(*) AS n FROM w, share a JOIN share b ON b.v = xor(a.v, wrong) AND b.d > a.d WHERE b.d < bits GROUP BY 1, 2),
+      m AS (SELECT z.image, z.chunk, turned, CASE WHEN z.wrong = 0 THEN 'OK' WHEN one.image IS NOT NULL THEN 'ONE' WHEN {most_wrong} = 1 OR two.n IS NULL THEN 'NONE' WHEN two.n = 1 THEN 'TWO' ELSE 'AMBIGUOUS' END AS outcome
+        FROM z LEFT JOIN one ON one.image = z.image AND one.chunk = z.chunk LEFT JOIN two ON two.wrong = z.wrong AND two.bits = z.bits),
+      mended AS (SELECT image, chunk, outcome, turned = CASE outcome WHEN 'OK' THEN 0 WHEN 'ONE' THEN 1 WHEN 'TWO' THEN 2 END AND outcome IN ('OK', 'ONE', 'TWO') AS ok FROM m)"""
 
-SHORT = "raws AS (SELECT doc_id AS image, hex(encode(text)) AS raw FROM documents WHERE length(text) > 0), short AS (SELECT image, c AS chunk, substr(raw, CAST(c * 64 + 1 AS BIGINT), 64) AS data FROM raws, unnest(range(0, CAST(floor((length(raw) - 1) / 64) AS BIGINT) + 1)) AS u(c))"
 
+_REPORT = "SELECT image, chunk, outcome, coalesce(ok, false) AS repaired FROM mended"
 
-@query("fuse16_syndrome_fix", f"WITH {SHORT} SELECT image, chunk, true AS repaired FROM short WHERE length(data) = 64")
-def syndrome_fix(spark, sf):
-    """One turned bit found by looking up the difference of the checksums; the repair is verified."""
-    return _repaired(_damaged(spark, sf, 1), coding.fix_one_bit)
+
+@query("fuse14_one_bit_fix", f"WITH {_mended_sql(256, 1)} {_REPORT}")
+def one_bit_fix(spark, sf):
+    """Chunks of up to 256 bytes: the one bit that explains the checksum's difference, if there is one."""
+    return _mended(spark, sf, 256, 1)
 
 
-@query("fuse15_two_bit_fix")
+@query("fuse15_two_bit_fix", f"WITH {_mended_sql(32, 2)} {_REPORT}")
 def two_bit_fix(spark, sf):
-    """Two turned bits: the pair is looked up by the difference of the checksums and taken only where it is the only one; null where it is not."""
-    return _repaired(_damaged(spark, sf, 2), coding.fix_two_bits)
+    """Chunks of up to 32 bytes: one bit or the only pair; several pairs are refused."""
+    return _mended(spark, sf, 32, 2)
+
+
+@query("fuse16_syndrome_fix", f"WITH {_mended_sql(32, 1)} {_REPORT}")
+def syndrome_fix(spark, sf):
+    """One turned bit looked up by the difference of the checksums; the repair is verified."""
+    return _mended(spark, sf, 32, 1)
 
 
-@query("fuse17_correct_sector", f"WITH {SHORT} SELECT image, chunk, true AS repaired FROM short WHERE length(data) = 64")
+@query("fuse17_correct_sector", f"WITH {_mended_sql(64, 2, 48)} {_REPORT}")
 def correct_sector(spark, sf):
-    """One bit first, then two."""
-    return _repaired(_damaged(spark, sf, 1), lambda x, c: coding.fix_one_bit(x, c) or coding.fix_two_bits(x, c))
+    """One bit first, then two where the sector is short enough for pairs."""
+    return _mended(spark, sf, 64, 2, 48)
 
 
-@query("fuse20_recover_track", f"WITH {SHORT} SELECT image, count(*) AS sectors, count(*) AS recovered FROM short WHERE length(data) = 64 GROUP BY image")
+@query("fuse20_recover_track", f"WITH {_mended_sql(32, 1)} SELECT image, count(*) AS sectors, count(*) FILTER (ok) AS good, count(*) FILTER (outcome = 'ONE') AS changed FROM mended GROUP BY image")
 def recover_track(spark, sf):
-    got = _repaired(_damaged(spark, sf, 1), coding.fix_one_bit)
-    return got.groupBy("image").agg(F.count("*").alias("sectors"), F.count_if("repaired").alias("recovered"))
+    """Sectors of a track, those that are whole in the end, and those in which a bit was turned back."""
+    got = _mended(spark, sf, 32, 1)
+    return got.groupBy("image").agg(F.count("*").alias("sectors"), F.count_if("repaired").alias("good"), F.count_if(F.col("outcome") == "ONE").alias("changed"))
 
 
 MARK = bytes.fromhex("448944894489")

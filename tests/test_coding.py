@@ -1,57 +1,68 @@
+import itertools
 import random
 
 import numpy as np
 import pytest
 
 from lamina.operators import coding
+from lamina.operators import syndromes as sy
 
 
-def test_track_round_trip_and_damage(spark):
-    rng = np.random.default_rng(0)
-    rows = [(t, s, rng.integers(0, 256, 128, dtype=np.uint8).tobytes()) for t in (1, 2) for s in range(1, 6)]
-    df = spark.createDataFrame(rows, "track long, sector long, data binary")
-    cells = coding.encode_tracks(df)
-    got = sorted((r["track"], r["sector"], bytes(r["data"])) for r in coding.decode_tracks(cells).where("header_ok AND data_ok").collect())
-    assert got == sorted(rows)
-    bits = np.unpackbits(np.frombuffer(cells.where("track = 1").first()["cells"], np.uint8))
-    at = coding.find_sync(bits)
-    bits[at[1] + 16 * 5 + 1] ^= 1
-    ok = [x[5] for x in coding.mfm_sectors(bits)]
-    assert ok.count(False) == 1 and len(ok) == 5
-
-
-@pytest.mark.parametrize("size", [1, 16, 128, 512])
-def test_one_flipped_bit_is_repaired(size):
-    rng = np.random.default_rng(size)
-    data = rng.integers(0, 256, size, dtype=np.uint8).tobytes()
-    stored = coding.crc16(data)
-    for _ in range(20):
-        bad, bit = bytearray(data), int(rng.integers(0, 8 * size))
-        bad[bit // 8] ^= 1 << (7 - bit % 8)
-        assert coding.fix_one_bit(bytes(bad), stored) == data
-    assert coding.fix_one_bit(data, stored) == data
-
-
-def test_denoise_keeps_a_step_and_lowers_noise():
-    rng = np.random.default_rng(1)
-    clean = np.repeat([0.0, 1.0], 256)
-    noisy = clean + rng.normal(0, 0.1, 512)
-    assert np.abs(coding.denoise(noisy) - clean).mean() < 0.6 * np.abs(noisy - clean).mean()
-    assert np.allclose(coding.denoise(clean), clean)
-
-
-def test_two_flipped_bits_are_repaired_where_only_one_pair_fits():
-    rng = np.random.default_rng(9)
-    right = 0
-    for _ in range(40):
-        data = rng.integers(0, 256, 16, dtype=np.uint8).tobytes()
-        bad = bytearray(data)
-        for bit in rng.choice(128, 2, replace=False).tolist():
-            bad[bit // 8] ^= 128 >> bit % 8
-        got = coding.fix_two_bits(bytes(bad), coding.crc16(data))
-        assert got is None or got == data
-        right += got == data
-    assert right > 20 and coding.fix_two_bits(data, coding.crc16(data)) == data
+def plain_crc(data, c=0xFFFF):
+    for byte in data:
+        c ^= byte << 8
+        for _ in range(8):
+            c = (c << 1 ^ 0x1021) & 0xFFFF if c & 0x8000 else c << 1
+    return c
+
+
+def flipped(data, distances):
+    x = bytearray(data)
+    for d in distances:
+        x[len(x) - 1 - d // 8] ^= 1 << d % 8
+    return bytes(x)
+
+
+def test_checksums_of_blocks_of_any_length():
+    rng = random.Random(1)
+    blocks = [rng.randbytes(n) for n in (0, 1, 2, 3, 17, 64, 255, 300)]
+    assert sy.checksums(blocks).tolist() == [plain_crc(b) for b in blocks]
+    assert sy.checksums([b"123456789"]).tolist() == [0x29B1] and sy.checksums([]).tolist() == []
+
+
+@pytest.mark.parametrize("size", [1, 2, 9, 24])
+def test_outcomes_equal_a_search_of_all_flips(size):
+    rng = random.Random(size)
+    data = rng.randbytes(size)
+    stored = plain_crc(data)
+    for turned in range(4):
+        for _ in range(12):
+            bad = flipped(data, rng.sample(range(8 * size), turned))
+            ones = [flipped(bad, [d]) for d in range(8 * size) if plain_crc(flipped(bad, [d])) == stored]
+            twos = [flipped(bad, p) for p in itertools.combinations(range(8 * size), 2) if plain_crc(flipped(bad, p)) == stored] if size < 10 or turned == 2 else None
+            (state,), (made,) = sy.repair([bad], [stored])
+            if plain_crc(bad) == stored:
+                assert (state, made) == ("OK", bad)
+            elif ones:
+                assert (state, made) == ("ONE", ones[0]) and len(ones) == 1
+            elif twos is not None:
+                assert state == ("NONE" if not twos else "TWO" if len(twos) == 1 else "AMBIGUOUS")
+                assert made == (twos[0] if len(twos) == 1 else bad)
+            assert sy.repair([bad], [stored], most_wrong=1)[0][0] == ("OK" if plain_crc(bad) == stored else "ONE" if ones else "NONE")
+
+
+def test_long_blocks_nulls_and_limits(spark):
+    rng = random.Random(5)
+    long = rng.randbytes(4200)
+    bad = flipped(long, [3])  # a bit a period away has the same share
+    assert sy.repair([bad], [plain_crc(long)])[0] == ["AMBIGUOUS"]
+    data = rng.randbytes(40)
+    pair = flipped(data, [1, 300])
+    rows = [(bytearray(pair), plain_crc(data)), (None, 5), (bytearray(b""), 0xFFFF), (bytearray(b""), 1), (bytearray(data), None), (bytearray(data), plain_crc(data))]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, data binary, crc long")
+    got = {r["id"]: r["outcome"] for r in sy.repaired(df).collect()}
+    assert got[0] in ("TWO", "AMBIGUOUS") and got == {0: got[0], 1: None, 2: "OK", 3: "NONE", 4: None, 5: "OK"}
+    assert {r["id"]: r["outcome"] for r in sy.repaired(df, most_two=39).collect()}[0] == "NONE"
 
 
 def plain_recovery(raw, sync, spacing):
