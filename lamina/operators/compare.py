@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def positional(a: DataFrame, b: DataFrame, keys: list[str], data: str, status: str, size: str | None = None) -> DataFrame:
@@ -39,3 +42,20 @@ def hex_bytes_differing(a: Column, b: Column) -> Column:
     diff = F.aggregate(F.coalesce(pairs, F.array().cast("array<int>")), F.lit(0).cast("long"),
                        lambda acc, i: acc + F.when(F.substring(a, i * 2 - 1, F.lit(2)) != F.substring(b, i * 2 - 1, F.lit(2)), 1).otherwise(0))
     return diff + (F.abs(F.length(a) - F.length(b)) / 2).cast("long")
+
+
+def equal_bytes(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """pairs with same: at how many places two binary columns hold the same byte; null where one is null."""
+
+    def run(batches):
+        for batch in batches:
+            same = []
+            for x, y in zip(batch.column(a).to_pylist(), batch.column(b).to_pylist(), strict=True):
+                if x is None or y is None:
+                    same.append(None)
+                else:
+                    n = min(len(x), len(y))
+                    same.append(int(np.count_nonzero(np.frombuffer(x, np.uint8)[:n] == np.frombuffer(y, np.uint8)[:n])))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(same, pa.int64())], names=[*batch.schema.names, "same"])
+
+    return pairs.mapInArrow(run, StructType([*pairs.schema.fields, StructField("same", LongType())]))

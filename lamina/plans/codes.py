@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import cells as cl
 from ..functions import octets
 from ..functions.scalars import crc16_ccitt
-from ..operators import lanes
+from ..operators import lanes, syncs
 from ..operators import tracks as tr
 from ..sources.carriers import IMAGES, NOISE, PULSES, images, noise, pulses, table, turns, turns_sql
 from ..sources.storage import stored
@@ -42,31 +44,34 @@ def sync_any(spark, sf):
     return p.select("image", "chunk", (F.col("best") - 1).cast("long").alias("position"), word.alias("word"))
 
 
-#: Three sync words between noise, with a bit turned (one document in three), put in or left out (by document).
+#: Three sync words in the middle of each chunk, with a bit turned (one in three), put in or left out (by their number).
 _SYNC48 = f"{0x4489:016b}" * 3
-SLIPPED = f"""{BITS}, streams AS (SELECT image, substr(bits, 1, 64) || CASE image % 3 WHEN 0 THEN s WHEN 1 THEN substr(s, 1, 20) || translate(substr(s, 21, 1), '01', '10') || substr(s, 22) ELSE CASE image % 2 WHEN 0 THEN substr(s, 1, 40) || substr(s, 42) || '0' ELSE '1' || s END END || substr(bits, 65, 64) AS b
-  FROM (SELECT *, '{_SYNC48}' AS s FROM bits WHERE chunk = 0 AND length(bits) >= 128)), w AS (SELECT image, p, bit_count(xor(CAST(('0b' || substr(b, CAST(p + 1 AS BIGINT), 48)) AS BIGINT), {int(_SYNC48, 2)})) AS d FROM streams, unnest(range(0, length(b) - 47)) AS u(p))"""
+SLIPPED = f"""{BITS}, streams AS (SELECT image, chunk, substr(bits, 1, CAST(h AS INTEGER)) || CASE (image + chunk) % 3 WHEN 0 THEN s WHEN 1 THEN substr(s, 1, 20) || translate(substr(s, 21, 1), '01', '10') || substr(s, 22) ELSE CASE (image + chunk) % 2 WHEN 0 THEN substr(s, 1, 40) || substr(s, 42) || '0' ELSE '1' || s END END || substr(bits, CAST(h + 1 AS INTEGER)) AS b
+  FROM (SELECT *, '{_SYNC48}' AS s, length(bits) // 2 AS h FROM bits)), parts AS (SELECT image, chunk, k * 200 AS first, substr(b, CAST(k * 200 + 1 AS INTEGER), 247) AS part FROM streams, unnest(range(0, (length(b) - 48) // 200 + 1)) AS u(k)),
+  w AS (SELECT image, chunk, first + p AS p, d FROM (SELECT image, chunk, first, p, hamming(substr(part, CAST(p + 1 AS INTEGER), 48), '{_SYNC48}') AS d FROM parts, unnest(range(0, length(part) - 47)) AS u(p)) WHERE d <= 6)"""
 
 
-@query("dec09_sync_slip", SLIPPED.replace("CAST(('0b' || substr(b, CAST(p + 1 AS BIGINT), 48)) AS BIGINT)", "CAST(list_reduce([CAST(ascii(c) - 48 AS BIGINT) FOR c IN string_split(substr(b, CAST(p + 1 AS BIGINT), 48), '')], lambda a, x: a * 2 + x) AS BIGINT)").join(["WITH ", """,
-  e AS (SELECT image, bool_or(d = 0) AS exact FROM w GROUP BY image), m AS (SELECT w.image, p, d FROM w JOIN e USING (image) WHERE d <= CASE WHEN exact THEN 0 ELSE 6 END),
-  s AS (SELECT m.image, m.p, m.d, arg_min(w.p - m.p, (w.d, abs(w.p - m.p), w.p)) AS slip, min(w.d) AS best FROM m JOIN w ON w.image = m.image AND w.p BETWEEN m.p - 2 AND m.p + 2 GROUP BY 1, 2, 3)
-  SELECT image, p + CASE WHEN best < d THEN slip ELSE 0 END AS position, CASE WHEN best < d THEN slip ELSE 0 END AS slip, CAST(least(best, d) AS BIGINT) AS distance, CAST(100 - 8 * least(best, d) AS BIGINT) AS confidence FROM s"""]))
+@query("dec09_sync_slip", f"""WITH {SLIPPED}, e AS (SELECT image, chunk, bool_or(d = 0) AS exact FROM w GROUP BY 1, 2), m AS (SELECT w.* FROM w JOIN e USING (image, chunk) WHERE d = 0 OR NOT exact),
+  s AS (SELECT m.image, m.chunk, m.p, m.d, arg_min(w.p - m.p, (w.d, abs(w.p - m.p), w.p)) AS slip, min(w.d) AS best FROM m JOIN w ON w.image = m.image AND w.chunk = m.chunk AND w.p BETWEEN m.p - 2 AND m.p + 2 GROUP BY 1, 2, 3, 4)
+  SELECT image, chunk, p + CASE WHEN best < d THEN slip ELSE 0 END AS position, CASE WHEN best < d THEN slip ELSE 0 END AS slip, CAST(least(best, d) AS BIGINT) AS distance, CAST(100 - 8 * least(best, d) AS BIGINT) AS confidence FROM s""")
 def sync_slip(spark, sf):
-    """Exact places of three sync words; where a stream has none, places within six bits, moved by up to two to where the distance is least."""
-    s, i = F.lit(_SYNC48), F.col("image")
-    one = F.concat(F.substring(s, 1, 20), F.translate(F.substring(s, 21, 1), "01", "10"), F.substring(s, 22, 27))
-    slipped = F.when(i % 2 == 0, F.concat(F.substring(s, 1, 40), F.substring(s, 42, 7), F.lit("0"))).otherwise(F.concat(F.lit("1"), s))
-    b = _bits(spark, sf).where("chunk = 0 AND length(bits) >= 128").select("image", F.concat(F.substring("bits", 1, 64), F.when(i % 3 == 0, s).when(i % 3 == 1, one).otherwise(slipped), F.substring("bits", 65, 64)).alias("b"))
-    dist = lambda x, p: F.bit_count(F.conv(F.substring(x, p + 1, F.lit(48)), 2, 10).cast("long").bitwiseXOR(F.lit(int(_SYNC48, 2)))).cast("long")
-    all_d = b.select("image", octets.once(F.col("b"), lambda x: F.transform(F.sequence(F.lit(0), F.length(x) - 48), lambda p: dist(x, p))).alias("d"))
-    limit = F.when(F.array_contains("d", F.lit(0).cast("long")), 0).otherwise(6)
-    at = all_d.select("image", "d", F.posexplode("d").alias("p", "mine"), limit.alias("limit")).where("mine <= limit")
-    near = F.filter(F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda k: F.struct(F.when(F.col("p") + k >= 0, F.get("d", F.col("p") + k)).alias("d"), F.abs(k).alias("far"), k.alias("k"))), lambda x: x["d"].isNotNull())
-    best = at.select("image", "p", "mine", F.array_min(near).alias("n"))
-    slip = F.when(F.col("n.d") < F.col("mine"), F.col("n.k")).otherwise(0)
-    d = F.least("n.d", "mine")
-    return best.select("image", (F.col("p") + slip).cast("long").alias("position"), slip.cast("long").alias("slip"), d.alias("distance"), (100 - d * 8).alias("confidence"))
+    """Exact places of three sync words in every chunk; where a stream has none, places within six bits, moved by up to two to where the distance is least."""
+    sync = np.array([int(c) for c in _SYNC48], np.uint8)
+    turned = sync.copy()
+    turned[20] ^= 1
+    shapes = [sync, turned, np.append(np.delete(sync, 40), 0).astype(np.uint8), np.insert(sync, 0, 1)]
+
+    def plant(batches):
+        for b in batches:
+            made = []
+            for image, chunk, raw in zip(*(b.column(c).to_pylist() for c in ("image", "chunk", "raw")), strict=True):
+                bits, k = np.unpackbits(np.frombuffer(raw, np.uint8)), image + chunk
+                shape = shapes[k % 3 if k % 3 < 2 else 2 + k % 2]
+                made.append(np.concatenate([bits[: len(bits) // 2], shape, bits[len(bits) // 2 :]]).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("image"), b.column("chunk"), pa.array(made, pa.binary())], names=["image", "chunk", "bits"])
+
+    streams = noise(spark, sf).select("image", "chunk", F.unhex("data").alias("raw")).mapInArrow(plant, "image long, chunk long, bits binary")
+    return syncs.found(streams, int(_SYNC48, 2), 48).withColumn("confidence", 100 - F.col("distance") * 8)
 
 
 @query("dec12_fm_byte", "SELECT DISTINCT (l_partkey * 31 + l_suppkey) & 65535 AS word, " + " + ".join(f"((((l_partkey * 31 + l_suppkey) >> {14 - 2 * i}) & 1) << {7 - i})" for i in range(8)) + " AS byte FROM lineitem")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import cells as cl
+from ..operators import compare
 from ..operators import signatures as sg
 from ..operators import tracks as tr
 from ..sources import containers as box
@@ -303,25 +304,33 @@ def flux_verify(spark, sf):
     return d.join(ref, "track").join(s, "track", "left").select("track", F.when(F.col("h") == F.col("r"), "RAW").when(F.col("ok"), "SECTORS").otherwise("FAILED").alias("verified"))
 
 
-@query("join18_duplicate_recovery", f"""WITH {IMAGES}, f AS (SELECT * FROM images WHERE length(data) = 512), good AS (SELECT DISTINCT data FROM f WHERE (image + chunk) % 10 <> 0), bad AS (SELECT * FROM f WHERE (image + chunk) % 10 = 0),
-  p AS (SELECT i, substr(data, CAST(i * 20 + 1 AS BIGINT), CASE WHEN i = 25 THEN 12 ELSE 20 END) AS piece, data FROM good, range(0, 26) AS r(i)), q AS (SELECT image, chunk, i, substr(data, CAST(i * 20 + 1 AS BIGINT), CASE WHEN i = 25 THEN 12 ELSE 20 END) AS piece, data FROM bad, range(0, 26) AS r(i)),
-  c AS (SELECT DISTINCT q.image, q.chunk, q.data AS x, p.data AS y FROM q JOIN p ON p.i = q.i AND p.piece = q.piece), s AS (SELECT image, chunk, y, len([k FOR k IN range(0, 256) IF substr(x, CAST(k * 2 + 1 AS BIGINT), 2) = substr(y, CAST(k * 2 + 1 AS BIGINT), 2)]) AS same FROM c)
-  SELECT image, chunk, from_image, from_chunk, CAST(same AS BIGINT) AS equal_bytes FROM (SELECT s.image, s.chunk, g.a AS from_image, g.b AS from_chunk, same, row_number() OVER (PARTITION BY s.image, s.chunk ORDER BY g.a, g.b) AS n FROM s
-  JOIN (SELECT data, image AS a, chunk AS b FROM (SELECT *, row_number() OVER (PARTITION BY data ORDER BY image, chunk) AS k FROM f WHERE (image + chunk) % 10 <> 0) WHERE k = 1) g ON g.data = s.y WHERE same * 100 > 256 * 90) WHERE n = 1""")
+_PIECES = "(length(data) // 2 - 1) // 10 + 1"
+_PIECE = "substr(data, CAST(2 * (i * (length(data) // 2) // n) + 1 AS INTEGER), CAST(2 * ((i + 1) * (length(data) // 2) // n - i * (length(data) // 2) // n) AS INTEGER))"
+
+
+@query("join18_duplicate_recovery", f"""WITH {IMAGES}, good AS (SELECT data, {_PIECES} AS n, min(image * 1000000 + chunk) AS spot FROM images WHERE (image + chunk) % 10 <> 0 GROUP BY data), bad AS (SELECT data, {_PIECES} AS n FROM images WHERE (image + chunk) % 10 = 0 GROUP BY data),
+  p AS (SELECT i, {_PIECE} AS piece, data, spot FROM good, unnest(range(0, n)) AS r(i)), q AS (SELECT i, {_PIECE} AS piece, data FROM bad, unnest(range(0, n)) AS r(i)), c AS (SELECT DISTINCT q.data AS x, p.data AS y, p.spot FROM q JOIN p ON p.i = q.i AND p.piece = q.piece AND length(p.data) = length(q.data)),
+  s AS (SELECT x, spot, len([k FOR k IN range(0, length(x) // 2) IF substr(x, CAST(k * 2 + 1 AS INTEGER), 2) = substr(y, CAST(k * 2 + 1 AS INTEGER), 2)]) AS same FROM c), m AS (SELECT x, min(spot) AS spot, arg_min(same, spot) AS same FROM s WHERE same * 100 > length(x) // 2 * 90 GROUP BY x)
+  SELECT image, chunk, spot // 1000000 AS from_image, spot % 1000000 AS from_chunk, CAST(same AS BIGINT) AS equal_bytes FROM images JOIN m ON m.x = data WHERE (image + chunk) % 10 = 0""")
 def duplicate_recovery(spark, sf):
-    """Bad chunks take the first good one with more than nine tenths equal bytes.
-
-    At most 25 of 256 bytes differ then, so one of 26 pieces agrees: candidates meet in equal pieces, never all with all; equal good chunks stand once."""
-    f = images(spark, sf).where("length(data) = 512").withColumn("bad", (F.col("image") + F.col("chunk")) % 10 == 0)
-    good = stored(f.where("NOT bad").groupBy("data").agg(F.min(F.struct("image", "chunk")).alias("at")), "good")
-    piece = F.explode(F.transform(F.sequence(F.lit(0), F.lit(25)), lambda i: F.struct(i.alias("i"), F.xxhash64(F.substring("data", i * 20 + 1, F.when(i == 25, 12).otherwise(20))).alias("h"))))
-    p = good.select("at", piece.alias("p")).select("at", "p.i", "p.h")
-    q = f.where("bad").select("image", "chunk", piece.alias("p")).select("image", "chunk", "p.i", "p.h")
-    c = q.join(p, ["i", "h"]).select("image", "chunk", "at").distinct()
-    both = c.join(f.where("bad").select("image", "chunk", F.col("data").alias("x")), ["image", "chunk"]).join(good.withColumnRenamed("data", "y"), "at")
-    same = F.size(F.filter(F.arrays_zip(cl.groups(F.col("x"), 2).alias("a"), cl.groups(F.col("y"), 2).alias("b")), lambda z: z["a"] == z["b"]))
-    near = both.withColumn("same", same.cast("long")).where("same * 100 > 256 * 90")
-    return near.groupBy("image", "chunk").agg(F.min(F.struct("at", "same")).alias("m")).select("image", "chunk", F.col("m.at.image").alias("from_image"), F.col("m.at.chunk").alias("from_chunk"), F.col("m.same").alias("equal_bytes"))
+    """Bad chunks of any length take the first good one of their length with more than nine tenths equal bytes.
+
+    Of n bytes at most (n - 1) div 10 differ then, so one of one more pieces agrees: candidates meet in equal pieces, never all with
+    all; equal chunks stand once on either side, and bytes are compared as arrays."""
+    f = images(spark, sf).select("image", "chunk", F.unhex("data").alias("data"), ((F.col("image") + F.col("chunk")) % 10 == 0).alias("bad"))
+    once = stored(f.groupBy("bad", "data").agg(F.min(F.struct("image", "chunk")).alias("at")), "chunks")
+    size = F.octet_length("data")
+    cuts = F.expr("sequence(0, (octet_length(data) - 1) div 10)")
+    cut = lambda i: F.floor(i * size / F.size(cuts)).cast("int")
+    hashed = F.explode(F.transform(cuts, lambda i: F.xxhash64(F.substring("data", cut(i) + 1, cut(i + 1) - cut(i)), i, size)))
+    p = once.where("NOT bad").select(F.col("at").alias("good_at"), hashed.alias("h"))
+    q = once.where("bad").select(F.col("at").alias("bad_at"), hashed.alias("h"))
+    c = q.join(p, "h").select("bad_at", "good_at").distinct()
+    side = lambda bad, name, to: once.where("bad" if bad else "NOT bad").select(F.col("at").alias(name), F.col("data").alias(to))
+    both = c.join(side(True, "bad_at", "x"), "bad_at").join(side(False, "good_at", "y"), "good_at")
+    near = compare.equal_bytes(both, "x", "y").where("same * 100 > octet_length(x) * 90 AND octet_length(x) = octet_length(y)")
+    first = near.groupBy("x").agg(F.min(F.struct("good_at", "same")).alias("m"))
+    return f.where("bad").join(first, F.col("data") == F.col("x")).select("image", "chunk", F.col("m.good_at.image").alias("from_image"), F.col("m.good_at.chunk").alias("from_chunk"), F.col("m.same").alias("equal_bytes"))
 
 
 #: Signatures: every 24th byte of each benchmark text begins one of twelve bytes; the fourth is fixed in its high half only, the sixth is free.
