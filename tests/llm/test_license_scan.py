@@ -88,11 +88,29 @@ def test_gpl_versions_are_told_apart(spark):
     short = "This work is licensed under the GNU General Public License, version {}."
     want = [(headers["gpl-3"], "gpl-3"), (headers["gpl-2"], "gpl-2"), (short.format(3), "gpl-3"), (short.format(2), "gpl-2"), (short.format(4), ""),
             (headers["gpl-3"].replace("version 3", "version 4"), ""), (headers["gpl-2"].replace("modify", "change"), "gpl-2"),
-            (headers["gpl-3"].replace("general", "lesser"), ""), (short.format(3).replace("General", "Lesser General"), "")]
+            (headers["gpl-3"].replace("general", "lesser"), ""), (short.format(3).replace("General", "Lesser General"), "lgpl-3")]
     got = {r["doc_id"]: r["labels"] for r in ls.license_scan(spark.createDataFrame([(i, t, "en", "s", 1) for i, (t, _) in enumerate(want)], DOC_SCHEMA)).collect()}
     assert [got[i] for i in range(len(want))] == [x for _, x in want]
 
 
+def test_notices_tags_and_versions(spark):
+    want = [
+        ("Released under the MIT License.", "mit"), ("BSD 3-Clause License", "bsd"), ("GNU Lesser General Public License version 2.1", "lgpl-2.1"), ("// SPDX-License-Identifier: MPL-2.0", "mpl-2"), ("# SPDX-License-Identifier: GPL-3.0-or-later", "gpl-3"),
+        ("GPL-3.0-or-later", "gpl-3"), ("spdx-license-identifier: apache-2.0 or so", "apache-2"), ("SPDX-License-Identifier: BSL-1.0", "bsl-1"), ("Boost Software License, Version 1.0", "bsl-1"), ("licence of nothing, version 2.1", ""), ("SPDX-License-Identifier: none", ""),
+        ("the gnu affero general public license version 3", "agpl-3"), ("CC-BY-SA", "cc-by-sa"), ("GPL-2.0-only", "gpl-2"), ("Eclipse Public License - v 2.0", "epl-2"), ("mit", ""), ("the license of MIT", "")]
+    got = {r["doc_id"]: r["labels"] for r in ls.license_scan(spark.createDataFrame([(i, t, "en", "s", 1) for i, (t, _) in enumerate(want)], DOC_SCHEMA)).collect()}
+    assert [got[i] for i in range(len(want))] == [x for _, x in want]
+    assert len(ls.TEMPLATES) >= 60 and len({t.label for t in ls.TEMPLATES}) >= 30
+
+
+def test_work_follows_the_hits():
+    index = ls.Index()
+    ids = index.ids(b"a text about the use of words and of the license in which nothing of this is granted or permitted by any person")
+    index.rank({w: 10**6 for w in set(ids.tolist())})  # common words of other texts are not posted
+    places = sum(int((words == w).sum()) for words in index.words for w in ids.tolist() if w)
+    assert sum(len(starts) for _, starts in index.proposed(ids)) * 3 < places
+
+
 def test_odd_rows(odd_extra, empty):
     assert result(odd_extra) == expected(odd_rows())
     assert ls.license_scan(empty).count() == 0
