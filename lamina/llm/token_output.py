@@ -4,8 +4,10 @@ Documents are dealt into ranges of ascending doc_id and encoded there with END a
 shard holds consecutive documents: their ids as one raw little-endian payload of 2 bytes an id (4 for
 vocabularies beyond 65,536), about SHARD_IDS ids unless one document is longer. Beside it stand, for its
 distinct keys, a minimal perfect hash (a displacement for each of its buckets), the stored fingerprint,
-the position and the length of the document in each slot. A keyed read hashes the key, reads one slot,
-compares the fingerprint and slices the payload: constant time, whatever the shard holds.
+the position and the length of the document in each slot. A keyed read finds its part among the parts' first keys, its shard among
+the part's first and last keys, hashes the key, reads one slot, compares the fingerprint and slices the payload: constant time,
+whatever the shard holds. Parts are folders, so parts without a wanted key are not opened, and shards are left out by the
+statistics of their first keys.
 
 Shards are rows of Parquet files written by Spark into the shared folder, so a lost executor's task is
 simply run again, and any store that Spark writes to will do. Starts count from the sums of
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, shared_dir
+from .common import mix64, shared_dir, stored
 from .encoding import encoder, token_bytes, vocabulary_path
 
 END = 2
@@ -33,7 +35,7 @@ SHARD_IDS = 1 << 20
 #: Text bytes of a range of documents, which one task encodes; the session's shuffle partitions are the least number of ranges.
 PART_BYTES = 1 << 28
 BATCH = 512
-_SHARDS = ("part int, shard int, inner long, width int, docs array<long>, counts array<long>, payload binary, "
+_SHARDS = ("part int, shard int, lo long, hi long, inner long, width int, docs array<long>, counts array<long>, payload binary, "
            "displace array<int>, prints array<int>, offsets array<long>, lengths array<long>")
 
 
@@ -94,7 +96,7 @@ def _shard(part: int, number: int, inner: int, width: int, docs: list, pieces: l
     displace, slot = build_mph(keys)
     prints, offsets, lengths = np.zeros(len(keys), np.int32), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
     prints[slot], offsets[slot], lengths[slot] = fingerprint(keys), where[rows], counts[rows]
-    return {"part": part, "shard": number, "inner": inner, "width": width, "docs": docs, "counts": counts, "payload": np.concatenate(pieces).astype(f"<u{width}").tobytes(),
+    return {"part": part, "shard": number, "lo": int(keys.min()) if len(keys) else None, "hi": int(keys.max()) if len(keys) else None, "inner": inner, "width": width, "docs": docs, "counts": counts, "payload": np.concatenate(pieces).astype(f"<u{width}").tobytes(),
             "displace": displace, "prints": prints, "offsets": offsets, "lengths": lengths}
 
 
@@ -131,7 +133,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, end: int = END, sh
         if keys:
             yield pa.RecordBatch.from_pylist([_shard(part, number, inner, wide, keys, pieces)], schema=out)
 
-    dealt.mapInArrow(run, _SHARDS).write.option("compression", "zstd").parquet(path)
+    dealt.mapInArrow(run, _SHARDS).write.partitionBy("part").option("compression", "zstd").parquet(path)
 
 
 def _bases(shards: DataFrame) -> DataFrame:
@@ -173,12 +175,41 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return spots.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+#: Shards whose first keys may be named in one filter.
+NAMED = 1000
+
+
+def _routed(spark: SparkSession, shards: DataFrame, keys: DataFrame) -> DataFrame:
+    """want, part, shard, lo of the shard that a key must be in if it is anywhere; the parts' first keys, one row a part, go with the tasks."""
+    ends = shards.where("lo IS NOT NULL").groupBy("part").agg(F.min("lo").alias("lo")).collect()
+    order = sorted((r["lo"], r["part"]) for r in ends)
+    first, part = np.array([a for a, _ in order], np.int64), np.array([b for _, b in order], np.int32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            want = batch.column("want").to_numpy()
+            at = np.searchsorted(first, want, "right") - 1
+            ok = at >= 0
+            yield pa.RecordBatch.from_arrays([pa.array(want[ok]), pa.array(part[at[ok]])], names=["want", "part"])
+
+    wanted = keys.select(F.col("doc_id").cast("long").alias("want")).where("want IS NOT NULL").distinct().mapInArrow(run, "want long, part int")
+    hit = [r["part"] for r in wanted.select("part").distinct().collect()]
+    spans = shards.where(F.col("part").isin(hit)).where("lo IS NOT NULL").select("part", "shard", "lo", "hi")
+    # Of shards that share a key the first holds its first document.
+    return wanted.join(spans, "part").where("want BETWEEN lo AND hi").groupBy("want", "part").agg(F.min_by(F.struct("shard", "lo"), "shard").alias("s")).select("want", "part", "s.*")
+
+
 def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
-    """doc_id, ids of the documents whose doc_id is in keys: the shards that hold them, then the hash index."""
+    """doc_id, ids of the documents whose doc_id is in keys; only parts and shards that may hold one are read."""
     shards = spark.read.schema(_SHARDS).parquet(path)
-    wanted = keys.select(F.col("doc_id").cast("long").alias("want")).where("want IS NOT NULL").distinct()
-    held = shards.select("part", "shard", F.explode("docs").alias("want"))
-    routed = wanted.join(held, "want").groupBy("part", "shard").agg(F.collect_set("want").alias("want"))
+    routed = stored(_routed(spark, shards, keys), "routed")
+    groups = routed.groupBy("part", "shard").agg(F.collect_set("want").alias("want"))
+    some = routed.select("part", "lo").distinct().limit(NAMED + 1).collect()
+    parts = sorted({r["part"] for r in some}) if len(some) <= NAMED else [r["part"] for r in routed.select("part").distinct().collect()]
+    read = shards.where(F.col("part").isin(parts))
+    if 0 < len(some) <= NAMED:
+        lows = sorted({r["lo"] for r in some})
+        read = read.where(F.col("lo").isin(lows) & F.col("lo").between(lows[0], lows[-1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,11 +218,15 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
                 want = np.array(row["want"], np.int64)
                 slot = slots(want, np.array(row["displace"], np.int32), len(row["prints"]))
                 ok = np.array(row["prints"], np.int32)[slot] == fingerprint(want)
+                # A key that is not in the shard passes its fingerprint once in two thousand million: the document itself decides.
+                counts = np.array(row["counts"], np.int64)
+                place = np.searchsorted(np.cumsum(counts) - counts, np.array(row["offsets"], np.int64)[slot])
+                ok &= np.array([row["docs"][p] == w for p, w in zip(place.tolist(), want.tolist(), strict=True)], bool)
                 got = [(int(w), ids[row["offsets"][s] : row["offsets"][s] + row["lengths"][s]].tolist()) for w, s in zip(want[ok], slot[ok], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return shards.join(routed, ["part", "shard"]).mapInArrow(run, "doc_id long, ids array<int>")
+    return read.join(groups, ["part", "shard"]).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def token_output(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:

@@ -52,6 +52,36 @@ def test_shards_index_and_lookup(spark, docs):
     assert got == {k: [*library(dict(rows)[k]), 2] for k in (3, 50)}
 
 
+def test_lookup_opens_only_parts_and_shards_that_may_hold_a_key(spark, docs):
+    path = shared_dir(spark, "shards")
+    to.write_shards(docs, path, PATH, shard_ids=5000)
+    shards = spark.read.parquet(path).select("part", "shard", "lo", "hi").collect()
+    assert len({r["part"] for r in shards}) > 1
+    key = max(r["lo"] for r in shards)
+    got = to.lookup(spark, path, spark.createDataFrame([(key,)], "doc_id long"))
+    part = next(r["part"] for r in shards if r["lo"] == key)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    scan = next(x for x in plan.split("\n") if "payload" in x and "FileScan" in x)
+    assert f"= {part})" in scan.split("PartitionFilters: [")[1].split("]")[0]
+    assert f"{key}" in scan.split("PushedFilters: [")[1].split("]")[0]
+    assert [r["doc_id"] for r in got.collect()] == [key]
+
+
+def test_repeated_and_missing_keys(spark):
+    rows = [(i // 3 * 2, f"text {i} " * (i % 5 + 1)) for i in range(90)] + [(None, "nobody")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    path = shared_dir(spark, "shards")
+    to.write_shards(df, path, PATH, shard_ids=12)
+    firsts = {}
+    for r in to.read_documents(spark, path).collect():
+        if r["doc_id"] is not None and (r["doc_id"] not in firsts or r["start"] < firsts[r["doc_id"]][0]):
+            firsts[r["doc_id"]] = (r["start"], r["ids_crc32"])
+    got = to.lookup(spark, path, spark.createDataFrame([(k,) for k in range(-3, 70)], "doc_id long")).collect()
+    assert len(got) == len(firsts) == 30
+    assert all(zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == firsts[r["doc_id"]][1] for r in got)
+    assert to.lookup(spark, path, df.limit(0)).count() == 0
+
+
 def test_the_hash_is_minimal_and_perfect():
     keys = np.unique(np.random.default_rng(1).integers(-(2**62), 2**62, 5000))
     displace, slot = to.build_mph(keys)
@@ -76,6 +106,6 @@ def test_a_wrong_fingerprint_is_an_error(spark, docs, monkeypatch):
     from pyspark.sql import functions as F
 
     other = shared_dir(spark, "shards")
-    spark.read.parquet(path).withColumn("prints", F.transform("prints", lambda x: x.bitwiseXOR(F.lit(1)))).write.parquet(other)
+    spark.read.parquet(path).withColumn("prints", F.transform("prints", lambda x: x.bitwiseXOR(F.lit(1)))).write.partitionBy("part").parquet(other)
     with pytest.raises(Exception, match="fingerprint"):
         to.read_documents(spark, other).collect()
