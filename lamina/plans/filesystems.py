@@ -283,5 +283,5 @@ def list_files(spark, sf):
         return files.agg(F.count("*").alias("files"), F.sum(size).cast("long").alias("bytes")).select(F.lit(name).alias("system"), "files", "bytes")
 
     v = _volumes(spark, sf)
-    ends = _clusters(v).where(rec.entry12(F.col("fat"), F.col("cluster")) >= rec.END_FROM)
+    ends = _clusters(v).where(rec.entry12(F.col("fat"), F.col("cluster")) >= ch.MARKS[12][1])
     return total(_listed(_catalogues(spark, sf)), "catalogue", F.col("bytes")).unionByName(total(directory(spark, sf), "extents", F.col("records") * 128)).unionByName(total(ends, "packed", F.lit(512)))
