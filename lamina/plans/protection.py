@@ -6,9 +6,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import octets
+from ..operators import compare
+from ..operators import features as ft
 from ..operators import signatures as sg
-from ..sources.carriers import NOISE, PULSES, SECTORS, noise, pulses, sectors, table
+from ..operators import tracks as tr
+from ..sources.carriers import IMAGES, NOISE, PULSES, SECTORS, images, noise, pulses, sectors, table, turns, turns_sql
+from ..sources.storage import stored
 from .base import query
+from .codes import CHECK_CELL
 
 #: Tracks with a planted pattern: zeros and fillers by the image's number, in front of the chunk's own bytes.
 PLANTED = f"""{NOISE}, tracks AS (SELECT image, chunk, CASE image % 4 WHEN 0 THEN repeat('FF', CAST(18 + image % 9 AS INT)) || '55' || repeat('7B', CAST(160 + image % 10 AS INT)) WHEN 1 THEN '6446644664466446644664466446' WHEN 2 THEN '49494949494949494949' ELSE '' END || data AS data FROM noise)"""
@@ -76,22 +81,44 @@ def scan_disk(spark, sf):
     return _c64(spark, sf).groupBy("image", "rule").agg(F.count("*").alias("tracks"), F.min("track").alias("first_track"), F.max("conf").alias("confidence"))
 
 
-#: Rule sets by machine: machine, rule, feature, least value, confidence.
-_SETS = [("C64", "LONG", "n", 70, 80), ("AMIGA", "LONG", "n", 66, 75), ("AMIGA", "ERRORS", "errors", 14, 70), ("ATARI_ST", "FUZZY", "weak", 30, 85), ("ATARI_8", "DUPLICATE", "repeats", 20, 60), ("APPLE", "TIMING", "spread", 1500, 65), ("APPLE", "LONG", "n", 72, 60), ("PC", "GAP", "longest", 8150, 55), ("PC", "ERRORS", "errors", 18, 50), ("BBC", "LONG", "n", 68, 45),
-         ("SPECTRUM", "TIMING", "spread", 1550, 50), ("CPC", "GAP", "longest", 8190, 58), ("MSX", "ERRORS", "errors", 16, 40), ("PC98", "FUZZY", "weak", 33, 42)]
-
-
-@query("prot01_unified_rules", f"""WITH {PULSES}, e AS (SELECT user_id AS track, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1), f AS (SELECT p.track, count(*) AS n, max(dt) AS longest, CAST(floor(stddev_pop(dt)) AS BIGINT) AS spread, count(*) FILTER (dt % 2 = 1) AS weak, count(*) - count(DISTINCT dt) AS repeats, any_value(errors) AS errors FROM pulses p JOIN e ON e.track = p.track GROUP BY p.track),
-  l AS (SELECT track, unnest([{', '.join(f"{{'f': '{x}', 'v': {x}}}" for x in ("n", "errors", "weak", "repeats", "spread", "longest"))}]) AS x FROM f), s AS (SELECT * FROM (VALUES {', '.join(map(str, _SETS))}) AS t(machine, rule, feature, least_value, conf)), h AS (SELECT track, machine, rule, conf FROM l JOIN s ON feature = x.f AND x.v >= least_value)
-  SELECT track, count(*) AS hits, arg_max(machine || ':' || rule, (conf, machine, rule)) AS primary_hit, max(conf) AS confidence FROM h GROUP BY track""")
+# Fixed values of this example: machines with the encoding of their tracks.
+_MACHINES = [("C64", "C64"), ("APPLE_II", "APPLE"), ("AMIGA", "AMIGA"), ("ATARI_ST", "MFM"), ("PC", "MFM"), ("MSX", "MFM"), ("CPC", "MFM"), ("PC98", "MFM"), ("ATARI_8", "FM"), ("BBC", "FM")]
+# Fixed values of this example: rules by their terms (kind, feature, least value); a machine's own confidence is the rule's plus its place.
+_RULES = [("DUPLICATE_ID", 60, [("all", "duplicates", 1), ("none", "bad", 1)]), ("BAD_CHECKS", 75, [("all", "bad", 1), ("any", "duplicates", 1), ("any", "bad", 2)]), ("LONG_GAP", 65, [("all", "gap", 12000), ("none", "ones", 300)]), ("LONG_SYNC", 80, [("all", "ones", 300)])]
+_TERMS = [(m, rule, conf + k, kind, feature, least) for k, (m, _) in enumerate(_MACHINES) for rule, conf, terms in _RULES for kind, feature, least in terms]
+#: Conversations are tracks of ten machines; by their number they hold nothing, a sector twice, bad checks, a long gap, a long sync, or a sector twice with bad checks.
+_SECTORS_OF = " UNION ALL ".join(f"SELECT track, sector FROM t{i} WHERE track % 10 IN ({', '.join(str(k) for k, (_, x) in enumerate(_MACHINES) if x == e)})" for i, e in enumerate(tr.ENCODINGS))
+TRAPS = ", ".join(turns_sql(tr.SIZES[e], f"t{i}") for i, e in enumerate(tr.ENCODINGS)) + f""", u AS ({_SECTORS_OF}), m AS (SELECT track, count(*) AS n, track % 10 AS machine, track // 10 % 6 AS trap, count(*) FILTER (sector % 2 = 0) AS even FROM u GROUP BY track),
+  f AS (SELECT track, {[m for m, _ in _MACHINES]}[CAST(1 + machine AS BIGINT)] AS machine, machine AS place, CASE WHEN trap IN (1, 5) THEN 1 ELSE 0 END AS duplicates, CASE WHEN trap IN (2, 5) THEN even ELSE 0 END AS bad, CASE WHEN trap = 3 THEN 12000 ELSE 0 END AS gap, CASE WHEN trap = 4 THEN 400 ELSE 0 END AS ones FROM m)"""
+
+
+def _trapped(spark, sf, encoding, machines):
+    """track, cells of the machines' tracks, written in their encoding with what their number puts in."""
+    machine, trap = F.col("track") % 10, F.floor(F.col("track") / 10) % 6
+    t = turns(spark, sf, tr.SIZES[encoding]).where(machine.isin(machines))
+    first = F.min("sector").over(Window.partitionBy("track"))
+    twice = t.withColumn("first", first).where((trap.isin(1, 5)) & (F.col("sector") == F.col("first"))).drop("first")
+    # The copy of a sector is whole, so the number of bad checks is that of the sectors.
+    bad = F.when(trap.isin(2, 5) & (F.col("sector") % 2 == 0) & ~F.col("copy"), CHECK_CELL[encoding])
+    both = t.withColumn("copy", F.lit(False)).unionByName(twice.withColumn("copy", F.lit(True)))
+    made = tr.encode(both, encoding, bad)
+    return made.select("track", F.concat(F.when(trap == 4, "1" * 400).otherwise(""), "cells", F.when(trap == 3, "10" * 6000).otherwise("")).alias("cells"))
+
+
+@query("prot01_unified_rules", f"""WITH {TRAPS}, h AS (SELECT track, unnest([CASE WHEN duplicates >= 1 AND bad < 1 THEN {{'rule': 'DUPLICATE_ID', 'conf': 60 + place}} END, CASE WHEN bad >= 1 AND (duplicates >= 1 OR bad >= 2) THEN {{'rule': 'BAD_CHECKS', 'conf': 75 + place}} END,
+    CASE WHEN gap >= 12000 AND ones < 300 THEN {{'rule': 'LONG_GAP', 'conf': 65 + place}} END, CASE WHEN ones >= 300 THEN {{'rule': 'LONG_SYNC', 'conf': 80 + place}} END]) AS x FROM f), g AS (SELECT track, count(x) AS hits, arg_max(x.rule, x.conf) FILTER (x IS NOT NULL) AS primary_hit, max(x.conf) AS confidence FROM h GROUP BY track)
+  SELECT f.track, machine, hits, primary_hit, CAST(coalesce(confidence, 0) AS INTEGER) AS confidence FROM f JOIN g ON g.track = f.track""")
 def unified_rules(spark, sf):
-    """Ten machines' rule sets as one table joined to each track's features; the surest hit is the track's."""
-    e = table(spark, sf, "events").groupBy(F.col("user_id").alias("track")).agg(F.count_if(F.col("event_type") == "error").alias("errors"))
-    f = pulses(spark, sf).groupBy("track").agg(F.count("*").alias("n"), F.max("dt").alias("longest"), F.floor(F.stddev_pop("dt")).alias("spread"), F.count_if(F.col("dt") % 2 == 1).alias("weak"), (F.count("*") - F.count_distinct("dt")).alias("repeats")).join(e, "track")
-    l = f.select("track", F.explode(F.array(*[F.struct(F.lit(x).alias("feature"), F.col(x).alias("v")) for x in ("n", "errors", "weak", "repeats", "spread", "longest")])).alias("x")).select("track", "x.*")
-    s = F.broadcast(spark.createDataFrame(_SETS, "machine string, rule string, feature string, least_value long, conf int"))  # fourteen rules
-    h = l.join(s, "feature").where("v >= least_value")
-    return h.groupBy("track").agg(F.count("*").alias("hits"), F.max_by(F.concat_ws(":", "machine", "rule"), F.struct("conf", "machine", "rule")).alias("primary_hit"), F.max("conf").alias("confidence"))
+    """Ten machines' rules, as a table of terms, against what five decoders find on their tracks; the surest hit is the track's."""
+    every = None
+    for encoding in tr.ENCODINGS:
+        mine = [k for k, (_, e) in enumerate(_MACHINES) if e == encoding]
+        part = ft.features(stored(_trapped(spark, sf, encoding, mine), "tracks"), encoding)
+        every = part if every is None else every.unionByName(part)
+    table_ = every.withColumn("machine", F.get(F.array(*[F.lit(m) for m, _ in _MACHINES]), (F.col("track") % 10).cast("int")))
+    rules = F.broadcast(spark.createDataFrame(_TERMS, "machine string, rule string, conf int, kind string, feature string, least long"))  # a row a term
+    h = ft.hits(table_, rules, "machine").groupBy("track").agg(F.count("*").alias("hits"), F.max_by("rule", "conf").alias("primary_hit"), F.max("conf").alias("confidence"))
+    return table_.select("track", "machine").join(h, "track", "left").na.fill(0, ["hits", "confidence"])
 
 
 def _register(seed, n: int):
@@ -180,13 +207,24 @@ def align_auto(spark, sf):
     return o.select("image", "chunk", "how", F.floor(F.col("n") / 2).alias("turned"), F.md5(F.concat(F.substring("data", F.col("n") + 1, F.length("data")), F.substring("data", F.lit(1), F.col("n")))).alias("digest"))
 
 
-@query("prot13_fat_track", """WITH t AS (SELECT vec_id AS track, embedding AS e, label FROM embeddings), p AS (SELECT a.track, CAST((SELECT count(*) FROM range(1, 65) AS r(i) WHERE (a.e[i] > 0) <> (b.e[i] > 0)) AS BIGINT) AS differing FROM t a JOIN t b ON b.track = a.track + 2) SELECT track, track + 1 AS half_track, differing, differing < 24 AS copied FROM p""")
+#: Chunks are tracks two half tracks apart; in every third image each odd one is the one before it with up to three bytes changed.
+_FAT = f"""{IMAGES}, l AS (SELECT image, chunk, data, lag(data) OVER (PARTITION BY image ORDER BY chunk) AS before FROM images), tracks AS (SELECT image, chunk * 2 AS half, CASE WHEN image % 3 = 0 AND chunk % 2 = 1 THEN substr(repeat('00', 3), 1, CAST(2 * least(image % 4, length(before) // 2) AS INTEGER)) || substr(before, CAST(2 * least(image % 4, length(before) // 2) + 1 AS INTEGER)) ELSE data END AS data FROM l),
+  p AS (SELECT a.image, a.half, a.data AS x, b.data AS y FROM tracks a JOIN tracks b ON b.image = a.image AND b.half = a.half + 2),
+  d AS (SELECT image, half, x, len([i FOR i IN range(0, least(length(x), length(y)) // 2) IF substr(x, CAST(2 * i + 1 AS INTEGER), 2) <> substr(y, CAST(2 * i + 1 AS INTEGER), 2)]) + abs(length(x) - length(y)) // 2 AS differing FROM p)"""
+
+
+@query("prot13_fat_track", f"WITH {_FAT} SELECT image, half AS track, half + 1 AS half_track, CAST(differing AS BIGINT) AS differing, differing < 2 AS copied, CASE WHEN differing < 2 THEN md5(x) END AS digest FROM d")
 def fat_track(spark, sf):
-    """Tracks t and t + 2 that hardly differ: the data is taken for the half track between them as well."""
-    t = table(spark, sf, "embeddings").select(F.col("vec_id").alias("track"), F.transform("embedding", lambda x: x > 0).alias("e"))
-    b = t.select((F.col("track") - 2).alias("track"), F.col("e").alias("f"))
-    differing = F.size(F.filter(F.zip_with("e", "f", lambda x, y: x != y), lambda d: d)).cast("long")
-    return t.join(b, "track").select("track", (F.col("track") + 1).alias("half_track"), differing.alias("differing"), (differing < 24).alias("copied"))
+    """Tracks two half tracks apart that differ in fewer than two bytes: the first's bytes are taken for the half track between them as well."""
+    n = F.least(F.col("image") % 4, F.floor(F.length("before") / 2))
+    l = images(spark, sf).withColumn("before", F.lag("data").over(Window.partitionBy("image").orderBy("chunk")))
+    changed = F.concat(F.substring(F.lit("000000"), F.lit(1), (n * 2).cast("int")), F.substring("before", (n * 2 + 1).cast("int"), F.length("before")))
+    t = l.select("image", (F.col("chunk") * 2).alias("track"), F.when((F.col("image") % 3 == 0) & (F.col("chunk") % 2 == 1), changed).otherwise(F.col("data")).alias("x"))
+    both = t.join(t.select("image", (F.col("track") - 2).alias("track"), F.col("x").alias("y")), ["image", "track"])
+    pairs = compare.equal_bytes(both.select("image", "track", F.unhex("x").alias("x"), F.unhex("y").alias("y")), "x", "y")
+    differing = F.greatest(F.octet_length("x"), F.octet_length("y")) - F.col("same")
+    d = pairs.withColumn("differing", differing)
+    return d.select("image", "track", (F.col("track") + 1).alias("half_track"), "differing", (F.col("differing") < 2).alias("copied"), F.when(F.col("differing") < 2, F.md5(F.hex("x"))).alias("digest"))
 
 
 @query("prot14_apple_rules", f"""WITH {NOISE}, t AS (SELECT image, chunk, CASE image % 4 WHEN 0 THEN 'D5AA96' WHEN 1 THEN 'D5AAB5' WHEN 2 THEN 'D4AA96' ELSE 'D5AA97' END || data AS data FROM noise), r AS (SELECT image, chunk, regexp_matches(data, '^(?:..)*?D5AA96') AS std, regexp_matches(data, '^(?:..)*?D5AAB5') AS old13, regexp_matches(data, '^(?:..)*?D4AA') AS other, {_count_sql('D5')} AS syncs FROM t)
