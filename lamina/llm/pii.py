@@ -1,8 +1,8 @@
 """PII with a semi-Markov conditional random field, beside exact base detectors.
 
 The base kinds (email, ip, card, phone) are found by their patterns, leftmost and without overlap. The
-field reads a text's tokens: segments of up to LONGEST tokens are scored by features of the whole span (digits, groups, separators, Luhn sum, octets, domain shape, the cue word
-before it) for each type, and dynamic programming bounded by LONGEST chooses the boundaries and
+field reads a text's tokens: segments of up to LONGEST tokens are scored by features of the whole span (number and lengths of its digit groups, separators,
+first digits, Luhn sum, octets, domain shape, the cue word before it) for each type, and dynamic programming bounded by LONGEST chooses the boundaries and
 the types together. An entity holds a digit, an at sign or its spelling (the model gives other segments no
 type but outside), so every token further than LONGEST - 1 tokens from such a one is outside: the programme runs over
 each stretch of nearer tokens, with the token that follows it, and gives what it would give over the whole text.
@@ -20,8 +20,10 @@ from __future__ import annotations
 import bisect
 import functools
 import hashlib
+import itertools
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -90,13 +92,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 _TOKEN = re.compile(r"\S+")
-_TRIGGER = re.compile(r"[0-9@]|[(\[]at[)\]]")
+_TRIGGER = re.compile(r"[0-9@]|[(\[]at[)\]]|(?<![^\s])dot(?![^\s])")
 _REST = re.compile(r"\S*+")
 _EDGE = " \t\r\n\"'<>,;:!?()[]{}|"
 _GROUP = re.compile(r"[0-9]+")
-_MAIL_LIKE = re.compile(r"\S+ ?(?:@|\(at\)|\[at\]) ?\S+(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z]{2,})+$")
-_CUES = {"email": 0, "mail": 0, "ip": 1, "host": 1, "address": 1, "card": 2, "visa": 2, "phone": 3, "tel": 3, "call": 3, "fax": 3}
-_N = 24
+_MAIL_LIKE = re.compile(r"\S+(?: at | ?(?:@|\(at\)|\[at\]) ?)\S+(?:(?: dot | ?(?:\.|\(dot\)|\[dot\]) ?)[A-Za-z]{2,})+$")
+_CUES = {"email": 0, "mail": 0, "ip": 1, "host": 1, "address": 1, "card": 2, "visa": 2, "phone": 3, "tel": 3, "call": 3, "fax": 3, "mobile": 3}
+#: Words before numbers that are no personal data.
+_OTHER = frozenset("invoice order score scores iban isbn ssn account version date ref reference ticket issue item part serial page".split())
+_MARKS = "- ./():,"
+#: Where the features of the span's shape begin, and buckets of its groups' lengths.
+_SHAPE, _LENGTHS = 24, 256
+_DOMAIN_END = _SHAPE + 40 + _LENGTHS
+_N = _DOMAIN_END + 1
+_ENDS = (".com", ".org", ".net", ".edu", ".gov", ".info", ".io", ".de", ".fr", ".es", ".it", ".uk", ".eu", " com", " org", " net", " edu", " de", " fr", " es", "]com", ")com")
 _NONE = 18  # of a segment that can be no entity
 
 
@@ -110,6 +119,8 @@ def features(span: str, before: str, tokens: int) -> list[int]:
     out.append(7 if letters else 8)
     if len(core) <= 254 and _MAIL_LIKE.match(core):
         out.append(9)
+        if core.lower().endswith(_ENDS):
+            out.append(_DOMAIN_END)
     if "@" in core:
         out.append(10)
     if len(groups) == 4 and not letters and all(_octet(g) for g in groups) and core.count(".") == 3:
@@ -133,6 +144,25 @@ def features(span: str, before: str, tokens: int) -> list[int]:
         out.append(19 + cue)
     if len(core) > 120:
         out.append(23)
+    elif n:
+        out += _shape(core, groups, n, letters)
+    if before.lower().strip(_EDGE) in _OTHER:
+        out.append(_SHAPE + 39)
+    return out
+
+
+def _shape(core: str, groups: list[str], n: int, letters: bool) -> list[int]:
+    """Digits and groups, separators among them, how they begin, and the groups' lengths in a row."""
+    out = [_SHAPE + min(n, 19), _SHAPE + 20 + min(len(groups), 6)]
+    out += [_SHAPE + 27 + i for i, c in enumerate(_MARKS) if c in core]
+    if groups[0][0] == "0":
+        out.append(_SHAPE + 35)
+    if any(len(g) == 4 and g[:2] in ("19", "20") for g in groups):
+        out.append(_SHAPE + 36)
+    if len(groups) > 1:
+        out.append(_SHAPE + (37 if len({len(g) for g in groups}) == 1 else 38))
+    if not letters:
+        out.append(_SHAPE + 40 + zlib.crc32(",".join(str(min(len(g), 9)) for g in groups).encode()) % _LENGTHS)
     return out
 
 
@@ -235,15 +265,32 @@ def _example(rng: random.Random) -> tuple[list[str], list[tuple[int, int, int]]]
 
     def phone() -> str:
         a, b, c = digits(3), digits(3), digits(4)
-        return rng.choice([f"+1 ({a}) {b}-{c}", f"+{digits(2)} {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}"])
+        near = rng.choice([f"0{digits(2)}-{digits(7)}", f"0{digits(3)}/{digits(7)}", f"0{digits(2)} {digits(8)}", f"(0{digits(2)}) {digits(7)}", f"0{digits(1)} {digits(2)} {digits(2)} {digits(2)} {digits(2)}", f"0{digits(3)} {digits(6)}"])
+        return rng.choice([f"+1 ({a}) {b}-{c}", f"+{digits(2)} {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", near, near])
 
     def email() -> str:
-        return rng.choice([f"{word()}.{digits(2)}@{word()}.com", f"{word()}@{word()}.{word()}.org", f"{word()} (at) {word()}.com", f"{word()} [at] {word()} [dot] com"])
+        return rng.choice([f"{word()}.{digits(2)}@{word()}.com", f"{word()}@{word()}.{word()}.org", f"{word()} (at) {word()}.com", f"{word()} [at] {word()} [dot] com", f"{word()} at {word()} dot {rng.choice(['com', 'org', 'net', 'de'])}"])
+
+    def year() -> str:
+        return f"{rng.choice(['19', '20'])}{digits(2)}-" + rng.choice([f"{digits(6)}-{digits(2)}", f"{digits(5)}", f"{digits(3)}-{digits(4)}"])
+
+    def account() -> str:
+        """A country, two digits and groups of four, as account numbers are written."""
+        return f"{word()[:2].upper()}{digits(2)} " + " ".join(digits(4) for _ in range(rng.randint(3, 5))) + rng.choice(["", f" {digits(2)}", f" {digits(3)}"])
+
+    def wrong() -> str:
+        """Grouped as a card, with another sum."""
+        d = digits(15)
+        d += next(c for c in rng.sample("0123456789", 10) if not luhn(d + c))
+        return rng.choice([d, " ".join(d[i : i + 4] for i in range(0, 16, 4)), "-".join(d[i : i + 4] for i in range(0, 16, 4))])
 
     entities = (email, lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)), card, phone)
     others = (lambda: digits(rng.randint(1, 6)), lambda: f"{digits(1)}.{digits(2)}", lambda: f"{digits(4)}-{digits(2)}-{digits(2)}",
               lambda: ".".join(digits(1) for _ in range(3)), lambda: digits(rng.randint(20, 40)), lambda: "@" + word(), lambda: word() + digits(2),
-              lambda: f"{digits(2)}:{digits(2)}", lambda: "".join(rng.choices("0123456789abcdef", k=32)), lambda: digits(13))
+              lambda: f"{digits(2)}:{digits(2)}", lambda: "".join(rng.choices("0123456789abcdef", k=32)), lambda: digits(13), year, lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
+              lambda: " ".join(digits(3) for _ in range(rng.randint(2, 6))), wrong, wrong,
+              lambda: f"{digits(3)}-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}", lambda: f"{digits(2)}/{digits(2)}/{digits(4)}", lambda: f"{digits(1)},{digits(3)},{digits(3)}", lambda: f"{word()} dot {word()}", lambda: f"{digits(3)}-{digits(6)}",
+              lambda: f"{word()} at {word()} dot {word()}", lambda: " ".join(digits(rng.choice([1, 2])) for _ in range(rng.randint(3, 6))), account, account)
     for _ in range(rng.randint(1, 3)):
         put(word(), 0)
     for _ in range(rng.randint(1, 2)):
@@ -253,6 +300,8 @@ def _example(rng: random.Random) -> tuple[list[str], list[tuple[int, int, int]]]
                 put(rng.choice([c for c, v in _CUES.items() if v == k]), 0)
             put(entities[k](), k + 1)
         else:
+            if rng.random() < 0.2:
+                put(rng.choice(sorted(_OTHER)), 0)
             put(rng.choice(others)(), 0)
         for _ in range(rng.randint(1, 2)):
             put(word(), 0)
@@ -347,7 +396,12 @@ def find(text: str | None, w: np.ndarray, trans: np.ndarray) -> tuple[list[tuple
         return [], []
     base = base_spans(text)
     taken = sorted((a, b) for _, a, b in base)
-    more = [s for s in field_spans(text, w, trans) if not any(a < s[2] and s[1] < b for a, b in taken)]
+    starts, ends = [a for a, _ in taken], list(itertools.accumulate((b for _, b in taken), max))
+    more = []
+    for span in field_spans(text, w, trans):
+        before = bisect.bisect_left(starts, span[2])  # base spans that begin before this one's end
+        if not before or ends[before - 1] <= span[1]:
+            more.append(span)
     return base, sorted({*base, *more})
 
 

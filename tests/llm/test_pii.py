@@ -177,6 +177,27 @@ def test_recall_through_find():
     assert all(h / k > 0.9 for h, k in zip(hit, n, strict=True)), (hit, n)
 
 
+#: Entities and numbers written by hand or by other rules than the generator's; a blank is no entity.
+_FOUND = [
+    ("Phone: 030-1234567.", 3, "030-1234567"), ("ruf 0171/1234567 an", 3, "0171/1234567"), ("write to john at example dot com please", 0, "john at example dot com"), ("Tel. (0221) 4567890 (office)", 3, "(0221) 4567890"), ("call 212-555-0187 after six", 3, "212-555-0187"),
+    ("reach maria [at] posteo [dot] de today", 0, "maria [at] posteo [dot] de"), ("(415) 555-2671", 3, "(415) 555-2671"), ("fax 415.555.2671 only", 3, "415.555.2671"), ("card 5500.0000.0000.0004 was used", 2, "5500.0000.0000.0004"), ("pay with 4012.8888.8888.1881", 2, "4012.8888.8888.1881"),
+    ("mobile 0151 23456789 or later", 3, "0151 23456789"), ("sales (at) acme-tools.co.uk", 0, "sales (at) acme-tools.co.uk"), ("ask lena at mailbox dot org", 0, "lena at mailbox dot org"), ("telefon 040/7654321 abends", 3, "040/7654321"), ("01 42 68 53 00 le matin", 3, "01 42 68 53 00"),
+    ("0711 654321 ist besetzt", 3, "0711 654321"), ("contact info (at) firma.de", 0, "info (at) firma.de"), ("visa 6011.0009.9013.9424 ok", 2, "6011.0009.9013.9424"), ("dial 646-555-0110 now", 3, "646-555-0110"), ("support [at] lists [dot] example [dot] net", 0, "support [at] lists [dot] example [dot] net")]
+_NOTHING = [
+    "invoice 2023-000123-45 is open", "score 100 200 300 400 in four games", "SSN 123-45-6789 was", "IBAN DE89 3704 0044 0532 0130 00 is", "order 1234-5678-9012 shipped", "on 2024-11-03 at 10:30 we met", "version 10.4.2 fixes it", "ISBN 978-3-16-148410-0 in print",
+    "pages 12 14 15 and 18", "sum 1,234,567 in all", "part 4711-0815 is out", "account 1234567890123 is closed", "he was at home and saw the dot there", "the years 1914 1918 and 1945", "between 1000 and 20000 words", "code 0xdeadbeef1234 there", "grid 3 4 5 6 7", "room 101 on floor 3",
+    "ticket 88123-77 waits", "chapter 3.14 verse 15", "the number 1234567812345678 has another sum", "serial A1B2-C3D4-E5F6", "width 1920 1080 pixels", "at noon the dot was gone", "dates 01/02/2003 and 04/05/2006", "item 555 of 777", "ref 2019-12345 was filed", "12 34 56 78 and more"]
+
+
+def test_recall_and_precision_on_text_of_another_hand():
+    w, trans = pii.train()
+    right = sum((k, text.index(span), text.index(span) + len(span)) in pii.find(text, w, trans)[1] for text, k, span in _FOUND)
+    wrong = sum(len([s for s in pii.find(text, w, trans)[1] if text[s[1] : s[2]] != span]) for text, _, span in _FOUND)
+    wrong += sum(len(pii.find(text, w, trans)[1]) for text in _NOTHING)
+    assert right >= 0.9 * len(_FOUND), [(t, pii.find(t, w, trans)[1]) for t, k, s in _FOUND if (k, t.index(s), t.index(s) + len(s)) not in pii.find(t, w, trans)[1]]
+    assert right >= 0.9 * (right + wrong), [(t, [t[a:b] for _, a, b in pii.find(t, w, trans)[1]]) for t in _NOTHING if pii.find(t, w, trans)[1]]
+
+
 def test_odd_rows(odd_extra, empty):
     assert len(pii.pii(odd_extra).collect()) == len(odd_rows())
     assert pii.pii(empty).count() == 0
