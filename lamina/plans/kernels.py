@@ -8,7 +8,13 @@ from ..sources.carriers import FLUX, SAMPLES, flux, samples, table
 from .base import query
 
 
-@query("fn02_crc32")
+#: A table of 256 values by the polynomial's rule, stepped over the bytes.
+_CRC = """WITH crc AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i) ORDER BY i) AS tab FROM range(256) AS r(i)),
+  d AS (SELECT doc_id AS image, regexp_extract_all(hex(encode(text)), '..') AS b FROM documents)
+  SELECT image, CASE WHEN b IS NOT NULL THEN xor(list_reduce(list_transform(b, lambda x: CAST('0x' || x AS BIGINT)), lambda c, x: xor(c // 256, tab[xor(c % 256, x) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) END AS crc FROM d, crc"""
+
+
+@query("fn02_crc32", _CRC)
 def crc32(spark, sf):
     return table(spark, sf, "documents").select(F.col("doc_id").alias("image"), F.crc32("text").alias("crc"))
 

@@ -5,12 +5,12 @@ the decoders are Arrow maps from such rows to long tables, so files are spread o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
 FLUX_SCHEMA = "path string, idx long, ticks long"
 SECTOR_SCHEMA = "path string, sector long, data binary"
@@ -262,3 +262,82 @@ def packed(tracks: DataFrame, build) -> DataFrame:
         return pa.table({"path": t["path"].slice(0, 1), "content": pa.array([build(parts)], pa.binary())})
 
     return tracks.groupBy("path").applyInArrow(run, "path string, content binary")
+
+
+TRACK_SCHEMA = "path string, track long, idx long, ticks long"
+
+
+class _Track(InputPartition):
+    def __init__(self, path: str, number: int, offset: int):
+        self.path, self.number, self.offset = path, number, offset
+
+
+class FluxImageSource(DataSource):
+    """spark.read.format("flux_image").load(uri): the intervals of flux images, a partition a track.
+
+    Only the table of a file is read to plan. With option("push", True), which needs spark.sql.python.filterPushdown.enabled, filters `track = n` and
+    `track IN (...)` leave out the other tracks before anything of them is read. The uri is anything that pyarrow's file systems open. A file without the signature, or cut before a track ends, gives what it holds."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "flux_image"
+
+    def schema(self) -> str:
+        return TRACK_SCHEMA
+
+    def reader(self, schema) -> DataSourceReader:
+        pushed = str(self.options.get("push", "false")).lower() == "true"
+        return (PushedFluxImageReader if pushed else FluxImageReader)(self.options["path"])
+
+
+class FluxImageReader(DataSourceReader):
+    def __init__(self, uri: str):
+        self.uri, self.wanted = uri, None
+
+    def _open(self):
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(self.uri)
+
+    def partitions(self) -> list[_Track]:
+        from pyarrow import fs
+
+        store, path = self._open()
+        info = store.get_file_info(path)
+        found = [info] if info.type == fs.FileType.File else [f for f in store.get_file_info(fs.FileSelector(path)) if f.type == fs.FileType.File]
+        out = []
+        for file in found:
+            with store.open_input_file(file.path) as f:
+                table = f.read_at(min(file.size, TABLE_AT + 4 * TABLE_TRACKS), 0)
+            for no in range((len(table) - TABLE_AT) // 4 if table[:3] == b"SCP" else 0):
+                at = int.from_bytes(table[TABLE_AT + 4 * no : TABLE_AT + 4 * no + 4], "little")
+                if at and at < file.size and (self.wanted is None or no in self.wanted):
+                    out.append(_Track(file.path, no, at))
+        return out
+
+    def read(self, partition: _Track | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # what Spark asks for where there are no partitions
+            return
+        store, _ = self._open()
+        with store.open_input_file(partition.path) as f:
+            size = f.size()
+            head = f.read_at(min(16, size - partition.offset), partition.offset)
+            if head[:3] != b"TRK" or len(head) < 16:
+                return
+            words, start = int.from_bytes(head[8:12], "little"), partition.offset + int.from_bytes(head[12:16], "little")
+            raw = f.read_at(max(0, min(2 * words, size - start)), start)
+        ticks = decode_transitions(raw)
+        n = len(ticks)
+        yield pa.RecordBatch.from_arrays([pa.array([partition.path] * n, pa.string()), pa.array(np.full(n, partition.number)), pa.array(np.arange(n)), pa.array(ticks)], names=["path", "track", "idx", "ticks"])
+
+
+class PushedFluxImageReader(FluxImageReader):
+    """Takes filters on the track before it plans."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            if isinstance(f, EqualTo | In) and f.attribute == ("track",):
+                asked = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.wanted = asked if self.wanted is None else self.wanted & asked
+            else:
+                yield f
