@@ -108,10 +108,14 @@ def _read_sql(encoding: str) -> str:
     return f"WITH {turns_sql(tr.SIZES[encoding])} SELECT track, track % 160 AS cyl, sector, data, true AS header_ok, (track + sector) % 7 <> 3 AS data_ok FROM turns"
 
 
-def _round_trip(spark, sf, encoding: str):
-    """Sectors written and read again; in every seventh a cell of the checksum is turned round, so its data come back and are not trusted."""
+def _written(spark, sf, encoding: str):
+    """Sectors as cells; in every seventh sector a cell of the checksum is turned round, so its data come back and are not trusted."""
     hurt = F.when((F.col("track") + F.col("sector")) % 7 == 3, CHECK_CELL[encoding])
-    return tr.DECODERS[encoding](tr.encode(turns(spark, sf, tr.SIZES[encoding]), encoding, hurt)).drop("head")
+    return tr.encode(turns(spark, sf, tr.SIZES[encoding]), encoding, hurt)
+
+
+def _round_trip(spark, sf, encoding: str):
+    return tr.DECODERS[encoding](_written(spark, sf, encoding)).drop("head")
 
 
 @query("dec16_mfm_sectors", _read_sql("MFM"))
@@ -186,7 +190,7 @@ def _recovered(runs, gain: float):
 @query("dec15_mfm_tracks", _read_sql("MFM"))
 def mfm_tracks(spark, sf):
     """Sectors as jittered intervals; a phase loop finds the cells, marks and checksums the sectors."""
-    return tr.decode_mfm(_recovered(_jittered(tr.encode(turns(spark, sf, 128), "MFM")), 0.02)).drop("head")
+    return tr.decode_mfm(_recovered(_jittered(_written(spark, sf, "MFM")), 0.02)).drop("head")
 
 
 @query("dec31_pipeline_run", f"WITH {turns_sql(128)} SELECT track, count(*) AS expected, count(*) AS decoded, 1.0::DOUBLE AS coverage, CAST(CASE WHEN track % 4 = 0 THEN 2 ELSE 1 END AS BIGINT) AS attempts FROM turns GROUP BY track")
