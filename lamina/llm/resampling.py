@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE, as_bytes, slices, stored
+from .common import WORD_TABLE, as_bytes, discard, slices, stored
 
 BUCKETS = 10_000
 #: Percent of the documents with at least LEAST_WORDS words that are drawn.
@@ -180,6 +180,7 @@ def resample(docs: DataFrame, benchmark: DataFrame, rate: int = RATE) -> DataFra
     h = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256), 1, 8), 16, 10).cast("long")
     noise = F.floor(-1000 * F.log(-F.log((h + 0.5) / 4294967296.0))).cast("long")
     scored = stored(weighed(blocks, gains(blocks, targets)).withColumn("score", F.col("weight") + noise), "scored")
+    discard(blocks, targets)
     order = [F.col("score").desc(), F.col("doc_id").asc_nulls_last(), F.col("n_features"), F.col("weight")]
     able = stored(numbered(scored.where(F.col("n_words") >= LEAST_WORDS), *order), "numbered")
     sizes = sorted((r["part"], r["n"]) for r in able.groupBy("part").agg(F.count("*").alias("n")).collect())
