@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import cells as cl
 from ..functions import octets
 from ..functions.scalars import crc16_ccitt
-from ..operators import lanes, syncs
+from ..operators import archives, lanes, syncs
 from ..operators import tracks as tr
 from ..sources.carriers import IMAGES, NOISE, PULSES, images, noise, pulses, table, turns, turns_sql
 from ..sources.storage import stored
@@ -193,6 +193,33 @@ def mfm_tracks(spark, sf):
     return tr.decode_mfm(_recovered(_jittered(_written(spark, sf, "MFM")), 0.02)).drop("head")
 
 
+#: Of texts of 20 bytes or more every fifth archive is cut to half, every fifth has a bit turned round; every fifth has lost its length.
+HURT = "SELECT conv_id, turn, text, (conv_id * 8 + turn) % 5 AS k, strlen(text) >= 20 AS long FROM conversations WHERE length(text) > 0"
+
+
+@query("dec37_archives", f"WITH a AS ({HURT}) SELECT conv_id, turn, CASE WHEN k = 3 THEN 'SIZE' WHEN k IN (1, 2) AND long THEN 'DAMAGED' ELSE 'OK' END AS outcome, CASE WHEN k IN (0, 4) OR (k IN (1, 2) AND NOT long) THEN md5(text) END AS digest FROM a")
+def read_archives(spark, sf):
+    """Each turn's text as an archive, some damaged, all read back side by side."""
+    t = table(spark, sf, "conversations").where("octet_length(text) > 0").select("conv_id", "turn", F.col("text").cast("binary").alias("raw"))
+
+    def write(batches):
+        for b in batches:
+            made = []
+            for conv, turn, raw in zip(*(b.column(c).to_pylist() for c in ("conv_id", "turn", "raw")), strict=True):
+                a, k, hurt = bytearray(archives.pack(raw)), (conv * 8 + turn) % 5, len(raw) >= 20
+                if k == 1 and hurt:
+                    del a[8 + (len(a) - 8) // 2 :]
+                elif k == 2 and hurt:
+                    a[8 + (len(a) - 8) // 3] ^= 1 << len(raw) % 8
+                elif k == 3:
+                    a[:4] = bytes(4)
+                made.append(bytes(a))
+            yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("turn"), pa.array(made, pa.binary())], names=["conv_id", "turn", "archive"])
+
+    got = archives.unpacked(t.mapInArrow(write, "conv_id long, turn long, archive binary"))
+    return got.select("conv_id", "turn", "outcome", F.md5("content").alias("digest"))
+
+
 @query("dec31_pipeline_run", f"WITH {turns_sql(128)} SELECT track, count(*) AS expected, count(*) AS decoded, 1.0::DOUBLE AS coverage, CAST(CASE WHEN track % 4 = 0 THEN 2 ELSE 1 END AS BIGINT) AS attempts FROM turns GROUP BY track")
 def pipeline_run(spark, sf):
     """Loop, sectors, coverage; tracks short of their sectors are read again with a wider loop. On every fourth track the drive runs slow by a seventh, which the narrow loop does not follow."""

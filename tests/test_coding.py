@@ -1,7 +1,6 @@
 import itertools
 import random
 
-import numpy as np
 import pytest
 
 from lamina.operators import coding
