@@ -18,7 +18,7 @@ from .common import held
 
 _RUN = re.compile(r"\s \s")
 #: Pieces and their characters that a worker remembers.
-_MEMO = 1_000_000
+_MEMO = 1_400_000
 _MEMO_CHARS = 32_000_000
 
 
