@@ -2,106 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import partial
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import cells as cl
-from ..functions import octets
-from ..functions.scalars import crc16_ccitt
+from . import codec
 
 ENCODINGS = ("MFM", "FM", "C64", "APPLE", "AMIGA")
 #: Bytes of a sector in each encoding.
 SIZES = {"MFM": 128, "FM": 128, "C64": 256, "APPLE": 256, "AMIGA": 512}
 
 
-def sector_cells(encoding: str, track: Column, sector: Column, data: Column) -> Column:
-    """Cells of one sector; the number of the track is kept modulo 160 in its header."""
-    cyl, head = track % 160, F.lit(0)
-    return {"MFM": lambda: cl.mfm_sector(cyl, head, sector, 0, data), "FM": lambda: cl.fm_sector(cyl, head, sector, 0, data), "C64": lambda: cl.c64_sector(cyl, sector, data),
-            "APPLE": lambda: cl.apple_sector(cyl, sector, data), "AMIGA": lambda: cl.amiga_sector(cyl, sector, data)}[encoding]()
-
-
 def encode(sectors: DataFrame, encoding: str, damage: Column | None = None) -> DataFrame:
-    """(track, cells) of (track, sector, data as digits). A track holds what fits the medium: its sectors are one row.
+    """(track, cells) of (track, sector, data as digits). A track holds what fits the medium: its sectors are one row, and
+    are collected as bytes before they become cells. The number of the track is kept modulo 160 in its headers.
 
     damage, if given, is the position of a cell of the sector's end to turn round, or null."""
-    cells = sector_cells(encoding, F.col("track"), F.col("sector"), F.col("data"))
-    if damage is not None:
-        at = F.length("cells") - damage
-        turned = F.concat(F.substring("cells", F.lit(1), at - 1), F.translate(F.substring("cells", at, F.lit(1)), "01", "10"), F.substring("cells", at + 1, F.length("cells")))
-        made = sectors.withColumn("cells", cells).withColumn("cells", F.coalesce(turned, "cells"))
-    else:
-        made = sectors.withColumn("cells", cells)
-    return made.groupBy("track").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sector", "cells"))), lambda s: s["cells"]), "").alias("cells"))
-
-
-def _blocks(tracks: DataFrame, mark: str) -> DataFrame:
-    """(track, pos, block) of what follows each mark."""
-    return tracks.select("track", F.posexplode(F.split("cells", mark)).alias("pos", "block")).where("pos > 0")
-
-
-def _paired(blocks: DataFrame) -> DataFrame:
-    """Address blocks (kind A) with the data block (kind D) right after them."""
-    w = Window.partitionBy("track").orderBy("pos")
-    return blocks.withColumns({"next_kind": F.lead("kind").over(w), "next_bytes": F.lead("bytes").over(w)}).where("kind = 'A' AND next_kind = 'D'")
-
-
-def decode_mfm(tracks: DataFrame, size: int = 128) -> DataFrame:
-    """(track, cyl, head, sector, data, header_ok, data_ok): three syncs, an address or data mark, checksums over both."""
-    b = _blocks(tracks, f"({cl.SYNC}){{3}}").withColumn("bytes", cl.octets_of(cl.data_bits(F.substring("block", F.lit(1), F.lit(16 * (size + 3))))))
-    mark = F.substring("bytes", 1, 2)
-    p = _paired(b.withColumn("kind", F.when(mark == "FE", "A").when(mark == "FB", "D")))
-    return _checked(p, 7, size, cl.AFTER_SYNC)
-
-
-def decode_fm(tracks: DataFrame, size: int = 128) -> DataFrame:
-    """As decode_mfm for single density: marks are known by the clocks that they lack, checksums start at the mark."""
-    b = _blocks(tracks, f"(?={cl.FM_ADDRESS}|{cl.FM_DATA})").withColumn("bytes", cl.octets_of(cl.data_bits(F.substring("block", F.lit(1), F.lit(16 * (size + 3))))))
-    kind = F.when(F.col("block").startswith(cl.FM_ADDRESS), "A").when(F.col("block").startswith(cl.FM_DATA), "D")
-    return _checked(_paired(b.withColumn("kind", kind)), 7, size, 0xFFFF)
-
-
-def _checked(pairs: DataFrame, head: int, size: int, preset: int) -> DataFrame:
-    a, d = F.substring("bytes", F.lit(1), F.lit(2 * head)), F.substring("next_bytes", F.lit(1), F.lit(2 * (size + 3)))
-    return pairs.select("track", octets.byte(a, 1).alias("cyl"), octets.byte(a, 2).alias("head"), octets.byte(a, 3).alias("sector"), octets.cut(d, 1, size).alias("data"),
-                        (crc16_ccitt(a, preset) == 0).alias("header_ok"), (crc16_ccitt(d, preset) == 0).alias("data_ok"))
-
-
-def decode_c64(tracks: DataFrame) -> DataFrame:
-    """Ten ones or more are a sync; header and data blocks in group code with exclusive-or checks."""
-    b = _blocks(tracks, "1{10,}").withColumn("bytes", cl.four(F.substring("block", 1, 10 * 260)))
-    mark = F.substring("bytes", 1, 2)
-    p = _paired(b.withColumn("kind", F.when(mark == "08", "A").when(mark == "07", "D")))
-    h, d = F.col("bytes"), F.col("next_bytes")
-    data = octets.cut(d, 1, 256)
-    valid = ~F.substring(d, 1, 2 * 258).contains("?")
-    return p.select("track", (octets.byte(h, 3) - 1).alias("cyl"), F.lit(0).cast("long").alias("head"), octets.byte(h, 2).alias("sector"), data.alias("data"),
-                    (cl.xor_bytes(octets.cut(h, 2, 4)) == octets.byte(h, 1)).alias("header_ok"), (valid & (cl.xor_bytes(F.translate(data, "?", "0")) == octets.byte(F.translate(d, "?", "0"), 257))).alias("data_ok"))
-
-
-def decode_apple(tracks: DataFrame) -> DataFrame:
-    """Prologues of three bytes, addresses in odd and even bits, data in six-bit codes with a running difference."""
-    as_bits = lambda hexed: "".join(f"{int(c, 16):04b}" for c in hexed)
-    address, data = as_bits(cl.APPLE_ADDRESS), as_bits(cl.APPLE_DATA)
-    b = _blocks(tracks, f"(?={address}|{data})").withColumn("bytes", cl.octets_of(F.substring("block", 1, 8 * 346)))
-    p = _paired(b.withColumn("kind", F.when(F.col("block").startswith(address), "A").when(F.col("block").startswith(data), "D")))
-    two = lambda at: (octets.byte(F.col("bytes"), at) * 2 + 1).bitwiseAND(255).bitwiseAND(octets.byte(F.col("bytes"), at + 1))
-    return p.withColumn("d", cl.apple_data(octets.cut(F.col("next_bytes"), 3, 343))).select(
-        "track", two(5).alias("cyl"), F.lit(0).cast("long").alias("head"), two(7).alias("sector"), "d.data", (two(3).bitwiseXOR(two(5)).bitwiseXOR(two(7)) == two(9)).alias("header_ok"), F.col("d.ok").alias("data_ok"))
-
-
-def decode_amiga(tracks: DataFrame) -> DataFrame:
-    """Any run of syncs; fields of odd bits, then even bits; exclusive-or checks over header and data."""
-    b = _blocks(tracks, f"({cl.SYNC})+").withColumn("d", cl.data_bits(F.substring("block", 1, 16 * (28 + 512))))
-    part = lambda at, n: F.substring("d", at * 8 + 1, n * 8)
-    field = lambda at, n: cl.together(F.substring("d", at * 8 + 1, n * 4), F.substring("d", at * 8 + n * 4 + 1, n * 4))
-    read = b.select("track", field(0, 4).alias("info"), field(20, 4).alias("hsum"), field(24, 4).alias("dsum"), field(28, 512).alias("data"), part(0, 20).alias("h"), part(28, 512).alias("body"))
-    spread = lambda c: cl.octets_of(cl._xor16(c))
-    i = F.col("info")
-    return read.where(F.substring(i, 1, 2) == "FF").select("track", octets.byte(i, 1).alias("cyl"), F.lit(0).cast("long").alias("head"), octets.byte(i, 2).alias("sector"), "data",
-                                                         (spread(F.col("h")) == F.col("hsum")).alias("header_ok"), (spread(F.col("body")) == F.col("dsum")).alias("data_ok"))
+    cut = F.lit(None) if damage is None else damage
+    one = F.struct(F.col("sector").cast("long").alias("sector"), F.unhex("data").alias("data"), cut.cast("long").alias("damage"))
+    kind = sectors.schema["track"].dataType.simpleString()
+    by = sectors.groupBy("track").agg(F.array_sort(F.collect_list(one)).alias("sectors"))
+    return by.mapInArrow(partial(codec.written, encoding=encoding), f"track {kind}, cells string")
+
+
+def _decoder(encoding: str, doc: str):
+    def run(tracks: DataFrame, size: int = 128) -> DataFrame:
+        kind = tracks.schema["track"].dataType.simpleString()
+        return tracks.select("track", "cells").mapInArrow(partial(codec.read, encoding=encoding, size=size), f"track {kind}, {codec.FOUND}")
+
+    run.__doc__ = doc
+    return run
 
 
+decode_mfm = _decoder("MFM", "(track, cyl, head, sector, data, header_ok, data_ok): three syncs, an address or data mark, checksums over both.")
+decode_fm = _decoder("FM", "As decode_mfm for single density: marks are known by the clocks that they lack, checksums start at the mark.")
+decode_c64 = _decoder("C64", "Ten ones or more are a sync; header and data blocks in group code with exclusive-or checks.")
+decode_apple = _decoder("APPLE", "Prologues of three bytes, addresses in odd and even bits, data in six-bit codes with a running difference.")
+decode_amiga = _decoder("AMIGA", "Any run of syncs; fields of odd bits, then even bits; exclusive-or checks over header and data.")
 DECODERS = {"MFM": decode_mfm, "FM": decode_fm, "C64": decode_c64, "APPLE": decode_apple, "AMIGA": decode_amiga}
 
 
