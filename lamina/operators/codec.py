@@ -266,6 +266,26 @@ def nibbles(cells: np.ndarray) -> np.ndarray:
     return _NIBBLES[g @ np.array([16, 8, 4, 2, 1], np.uint8)]
 
 
+def in_groups(digit: bytes, cost: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For (image, chunk, data as bytes): each five-bit group of the data's bits as its digit, and the sum of the groups' costs; both given by the group's value."""
+    table, weight = np.frombuffer(digit, np.uint8), np.array(cost, np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw, at = flat(b.column(2))
+            size, made, total = np.diff(at), [b""] * b.num_rows, np.zeros(b.num_rows, np.int64)
+            for n in np.unique(size).tolist():
+                who = np.flatnonzero(size == n)
+                bits = np.unpackbits(raw[at[who][:, None] + np.arange(n)], axis=1)
+                g = bits[:, : bits.shape[1] // 5 * 5].reshape(len(who), -1, 5) @ np.array([16, 8, 4, 2, 1], np.uint8)
+                total[who] = weight[g].sum(axis=1)
+                for i, text in zip(who.tolist(), table[g], strict=True):
+                    made[i] = text.tobytes()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary()).cast(pa.string()), pa.array(total)], names=["image", "chunk", "decoded", "cost"])
+
+    return run
+
+
 def _read_c64(cells, n, same, size):
     x, k = nibbles(cells), n // 5
     kind = np.where((k >= 2) & (x[:, 0] == 0), np.where(x[:, 1] == 8, 1, np.where(x[:, 1] == 7, 2, 0)), 0)

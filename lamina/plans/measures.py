@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import cells as cl
 from ..functions import octets
 from ..functions.scalars import cosine
-from ..operators import decode
+from ..operators import codec, decode
 from ..operators import tracks as tr
 from ..sources.carriers import NOISE, SAMPLES, SECTORS, images, noise, samples, sectors, turns, turns_sql
 from .base import query
-from .codes import BITS, _bits
+from .codes import BITS
 from .comparison import PAIR, _pair
 from .filesystems import EXTENTS, _extents
 from .formats import BOOT, VALID, _valid
@@ -161,14 +161,9 @@ _DIST = " + ".join(f"(substr(g, {k}, 1) <> substr(code, {k}, 1))::INT" for k in
   x AS (SELECT image, chunk, unnest(range(1, len(gs) + 1)) AS i, unnest(gs) AS g FROM (SELECT image, chunk, regexp_extract_all(bits, '.{{5}}') AS gs FROM bits)) SELECT image, chunk, string_agg(digit, '' ORDER BY i) AS decoded, CAST(sum(d) AS BIGINT) AS corrected FROM x JOIN b ON b.g = x.g GROUP BY 1, 2""")
 def nearest_groups(spark, sf):
     """Each group as the code that differs in the fewest bits, the lowest of equals, with the bits put right."""
-    near = {}
-    for v in range(32):
-        g = f"{v:05b}"
-        near[g] = min((sum(a != b for a, b in zip(g, c, strict=True)), i) for i, c in enumerate(cl.GROUPS))
-    digit = F.create_map(*[F.lit(x) for g, (_, i) in near.items() for x in (g, f"{i:X}")])
-    cost = F.create_map(*[F.lit(x) for g, (d, _) in near.items() for x in (g, d)])
-    groups = _bits(spark, sf).select("image", "chunk", cl.groups(F.col("bits"), 5).alias("g"))
-    return groups.select("image", "chunk", F.array_join(F.transform("g", lambda g: F.element_at(digit, g)), "").alias("decoded"), F.aggregate("g", F.lit(0).cast("long"), lambda a, g: a + F.element_at(cost, g)).alias("corrected"))
+    near = [min((sum(a != b for a, b in zip(f"{v:05b}", c, strict=True)), i) for i, c in enumerate(cl.GROUPS)) for v in range(32)]
+    read = codec.in_groups("".join(f"{i:X}" for _, i in near).encode(), [d for d, _ in near])
+    return noise(spark, sf, form="bytes").mapInArrow(read, "image long, chunk long, decoded string, cost long").withColumnRenamed("cost", "corrected")
 
 
 @query("dec26_viterbi")

@@ -6,10 +6,13 @@ fixed chunks (documents)."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import octets
+from ..operators import codec
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,23 +56,37 @@ SAMPLES = """samples AS (SELECT vec_id AS trace, CAST(label AS BIGINT) AS label,
   FROM embeddings, unnest(range(1, len(embedding) + 1)) AS u(i))"""
 
 
-def images(spark: SparkSession, sf_dir: str, size: int = 256) -> DataFrame:
-    """image, chunk (from 0), bytes as hexadecimal digits of size bytes; each byte is cut out once."""
+def _chunks(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
+    """image, chunk (from 0), data: bytes of a text, size a chunk; each byte is cut out once."""
     raw = F.encode("text", "utf-8")
     n = F.octet_length("text")
     chunks = octets.once(raw, lambda r: F.transform(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int")), lambda c: F.substring(r, c * size + 1, F.lit(size))))
     return table(spark, sf_dir, "documents").where("octet_length(text) > 0").select(F.col("doc_id").alias("image"), F.posexplode(chunks).alias("chunk", "data")).select(
-        "image", F.col("chunk").cast("long").alias("chunk"), F.hex("data").alias("data"))
+        "image", F.col("chunk").cast("long").alias("chunk"), "data")
+
+
+def images(spark: SparkSession, sf_dir: str, size: int = 256) -> DataFrame:
+    """image, chunk (from 0), bytes as hexadecimal digits of size bytes."""
+    return _chunks(spark, sf_dir, size).withColumn("data", F.hex("data"))
 
 
 IMAGES = """raws AS (SELECT doc_id AS image, hex(encode(text)) AS raw FROM documents WHERE length(text) > 0),
 images AS (SELECT image, c AS chunk, substr(raw, c * 512 + 1, 512) AS data FROM raws, unnest(range(0, CAST(floor((length(raw) - 1) / 512) AS BIGINT) + 1)) AS u(c))"""
 
 
-def noise(spark: SparkSession, sf_dir: str, size: int = 256) -> DataFrame:
-    """image, chunk, data: the images' bytes mixed so that all 256 values occur (zero and 0xE5 marks among them)."""
-    mixed = F.transform(octets.values(F.col("data")), lambda b: (b * 37 + F.col("image") * 11 + F.col("chunk")) % 256)
-    return images(spark, sf_dir, size).select("image", "chunk", F.array_join(F.transform(mixed, lambda b: octets.digits(b, 1)), "").alias("data"))
+def noise(spark: SparkSession, sf_dir: str, size: int = 256, form: str = "hex") -> DataFrame:
+    """image, chunk, data: the images' bytes mixed so that all 256 values occur (zero and 0xE5 marks among them), as digits, bits or bytes."""
+    number = lambda c: c.fill_null(0).to_numpy(zero_copy_only=False)
+
+    def mix(batches):
+        for b in batches:
+            raw, at = codec.flat(b.column(2))
+            mixed = (raw.astype(np.int64) * 37 + np.repeat(number(b.column(0)) * 11 + number(b.column(1)), np.diff(at))) % 256
+            mixed = mixed.astype(np.uint8)
+            data = {"hex": lambda: codec.strings(codec.digits(mixed), at * 2), "bits": lambda: codec.strings(np.unpackbits(mixed) + 48, at * 8), "bytes": lambda: codec.strings(mixed, at, pa.binary())}[form]()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), data], names=["image", "chunk", "data"])
+
+    return _chunks(spark, sf_dir, size).mapInArrow(mix, f"image long, chunk long, data {'binary' if form == 'bytes' else 'string'}")
 
 
 NOISE = f"""{IMAGES}, noise AS (SELECT image, chunk, array_to_string([printf('%02X', (b * 37 + image * 11 + chunk) % 256) FOR b IN {octets.sql_values("data")}], '') AS data FROM images)"""
