@@ -28,7 +28,7 @@ def _tracks(spark, sf):
 
 def _count(hexed, byte: str):
     """How often a byte value stands in a track."""
-    return F.size(F.filter(F.regexp_extract_all(hexed, F.lit(".."), F.lit(0)), lambda b: b == byte)).cast("long")
+    return F.regexp_count(hexed, F.lit(rf"\G(?:..)*?{byte}")).cast("long")
 
 
 def _count_sql(byte: str) -> str:
