@@ -62,3 +62,13 @@ def from_intervals(runs: DataFrame) -> DataFrame:
     """(track, cells) again from (track, idx, cells)."""
     one = F.struct("idx", F.concat(F.repeat(F.lit("0"), (F.col("cells") - 1).cast("int")), F.lit("1")).alias("c"))
     return runs.groupBy("track").agg(F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda s: s["c"]), "").alias("cells"))  # a track of the medium
+
+
+def runs(tracks: DataFrame) -> DataFrame:
+    """(track, runs) of (track, cells): intervals with a track's in one array, in their order, no row each."""
+    return tracks.select("track", F.transform(F.regexp_extract_all("cells", F.lit("0*1"), F.lit(0)), lambda r: F.length(r)).alias("runs"))
+
+
+def from_runs(tracks: DataFrame) -> DataFrame:
+    """(track, cells) again from (track, runs)."""
+    return tracks.select("track", F.array_join(F.transform("runs", lambda n: F.lpad(F.lit("1"), n, "0")), "").alias("cells"))

@@ -68,7 +68,7 @@ def dispatch(spark, sf):
         got = tr.decode_mfm(x).groupBy("track").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sector", "data"))), lambda s: s["data"]), "").alias("data"))
         return got.select("track", F.md5("data").alias("digest"))
 
-    routes = {"IMG-HFE": (0, to_cells), "HFE-IMG": (1, to_sectors), "SCP-HFE": (2, lambda x: to_cells(tr.from_intervals(tr.intervals(x))))}
+    routes = {"IMG-HFE": (0, to_cells), "HFE-IMG": (1, to_sectors), "SCP-HFE": (2, lambda x: to_cells(tr.from_runs(tr.runs(x))))}
     out = None
     for name, (part, run) in routes.items():
         got = run(cells.where(F.col("track") % 3 == part)).withColumn("route", F.lit(name))

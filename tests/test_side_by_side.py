@@ -46,3 +46,13 @@ def test_second_attempt_writes_no_tracks(spark, sf_dir):
     catalog.queries()["dec31_pipeline_run"](spark, sf_dir).collect()
     made = {p.name.split("-")[0] for p in set(base.glob("*")) - before}
     assert made == {"attempts"}
+
+
+def test_intervals_as_arrays_are_those_as_rows(spark):
+    cells = tr.encode(_sectors(spark, 128), "MFM").unionByName(spark.createDataFrame([(9, "00100")], "track long, cells string"))
+    assert sorted(tr.from_runs(tr.runs(cells)).collect()) == sorted(tr.from_intervals(tr.intervals(cells)).collect())
+
+
+def test_conversion_has_no_row_an_interval(spark, sf_dir):
+    plan = catalog.queries()["conv03_dispatch"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode(regexp_extract_all" not in plan
