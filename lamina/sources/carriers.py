@@ -34,9 +34,10 @@ FLUX = """flux AS (SELECT user_id AS track, row_number() OVER (PARTITION BY user
 
 def sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """track, sector, read (from 0), data, crc_ok, weak, deleted: reads of one sector in a fixed order."""
-    order = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-    return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("track"), F.col("l_linenumber").cast("long").alias("sector"),
+    order = Window.partitionBy("track", "sector").orderBy("l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")  # by the columns that callers group by: one shuffle serves both
+    lines = table(spark, sf_dir, "lineitem").select("*", F.col("l_orderkey").alias("track"), F.col("l_linenumber").cast("long").alias("sector"))
+    return lines.select(
+        "track", "sector",
         (F.row_number().over(order) - 1).cast("long").alias("read"), F.col("l_partkey").alias("data"), F.col("l_quantity").alias("quality"),
         (F.col("l_returnflag") != "R").alias("crc_ok"), (F.col("l_linestatus") == "O").alias("weak"), (F.col("l_returnflag") == "A").alias("deleted"))
 
