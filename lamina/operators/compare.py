@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from . import codec
+
 
 def positional(a: DataFrame, b: DataFrame, keys: list[str], data: str, status: str, size: str | None = None) -> DataFrame:
     """Full outer join of two images by position with one verdict a row.
@@ -59,3 +61,24 @@ def equal_bytes(pairs: DataFrame, a: str, b: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(same, pa.int64())], names=[*batch.schema.names, "same"])
 
     return pairs.mapInArrow(run, StructType([*pairs.schema.fields, StructField("same", LongType())]))
+
+
+#: A bit for each byte value at even and at odd places.
+_MARKS = np.random.default_rng(18).integers(0, 2, (2, 256), np.uint8)
+
+
+def sketches(df: DataFrame, data: str) -> DataFrame:
+    """df with s0 and s1, 128 bits of a binary column, one for every other pair of bytes: of two values of one length no more bits differ than bytes; null where it is null."""
+
+    def run(batches):
+        for b in batches:
+            raw, at = codec.flat(b.column(data))
+            n = np.diff(at)
+            wide = np.zeros((b.num_rows, max(1, -(-int(n.max(initial=0)) // 256)) * 256), np.uint8)
+            wide[np.arange(wide.shape[1]) < n[:, None]] = raw
+            bits = (_MARKS[0][wide[:, ::2]] ^ _MARKS[1][wide[:, 1::2]]).reshape(b.num_rows, -1, 128)
+            words = np.packbits(np.bitwise_xor.reduce(bits, 1), axis=1).view(np.int64)
+            none = b.column(data).is_null().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(words[:, k], mask=none) for k in (0, 1)]], names=[*b.schema.names, "s0", "s1"])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("s0", LongType()), StructField("s1", LongType())]))

@@ -316,21 +316,25 @@ def duplicate_recovery(spark, sf):
     """Bad chunks of any length take the first good one of their length with more than nine tenths equal bytes.
 
     Of n bytes at most (n - 1) div 10 differ then, so one of one more pieces agrees: candidates meet in equal pieces, never all with
-    all; equal chunks stand once on either side, and bytes are compared as arrays."""
+    all, and a pair leaves the join only where its sketches differ in no more bits than bytes may; equal chunks stand once on either side, and bytes are
+    compared as arrays."""
     f = images(spark, sf).select("image", "chunk", F.unhex("data").alias("data"), ((F.col("image") + F.col("chunk")) % 10 == 0).alias("bad"))
-    once = stored(f.groupBy("bad", "data").agg(F.min(F.struct("image", "chunk")).alias("at")), "chunks")
+    each = f.repartition("data").groupBy("bad", "data").agg(F.min(F.struct("image", "chunk")).alias("at")).select("bad", "data", "at.image", "at.chunk")  # dealt first: nothing is sorted beside the reading
+    once = stored(compare.sketches(each, "data"), "chunks")
     size = F.octet_length("data")
-    cuts = F.expr("sequence(0, (octet_length(data) - 1) div 10)")
-    cut = lambda i: F.floor(i * size / F.size(cuts)).cast("int")
-    hashed = F.explode(F.transform(cuts, lambda i: F.xxhash64(F.substring("data", cut(i) + 1, cut(i + 1) - cut(i)), i, size)))
-    p = once.where("NOT bad").select(F.col("at").alias("good_at"), hashed.alias("h"))
-    q = once.where("bad").select(F.col("at").alias("bad_at"), hashed.alias("h"))
-    c = q.join(p, "h").select("bad_at", "good_at").distinct()
-    side = lambda bad, name, to: once.where("bad" if bad else "NOT bad").select(F.col("at").alias(name), F.col("data").alias(to))
-    both = c.join(side(True, "bad_at", "x"), "bad_at").join(side(False, "good_at", "y"), "good_at")
+    most = ((size - 1) / 10).cast("int")
+    cut = lambda i: F.floor(i * size / (most + 1)).cast("int")
+    hashed = F.explode(F.transform(F.sequence(F.lit(0), most), lambda i: F.xxhash64(F.substring("data", cut(i) + 1, cut(i + 1) - cut(i)), i, size)))
+    side = lambda bad, name: once.where("bad" if bad else "NOT bad").withColumnsRenamed({"image": f"{name}_image", "chunk": f"{name}_chunk"})
+    p = side(False, "good").select("good_image", "good_chunk", F.col("s0").alias("g0"), F.col("s1").alias("g1"), hashed.alias("h"))
+    q = side(True, "bad").select("bad_image", "bad_chunk", "s0", "s1", most.alias("most"), hashed.alias("h"))
+    apart = F.bit_count(F.col("s0").bitwiseXOR(F.col("g0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("g1")))
+    good_at, bad_at = ["good_image", "good_chunk"], ["bad_image", "bad_chunk"]
+    c = q.withColumnRenamed("h", "k").join(p, (F.col("k") == F.col("h")) & (apart <= F.col("most"))).select(*bad_at, *good_at).distinct()
+    both = c.join(side(True, "bad").select(*bad_at, F.col("data").alias("x")), bad_at).join(side(False, "good").select(*good_at, F.col("data").alias("y")), good_at)
     near = compare.equal_bytes(both, "x", "y").where("same * 100 > octet_length(x) * 90 AND octet_length(x) = octet_length(y)")
-    first = near.groupBy("x").agg(F.min(F.struct("good_at", "same")).alias("m"))
-    return f.where("bad").join(first, F.col("data") == F.col("x")).select("image", "chunk", F.col("m.good_at.image").alias("from_image"), F.col("m.good_at.chunk").alias("from_chunk"), F.col("m.same").alias("equal_bytes"))
+    first = near.groupBy("x").agg(F.min(F.struct(*good_at, "same")).alias("m"))
+    return f.where("bad").join(first, F.col("data") == F.col("x")).select("image", "chunk", F.col("m.good_image").alias("from_image"), F.col("m.good_chunk").alias("from_chunk"), F.col("m.same").alias("equal_bytes"))
 
 
 #: Signatures: every 24th byte of each benchmark text begins one of twelve bytes; the fourth is fixed in its high half only, the sixth is free.
