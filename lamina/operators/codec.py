@@ -19,6 +19,7 @@ _NIBBLES = np.full(32, 16, np.uint8)
 for _i, _c in enumerate(cl.GROUPS):
     _NIBBLES[int(_c, 2)] = _i
 _FIVE = np.array([[int(x) for x in c] for c in cl.GROUPS], np.uint8)
+_TEN = np.concatenate([np.repeat(_FIVE, 16, axis=0), np.tile(_FIVE, (16, 1))], axis=1)
 _SIX = np.array(cl.SIX, np.uint8)
 _PLACE = np.zeros(256, np.int64)
 _PLACE[_SIX] = np.arange(len(_SIX))
@@ -106,6 +107,11 @@ def _five(rows: np.ndarray) -> np.ndarray:
     return _FIVE[np.stack([rows >> 4, rows & 15], axis=2).reshape(len(rows), -1)].reshape(len(rows), -1)
 
 
+def group_bits(raw: np.ndarray) -> np.ndarray:
+    """Ten bits for each byte: its half bytes in group code."""
+    return _TEN[raw].reshape(-1)
+
+
 def _c64_sector(cyl, sector, data):
     n = len(data)
     ids = _column(sector, cyl + 1, 0x32, 0x41)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import codec
 
 # The sixteen five-bit codes.
 _CODES = (10, 11, 18, 19, 14, 15, 22, 23, 9, 25, 26, 27, 13, 29, 30, 21)
@@ -33,54 +36,104 @@ def _tables() -> dict[int, tuple[np.ndarray, np.ndarray]]:
 
 
 _TABLES = _tables()
+#: Bits of a group by its rank; rank 3 stands at a string's beginning.
+_SIZES = np.array([6, 5, 4, 0])
+
+
+def _packed() -> tuple[list[bytes], np.ndarray]:
+    """By six bits: four times the cost of their first four, five or six bits and the rank in which equal costs win (six bits, five, four); by rank and six bits: the digit."""
+    cost, digit = [bytes(256)] * 3, np.zeros(256, np.uint8)
+    for rank, size in enumerate(_SIZES[:3].tolist()):
+        c, d = _TABLES[size]
+        six = np.arange(64) >> 6 - size
+        cost[rank] = (c[six] * 4 + rank).astype(np.uint8).tobytes().ljust(256, b"\0")
+        digit[rank * 64 : rank * 64 + 64] = np.frombuffer(b"0123456789ABCDEF", np.uint8)[d[six]]
+    return cost, digit
+
+
+_COSTS, _DIGITS = _packed()
+#: Strings and positions that are stepped side by side.
+_ROWS, _CELLS = 4096, 1 << 22
+
+
+def cheapest(bits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Least cost of strings of bits (0 and 1, one behind another, with their offsets) read as groups of five, of four (one lost) or six (one too many), all
+    digits and their offsets; -1 and no digits where no such groups fill a string. All strings step through their positions together."""
+    n = np.diff(at)
+    wide, rows = int(n.max(initial=0)), len(n)
+    by_row = np.zeros((rows, wide + 6), np.uint8)
+    by_row[np.arange(wide + 6) < n[:, None]] = bits
+    b = np.ascontiguousarray(by_row.T)
+    seen = np.zeros((wide + 1, rows), np.uint8)  # six bits from each position on; those behind the end are in no group
+    for k in range(6):
+        seen = seen << 1 | b[k : k + wide + 1]
+    kind, far = (np.int16, 1 << 14) if wide < 2000 else (np.int32, 1 << 29)  # four times a cost is at most 5.5 times the bits
+    whole = seen.tobytes()
+    six, five, four = (np.frombuffer(whole.translate(c), np.uint8).reshape(wide + 1, rows).astype(kind) for c in _COSTS)
+    cost = np.full((wide + 1, rows), far, kind)  # four times the cost
+    rank = np.full((wide + 1, rows), 3, np.uint8)
+    cost[0] = 0
+    best, other = np.empty(rows, kind), np.empty(rows, kind)
+    for q in range(4, wide + 1):
+        np.add(cost[q - 4], four[q - 4], out=best)
+        if q >= 5:
+            np.minimum(best, np.add(cost[q - 5], five[q - 5], out=other), out=best)
+        if q >= 6:
+            np.minimum(best, np.add(cost[q - 6], six[q - 6], out=other), out=best)
+        np.bitwise_and(best, 3, out=rank[q], casting="unsafe")
+        np.bitwise_and(best, -4, out=cost[q])
+    each = np.arange(rows)
+    total = cost[n, each].astype(np.int64)
+    total = np.where(total < far, total >> 2, -1)
+    spot = np.where(total < 0, 0, n) * rows + each
+    made = np.zeros((wide // 4 + 1, rows), np.uint8)
+    flat, ranks, back = seen.reshape(-1), rank.reshape(-1), _SIZES * rows
+    k = 0
+    while (spot >= rows).any():
+        r = ranks[spot]
+        spot -= back[r]
+        made[k] = _DIGITS[r << 6 | flat[spot]]
+        k += 1
+    digits = made[:k][::-1].T.reshape(-1)
+    return total, digits[digits > 0], np.concatenate([[0], np.cumsum(np.count_nonzero(made[:k], axis=0))])
 
 
-_FAR = 1 << 20
+def trellises(texts: list[str]) -> list[tuple[int, str]]:
+    """Least cost and half bytes of strings of bits; (-1, "") where no groups fill a string."""
+    total, digits, at = cheapest(np.frombuffer("".join(texts).encode(), np.uint8) & 1, np.cumsum([0, *map(len, texts)]))
+    return [(c, digits[i:j].tobytes().decode()) for c, i, j in zip(total.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
-def trellises(texts: list[str]) -> list[tuple[int, str]]:
-    """Least cost and half bytes of strings of bits read as groups of five, of four (one lost) or six (one too many);
-    (-1, "") where no such groups fill a string. All strings step through their positions together."""
-    n = np.array([len(t) for t in texts], np.int64)
-    wide = int(n.max(initial=0))
-    bits = np.zeros((len(texts), wide), np.int64)
-    for row, t in zip(bits, texts, strict=True):
-        row[: len(t)] = np.frombuffer(t.encode(), np.uint8) - 48
-    seen = {}
-    for size in (5, 4, 6):
-        v = np.zeros((len(texts), max(0, wide - size + 1)), np.int64)
-        for k in range(size):
-            v = v * 2 + bits[:, k : k + v.shape[1]]
-        seen[size] = v
-    cost, via = np.full((len(texts), wide + 1), _FAR, np.int64), np.zeros((len(texts), wide + 1), np.int8)
-    cost[:, 0] = 0
-    for p in range(wide):
-        for size in (5, 4, 6):
-            if p + size <= wide:
-                c = cost[:, p] + _TABLES[size][0][seen[size][:, p]]
-                better = c < cost[:, p + size]
-                cost[better, p + size], via[better, p + size] = c[better], size
-    rows, at = np.arange(len(texts)), n.copy()
-    total = cost[rows, n]
-    parts: list[list[str]] = [[] for _ in texts]
-    live = rows[(total < _FAR) & (n > 0)]
-    while len(live):
-        size = via[live, at[live]]
-        for s in (4, 5, 6):
-            mine = live[size == s]
-            at[mine] -= s
-            for r, d in zip(mine.tolist(), _TABLES[s][1][seen[s][mine, at[mine]]].tolist(), strict=True):
-                parts[r].append(f"{d:X}")
-        live = live[at[live] > 0]
-    return [(int(c), "".join(reversed(x))) if c < _FAR else (-1, "") for c, x in zip(total.tolist(), parts, strict=True)]
-
-
-def group_trellis(df: DataFrame) -> DataFrame:
-    """(image, chunk, cost, decoded) of (image, chunk, bits)."""
+def coded_with_a_loss(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Bits and their offsets of (image, chunk, data, at) in group code without bit `at`; one that is null leaves no bits, a negative one (of a negative
+    number) those that substring gives from at + 2 on."""
+    raw, off = codec.flat(b.column("data"))
+    bits, off = codec.group_bits(raw), off * 10
+    n = np.diff(off)
+    none, lost = b.column("at").is_null().to_numpy(zero_copy_only=False), b.column("at").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    keep = np.ones(len(bits), bool)
+    keep[(off[:-1] + lost)[~none & (lost >= 0) & (lost < n)]] = False
+    for r in np.flatnonzero(none | (lost < 0)).tolist():
+        first = n[r] if none[r] else 0 if lost[r] >= -2 else max(0, n[r] + lost[r] + 2)
+        keep[off[r] : off[r] + first] = False
+    return bits[keep], np.concatenate([[0], np.cumsum(keep)])[off]
 
-    def run(batches):
-        for b in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
-            got = trellises([x or "" for x in b.column("bits").to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column("image"), b.column("chunk"), pa.array([c for c, _ in got], pa.int64()), pa.array([d for _, d in got], pa.string())], names=["image", "chunk", "cost", "decoded"])
 
-    return df.select("image", "chunk", "bits").mapInArrow(run, "image long, chunk long, cost long, decoded string")
+def _as_given(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    text, at = codec.flat(b.column("bits"))
+    return text & 1, at
+
+
+def group_trellis(df: DataFrame, bits: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]] = _as_given) -> DataFrame:
+    """(image, chunk, cost, decoded) of (image, chunk, bits), or of what bits makes of a batch."""
+
+    def run(batches):
+        for whole in batches:
+            values, ends = bits(whole)
+            step = max(1, min(_ROWS, _CELLS // max(1, int(np.diff(ends).max(initial=0)))))
+            for lo in range(0, whole.num_rows, step):
+                b, at = whole.slice(lo, step), ends[lo : lo + step + 1]
+                cost, digits, offsets = cheapest(values[at[0] : at[-1]], at - at[0])
+                yield pa.RecordBatch.from_arrays([b.column("image"), b.column("chunk"), pa.array(cost), codec.strings(digits, offsets)], names=["image", "chunk", "cost", "decoded"])
+
+    return df.mapInArrow(run, "image long, chunk long, cost long, decoded string")

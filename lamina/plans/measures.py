@@ -169,10 +169,8 @@ def nearest_groups(spark, sf):
 @query("dec26_viterbi")
 def group_trellis(spark, sf):
     """Chunks in group code with one bit lost: the cheapest path over groups of four, five and six bits finds the place and reads on."""
-    c = images(spark, sf, 64).select("image", "chunk", cl.five(F.col("data")).alias("bits"))
-    at = (F.col("image") * 7 + F.col("chunk") * 13) % F.length("bits")
-    lost = c.select("image", "chunk", F.concat(F.substring("bits", F.lit(1), at.cast("int")), F.substring("bits", (at + 2).cast("int"), F.length("bits"))).alias("bits"))
-    return decode.group_trellis(lost)
+    at = (F.col("image") * 7 + F.col("chunk") * 13) % (F.octet_length("data") * 10)
+    return decode.group_trellis(images(spark, sf, 64, "bytes").withColumn("at", at.cast("int")), decode.coded_with_a_loss)
 
 
 def _middle(values):

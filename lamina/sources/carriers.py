@@ -66,9 +66,10 @@ def _chunks(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
         "image", F.col("chunk").cast("long").alias("chunk"), "data")
 
 
-def images(spark: SparkSession, sf_dir: str, size: int = 256) -> DataFrame:
-    """image, chunk (from 0), bytes as hexadecimal digits of size bytes."""
-    return _chunks(spark, sf_dir, size).withColumn("data", F.hex("data"))
+def images(spark: SparkSession, sf_dir: str, size: int = 256, form: str = "hex") -> DataFrame:
+    """image, chunk (from 0), size bytes as hexadecimal digits or as bytes."""
+    chunks = _chunks(spark, sf_dir, size)
+    return chunks if form == "bytes" else chunks.withColumn("data", F.hex("data"))
 
 
 IMAGES = """raws AS (SELECT doc_id AS image, hex(encode(text)) AS raw FROM documents WHERE length(text) > 0),

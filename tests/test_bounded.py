@@ -1,9 +1,12 @@
 """Steps whose memory or time grew faster than their input: pairs that leave a join, trellises, windows, votes, states."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from lamina.operators import compare
+from lamina.functions import cells as cl
+from lamina.operators import compare, decode
 from lamina.plans import catalog
+from lamina.sources.carriers import images
 
 
 def _plan(df, kind="optimizedPlan"):
@@ -36,3 +39,38 @@ def test_only_likely_pairs_leave_the_join(spark, tmp_path):
     assert [tuple(r) for r in df.select("image", "chunk", "from_image", "from_chunk", "equal_bytes").collect()] == [(100, 0, 7, 0, 236)]
     plan = _plan(df)
     assert "bit_count" in next(x for x in plan.splitlines() if "Join Inner" in x and "xxhash64" not in x and "h#" in x)
+
+
+def _one_by_one(text):
+    """Least cost and digits of one string, position by position; a later way must be cheaper."""
+    cost, way = {0: (0, "")}, decode._TABLES
+    for p in range(len(text)):
+        for size in (5, 4, 6):
+            if p in cost and p + size <= len(text):
+                v = int(text[p : p + size], 2)
+                new = cost[p][0] + int(way[size][0][v])
+                if new < cost.get(p + size, (1 << 20,))[0]:
+                    cost[p + size] = new, cost[p][1] + f"{way[size][1][v]:X}"
+    return cost.get(len(text), (-1, ""))
+
+
+def test_trellises_side_by_side_as_one_by_one():
+    rng = np.random.default_rng(7)
+    texts = ["".join(map(str, rng.integers(0, 2, int(n)))) for n in [*rng.integers(0, 70, 300), 639, 2100]]
+    assert decode.trellises(texts) == [_one_by_one(t) for t in texts]
+
+
+def test_group_trellis_makes_no_strings_of_bits(spark, sf_dir):
+    plan = _plan(catalog.queries()["dec26_viterbi"](spark, sf_dir))
+    assert "replace(" not in plan and "hex(" not in plan
+
+
+def test_lost_bits_of_odd_rows(spark, tmp_path):
+    rows = [(i, t) for t in ("a", "bcd" * 40) for i in (0, 3, -1, -2, -3, -11, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = images(spark, str(tmp_path), 64).select("image", "chunk", cl.five(F.col("data")).alias("bits"))
+    at = (F.col("image") * 7 + F.col("chunk") * 13) % F.length("bits")
+    lost = c.select("image", "chunk", F.concat(F.substring("bits", F.lit(1), at.cast("int")), F.substring("bits", (at + 2).cast("int"), F.length("bits"))).alias("bits"))
+    order = lambda df: sorted(map(str, df.collect()))
+    got = order(catalog.queries()["dec26_viterbi"](spark, str(tmp_path)))
+    assert len(got) == 21 and got == order(decode.group_trellis(lost))
