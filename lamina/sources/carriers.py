@@ -32,14 +32,21 @@ FLUX = """flux AS (SELECT user_id AS track, row_number() OVER (PARTITION BY user
   epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dt, value AS amp, event_type AS label FROM events)"""
 
 
+#: What orders the reads of one sector.
+READ_ORDER = ["l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """track, sector, data, quality, crc_ok, weak, deleted: reads of sectors without their number, and the columns of READ_ORDER."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("track"), F.col("l_linenumber").cast("long").alias("sector"), F.col("l_partkey").alias("data"), F.col("l_quantity").alias("quality"),
+        (F.col("l_returnflag") != "R").alias("crc_ok"), (F.col("l_linestatus") == "O").alias("weak"), (F.col("l_returnflag") == "A").alias("deleted"), *READ_ORDER)
+
+
 def sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """track, sector, read (from 0), data, crc_ok, weak, deleted: reads of one sector in a fixed order."""
-    order = Window.partitionBy("track", "sector").orderBy("l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")  # by the columns that callers group by: one shuffle serves both
-    lines = table(spark, sf_dir, "lineitem").select("*", F.col("l_orderkey").alias("track"), F.col("l_linenumber").cast("long").alias("sector"))
-    return lines.select(
-        "track", "sector",
-        (F.row_number().over(order) - 1).cast("long").alias("read"), F.col("l_partkey").alias("data"), F.col("l_quantity").alias("quality"),
-        (F.col("l_returnflag") != "R").alias("crc_ok"), (F.col("l_linestatus") == "O").alias("weak"), (F.col("l_returnflag") == "A").alias("deleted"))
+    order = Window.partitionBy("track", "sector").orderBy(*READ_ORDER)  # by the columns that callers group by: one shuffle serves both
+    return lines(spark, sf_dir).select("track", "sector", (F.row_number().over(order) - 1).cast("long").alias("read"), "data", "quality", "crc_ok", "weak", "deleted")
 
 
 SECTORS = """sectors AS (SELECT l_orderkey AS track, CAST(l_linenumber AS BIGINT) AS sector,

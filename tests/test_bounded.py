@@ -1,10 +1,12 @@
 """Steps whose memory or time grew faster than their input: pairs that leave a join, trellises, windows, votes, states."""
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from lamina.functions import cells as cl
-from lamina.operators import compare, decode
+from lamina.operators import compare, decode, windows
 from lamina.plans import catalog
 from lamina.sources.carriers import images
 
@@ -74,3 +76,29 @@ def test_lost_bits_of_odd_rows(spark, tmp_path):
     order = lambda df: sorted(map(str, df.collect()))
     got = order(catalog.queries()["dec26_viterbi"](spark, str(tmp_path)))
     assert len(got) == 21 and got == order(decode.group_trellis(lost))
+
+
+def _runs_one_by_one(rows):
+    out = []
+    for part, label, value in rows:
+        if out and out[-1][0] == part and out[-1][1] == label:
+            out[-1][3:] = [out[-1][3] + 1, out[-1][4] + value]
+        else:
+            out.append([part, label, out[-1][2] + out[-1][3] if out and out[-1][0] == part else 0, 1, value])
+    return [tuple(x) for x in out]
+
+
+@pytest.mark.parametrize("cut", [1, 2, 5, 1000])
+def test_runs_go_on_over_batches(cut):
+    rng = np.random.default_rng(cut)
+    parts = [None] * 9 + sorted(rng.integers(0, 40, 500).tolist()) + [77] * 60
+    rows = [(p, int(v), float(v + 1)) for p, v in zip(parts, rng.integers(0, 2, len(parts)) * (np.arange(len(parts)) < 540), strict=True)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.int64()), pa.array([r[1] for r in some], pa.int32()), pa.array([r[2] for r in some])], names=["p", "l", "v"]) for some in (rows[i : i + cut] for i in range(0, len(rows), cut))]
+    schema = pa.schema([("p", pa.int64()), ("l", pa.int32()), ("first", pa.int64()), ("length", pa.int64()), ("total", pa.float64())])
+    got = [tuple(r.values()) for b in windows._short_runs(iter(batches), schema) for r in b.to_pylist()]
+    assert got == _runs_one_by_one(rows)
+
+
+def test_segments_are_sorted_once_and_ranked_once(spark, sf_dir):
+    plan = _plan(catalog.queries()["win17_confidence_segments"](spark, sf_dir), "sparkPlan")
+    assert plan.count("Window") == 1 and "Aggregate" not in plan
