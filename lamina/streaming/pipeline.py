@@ -6,7 +6,7 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -54,6 +54,8 @@ def drain(stream: DataFrame, path: str, checkpoint: str, mode: str, seconds: int
 
 
 CHUNKS = "track long, start long, length long, mean double, low long, flushed boolean, pushed long, buffered long, waiting long, refused long"
+_CHUNK = Row(*[c.split()[0] for c in CHUNKS.split(", ")])
+STATE = "next long, start long, pushed long, refused long, flushed long, reset long, buffer array<double>, seqs array<long>, kinds array<int>, amps array<double>"
 DATA, FLUSH, RESET = 0, 1, 2
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 
@@ -71,8 +73,8 @@ def stateful(spark: SparkSession) -> SparkSession:
 class Chunker(StatefulProcessor):
     """A track's samples, in whatever order they come, given as chunks in the order of seq.
 
-    seq counts a track's samples from 0. State: `at` (value: next seq, start of the buffer, samples pushed, rows refused, last
-    seqs of a flush and of a reset), `buffer` (list: less than one chunk) and `early` (list: rows that wait for a seq before them). A row whose seq has been used, or
+    seq counts a track's samples from 0. State, in one value, so that a track asks and answers once a batch: next seq, start of the buffer, samples pushed, rows refused, last
+    seqs of a flush and of a reset, the buffer (less than one chunk) and the rows that wait for a seq before them. A row whose seq has been used, or
     is null or negative, is refused and counted; a flush or reset counts once a seq and waits until all samples before it have come (a reset at seq
     k comes behind sample k, a flush at seq k before it). Where idle milliseconds pass without a row a timer takes the waiting rows as they are and flushes;
     what comes for its gaps later is refused."""
@@ -82,33 +84,35 @@ class Chunker(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.at = handle.getValueState("at", "next long, start long, pushed long, refused long, flushed long, reset long")
-        self.buffer = handle.getListState("buffer", "amp double")
-        self.early = handle.getListState("early", "seq long, kind int, amp double")
+        self.state = handle.getValueState("track", STATE)
 
     def handleInputRows(self, key, rows, timerValues):
-        frame = pd.concat(list(rows))
-        placed = frame["seq"].notna() & (frame["seq"] >= 0)
-        new = zip(frame["seq"][placed].astype("int64").tolist(), frame["kind"][placed].tolist(), frame["amp"][placed].astype(float).tolist(), strict=True)
+        new, unplaced = [], 0
+        for r in rows:
+            seq, amp = r["seq"], r["amp"]
+            if seq is None or seq < 0:
+                unplaced += 1
+            else:
+                new.append((seq, r["kind"], math.nan if amp is None else amp))
         if self.idle is not None:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle)
-        yield self._step(key[0], list(new), int((~placed).sum()), gaps=False)
+        return self._step(key[0], new, unplaced, gaps=False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        yield self._step(key[0], [], 0, gaps=True)
+        return self._step(key[0], [], 0, gaps=True)
 
-    def _step(self, track: int, new: list, unplaced: int, gaps: bool) -> pd.DataFrame:
+    def _step(self, track: int, new: list, unplaced: int, gaps: bool) -> Iterator[Row]:
         """Use what can be used of the waiting and the new rows; gaps: do not wait for what is missing, and flush."""
-        following, start, pushed, refused, flushed, reset = self.at.get() if self.at.exists() else (0, 0, 0, 0, -1, -1)
-        buffer = [amp for (amp,) in self.buffer.get()] if self.buffer.exists() else []
-        waiting = [tuple(r) for r in self.early.get()] if self.early.exists() else []
+        following, start, pushed, refused, flushed, reset, buffer, *early = self.state.get() or (0, 0, 0, 0, -1, -1, [], [], [], [])
+        buffer, waiting = list(buffer), list(zip(*early, strict=True))
         refused += unplaced
         rows, early = [], []
 
         def emit(last: bool) -> None:
-            rows.append((track, start, len(buffer), math.fsum(buffer) / len(buffer), sum(abs(x) < self.low for x in buffer), last, pushed, 0, 0, refused))
+            mean = math.fsum(buffer) / len(buffer)
+            rows.append(_CHUNK(track, start, len(buffer), None if math.isnan(mean) else mean, sum(abs(x) < self.low for x in buffer), last, pushed, 0, 0, refused))
 
         # At one seq a flush stands before the sample and a reset behind it.
         for seq, kind, amp in sorted([*waiting, *new], key=lambda r: (r[0], (1, 0, 2)[r[1]])):
@@ -137,14 +141,9 @@ class Chunker(StatefulProcessor):
             if len(buffer) >= self.least:
                 emit(True)
             buffer, start = [], start + len(buffer)
-        self.at.update((following, start, pushed, refused, flushed, reset))
-        for state, values in ((self.buffer, [(x,) for x in buffer]), (self.early, early)):
-            if values:
-                state.put(values)
-            else:
-                state.clear()
-        rows.append((track, start, 0, 0.0, 0, False, pushed, len(buffer), len(early), refused))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in CHUNKS.split(", ")])
+        self.state.update((following, start, pushed, refused, flushed, reset, buffer, *([r[k] for r in early] for k in range(3))))
+        rows.append(_CHUNK(track, start, 0, 0.0, 0, False, pushed, len(buffer), len(early), refused))
+        return iter(rows)
 
 
 def chunked(stream: DataFrame, chunk: int, overlap: int, least: int = 4, low: float = 20.0, idle: int | None = None) -> DataFrame:
@@ -153,7 +152,7 @@ def chunked(stream: DataFrame, chunk: int, overlap: int, least: int = 4, low: fl
     A flush gives what is left (least samples or more), a reset forgets it. A row with length 0 tells what was pushed, is buffered,
     waits and was refused. The stream must belong to a session of stateful()."""
     processor = Chunker(chunk, overlap, least, low, idle)
-    return stream.groupBy("track").transformWithStateInPandas(processor, CHUNKS, "Update", "None" if idle is None else "ProcessingTime")
+    return stream.groupBy("track").transformWithState(processor, CHUNKS, "Update", "None" if idle is None else "ProcessingTime")
 
 
 ROWS = "track long, seq long, amp double, kind int"

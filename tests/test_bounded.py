@@ -6,12 +6,14 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lamina.functions import cells as cl
 from lamina.operators import compare, decode, windows
 from lamina.plans import catalog
 from lamina.sources.carriers import images
+from lamina.streaming import pipeline as pipe
 
 
 def _plan(df, kind="optimizedPlan"):
@@ -124,3 +126,34 @@ def test_reads_of_odd_lines(spark, tmp_path):
     cols = sorted(df.columns)
     want = sorted(rel.select(*cols).fetchall())
     assert sorted(tuple(r) for r in df.select(cols).collect()) == want and want
+
+
+class _Held:
+    """A state of one value that counts what it is asked."""
+
+    def __init__(self):
+        self.value, self.calls, self.names = None, 0, []
+
+    def __getattr__(self, name):
+        if name.startswith("get") and name.endswith("State"):
+            return lambda label, *_: self.names.append(label) or self
+        raise AttributeError(name)
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+
+def test_a_track_asks_its_state_once_a_batch():
+    held, made = _Held(), pipe.Chunker(4, 1, 2, 20.0, None)
+    made.init(held)
+    row = Row("track", "seq", "amp", "kind")
+    out = []
+    for batch in ([3, 5, 0], [2, 1], [4, None, 2, 6]):
+        out += made.handleInputRows((9,), iter([row(9, s, None if s == 6 else float(s or 0), pipe.DATA) for s in batch]), None)
+    assert held.names == ["track"] and held.calls == 6
+    assert [(r["start"], r["length"], r["mean"]) for r in out if r["length"]] == [(0, 4, 1.5), (3, 4, None)]
+    assert [(r["pushed"], r["buffered"], r["waiting"], r["refused"]) for r in out if not r["length"]] == [(1, 1, 2, 0), (4, 1, 1, 0), (7, 1, 0, 2)]
